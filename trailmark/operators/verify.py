@@ -178,15 +178,13 @@ def repair_orphans(events: DataFrame, queue: DataFrame) -> DataFrame:
 def backlog(queue: DataFrame, ranges: DataFrame, events: DataFrame, watermark: int, config: Config) -> DataFrame:
     """One row: range files, stale files, queued checks, pending and unfolded events."""
     files = rng.status(ranges, config).agg(
-        F.count("*").alias("range_files"), F.coalesce(F.sum(F.col("stale").cast("bigint")), F.lit(0)).alias("stale_files")
-    )
-    queued = queue.agg(F.count("*").alias("queued_checks"))
-    todo = events.agg(
+        F.count("*").alias("range_files"), F.count_if("stale").alias("stale_files"))
+    todo = events.agg(F.struct(
         F.count_if(F.col("vstate") == "pending").alias("pending_events"),
         F.count_if(F.col("id") > watermark).alias("unfolded_events"),
-    )
-    # three one-row frames
-    return files.join(F.broadcast(queued), F.lit(True)).join(F.broadcast(todo), F.lit(True))
+    ).alias("t"))
+    return files.withColumn("queued_checks", queue.agg(F.count("*")).scalar()).withColumn(
+        "_t", todo.scalar()).select("*", "_t.*").drop("_t")
 
 
 def latest_verdicts(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from trailmark.config import Config, DAY
-from trailmark.functions import paths
+from trailmark.functions import html, paths
 from trailmark.operators import rollups
 from trailmark.sources.registry import Registry, lookup
 
@@ -123,6 +123,63 @@ def referrals(spark, d, before=None):
     return rollups.referrals(visits(spark, d, before))
 
 
+def titles(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return table(spark, d, "pages").select("page_id", html.decode_entities(raw).alias("title"))
+
+
+def inventory(spark: SparkSession, d: str) -> DataFrame:
+    """One row per path (the lowest page id), with attributes derived from the page id."""
+    pid = F.col("page_id")
+    first = Window.partitionBy("url_hash").orderBy("page_id")
+    # the projection to short columns happens before the shuffle, so no HTML travels
+    rows = table(spark, d, "pages").select(
+        "page_id", paths.normalize_path(F.col("url")).alias("path"),
+        html.decode_entities(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
+    ).withColumn("url_hash", paths.url_hash(F.col("path")))
+    one = rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    return one.withColumns({
+        "object_type": F.when(pid == 0, "home").otherwise("post"),
+        "object_id": pid,
+        "subtype": F.when(pid % 5 == 0, "page").when(pid % 5 == 1, "product").otherwise("post"),
+        "importance": pid % 100,
+        "pinned": F.when(pid % 50 == 0, 1).when(pid % 50 == 49, -1).otherwise(0),
+        "score": F.when(pid % 29 != 0, pid * 37 % 101),
+        "inlinks": pid % 7,
+        "word_count": pid * 13 % 1500,
+        "noindex": pid % 41 == 0,
+        "http_status": F.when(pid % 37 == 0, 404).when(pid % 23 == 0, 0).otherwise(200),
+        "modified": F.lit(AS_OF) - pid % 500 * DAY,
+        "deleted": pid % 61 == 60,
+        "analyzed": pid % 17 != 16,
+    })
+
+
+FINDING_RULES = [
+    # code, severity, bot, rule over the inventory
+    ("noindex", "critical", "", "noindex"),
+    ("http_error", "critical", "", "http_status >= 400"),
+    ("thin_content", "warning", "", "word_count < 300"),
+    ("orphan", "warning", "", "inlinks = 0"),
+    ("few_inlinks", "info", "", "inlinks between 1 and 2"),
+    ("bot_errors", "critical", "gptbot", "page_id % 9 = 0"),
+    ("never_crawled", "warning", "", "page_id % 11 = 0"),
+]
+
+
+def findings(spark: SparkSession, d: str) -> DataFrame:
+    """A findings table with a mix of states."""
+    each = F.array(*[
+        F.when(F.expr(rule), F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.lit(bot).alias("bot")))
+        for code, sev, bot, rule in FINDING_RULES])
+    pid = F.col("page_id")
+    status = F.when(pid % 10 == 0, "ignored").when(pid % 7 == 0, "resolved").otherwise("open")
+    return inventory(spark, d).select("page_id", F.explode(F.array_compact(each)).alias("f")).select(
+        "page_id", "f.*", F.lit("observed").alias("kind"), status.alias("status"),
+        (F.lit(AS_OF) - pid % 80 * DAY).alias("first_seen"), F.lit(AS_OF - DAY).cast("bigint").alias("last_seen"),
+        F.when(status == "resolved", F.lit(AS_OF) - pid % 60 * DAY).alias("resolved_at"))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for files a query writes: the cluster's shared folder, else a temporary one in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -162,6 +219,21 @@ PATH_SQL = """CASE WHEN regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1) IN (
 _BOT_CASE = "CASE user_id % 12 " + " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(BOTS)) + " END"
 _SOURCE_CASE = "CASE user_id % 4 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SOURCES)) + " END"
 
+ENTITIES = [("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+
+
+def unescape_sql(expr: str) -> str:
+    """Decode the entities that occur in the driver's pages."""
+    for had, want in ENTITIES:
+        expr = f"replace({expr}, '{had}', '{want}')"
+    return expr
+
+
+TITLE_SQL = unescape_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")
+FINDING_SQL = " UNION ALL ".join(
+    f"SELECT page_id, {_lit(c)} AS code, {_lit(sev)} AS severity, {_lit(bot)} AS bot FROM inventory WHERE {rule}"
+    for c, sev, bot, rule in FINDING_RULES)
+
 BASE = f"""
 bots(bot, name, provider, category, ai, robots_only, token, confidence, verifiable, ord) AS
   (SELECT * FROM (VALUES {_values(_bot_rows())})),
@@ -225,7 +297,26 @@ visits AS (
 referrals AS (
   SELECT day, source, url_hash, max(path) AS path, count(*) AS hits
   FROM visits JOIN page_paths USING (page_id) GROUP BY day, source, url_hash),
-ai AS (SELECT bot FROM bots WHERE ai UNION ALL SELECT '_signed')
+ai AS (SELECT bot FROM bots WHERE ai UNION ALL SELECT '_signed'),
+inventory AS (
+  SELECT page_id, path, url_hash, {TITLE_SQL} AS title,
+         CASE WHEN page_id = 0 THEN 'home' ELSE 'post' END AS object_type, page_id AS object_id,
+         CASE page_id % 5 WHEN 0 THEN 'page' WHEN 1 THEN 'product' ELSE 'post' END AS subtype,
+         page_id % 100 AS importance,
+         CASE WHEN page_id % 50 = 0 THEN 1 WHEN page_id % 50 = 49 THEN -1 ELSE 0 END AS pinned,
+         CASE WHEN page_id % 29 <> 0 THEN page_id * 37 % 101 END AS score,
+         page_id % 7 AS inlinks, page_id * 13 % 1500 AS word_count, page_id % 41 = 0 AS noindex,
+         CASE WHEN page_id % 37 = 0 THEN 404 WHEN page_id % 23 = 0 THEN 0 ELSE 200 END AS http_status,
+         {AS_OF} - page_id % 500 * 86400 AS modified, page_id % 61 = 60 AS deleted, page_id % 17 <> 16 AS analyzed
+  FROM page_paths JOIN pages USING (page_id)
+  QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY page_id) = 1),
+live AS (SELECT * FROM inventory WHERE NOT deleted),
+findings AS (
+  SELECT page_id, code, severity, bot, 'observed' AS kind,
+         CASE WHEN page_id % 10 = 0 THEN 'ignored' WHEN page_id % 7 = 0 THEN 'resolved' ELSE 'open' END AS status,
+         {AS_OF} - page_id % 80 * 86400 AS first_seen, {AS_OF - 86400} AS last_seen,
+         CASE WHEN page_id % 10 <> 0 AND page_id % 7 = 0 THEN {AS_OF} - page_id % 60 * 86400 END AS resolved_at
+  FROM ({FINDING_SQL}))
 """
 
 

@@ -12,9 +12,10 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, functions as F
 
 from trailmark.functions import paths, text as txt
-from trailmark.sources.registry import lookup
 
-_NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+# name=character pairs as one literal, folded to a map when the plan is optimised
+_NAMED = "\x02".join(
+    f"{name}\x01{char}" for name, char in ({n: chr(c) for n, c in name2codepoint.items()} | {"apos": "'"}).items())
 
 
 def _entity(segment: Column) -> Column:
@@ -25,7 +26,8 @@ def _entity(segment: Column) -> Column:
         body.startswith("#"), F.lpad(F.conv(F.substr(body, F.lit(2)), 10, 16), 8, "0"))
     point = F.when((hexa > "00000000") & (F.upper(hexa) <= "0010FFFF") & ~F.upper(hexa).rlike("^0000D[89A-F]"),
                    F.decode(F.unhex(hexa), "UTF-32"))
-    char = F.coalesce(point, lookup(_NAMED, body))
+    named = F.str_to_map(F.lit(_NAMED), F.lit("\x02"), F.lit("\x01"))
+    char = F.coalesce(point, F.try_element_at(named, body))
     return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), segment))
 
 
@@ -101,9 +103,8 @@ def head_facts(html: Column) -> dict[str, Column]:
 CHROME = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg")
 
 
-def main_region(html: Column) -> Column:
-    """The page's main content: first main, article, role=main, else body, without page chrome."""
-    src = drop_comments(html)
+def main_region(src: Column) -> Column:
+    """The main content of a comment-free page: first main, article, role=main, else body, without page chrome."""
     pick = lambda p, i: F.regexp_extract(src, p, i)
     to_end = lambda tag: rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)"
     role = r"""(?is)<([a-z0-9]+)\s[^>]*\brole\s*=\s*["']?main\b[^>]*>(.*)(?:</\1\s*>|\z)"""
@@ -118,31 +119,47 @@ def main_region(html: Column) -> Column:
     return drop_elements(region, *CHROME)
 
 
+def content(fragment: Column) -> Column:
+    """Stored content without comments and code."""
+    return drop_elements(drop_comments(fragment), "script", "style", "noscript")
+
+
 _BLOCK_END = r"(?is)</(?:p|div|li|h[1-6]|td|th|br|section|article)>"
 _PARA_END = r"(?is)</p\s*>|<(?:div|ul|ol|dl|table|h[1-6]|section|article|form|blockquote|pre|hr)[\s/>].*"
 
 
-def plain_body(html: Column) -> Column:
-    """Text of a content fragment; block elements keep words apart."""
-    broken = F.regexp_replace(drop_elements(drop_comments(html), "script", "style", "noscript"), _BLOCK_END, "\n")
-    return decode_entities(squeeze(strip_tags(broken)))
+def plain_body(body: Column) -> Column:
+    """Text of a clean content fragment; block elements keep words apart."""
+    return decode_entities(squeeze(strip_tags(F.regexp_replace(body, _BLOCK_END, "\n"))))
 
 
-def body_facts(body: Column, text: Column, page_url: Column, home_host: Column) -> dict[str, Column]:
-    """Structure and links of a content fragment; `text` is its `plain_body`."""
+def body_parts(body: Column, text: Column) -> dict[str, Column]:
+    """Pieces of a content fragment that several facts share; computed once, as columns."""
     heading = r"(?is)<(h[234])(?:\s[^>]*)?>(.*?)</\1\s*>"
-    all_headings = F.filter(
+    headings = F.filter(
         F.transform(
             F.arrays_zip(F.regexp_extract_all(body, F.lit(heading), 1).alias("tag"),
                          F.regexp_extract_all(body, F.lit(heading), 2).alias("html")),
             lambda h: F.struct(F.lower(h["tag"]).alias("tag"),
                                paths.clean(decode_entities(strip_tags(h["html"])), 200).alias("text"))),
         lambda h: h["text"] != "")
-    questions = F.slice(F.filter(F.transform(all_headings, lambda h: h["text"]), txt.is_question), 1, 20)
-    images = tags(body, "img")
     hrefs = F.filter(
         F.transform(tags(body, "a"), lambda t: F.trim(decode_entities(attr(t, "href")))),
         lambda h: (h != "") & ~h.startswith("#") & ~h.rlike(r"(?i)^(mailto|tel|javascript):"))
+    return {
+        "_headings": headings,
+        "_hrefs": hrefs,
+        "_images": tags(body, "img"),
+        "_sentences": txt.sentences(text),
+        "words": txt.word_count(text),
+    }
+
+
+def body_facts(body: Column, page_url: Column, home_host: Column) -> dict[str, Column]:
+    """Structure and links of a content fragment, from its `body_parts` columns."""
+    headings, hrefs, images, sentences = (F.col(c) for c in ("_headings", "_hrefs", "_images", "_sentences"))
+    texts = F.transform(headings, lambda h: h["text"])
+    questions = F.slice(F.filter(texts, txt.is_question), 1, 20)
     inner = lambda h: (paths.url_host(h) == "") | paths.same_site(paths.url_host(h), home_host)
     own = paths.normalize_path(page_url)
     links = F.filter(
@@ -151,13 +168,10 @@ def body_facts(body: Column, text: Column, page_url: Column, home_host: Column)
     paragraphs = F.transform(
         F.slice(F.split(body, r"(?is)<p(?:\s[^>]*)?>"), 2, 1 << 30),
         lambda p: txt.word_count(decode_entities(strip_tags(F.get(F.split(p, _PARA_END, 2), F.lit(0))))))
-    sentences = txt.sentences(text)
-    words = txt.word_count(text)
     return {
-        "words": words,
-        "h2": F.size(F.filter(all_headings, lambda h: h["tag"] == "h2")),
-        "h3": F.size(F.filter(all_headings, lambda h: h["tag"] != "h2")),
-        "headings": F.slice(F.transform(all_headings, lambda h: h["text"]), 1, 40),
+        "h2": F.size(F.filter(headings, lambda h: h["tag"] == "h2")),
+        "h3": F.size(F.filter(headings, lambda h: h["tag"] != "h2")),
+        "headings": F.slice(texts, 1, 40),
         "question_headings": questions,
         "lists": F.regexp_count(body, F.lit(r"(?i)<(?:ul|ol|dl)[\s/>]")),
         "tables": F.regexp_count(body, F.lit(r"(?i)<table[\s/>]")),
@@ -169,7 +183,7 @@ def body_facts(body: Column, text: Column, page_url: Column, home_host: Column)
         "faq": body.rlike(r"""(?is)<details[\s/>]|<[^>]*\sclass\s*=\s*(?:"[^"]*faq|'[^']*faq|[^\s"'>]*faq)""")
         | (F.size(questions) >= 3),
         "first_para_words": F.coalesce(F.get(F.filter(paragraphs, lambda n: n >= 5), F.lit(0)), F.lit(0)),
-        "avg_sentence": F.when(F.size(sentences) > 0, F.round(words / F.size(sentences)).cast("int")).otherwise(0),
+        "avg_sentence": F.when(F.size(sentences) > 0, F.round(F.col("words") / F.size(sentences)).cast("int")).otherwise(0),
         "questions": F.slice(F.filter(
             sentences, lambda s: s.endswith("?") & (F.octet_length(s) < 200)), 1, 15),
     }

@@ -36,14 +36,18 @@ def analyze_pages(pages: DataFrame, config: Config) -> DataFrame:
         local.alias("local"),
     )
     enough = txt.word_count(h.strip_tags(F.col("local"))) >= MIN_LOCAL_WORDS
-    body = base.withColumn("body", F.when(enough, h.drop_comments(F.col("local"))).otherwise(h.main_region(F.col("html"))))
+    # Each step reads the one before it as a column, so no step is evaluated twice.
+    body = base.withColumn("src", h.drop_comments(F.col("html"))).withColumn(
+        "body", F.when(enough, h.content(F.col("local"))).otherwise(h.main_region(F.col("src")))
+        if "local_html" in given else h.main_region(F.col("src")))
     body = body.withColumn("text", h.plain_body(F.col("body")))
-    facts = h.body_facts(F.col("body"), F.col("text"), F.col("url"), F.col("home_host"))
+    body = body.withColumns(h.body_parts(F.col("body"), F.col("text")))
+    facts = h.body_facts(F.col("body"), F.col("url"), F.col("home_host"))
     out = body.select(
         "page_id", "url", "path", paths.url_hash(F.col("path")).alias("url_hash"), "home_host", "status", "x_robots",
-        "location", "subtype", "object_type", "modified", "author_known", "author_bio", "text",
+        "location", "subtype", "object_type", "modified", "author_known", "author_bio", "text", "words",
         F.md5("body").alias("content_hash"),
-        *[c.alias(n) for n, c in h.head_facts(F.col("html")).items()],
+        *[c.alias(n) for n, c in h.head_facts(F.col("src")).items()],
         *[c.alias(n) for n, c in facts.items()],
     )
     return out.withColumns({

@@ -304,9 +304,17 @@ class Registry:
         return spark.createDataFrame([tuple(b[n] for n in names) for b in self.bots], BOT_SCHEMA)
 
 
+def _sql(value) -> str:
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, float)):
+        return repr(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(mapping: dict, key: Column) -> Column:
     """Value of a small literal map; null when the key is absent."""
     if not mapping:
         return F.lit(None).cast("string")
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in mapping.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)

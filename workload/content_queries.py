@@ -276,7 +276,7 @@ def pages_with_questions(spark, d):
 
 @query("light_markdown")
 def light_markdown(spark, d):
-    return b.table(spark, d, "pages").select("page_id", html.light_markdown(html.main_region(F.col("html"))).alias("text"))
+    return b.table(spark, d, "pages").select("page_id", html.light_markdown(html.main_region(html.drop_comments(F.col("html")))).alias("text"))
 
 
 # stored analyses derived from the pages' own terms ------------------------

@@ -21,30 +21,39 @@ def v4_number(ip: Column) -> Column:
     return F.when(is_v4(ip), number)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, so long rules stay small expressions."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def _plain_groups(ip: Column) -> Column:
+    """Lower-case IPv6 text with a dotted tail written as two groups."""
+    dotted = r"\d+\.\d+\.\d+\.\d+$"
+    rewritten = let(v4_number(F.regexp_extract(ip, dotted, 0)), lambda n: F.concat(
+        F.regexp_replace(ip, dotted, ""), F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(65535))))
+    return F.lower(F.when(ip.contains("."), rewritten).otherwise(ip))
+
+
 def v6_hex(ip: Column) -> Column:
     """Expanded IPv6 address, or null when the text is not one."""
-    tail = F.regexp_extract(ip, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    n = v4_number(tail)
-    as_groups = F.concat(
-        F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(65535)))
-    )
-    text = F.lower(
-        F.when(tail == "", ip).otherwise(F.concat(F.regexp_replace(ip, r"\d+\.\d+\.\d+\.\d+$", ""), as_groups))
-    )
     groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
-    gap = F.instr(text, "::") > 0
-    left = groups(F.split_part(text, F.lit("::"), F.lit(1)))
-    right = F.when(gap, groups(F.split_part(text, F.lit("::"), F.lit(2)))).otherwise(
-        F.array().cast("array<string>")
-    )
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    valid = (
-        text.rlike(_V6_SHAPE)
-        & ~text.rlike(r"::.*::|:::|[0-9a-f]{5}|^:[^:]|[^:]:$")
-        & F.when(gap, missing >= 1).otherwise(missing == 0)
-    )
-    return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+    none = F.array().cast("array<string>")
+
+    def expand(text: Column) -> Column:
+        halves = F.struct(
+            groups(F.split_part(text, F.lit("::"), F.lit(1))).alias("l"),
+            F.when(text.contains("::"), groups(F.split_part(text, F.lit("::"), F.lit(2)))).otherwise(none).alias("r"))
+        shape = text.rlike(_V6_SHAPE) & ~text.rlike(r"::.*::|:::|[0-9a-f]{5}|^:[^:]|[^:]:$")
+
+        def join(h: Column) -> Column:
+            missing = F.lit(8) - F.size(h["l"]) - F.size(h["r"])
+            full = F.concat(h["l"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), h["r"])
+            fits = F.when(text.contains("::"), missing >= 1).otherwise(missing == 0)
+            return F.when(shape & fits, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+        return let(halves, join)
+
+    return F.when(ip.contains(":"), let(_plain_groups(ip), expand))
 
 
 def is_ip(ip: Column) -> Column:
@@ -59,32 +68,30 @@ def ip_key(ip: Column) -> Column:
 
 def cidr_bounds(cidr: Column) -> Column:
     """struct(lo, hi, len) of a CIDR or single address in `ip_key` form; null when invalid."""
+    def bounds(p: Column) -> Column:
+        key, length = p["key"], p["len"]
+        family, digits = F.substring(key, 1, 1), F.substr(key, F.lit(2))
+        width = F.length(key) - 1
+        whole, rest = F.floor(length / 4).cast("int"), length % 4
+        nibble = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+        mask = F.when(rest == 1, 8).when(rest == 2, 12).when(rest == 3, 14).otherwise(0)
+        head = F.substr(digits, F.lit(1), whole)
+        low = F.when(rest > 0, F.lower(F.hex(nibble.bitwiseAND(mask)))).otherwise("")
+        high = F.when(rest > 0, F.lower(F.hex(nibble.bitwiseAND(mask).bitwiseOR(F.lit(15) - mask)))).otherwise("")
+        return F.when(
+            key.isNotNull() & length.between(0, width * 4),
+            F.struct(F.concat(family, F.rpad(F.concat(head, low), width, "0")).alias("lo"),
+                     F.concat(family, F.rpad(F.concat(head, high), width, "f")).alias("hi"), length.alias("len")))
+
     text = F.trim(cidr)
-    key = ip_key(F.split_part(text, F.lit("/"), F.lit(1)))
-    family = F.substring(key, 1, 1)
-    bits = F.when(family == "4", 32).otherwise(128)
     suffix = F.split_part(text, F.lit("/"), F.lit(2))
-    length = F.when(suffix == "", bits).otherwise(suffix.try_cast("int"))
-    valid = key.isNotNull() & text.rlike(r"^[^/]+(/\d*)?$") & length.between(0, bits)
-    digits = F.substr(key, F.lit(2))
-    whole = F.floor(length / 4).cast("int")
-    rest = length % 4
-    nibble = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
-    mask = F.when(rest == 1, 8).when(rest == 2, 12).when(rest == 3, 14).otherwise(0)
-    low_nibble = F.lower(F.hex(nibble.bitwiseAND(mask)))
-    high_nibble = F.lower(F.hex(nibble.bitwiseAND(mask).bitwiseOR(F.lit(15) - mask)))
-    head = F.substr(digits, F.lit(1), whole)
-    width = (bits / 4).cast("int")
-    lo = F.concat(head, F.when(rest > 0, low_nibble).otherwise(""))
-    hi = F.concat(head, F.when(rest > 0, high_nibble).otherwise(""))
-    return F.when(
-        valid,
-        F.struct(
-            F.concat(family, F.rpad(lo, width, "0")).alias("lo"),
-            F.concat(family, F.rpad(hi, width, "f")).alias("hi"),
-            length.alias("len"),
-        ),
-    )
+    given = F.struct(
+        F.when(text.rlike(r"^[^/]+(/\d*)?$"), ip_key(F.split_part(text, F.lit("/"), F.lit(1)))).alias("key"),
+        suffix.alias("suffix"))
+    sized = lambda g: F.struct(
+        g["key"].alias("key"),
+        F.when(g["suffix"] == "", (F.length(g["key"]) - 1) * 4).otherwise(g["suffix"].try_cast("int")).alias("len"))
+    return let(given, lambda g: let(sized(g), bounds))
 
 
 def python_bounds(cidr: str) -> tuple[str, str] | None:
@@ -103,29 +110,28 @@ def python_bounds(cidr: str) -> tuple[str, str] | None:
 def ip_in_list(ip: Column, cidrs) -> Column:
     """Is the address inside any of a short, configured list of CIDRs?"""
     key = ip_key(ip)
-    hit = F.lit(False)
-    for c in cidrs:
-        b = python_bounds(c)
-        if b:
-            hit = hit | ((F.length(key) == len(b[0])) & key.between(*b))
-    return F.coalesce(hit, F.lit(False))
+    bounds = [b for b in map(python_bounds, cidrs) if b]
+
+    def inside(k: Column) -> Column:
+        hit = F.lit(False)
+        for lo, hi in bounds:
+            hit = hit | ((F.length(k) == len(lo)) & k.between(lo, hi))
+        return hit
+
+    return F.coalesce(let(key, inside), F.lit(False))
 
 
 def ip_network(ip: Column) -> Column:
     """IPv4 /24 or IPv6 /48 of an address; '' when invalid."""
     v4 = F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24"))
-    h = v6_hex(ip)
-    group = lambda i: F.coalesce(
-        F.nullif(F.ltrim(F.lit("0"), F.substr(h, F.lit(i), F.lit(4))), F.lit("")), F.lit("0"))
-    g1, g2, g3 = group(1), group(5), group(9)
-    # zero groups at the end of the prefix join the "::" run, as in the usual text form
-    v6 = (
-        F.when((g1 == "0") & (g2 == "0") & (g3 == "0"), F.lit("::/48"))
-        .when((g2 == "0") & (g3 == "0"), F.concat(g1, F.lit("::/48")))
-        .when(g3 == "0", F.concat_ws(":", g1, F.concat(g2, F.lit("::/48"))))
-        .otherwise(F.concat_ws(":", g1, g2, F.concat(g3, F.lit("::/48"))))
-    )
-    return F.when(is_v4(ip), v4).when(h.isNotNull(), v6).otherwise("")
+
+    def prefix(h: Column) -> Column:
+        group = lambda i: F.coalesce(F.nullif(F.regexp_replace(F.substr(h, F.lit(i), F.lit(4)), "^0+", ""), F.lit("")), F.lit("0"))
+        joined = F.concat_ws(":", group(1), group(5), group(9))
+        # zero groups at the end of the prefix belong to the "::" run, as in the usual text form
+        return F.when(h.isNotNull(), F.concat(F.regexp_replace(joined, "(^|:)0(:0)*$", ""), F.lit("::/48"))).otherwise("")
+
+    return F.when(is_v4(ip), v4).when(ip.contains(":"), let(v6_hex(ip), prefix)).otherwise("")
 
 
 def ip_hash(ip: Column, secret: str) -> Column:
@@ -148,7 +154,7 @@ def client_ip(remote: Column, forwarded: Column, cdn_header: Column, config, cdn
         return F.struct(
             F.when(via_cdn, cdn_header).otherwise(remote).alias("ip"), via_cdn.alias("forwarded")
         )
-    parts = F.transform(F.reverse(F.split(F.coalesce(forwarded, F.lit("")), ",")), F.trim)
+    parts = F.transform(F.reverse(F.split(F.coalesce(forwarded, F.lit("")), ",")), lambda x: F.trim(x))
     outside = F.filter(parts, lambda p: is_ip(p) & ~ip_in_list(p, config.trusted_proxies))
     found = F.when(ip_in_list(remote, config.trusted_proxies), F.get(outside, F.lit(0)))
     return F.struct(F.coalesce(found, remote).alias("ip"), found.isNotNull().alias("forwarded"))

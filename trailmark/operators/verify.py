@@ -120,18 +120,18 @@ def check_rdns(queue: DataFrame, ptr: DataFrame, fwd: DataFrame, registry: Regis
         allowed = F.when(F.col("bot") == bot, F.array(*[F.lit(e) for e in ends])).otherwise(allowed)
     name = lambda c: F.lower(F.regexp_replace(c, r"\.+$", ""))
     answers = ptr.select("ip", name(F.col("host")).alias("host")).dropDuplicates(["ip"])
-    forward = fwd.select(name(F.col("host")).alias("host"), "ips").dropDuplicates(["host"])
-    joined = queue.join(answers, "ip", "left").join(forward, "host", "left").withColumn("ends", allowed)
+    forward = fwd.select(name(F.col("host")).alias("host"), F.explode("ips").alias("ip")).distinct().withColumn("confirmed", F.lit(True))
+    joined = queue.join(answers, "ip", "left").join(forward, ["host", "ip"], "left").withColumn("ends", allowed)
     host_ok = F.exists("ends", lambda s: F.col("host").endswith(s))
     verdict = (
         F.when(F.col("ends").isNull() | ~net.is_ip(F.col("ip")), "failed")
         .when(F.col("host").isNull(), "retry")
         .when(F.col("host") == "", "failed")
         .when(~host_ok, "failed")
-        .when(F.coalesce(F.array_contains("ips", F.col("ip")), F.lit(False)), "verified")
+        .when(F.coalesce("confirmed", F.lit(False)), "verified")
         .otherwise("failed")
     )
-    return joined.withColumn("verdict", verdict).drop("ends", "ips")
+    return joined.withColumn("verdict", verdict).drop("ends", "confirmed")
 
 
 def expire(queue: DataFrame, config: Config) -> DataFrame:

@@ -21,15 +21,16 @@ JSON_FIELDS = {
     "referer": ["ClientRequestReferer", "http_referer", "referer", "referrer"],
     "ms": ["OriginResponseDurationMs", "request_time_ms", "duration_ms"],
 }
-_JSON_SCHEMA = ", ".join(f"`{f}` string" for names in JSON_FIELDS.values() for f in names)
 
 # Inside quoted parts an escaped quote and an escaped backslash are held as these two characters
 # while the line is matched, so the pattern needs no alternation inside a repeat.
 _QUOTE, _SLASH = "\x01", "\x02"
 _COMBINED = (
     r'^(\S+) \S+ \S+ \[([^\]]+)\] "([^\s"]+) ([^\s"]+)[^"\x01]*" (\d{3}) \S+'
-    r'(?: "([^"]*)" "([^"]*)")?(?: (\d+(?:\.\d+)?))?'
+    r'(?: "([^"]*)" "([^"]*)")?(?: (\d+(?:\.\d+)?))?.*$'
 )
+# The eight groups of a matching line, one match for all of them.
+_GROUPS, _MARK = "\x03".join(f"${i}" for i in range(1, 9)), "\x03"
 _CLF = r"^\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$"
 
 
@@ -41,62 +42,60 @@ def clf_time(text: Column) -> Column:
 
 def json_time(text: Column) -> Column:
     """Epoch numbers of any unit (told apart by size), common log time or ISO text."""
-    number = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("decimal(38,6)"))
-    scaled = (
-        F.when(number > F.lit(10**17), number / 10**9)
-        .when(number > F.lit(10**14), number / 10**6)
-        .when(number > F.lit(10**11), number / 1000)
-        .otherwise(number)
-    )
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_seconds(text.try_cast("timestamp")))
-    return F.coalesce(
-        F.floor(scaled).cast("bigint"),
-        F.when(text.rlike(r"^\d{2}/\w{3}/\d{4}:"), clf_time(text)),
-        iso,
-        F.lit(0).cast("bigint"),
-    )
-
-
-def _pick(record: Column, names) -> Column:
-    return F.coalesce(*[F.nullif(record[n], F.lit("")) for n in names])
+    def epoch(t: Column) -> Column:
+        number = t.try_cast("decimal(38,6)")
+        scaled = (
+            F.when(number > F.lit(10**17), number / 10**9)
+            .when(number > F.lit(10**14), number / 10**6)
+            .when(number > F.lit(10**11), number / 1000)
+            .otherwise(number)
+        )
+        return F.floor(scaled).cast("bigint")
+
+    return net.let(text, lambda t: F.coalesce(
+        F.when(t.rlike(r"^\d+(\.\d+)?$"), epoch(t)).when(t.rlike(r"^\d{2}/\w{3}/\d{4}:"), clf_time(t))
+        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_seconds(t.try_cast("timestamp"))),
+        F.lit(0).cast("bigint")))
+
+
+def _request(ts, ip, method, path, status, ua, referer, ms) -> Column:
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.struct(
+        ts.alias("ts"), text(ip).alias("ip"), text(method).alias("method"), text(path).alias("path"),
+        status.cast("int").alias("status"), text(ua).alias("ua"), text(referer).alias("referer"), ms.cast("bigint").alias("ms"))
 
 
 def _json_request(line: Column) -> Column:
-    o = F.from_json(line, _JSON_SCHEMA, {"mode": "PERMISSIVE"})
-    uri = _pick(o, JSON_FIELDS["uri"])
-    ms = _pick(o, JSON_FIELDS["ms"])
-    return F.struct(
-        json_time(_pick(o, JSON_FIELDS["ts"])).alias("ts"),
-        F.coalesce(_pick(o, JSON_FIELDS["ip"]), F.lit("")).alias("ip"),
-        F.coalesce(_pick(o, JSON_FIELDS["method"]), F.lit("GET")).alias("method"),
-        F.coalesce(F.regexp_replace(uri, r"(?i)^https?://[^/]+", ""), F.lit("")).alias("path"),
-        F.coalesce(_pick(o, JSON_FIELDS["status"]).try_cast("double").cast("int"), F.lit(0)).alias("status"),
-        F.coalesce(_pick(o, JSON_FIELDS["ua"]), F.lit("")).alias("ua"),
-        F.coalesce(_pick(o, JSON_FIELDS["referer"]), F.lit("")).alias("referer"),
-        F.when(ms.isNotNull(), F.coalesce(F.round(ms.try_cast("double")), F.lit(0.0))).cast("bigint").alias("ms"),
-    )
+    """Array of one request, or null."""
+    def build(o: Column) -> Column:
+        pick = lambda field: F.coalesce(*[
+            F.nullif(F.try_element_at(o, F.lit(n)), F.lit("")) for n in JSON_FIELDS[field]])
+        ms = pick("ms")
+        return F.when(o.isNotNull(), F.array(_request(
+            json_time(pick("ts")), pick("ip"), F.coalesce(pick("method"), F.lit("GET")),
+            F.regexp_replace(pick("uri"), r"(?i)^https?://[^/]+", ""),
+            F.coalesce(pick("status").try_cast("double"), F.lit(0.0)), pick("ua"), pick("referer"),
+            F.when(ms.isNotNull(), F.coalesce(F.round(ms.try_cast("double")), F.lit(0.0))))))
+
+    # a map keeps names apart that differ only in case
+    return net.let(F.from_json(line, "map<string, string>"), build)
 
 
 def _combined_request(line: Column) -> Column:
-    held = F.replace(F.translate(line, _QUOTE + _SLASH, "  "), F.lit("\\\\"), F.lit(_SLASH))
+    """Array of one request, or null."""
+    held = F.replace(F.translate(line, _QUOTE + _SLASH + _MARK, "   "), F.lit("\\\\"), F.lit(_SLASH))
     held = F.replace(held, F.lit('\\"'), F.lit(_QUOTE))
-    part = lambda i: F.regexp_extract(held, _COMBINED, i)
-    quoted = lambda c: F.replace(F.replace(c, F.lit(_QUOTE), F.lit('"')), F.lit(_SLASH), F.lit("\\\\"))
-    raw = lambda c: F.replace(F.replace(c, F.lit(_QUOTE), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\"))
-    referer, seconds = part(6), part(8)
-    return F.when(
-        held.rlike(_COMBINED),
-        F.struct(
-            clf_time(part(2)).alias("ts"),
-            part(1).alias("ip"),
-            part(3).alias("method"),
-            raw(part(4)).alias("path"),
-            part(5).try_cast("int").alias("status"),
-            quoted(part(7)).alias("ua"),
-            F.when(referer == "-", F.lit("")).otherwise(quoted(referer)).alias("referer"),
-            F.when(seconds.contains("."), F.round(seconds.try_cast("double") * 1000)).cast("bigint").alias("ms"),
-        ),
-    )
+    restore = lambda c, quote: F.replace(F.replace(c, F.lit(_QUOTE), F.lit(quote)), F.lit(_SLASH), F.lit("\\\\"))
+
+    def build(m: Column) -> Column:
+        part = lambda i: F.get(m, F.lit(i - 1))
+        referer, seconds = part(6), part(8)
+        return F.when(F.size(m) == 8, F.array(_request(
+            clf_time(part(2)), part(1), part(3), restore(part(4), '\\"'), part(5),
+            restore(part(7), '"'), F.when(referer == "-", "").otherwise(restore(referer, '"')),
+            F.when(seconds.contains("."), F.round(seconds.try_cast("double") * 1000)))))
+
+    return net.let(F.split(F.regexp_replace(held, _COMBINED, _GROUPS), _MARK), build)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -109,18 +108,18 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Parsed requests; rows without a request (blank, oversized, malformed) are dropped."""
-    line = F.regexp_replace(F.col("value"), r"\r$", "")
-    # the branches are separated before parsing, so each line is read by one parser only
-    usable = lines.filter((F.length("value") > 0) & (F.length("value") <= MAX_LINE)).select(line.alias("line"))
-    r = F.when(F.col("line").startswith("{"), _json_request(F.col("line"))).otherwise(
-        _combined_request(F.col("line"))
-    )
-    return (
-        usable.select(r.alias("r"), F.col("line").startswith("{").alias("is_json")).filter("r is not null")
-        # a JSON record needs a time; a combined line with a bad time is kept and judged invalid later
-        .filter("(not is_json or r.ts > 0) and r.path <> '' and r.ip <> ''").select("r.*")
-    )
+    """Parsed requests; rows without a request (blank, oversized, malformed) are dropped.
+
+    Each line is matched once: the request is built inside the generator, so
+    neither the filter nor the columns repeat the work.
+    """
+    usable = lines.filter((F.length("value") > 0) & (F.length("value") <= MAX_LINE))
+    line = F.regexp_replace("value", r"\r$", "")
+    is_json = F.col("value").startswith("{")
+    found = F.when(is_json, _json_request(line)).otherwise(_combined_request(line))
+    rows = usable.select(is_json.alias("is_json"), F.explode(found).alias("r"))
+    # a JSON record needs a time; a combined line with a bad time is kept and judged invalid later
+    return rows.filter("(not is_json or r.ts > 0) and r.path <> '' and r.ip <> ''").select("r.*")
 
 
 def worth_keeping(registry: Registry, ua: Column, referer: Column) -> Column:

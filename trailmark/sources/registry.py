@@ -141,7 +141,7 @@ def _clean_list(col: Column, max_items: int, max_len: int, pattern: str | None =
         (F.length(s) > 0) & (F.length(s) <= max_len) & ~s.rlike(r"[\x00-\x1F\x7F]")
         & (s.rlike(pattern) if pattern else F.lit(True))
     )
-    trimmed = F.transform(F.coalesce(col, F.array().cast("array<string>")), F.trim)
+    trimmed = F.transform(F.coalesce(col, F.array().cast("array<string>")), lambda x: F.trim(x))
     return F.array_distinct(F.slice(F.filter(trimmed, ok), 1, max_items))
 
 

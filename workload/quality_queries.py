@@ -269,7 +269,7 @@ def site_findings(spark, d):
 
 def restated(spark, d):
     pid = F.col("page_id")
-    kept = b.findings(spark, d).filter(pid % 3 != 0).select("page_id", "code", "bot", "severity", "kind", F.lit(None).cast("bigint").alias("n"))
+    kept = b.findings(spark, d).filter(pid % 5 != 0).select("page_id", "code", "bot", "severity", "kind", F.lit(None).cast("bigint").alias("n"))
     new = b.inventory(spark, d).filter(pid % 13 == 0).select(
         "page_id", F.lit("no_lists").alias("code"), F.lit("").alias("bot"), F.lit("info").alias("severity"), F.lit("observed").alias("kind"),
         F.lit(None).cast("bigint").alias("n"))
@@ -285,7 +285,7 @@ SELECT page_id, code, bot, CASE WHEN status = 'ignored' THEN 'ignored' WHEN repo
   first_seen, CASE WHEN reported THEN {b.AS_OF} ELSE last_seen END AS last_seen,
   CASE WHEN status = 'ignored' THEN resolved_at WHEN reported THEN NULL WHEN status = 'open' THEN {b.AS_OF} ELSE resolved_at END AS resolved_at,
   CASE WHEN reported AND status = 'resolved' THEN 'opened' WHEN NOT reported AND status = 'open' THEN 'resolved' END AS event
-FROM (SELECT *, page_id % 3 <> 0 AS reported FROM findings)
+FROM (SELECT *, page_id % 5 <> 0 AS reported FROM findings)
 UNION ALL SELECT page_id, 'no_lists', '', 'open', {b.AS_OF}, {b.AS_OF}, NULL, 'opened' FROM inventory WHERE page_id % 13 = 0""")
 def findings_lifecycle(spark, d):
     return q.sync_findings(stored_findings(spark, d), restated(spark, d), ("content", "coverage"), C).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trailmark.sources.registry import Registry, lookup
 
@@ -49,38 +49,31 @@ def registered_bot(registry: Registry, ua: Column) -> Column:
     return F.when(text.rlike(pattern), best["bot"])
 
 
-def classify_agent(registry: Registry, ua: Column, signature_agent: Column | None = None,
-                   address_bot: Column | None = None) -> Column:
-    """struct(bot, cls, sig, by_address) of one request."""
-    ua = F.coalesce(ua, F.lit(""))
-    named = registered_bot(registry, ua)
-    sig = F.coalesce(signature_agent, F.lit("")) if signature_agent is not None else F.lit("")
+def with_agent(requests: DataFrame, registry: Registry, signature: str | None = None,
+               address_bot: str | None = None) -> DataFrame:
+    """Add bot, cls, sig and by_address from the `ua` column.
+
+    The tests on the text become columns first, so each is run once per
+    request however many results depend on it.
+    """
+    ua = F.coalesce("ua", F.lit(""))
+    rows = requests.withColumn("_named", registered_bot(registry, ua)).withColumn(
+        "_generic", F.col("_named").isNull() & ~browser_shaped(ua) & ua.rlike("(?i)" + registry.bot_pattern)
+    ).withColumn("_hinted", F.col("_generic") & ua.rlike("(?i)" + registry.hint_pattern))
+    named, generic, hinted = F.col("_named"), F.col("_generic"), F.col("_hinted")
+    sig = F.coalesce(signature, F.lit("")) if signature else F.lit("")
     signed = sig != ""
     signers = {h.lower(): b["id"] for b in registry.bots for h in b["signature_hosts"]}
     signed_bot = F.coalesce(lookup(signers, signature_host(sig)), F.lit("_signed"))
-    generic = ~browser_shaped(ua) & ua.rlike("(?i)" + registry.bot_pattern)
-    hinted = ua.rlike("(?i)" + registry.hint_pattern)
-    by_address = address_bot if address_bot is not None else F.lit(None).cast("string")
-
-    bot = (
-        F.when(named.isNotNull(), named)
-        .when(signed, signed_bot)
-        .when(generic & hinted, "_potential")
-        .when(generic, "_unknown")
-        .otherwise(F.coalesce(by_address, F.lit("")))
-    )
-    return F.struct(
-        bot.alias("bot"),
-        F.when(named.isNotNull(), bot_class(registry, named))
-        .when(signed, "ai")
-        .when(generic & hinted, "potential")
-        .when(generic, "unknown")
-        .when(by_address.isNotNull(), bot_class(registry, by_address))
-        .otherwise("human")
-        .alias("cls"),
-        (named.isNull() & signed).alias("sig"),
-        (named.isNull() & ~signed & ~generic & by_address.isNotNull()).alias("by_address"),
-    )
+    by_address = F.col(address_bot) if address_bot else F.lit(None).cast("string")
+    return rows.withColumns({
+        "bot": F.when(named.isNotNull(), named).when(signed, signed_bot).when(hinted, "_potential").when(generic, "_unknown")
+        .otherwise(F.coalesce(by_address, F.lit(""))),
+        "cls": F.when(named.isNotNull(), bot_class(registry, named)).when(signed, "ai").when(hinted, "potential")
+        .when(generic, "unknown").when(by_address.isNotNull(), bot_class(registry, by_address)).otherwise("human"),
+        "sig": named.isNull() & signed,
+        "by_address": named.isNull() & ~signed & ~generic & by_address.isNotNull(),
+    }).drop("_named", "_generic", "_hinted")
 
 
 def bot_class(registry: Registry, bot: Column) -> Column:

@@ -19,39 +19,32 @@ def classify_requests(requests: DataFrame, registry: Registry, config: Config,
     req = requests
     if address_bots is not None:
         req = req.join(address_bots, "ip", "left")
-    signature = F.col("signature_agent") if "signature_agent" in req.columns else None
-    address = F.col("address_bot") if address_bots is not None else None
     uri = F.col("path")
-    req = req.filter(~paths.excluded(uri, config.exclude_paths)).withColumns({
-        "who": agents.classify_agent(registry, F.col("ua"), signature, address),
-        "ref_live": paths.referral_source(registry, F.coalesce("referer", F.lit("")), uri),
-        "ref_log": paths.referral_source(registry, F.coalesce("referer", F.lit(""))),
+    req = req.filter(~paths.excluded(uri, config.exclude_paths))
+    req = agents.with_agent(
+        req, registry, "signature_agent" if "signature_agent" in req.columns else None,
+        "address_bot" if address_bots is not None else None)
+    visitor = F.lit(config.track_referrals) & (F.col("cls") == "human")
+    referer = F.coalesce("referer", F.lit(""))
+    req = req.withColumns({
+        "_ref": F.when(visitor, F.when(F.col("source") == "log", paths.referral_source(registry, referer))
+                       .otherwise(paths.referral_source(registry, referer, uri))),
         "path": paths.normalize_path(uri),
+        "ua": paths.clean(F.col("ua"), 255),
     })
     ip = F.coalesce("ip", F.lit(""))
-    drop = [c for c in ("who", "address_bot") if c in req.columns] + ["ref_live", "ref_log"]
+    kind = paths.path_kind(F.col("path"))
+    hit = (F.col("method") == "GET") & (F.col("status") < 400)
+    # imported visits count on ordinary pages only, live ones on everything but assets
+    counted = hit & F.when(F.col("source") == "log", kind == "").otherwise(kind != "asset")
     return req.withColumns({
-        "bot": F.col("who.bot"),
-        "cls": F.col("who.cls"),
-        "sig": F.col("who.sig"),
-        "by_address": F.col("who.by_address"),
         "url_hash": paths.url_hash(F.col("path")),
-        "kind": paths.path_kind(F.col("path")),
+        "kind": kind,
         "day": local_day(F.col("ts"), config.tz),
         "ip_net": net.ip_network(ip) if config.ip_storage == "network" else F.lit(""),
         "ip_hash": net.ip_hash(ip, config.secret),
-        "ua": paths.clean(F.col("ua"), 255),
-        "referral": F.when(F.lit(config.track_referrals) & (F.col("who.cls") == "human"),
-                           _referral(F.col("ref_live"), F.col("ref_log"))),
-    }).drop(*drop)
-
-
-def _referral(live: Column, log: Column) -> Column:
-    kind = paths.path_kind(F.col("path"))
-    hit = (F.col("method") == "GET") & (F.col("status") < 400)
-    return F.when(hit & (F.col("source") == "log") & (kind == ""), log).when(
-        hit & (F.col("source") != "log") & (kind != "asset"), live
-    )
+        "referral": F.when(F.col("_ref").isNotNull() & counted, F.col("_ref")),
+    }).drop("_ref", *(["address_bot"] if address_bots is not None else []))
 
 
 def local_day(ts: Column, tz: str) -> Column:

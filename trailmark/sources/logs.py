@@ -35,9 +35,16 @@ _CLF = r"^\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$"
 
 
 def clf_time(text: Column) -> Column:
-    """Unix seconds of `10/Oct/2026:13:55:36 +0000`; 0 when malformed."""
-    t = F.when(text.rlike(_CLF), F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
-    return F.coalesce(F.unix_seconds(t), F.lit(0).cast("bigint"))
+    """Unix seconds of `10/Oct/2026:13:55:36 +0000`; 0 when malformed. Plain arithmetic on fixed positions."""
+    num = lambda at, n: F.substring(text, at, n).try_cast("int")
+    month = (F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), F.substring(text, 4, 3)) + 2) / 3
+    whole = month == F.floor(month)
+    first = F.make_date(num(8, 4), F.greatest(F.lit(1), F.least(F.lit(12), month.cast("int"))), F.lit(1))
+    offset = num(23, 2) * 3600 + num(25, 2) * 60
+    # a day past the end of its month runs on into the next one
+    local = (F.unix_date(first).cast("bigint") + num(1, 2) - 1) * 86400 + num(13, 2) * 3600 + num(16, 2) * 60 + num(19, 2)
+    ts = F.when(F.substring(text, 22, 1) == "+", local - offset).otherwise(local + offset)
+    return F.coalesce(F.when(text.rlike(_CLF) & whole & (month >= 1), ts), F.lit(0).cast("bigint"))
 
 
 def json_time(text: Column) -> Column:
@@ -58,6 +65,9 @@ def json_time(text: Column) -> Column:
         F.lit(0).cast("bigint")))
 
 
+_FIELDS = ("ts", "ip", "method", "path", "status", "ua", "referer", "ms")
+
+
 def _request(ts, ip, method, path, status, ua, referer, ms) -> Column:
     text = lambda c: F.coalesce(c, F.lit(""))
     return F.struct(
@@ -65,37 +75,37 @@ def _request(ts, ip, method, path, status, ua, referer, ms) -> Column:
         status.cast("int").alias("status"), text(ua).alias("ua"), text(referer).alias("referer"), ms.cast("bigint").alias("ms"))
 
 
-def _json_request(line: Column) -> Column:
-    """Array of one request, or null."""
-    def build(o: Column) -> Column:
-        pick = lambda field: F.coalesce(*[
-            F.nullif(F.try_element_at(o, F.lit(n)), F.lit("")) for n in JSON_FIELDS[field]])
-        ms = pick("ms")
-        return F.when(o.isNotNull(), F.array(_request(
-            json_time(pick("ts")), pick("ip"), F.coalesce(pick("method"), F.lit("GET")),
-            F.regexp_replace(pick("uri"), r"(?i)^https?://[^/]+", ""),
-            F.coalesce(pick("status").try_cast("double"), F.lit(0.0)), pick("ua"), pick("referer"),
-            F.when(ms.isNotNull(), F.coalesce(F.round(ms.try_cast("double")), F.lit(0.0))))))
+def _pick(o: Column, field: str) -> Column:
+    return F.coalesce(*[F.nullif(F.try_element_at(o, F.lit(n)), F.lit("")) for n in JSON_FIELDS[field]])
+
+
+def _json_path(o: Column) -> Column:
+    return F.regexp_replace(_pick(o, "uri"), r"(?i)^https?://[^/]+", "")
+
 
-    # a map keeps names apart that differ only in case
-    return net.let(F.from_json(line, "map<string, string>"), build)
+def _json_request(o: Column) -> Column:
+    ms = _pick(o, "ms")
+    return _request(
+        json_time(_pick(o, "ts")), _pick(o, "ip"), F.coalesce(_pick(o, "method"), F.lit("GET")), _json_path(o),
+        F.coalesce(_pick(o, "status").try_cast("double"), F.lit(0.0)), _pick(o, "ua"), _pick(o, "referer"),
+        F.when(ms.isNotNull(), F.coalesce(F.round(ms.try_cast("double")), F.lit(0.0))))
 
 
-def _combined_request(line: Column) -> Column:
-    """Array of one request, or null."""
-    held = F.replace(F.translate(line, _QUOTE + _SLASH + _MARK, "   "), F.lit("\\\\"), F.lit(_SLASH))
-    held = F.replace(held, F.lit('\\"'), F.lit(_QUOTE))
-    restore = lambda c, quote: F.replace(F.replace(c, F.lit(_QUOTE), F.lit(quote)), F.lit(_SLASH), F.lit("\\\\"))
+def _held(line: Column) -> Column:
+    """The line with escaped quotes and backslashes held back; lines without a backslash as they are."""
+    pairs = F.replace(F.translate(line, _QUOTE + _SLASH + _MARK, "   "), F.lit("\\\\"), F.lit(_SLASH))
+    return F.when(line.contains("\\"), F.replace(pairs, F.lit('\\"'), F.lit(_QUOTE))).otherwise(line)
 
-    def build(m: Column) -> Column:
-        part = lambda i: F.get(m, F.lit(i - 1))
-        referer, seconds = part(6), part(8)
-        return F.when(F.size(m) == 8, F.array(_request(
-            clf_time(part(2)), part(1), part(3), restore(part(4), '\\"'), part(5),
-            restore(part(7), '"'), F.when(referer == "-", "").otherwise(restore(referer, '"')),
-            F.when(seconds.contains("."), F.round(seconds.try_cast("double") * 1000)))))
 
-    return net.let(F.split(F.regexp_replace(held, _COMBINED, _GROUPS), _MARK), build)
+def _combined_request(m: Column, escaped: Column) -> Column:
+    part = lambda i: F.get(m, F.lit(i - 1))
+    restore = lambda c, quote: F.when(escaped, F.replace(F.replace(
+        c, F.lit(_QUOTE), F.lit(quote)), F.lit(_SLASH), F.lit("\\\\"))).otherwise(c)
+    referer, seconds = part(6), part(8)
+    return _request(
+        clf_time(part(2)), part(1), part(3), restore(part(4), '\\"'), part(5),
+        restore(part(7), '"'), F.when(referer == "-", "").otherwise(restore(referer, '"')),
+        F.when(seconds.contains("."), F.round(seconds.try_cast("double") * 1000)))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -107,19 +117,37 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path)
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_combined(lines: DataFrame) -> DataFrame:
+    """Requests of combined-format lines. A line is matched once, into an array of its parts."""
+    parts = lines.select(
+        F.col("line").contains("\\").alias("escaped"),
+        F.split(F.regexp_replace(_held(F.col("line")), _COMBINED, _GROUPS), _MARK).alias("m"))
+    found = F.when(F.size("m") == 8, F.array(_combined_request(F.col("m"), F.col("escaped"))))
+    return parts.select(F.explode(found).alias("r")).select("r.*")
+
+
+def parse_json(lines: DataFrame) -> DataFrame:
+    """Requests of JSON lines; a record needs a time, an address and a path."""
+    # a map keeps names apart that differ in case only
+    parts = lines.select(F.from_json("line", "map<string, string>").alias("o"))
+    found = F.when(F.col("o").isNotNull(), F.array(_json_request(F.col("o"))))
+    return parts.select(F.explode(found).alias("r")).filter("r.ts > 0 and r.path <> '' and r.ip <> ''").select("r.*")
+
+
+def parse_lines(lines: DataFrame, kind: str = "auto") -> DataFrame:
     """Parsed requests; rows without a request (blank, oversized, malformed) are dropped.
 
-    Each line is matched once: the request is built inside the generator, so
-    neither the filter nor the columns repeat the work.
+    `kind` is 'combined', 'json' or 'auto'. Auto reads the lines once per
+    format and keeps each line for its own parser; name the format when a
+    folder holds only one, as log folders do.
     """
-    usable = lines.filter((F.length("value") > 0) & (F.length("value") <= MAX_LINE))
-    line = F.regexp_replace("value", r"\r$", "")
-    is_json = F.col("value").startswith("{")
-    found = F.when(is_json, _json_request(line)).otherwise(_combined_request(line))
-    rows = usable.select(is_json.alias("is_json"), F.explode(found).alias("r"))
-    # a JSON record needs a time; a combined line with a bad time is kept and judged invalid later
-    return rows.filter("(not is_json or r.ts > 0) and r.path <> '' and r.ip <> ''").select("r.*")
+    usable = lines.filter((F.length("value") > 0) & (F.length("value") <= MAX_LINE)).select(
+        F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+    is_json = F.col("line").startswith("{")
+    parsers = {"combined": (parse_combined, ~is_json), "json": (parse_json, is_json)}
+    wanted = parsers if kind == "auto" else {kind: parsers[kind]}
+    frames = [parse(usable.filter(own)) for parse, own in wanted.values()]
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
 def worth_keeping(registry: Registry, ua: Column, referer: Column) -> Column:
@@ -168,5 +196,5 @@ def new_batches(requests: DataFrame, imported: DataFrame) -> DataFrame:
     return requests.join(imported.select("file_key", "batch").distinct(), ["file_key", "batch"], "left_anti")
 
 
-def read_access_logs(spark: SparkSession, path: str, config: Config) -> DataFrame:
-    return with_disposition(parse_lines(read_lines(spark, path)), config)
+def read_access_logs(spark: SparkSession, path: str, config: Config, kind: str = "auto") -> DataFrame:
+    return with_disposition(parse_lines(read_lines(spark, path), kind), config)

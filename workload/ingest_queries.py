@@ -41,7 +41,7 @@ PARSED = """parsed AS (SELECT ts, ip, 'GET' AS method, path || '?q=1' AS path, s
 
 @query("parse_combined_log", "SELECT ts, ip, method, path, status, ua, referer, ms FROM parsed", PARSED)
 def parse_combined_log(spark, d):
-    return logs.parse_lines(combined_lines(spark, d))
+    return logs.parse_lines(combined_lines(spark, d), "combined")
 
 
 def json_lines(spark, d):
@@ -67,7 +67,7 @@ def parse_json_log(spark, d):
 
 @query("log_prefilter", "SELECT status, count(*) AS n FROM parsed GROUP BY status", PARSED)
 def log_prefilter(spark, d):
-    return logs.prefilter(logs.parse_lines(combined_lines(spark, d)), R).groupBy("status").agg(F.count("*").alias("n"))
+    return logs.prefilter(logs.parse_lines(combined_lines(spark, d), "combined"), R).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def judged(spark, d):

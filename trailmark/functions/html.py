@@ -31,11 +31,19 @@ def _entity(segment: Column) -> Column:
     return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), segment))
 
 
+# The entities nearly all text is limited to; the ampersand is last, so nothing is decoded twice.
+_COMMON = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#039;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references, decoded once."""
+    rare = r"&(?!(?:lt|gt|quot|#39|#039|nbsp|amp);)(?:#|[A-Za-z][A-Za-z0-9]*;)"
     parts = F.split(text, "&")
-    decoded = F.array_join(F.transform(parts, lambda s, i: F.when(i == 0, s).otherwise(_entity(s))), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    every = F.array_join(F.transform(parts, lambda s, i: F.when(i == 0, s).otherwise(_entity(s))), "")
+    common = text
+    for had, want in _COMMON.items():
+        common = F.replace(common, F.lit(had), F.lit(want))
+    return F.when(~text.contains("&"), text).when(text.rlike(rare), every).otherwise(common)
 
 
 def strip_tags(html: Column) -> Column:

@@ -141,8 +141,9 @@ def parse_lines(lines: DataFrame, kind: str = "auto") -> DataFrame:
     format and keeps each line for its own parser; name the format when a
     folder holds only one, as log folders do.
     """
-    usable = lines.filter((F.length("value") > 0) & (F.length("value") <= MAX_LINE)).select(
-        F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+    v = F.col("value")
+    usable = lines.filter((F.length(v) > 0) & (F.length(v) <= MAX_LINE)).select(
+        F.when(v.endswith("\r"), F.substr(v, F.lit(1), F.length(v) - 1)).otherwise(v).alias("line"))
     is_json = F.col("line").startswith("{")
     parsers = {"combined": (parse_combined, ~is_json), "json": (parse_json, is_json)}
     wanted = parsers if kind == "auto" else {kind: parsers[kind]}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from trailmark.config import Config, DAY
 from trailmark.functions import html, paths
 from trailmark.operators import rollups
+from trailmark.sources.pages import read_wide
 from trailmark.sources.registry import Registry, lookup
 
 AS_OF = 1706659200  # 2024-01-31 00:00:00 UTC
@@ -28,6 +29,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table with long text, spread over the cores when it is small."""
+    return read_wide(spark, f"{d}/{name}.parquet")
+
+
 def epoch():
     """Unix seconds of the UTC wall-clock column `ts`, whatever the session time zone is."""
     return F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")

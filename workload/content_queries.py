@@ -21,7 +21,7 @@ def query(name, sql=None, extra="", recursive=False):
 
 
 def facts(spark, d):
-    return c.analyze_pages(b.table(spark, d, "pages").withColumn("modified", F.lit(b.AS_OF) - F.col("page_id") % 500 * 86400), C)
+    return c.analyze_pages(b.wide_table(spark, d, "pages").withColumn("modified", F.lit(b.AS_OF) - F.col("page_id") % 500 * 86400), C)
 
 
 def stop(spark=None):
@@ -138,7 +138,7 @@ def page_terms_query(spark, d):
 
 @query("document_terms", "SELECT doc_id, term, weight FROM terms", lambda: _terms_sql(DOC_TEXTS, "doc_id"))
 def document_terms(spark, d):
-    rows = b.table(spark, d, "documents").select("doc_id", "text", F.lit("").alias("emphasis"))
+    rows = b.wide_table(spark, d, "documents").select("doc_id", "text", F.lit("").alias("emphasis"))
     return c.term_counts(rows, stop(spark), key="doc_id")
 
 
@@ -193,7 +193,7 @@ WHERE NOT (starts_with(ltrim(sentence), phrase) AND NOT contains(phrase, ' ')) A
   AND lower(phrase) NOT IN ({", ".join("'" + w + "'" for w in stop())})
 GROUP BY doc_id, phrase HAVING count(*) >= 2 OR contains(phrase, ' ') QUALIFY rank <= 15""")
 def entities(spark, d):
-    return c.entities(b.table(spark, d, "documents").select("doc_id", "text"), stop(spark), key="doc_id")
+    return c.entities(b.wide_table(spark, d, "documents").select("doc_id", "text"), stop(spark), key="doc_id")
 
 
 # links: the driver's pages link to paths outside the inventory, so edges are derived from page ids

@@ -46,11 +46,7 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
 
     def fold() -> None:
-        cube = rollups.fold(stored("requests"))
-        cube.write.mode("overwrite").parquet(f"{root}/cube")
-        c = stored("cube")
-        for name in ("daily", "daily_pages", "daily_bots", "page_bots", "bots_seen"):
-            getattr(rollups, name)(c).write.mode("overwrite").parquet(f"{root}/{name}")
+        rollups.build_rollups(stored("requests"), root)
         rollups.referrals(stored("visits")).write.mode("overwrite").parquet(f"{root}/referrals")
 
     def terms():

@@ -10,6 +10,7 @@ number instead of a struct.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -261,6 +262,19 @@ def prune(table: str, rows: DataFrame, config: Config, watermark: int | None = N
     raise ValueError(f"no retention rule for {table}")
 
 
+def build_rollups(events: DataFrame, root: str) -> None:
+    """Fold events once, write the fold, and derive every rollup table from it side by side."""
+    spark = events.sparkSession
+    fold(events).write.mode("overwrite").parquet(f"{root}/cube")
+    cube = spark.read.parquet(f"{root}/cube")
+    tables = {"daily": daily, "daily_pages": daily_pages, "daily_bots": daily_bots, "page_bots": page_bots, "bots_seen": bots_seen}
+    # the tables are independent jobs over the small fold; the scheduler runs them together
+    with ThreadPoolExecutor(len(tables)) as pool:
+        jobs = [pool.submit(make(cube).write.mode("overwrite").parquet, f"{root}/{name}") for name, make in tables.items()]
+        for job in jobs:
+            job.result()
+
+
 def write_partitioned(rows: DataFrame, path: str) -> None:
     """Replace only the days present in `rows`."""
     (

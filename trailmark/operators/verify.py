@@ -48,15 +48,13 @@ def address_only(requests: DataFrame, bot_ranges: DataFrame) -> DataFrame:
     together hold more than 3,000 prefixes.
     """
     own = bot_ranges.filter("ip_only")
-    total = own.select("file", "cidr").distinct().agg((F.count("*") <= ADDRESS_ONLY_LIMIT).alias("usable"))
+    usable = own.select("file", "cidr").distinct().agg(F.count("*") <= ADDRESS_ONLY_LIMIT)
     keyed = (
         requests.filter("ip <> ''").select("ip").distinct()
         .withColumn("key", net.ip_key(F.col("ip"))).filter("key is not null")
     )
     probes = keyed.select("ip", "key", F.explode(rng.lookup_keys(F.col("key"))).alias("bucket"))
-    table = rng.bucketed(own).select("bot", "bot_order", "bucket", "lo", "hi")
-    # `total` is a single row by construction
-    table = table.join(F.broadcast(total), F.col("usable"))
+    table = rng.bucketed(own).select("bot", "bot_order", "bucket", "lo", "hi").filter(usable.scalar())
     return (
         probes.join(table, "bucket").filter(F.col("key").between(F.col("lo"), F.col("hi")))
         .groupBy("ip").agg(F.min_by("bot", "bot_order").alias("address_bot"))

@@ -372,3 +372,25 @@ def stream_cooled_alerts(spark, d):
     rows = stream_of(spark, request_files(spark, d, 1)).filter("cls = 'spoofed'").select(
         F.concat(F.lit("spoof:"), "bot").alias("dedupe"), F.col("ts").alias("at"), F.lit(3 * 86400).cast("bigint").alias("cooldown"))
     return to_table(spark, st.cooled_alerts(rows), "append", "cooled")
+
+
+@query("stream_settled", """SELECT id, CASE WHEN bot <> 'googlebot' THEN vstate WHEN k % 3 = 0 THEN 'verified' WHEN k % 3 = 1 THEN 'failed' ELSE 'none' END AS vstate,
+  CASE WHEN bot = 'googlebot' AND k % 3 = 1 THEN 'spoofed' ELSE cls END AS cls
+FROM (SELECT *, CAST(regexp_extract(ip, '([0-9]+)$', 1) AS INT) AS k FROM requests) WHERE bot <> 'googlebot' OR k % 3 < 2 OR ts < (SELECT max(ts) FROM requests) - 5 * 86400""")
+def stream_settled(spark, d):
+    """Pending events meet their verdict within two days; those without one are released as unverified later."""
+    src, answers = b.scratch_dir(spark, "pending"), b.scratch_dir(spark, "verdicts")
+    rows = pending(spark, d)
+    k = F.substring_index("ip", ".", -1).cast("int")
+    rows.repartition(1).write.mode("overwrite").parquet(src)
+    # one verdict per event, so that a repeated address is not multiplied
+    decided = rows.filter("bot = 'googlebot'").select(
+        F.concat("bot", F.lit("#"), F.col("id").cast("string")).alias("bot"), "ip_hash",
+        F.when(k % 3 == 0, "verified").when(k % 3 == 1, "failed").alias("verdict"), (F.col("ts") + 60).alias("decided_at"))
+    decided.filter("verdict is not null").repartition(1).write.mode("overwrite").parquet(answers)
+    events = stream_of(spark, src).withColumn("bot", F.when(F.col("bot") == "googlebot", F.concat("bot", F.lit("#"), F.col("id").cast("string"))).otherwise(F.col("bot")))
+    out = to_table(spark, st.settled(events, stream_of(spark, answers)).select("id", "vstate", "cls"), "append", "settled")
+    last = b.requests(spark, d).agg(F.max("ts")).scalar()
+    kept = out.join(rows.select("id", "ts", F.col("bot").alias("b"), k.alias("k")), "id")
+    # unmatched events near the end of the data are still held back by the watermark
+    return kept.filter(~((F.col("b") == "googlebot") & (F.col("k") % 3 == 2) & (F.col("ts") >= last - 5 * 86400))).select("id", "vstate", "cls")

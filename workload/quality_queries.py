@@ -407,3 +407,16 @@ def readiness_state(spark, d):
 ORDER BY pinned DESC, importance DESC, page_id LIMIT 10""")
 def affected_pages(spark, d):
     return readiness.affected_pages(b.inventory(spark, d), b.findings(spark, d), C, "pages_accessible").select("page_id", "path")
+
+
+@query("page_crawlers", """
+SELECT t.bot, b.name, b.category, b.robots_only, first_seen, last_seen, coalesce(hits, 0) AS hits, last_status AS status, coalesce(a.allowed, TRUE) AS allowed, coalesce(a.rule, '') AS rule
+FROM (SELECT bot FROM bots WHERE ai OR category = 'search') t JOIN bots b USING (bot)
+LEFT JOIN (SELECT * FROM page_bots WHERE url_hash = (SELECT url_hash FROM page_paths WHERE page_id = 1)) p ON p.bot = t.bot
+LEFT JOIN (SELECT * FROM access WHERE page_id = 1) a ON a.bot = t.bot
+WHERE last_seen IS NOT NULL OR t.bot IN """ + PRIORITY + " OR NOT coalesce(a.allowed, TRUE)", ACCESS)
+def page_crawlers(spark, d):
+    """Crawlers of one page: what each did, and what robots.txt says."""
+    page = site_pages(spark, d).filter("page_id = 1")
+    verdicts = robots.check(policy(spark), page.select("site", "path")).select("bot", "allowed", "rule")
+    return traffic.page_crawlers(R.frame(spark), b.page_bots(spark, d), verdicts, C, page.select("url_hash").first()[0])

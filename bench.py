@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession, functions as F  # noqa: E402
 
-from trailmark.operators import content, quality, rollups, sessions  # noqa: E402
+from trailmark.operators import quality, rollups, sessions  # noqa: E402
 from trailmark.plans import traffic as t  # noqa: E402
 from trailmark.sources import logs  # noqa: E402
 from workload import bridge as b, content_queries as cq, ingest_queries as iq, quality_queries as qq  # noqa: E402
@@ -70,7 +70,7 @@ def main() -> None:
         "recommendations": lambda: run(quality.recommendations(stored("findings"), stored("pages"))),
         "page_facts": lambda: run(cq.facts(spark, d)),
         "page_terms": lambda: run(terms()),
-        "key_terms": lambda: run(content.key_terms(terms(), content.document_frequency(terms()), cq.page_total(spark, d))),
+        "key_terms": lambda: run(cq.key_terms(spark, d)),
         "robots_matrix": lambda: run(qq.robots_matrix(spark, d)),
         "page_scores": lambda: run(qq.page_scores(spark, d)),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmark.llm import op3
+from trailmark.llm import op3, op5
 
-QUERIES = {"op3_simhash": op3.op3_simhash}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op3_simhash": op3.op3_simhash, "op5_decontamination": op5.op5_decontamination}
+ORACLE = {"op5_decontamination": op5.ORACLE_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmark.llm import op3, op5, op7
+from trailmark.llm import op3, op5, op7, op9
 
-QUERIES = {"op3_simhash": op3.op3_simhash, "op5_decontamination": op5.op5_decontamination, "op7_packing": op7.op7_packing}
+QUERIES = {"op3_simhash": op3.op3_simhash, "op5_decontamination": op5.op5_decontamination, "op7_packing": op7.op7_packing, "op9_token_files": op9.op9_token_files}
 ORACLE = {"op5_decontamination": op5.ORACLE_SQL}

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from trailmark.llm import op3, op5, op7, op9
+from trailmark.llm import op3, op5, op6, op7, op8, op9
 
-QUERIES = {"op3_simhash": op3.op3_simhash, "op5_decontamination": op5.op5_decontamination, "op7_packing": op7.op7_packing, "op9_token_files": op9.op9_token_files}
-ORACLE = {"op5_decontamination": op5.ORACLE_SQL}
+QUERIES = {
+    "op3_simhash": op3.op3_simhash,
+    "op5_decontamination": op5.op5_decontamination,
+    "op6_warc": op6.op6_warc,
+    "op7_packing": op7.op7_packing,
+    "op8_quality": op8.op8_quality,
+    "op9_token_files": op9.op9_token_files,
+}
+ORACLE = {"op5_decontamination": op5.ORACLE_SQL, "op6_warc": op6.ORACLE_SQL}

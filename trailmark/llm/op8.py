@@ -151,10 +151,9 @@ def score(docs: DataFrame, model: Discriminant | float, *keys: str) -> DataFrame
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least `threshold`, with all their columns."""
-    model = learn(docs, labels)
+    model, at = learn(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = docs.columns.index("text")
         for b in batches:
             x = np.array([statistics(t) for t in b.column(at).to_pylist()], float).reshape(-1, len(NAMES))
             s = np.full(len(x), model) if isinstance(model, float) else model.score(x)

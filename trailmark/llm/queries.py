@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmark.llm import op3, op5, op6, op7, op8, op9
+from trailmark.llm import op3, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op3_simhash": op3.op3_simhash,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_packing": op7.op7_packing,
     "op8_quality": op8.op8_quality,
     "op9_token_files": op9.op9_token_files,
+    "op10_licences": op10.op10_licences,
 }
 ORACLE = {"op5_decontamination": op5.ORACLE_SQL, "op6_warc": op6.ORACLE_SQL}

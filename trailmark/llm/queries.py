@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from trailmark.llm import op3, op5, op6, op7, op8, op9, op10
+from trailmark.llm import op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op3_simhash": op3.op3_simhash,
+    "op4_personal_data": op4.op4_personal_data,
     "op5_decontamination": op5.op5_decontamination,
     "op6_warc": op6.op6_warc,
     "op7_packing": op7.op7_packing,

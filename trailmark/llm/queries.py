@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trailmark.llm import op2, op3, op4, op5, op6, op7, op8, op9, op10
+from trailmark.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
+    "op1_embedding_dedup": op1.op1_embedding_dedup,
     "op2_suffix_dedup": op2.op2_suffix_dedup,
     "op3_simhash": op3.op3_simhash,
     "op4_personal_data": op4.op4_personal_data,

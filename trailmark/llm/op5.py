@@ -101,7 +101,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("d"), F.col("version").alias("v")).distinct()
+    bad = cut(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("d"), F.col("version").alias("v")).distinct())
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     return docs.join(bad, docs.doc_id.eqNullSafe(bad.d) & (F.xxhash64(docs.text) == bad.v), "left_anti")
 
 

@@ -76,7 +76,8 @@ class Config:
             value = getattr(self, name)
             if not isinstance(value, int) or isinstance(value, bool):
                 raise ValueError(f"{name} must be an integer")
-            object.__setattr__(self, name, max(low, min(high, value)))
+            if not low <= value <= high:
+                raise ValueError(f"{name} must lie between {low} and {high}")
         for name, allowed in _CHOICES.items():
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}")

@@ -83,28 +83,28 @@ def head_facts(html: Column) -> dict[str, Column]:
     inner = lambda tag: squeeze(decode_entities(strip_tags(
         F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1))))
     metas = F.transform(tags(html, "meta"), lambda t: F.struct(
-        F.lower(attr(t, "name")).alias("name"), paths.clean(decode_entities(attr(t, "content")), 300).alias("value")))
+        F.lower(attr(t, "name")).alias("name"), paths.clean(decode_entities(attr(t, "content"))).alias("value")))
     robots = F.filter(metas, lambda m: m["name"].rlike("^(robots|googlebot|bingbot)$|bot|gpt|claude|perplexity"))
     canonical = F.filter(tags(html, "link"), lambda t: F.lower(attr(t, "rel")) == "canonical")
     ld = F.regexp_extract_all(
         html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"), 1)
-    one = r'"@type"\s*:\s*"([^"]{1,59})"'
+    one = r'"@type"\s*:\s*"([^"]+)"'
     many = r'"@type"\s*:\s*\[([^\]]*)\]'
     lists = F.array_join(F.regexp_extract_all(F.array_join(ld, "\n"), F.lit(many), 1), ",")
     types = F.concat(
         F.regexp_extract_all(F.array_join(ld, "\n"), F.lit(one), 1),
-        F.regexp_extract_all(lists, F.lit(r'"([^"]{1,59})"'), 1),
+        F.regexp_extract_all(lists, F.lit(r'"([^"]+)"'), 1),
         F.regexp_extract_all(html, F.lit(r"""(?is)<[^>]*\sitemtype\s*=\s*["']([^"']+)["']"""), 1),
     )
     return {
-        "title": F.substring(inner("title"), 1, 255),
+        "title": inner("title"),
         "description": F.get(F.filter(metas, lambda m: m["name"] == "description"), F.lit(0))["value"],
         "robots_meta": F.transform(robots, lambda m: F.concat_ws(": ", m["name"], F.lower(m["value"]))),
         "canonical": F.get(F.transform(canonical, lambda t: decode_entities(attr(t, "href"))), F.lit(0)),
         "lang": F.substring(_first_tag_attr(html, "html", "lang"), 1, 20),
-        "h1": F.substring(inner("h1"), 1, 200),
-        "schema": F.slice(F.array_distinct(F.transform(
-            types, lambda t: F.regexp_replace(t, r"(?i)^https?://schema\.org/", ""))), 1, 20),
+        "h1": inner("h1"),
+        "schema": F.array_distinct(F.transform(
+            types, lambda t: F.regexp_replace(t, r"(?i)^https?://schema\.org/", ""))),
     }
 
 
@@ -149,7 +149,7 @@ def body_parts(body: Column, text: Column) -> dict[str, Column]:
             F.arrays_zip(F.regexp_extract_all(body, F.lit(heading), 1).alias("tag"),
                          F.regexp_extract_all(body, F.lit(heading), 2).alias("html")),
             lambda h: F.struct(F.lower(h["tag"]).alias("tag"),
-                               paths.clean(decode_entities(strip_tags(h["html"])), 200).alias("text"))),
+                               paths.clean(decode_entities(strip_tags(h["html"]))).alias("text"))),
         lambda h: h["text"] != "")
     hrefs = F.filter(
         F.transform(tags(body, "a"), lambda t: F.trim(decode_entities(attr(t, "href")))),
@@ -167,7 +167,7 @@ def body_facts(body: Column, page_url: Column, home_host: Column) -> dict[str, C
     """Structure and links of a content fragment, from its `body_parts` columns."""
     headings, hrefs, images, sentences = (F.col(c) for c in ("_headings", "_hrefs", "_images", "_sentences"))
     texts = F.transform(headings, lambda h: h["text"])
-    questions = F.slice(F.filter(texts, txt.is_question), 1, 20)
+    questions = F.filter(texts, txt.is_question)
     inner = lambda h: (paths.url_host(h) == "") | paths.same_site(paths.url_host(h), home_host)
     own = paths.normalize_path(page_url)
     links = F.filter(
@@ -179,7 +179,7 @@ def body_facts(body: Column, page_url: Column, home_host: Column) -> dict[str, C
     return {
         "h2": F.size(F.filter(headings, lambda h: h["tag"] == "h2")),
         "h3": F.size(F.filter(headings, lambda h: h["tag"] != "h2")),
-        "headings": F.slice(texts, 1, 40),
+        "headings": texts,
         "question_headings": questions,
         "lists": F.regexp_count(body, F.lit(r"(?i)<(?:ul|ol|dl)[\s/>]")),
         "tables": F.regexp_count(body, F.lit(r"(?i)<table[\s/>]")),
@@ -187,13 +187,12 @@ def body_facts(body: Column, page_url: Column, home_host: Column) -> dict[str, C
         "images_no_alt": F.size(F.filter(
             images, lambda t: (F.trim(attr(t, "alt")) == "") & (attr(t, "role") != "presentation"))),
         "external_links": F.size(F.filter(hrefs, lambda h: ~inner(h))),
-        "links": F.slice(links, 1, 300),
+        "links": links,
         "faq": body.rlike(r"""(?is)<details[\s/>]|<[^>]*\sclass\s*=\s*(?:"[^"]*faq|'[^']*faq|[^\s"'>]*faq)""")
         | (F.size(questions) >= 3),
         "first_para_words": F.coalesce(F.get(F.filter(paragraphs, lambda n: n >= 5), F.lit(0)), F.lit(0)),
         "avg_sentence": F.when(F.size(sentences) > 0, F.round(F.col("words") / F.size(sentences)).cast("int")).otherwise(0),
-        "questions": F.slice(F.filter(
-            sentences, lambda s: s.endswith("?") & (F.octet_length(s) < 200)), 1, 15),
+        "questions": F.filter(sentences, lambda s: s.endswith("?")),
     }
 
 
@@ -213,8 +212,8 @@ def canonical_elsewhere(canonical: Column, path: Column, home_host: Column) -> C
     return F.coalesce((canonical != "") & elsewhere, F.lit(False))
 
 
-def light_markdown(html: Column, max_words: int = 3000) -> Column:
-    """Content as plain text with headings, list items and paragraphs kept."""
+def light_markdown(html: Column, max_words: int | None = None) -> Column:
+    """Content as plain text with headings, list items and paragraphs kept; whole, or its first `max_words` words."""
     t = drop_elements(drop_comments(html), "script", "style", "noscript")
     for level in range(1, 7):
         marks = "#" * min(6, max(3, level + 1))
@@ -225,6 +224,8 @@ def light_markdown(html: Column, max_words: int = 3000) -> Column:
     for had, want in ((r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
         t = F.regexp_replace(t, had, want)
     t = F.trim(F.regexp_replace(t, r"^\s+|\s+$", ""))
+    if max_words is None:
+        return t
     # the rest after the first `max_words` words, if there is one
     rest = F.get(F.split(t, r"\s+", max_words + 1), F.lit(max_words))
     head = F.regexp_replace(F.substr(t, F.lit(1), F.length(t) - F.length(rest)), r"\s+$", "")

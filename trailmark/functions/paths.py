@@ -30,7 +30,7 @@ def normalize_path(uri: Column) -> Column:
         F.array_join(F.transform(F.split(path, "/"), _reencode), "/")
     )
     trimmed = F.regexp_replace(path, r"/+$", "")
-    return F.substring(F.when(trimmed == "", F.lit("/")).otherwise(trimmed), 1, 500)
+    return F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
 
 
 def url_hash(path: Column) -> Column:
@@ -51,9 +51,11 @@ def path_kind(path: Column) -> Column:
     )
 
 
-def clean(text: Column, max_bytes: int = 255) -> Column:
-    """Valid UTF-8 on one line without control characters, cut at a character boundary."""
+def clean(text: Column, max_bytes: int | None = None) -> Column:
+    """Valid UTF-8 on one line without control characters; for display, cut at a character boundary."""
     one_line = F.trim(F.regexp_replace(F.make_valid_utf8(text), r"[\x00-\x1F\x7F]+", " "))
+    if max_bytes is None:
+        return one_line
     head = F.make_valid_utf8(F.substring(one_line.cast("binary"), 1, max_bytes).cast("string"))
     return F.when(F.octet_length(one_line) <= max_bytes, one_line).otherwise(
         F.regexp_replace(head, "�+$", "")

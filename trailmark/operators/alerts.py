@@ -124,13 +124,14 @@ def hot_page_alerts(hot: DataFrame, config: Config) -> DataFrame:
                       F.col("page_id"), F.col("hits"))
 
 
-def dropped_pages(pages: DataFrame, page_bots: DataFrame, config: Config, k: int = 25) -> DataFrame:
-    """Important pages crawled before that no crawler read for 30 to 120 days."""
+def dropped_pages(pages: DataFrame, page_bots: DataFrame, config: Config, k: int | None = None) -> DataFrame:
+    """Important pages crawled before that no crawler read for 30 to 120 days; the first k of them where k is given."""
     last = page_bots.filter("hits >= 3").groupBy("url_hash").agg(F.max("last_seen").alias("last_seen"))
     rows = pages.filter(~F.col("deleted") & important(config)).join(last, "url_hash")
-    return rows.filter(
-        (F.col("last_seen") < config.from_ts(30)) & (F.col("last_seen") > config.from_ts(120))
-    ).orderBy(F.desc("importance"), "page_id").limit(k).filter("pinned >= 0").select("page_id", "path", "importance", "last_seen")
+    out = rows.filter(
+        (F.col("last_seen") < config.from_ts(30)) & (F.col("last_seen") > config.from_ts(120)) & (F.col("pinned") >= 0)
+    ).select("page_id", "path", "importance", "last_seen")
+    return out if k is None else out.orderBy(F.desc("importance"), "page_id").limit(k)
 
 
 def dropped_alert(dropped: DataFrame, config: Config) -> DataFrame:
@@ -141,7 +142,7 @@ def dropped_alert(dropped: DataFrame, config: Config) -> DataFrame:
 def never_crawled_alert(findings: DataFrame, pages: DataFrame, config: Config) -> DataFrame:
     live = pages.filter(~F.col("deleted")).select("page_id")
     n = findings.filter("code = 'never_crawled' and status = 'open'").join(live, "page_id", "left_semi").agg(
-        F.least(F.count("*"), F.lit(25)).alias("n")).filter("n > 0")
+        F.count("*").alias("n")).filter("n > 0")
     return _candidate(n, "never_crawled", F.lit("weekly"), "warning", WEEK, config, n=F.col("n"))
 
 
@@ -203,7 +204,7 @@ def raise_alerts(candidates: DataFrame, stored: DataFrame | None = None) -> Data
     stored: dedupe, created_at of earlier alerts. A key's distinct candidate
     times are folded in order; at most one per run of the rules.
     """
-    dedupe = F.substring(F.concat_ws(":", "rule", "key"), 1, 190)
+    dedupe = F.concat_ws(":", "rule", "key")
     rows = candidates.withColumn("dedupe", dedupe)
     first = Window.partitionBy("dedupe", "at").orderBy(F.desc("severity"), "subject")
     rows = rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")

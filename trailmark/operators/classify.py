@@ -30,7 +30,7 @@ def classify_requests(requests: DataFrame, registry: Registry, config: Config,
         "_ref": F.when(visitor, F.when(F.col("source") == "log", paths.referral_source(registry, referer))
                        .otherwise(paths.referral_source(registry, referer, uri))),
         "path": paths.normalize_path(uri),
-        "ua": paths.clean(F.col("ua"), 255),
+        "ua": paths.clean(F.col("ua")),
     })
     ip = F.coalesce("ip", F.lit(""))
     kind = paths.path_kind(F.col("path"))

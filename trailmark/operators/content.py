@@ -107,8 +107,8 @@ def _mentions(tokens: Column, weight: int, offset: Column) -> Column:
     return F.filter(F.concat(singles, pairs), lambda m: m["term"].isNotNull())
 
 
-def term_counts(documents: DataFrame, stop: list[str], key: str = "page_id", limit: int = 40) -> DataFrame:
-    """(key, text, emphasis) -> the document's top terms: body ×1, emphasis ×3.
+def term_counts(documents: DataFrame, stop: list[str], key: str = "page_id") -> DataFrame:
+    """(key, text, emphasis) -> the document's terms: body ×1, emphasis ×3.
 
     Words and pairs are made inside the row and summed map-side, so what is
     shuffled is each document's distinct terms, not its words.
@@ -119,17 +119,12 @@ def term_counts(documents: DataFrame, stop: list[str], key: str = "page_id", lim
         key, F.explode(F.concat(_mentions(F.col("b"), 1, F.lit(0)),
                                 _mentions(F.col("e"), 3, F.size("b") * 2))).alias("m"))
     counts = rows.groupBy(key, F.col("m.term").alias("term")).agg(
-        F.sum("m.weight").alias("weight"), F.min("m.pos").alias("pos"))
-    counts = counts.filter(~F.col("term").contains(" ") | (F.col("weight") >= 2))
-    order = Window.partitionBy(key).orderBy(F.desc("weight"), "pos")
-    return (
-        counts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
-        .select(key, F.substring("term", 1, 64).alias("term"), "weight")
-    )
+        F.sum("m.weight").alias("weight"))
+    return counts.filter(~F.col("term").contains(" ") | (F.col("weight") >= 2))
 
 
 def document_frequency(terms: DataFrame, key: str = "page_id") -> DataFrame:
-    return terms.groupBy("term").agg(F.countDistinct(key).alias("df"))
+    return terms.groupBy("term").agg(F.count(key).alias("df"))
 
 
 def term_changes(old: DataFrame, new: DataFrame, key: str = "page_id") -> DataFrame:
@@ -146,7 +141,7 @@ def apply_term_changes(df: DataFrame, changes: DataFrame) -> DataFrame:
 
 def key_terms(terms: DataFrame, df: DataFrame, n_documents: Column, key: str = "page_id", limit: int = 12) -> DataFrame:
     """Terms ranked by TF-IDF; phrases weigh 1.3."""
-    total = F.sum("weight").over(Window.partitionBy(key))  # at most 40 rows per document
+    total = F.sum("weight").over(Window.partitionBy(key))  # the distinct terms of one document
     idf = F.log((n_documents + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     score = F.col("weight") / F.greatest(F.col("total"), F.lit(1)) * idf * F.when(F.col("term").contains(" "), 1.3).otherwise(1.0)
     scored = terms.withColumn("total", total).join(df, "term", "left").withColumn("score", score)
@@ -158,11 +153,11 @@ def key_terms(terms: DataFrame, df: DataFrame, n_documents: Column, key: str = "
     )
 
 
-def topics(terms: DataFrame, pages: DataFrame, k_terms: int = 300, k: int = 30) -> DataFrame:
+def topics(terms: DataFrame, pages: DataFrame, k: int = 30) -> DataFrame:
     """Heaviest terms on two or more pages that also occur as whole words in a title."""
     per_term = terms.join(pages.filter(~F.col("deleted")).select("page_id"), "page_id", "left_semi").groupBy("term").agg(
         F.count("*").alias("pages"), F.sum("weight").alias("weight"))
-    top = per_term.filter("pages >= 2").orderBy(F.desc("weight"), "term").limit(k_terms)
+    top = per_term.filter("pages >= 2")
     # The terms of a title are its word runs of one and two words, so whole-word
     # containment is an equality on those and the titles are never multiplied by the terms.
     # Runs are cut at every character a term cannot hold.
@@ -171,12 +166,12 @@ def topics(terms: DataFrame, pages: DataFrame, k_terms: int = 300, k: int = 30)
     span = lambda i, n: F.array_join(F.transform(
         F.slice(F.arrays_zip(w.alias("w"), gaps.alias("g")), i + 1, n),
         lambda x, j: F.when(j == n - 1, x["w"]).otherwise(F.concat(x["w"], x["g"]))), "")
-    # a stored term has at most 64 characters, hence at most 32 runs of letters and digits
+    # a term is two words at most; what joins runs within a word makes more of them
     spans = F.flatten(F.transform(
         F.sequence(F.lit(0), F.size(w) - 1),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(32), F.size(w) - i)), lambda n: span(i, n))))
+        lambda i: F.transform(F.sequence(F.lit(1), F.size(w) - i), lambda n: span(i, n))))
     in_titles = pages.filter(~F.col("deleted")).filter(F.size(w) > 0).select(
-        F.explode(F.filter(F.array_distinct(spans), lambda x: F.length(x) <= 64)).alias("term"))
+        F.explode(F.array_distinct(spans)).alias("term"))
     return top.join(in_titles.distinct(), "term", "left_semi").orderBy(F.desc("weight"), "term").limit(k)
 
 
@@ -216,27 +211,31 @@ def link_counts(links: DataFrame) -> DataFrame:
 
 
 def suggest_links(terms: DataFrame, ranked: DataFrame, links: DataFrame, pages: DataFrame, n_documents: Column,
-                  config: Config, targets: int = 60, per_target: int = 3) -> DataFrame:
+                  config: Config, targets: int | None = None, per_target: int = 3) -> DataFrame:
     """Pages that share a target's terms but do not link to it yet.
 
-    Targets are the 60 important pages with the fewest links. Their at most
-    360 terms are the only ones looked up, so the term index is scanned once
-    and pages are never compared with each other.
+    Targets are the important pages with fewer than five links, or the first
+    `targets` of them. Each is looked up by its six best terms, none of which
+    is on more than three tenths of the pages, so the term index is scanned
+    once and pages are never compared with each other.
     """
     live = pages.filter(~F.col("deleted"))
     wanted = live.filter(
         F.col("analyzed") & ((F.col("importance") >= config.importance_min) | (F.col("pinned") > 0))
         & (F.col("inlinks") < 5) & (F.col("object_type") == "post")
-    ).orderBy(F.desc("importance"), "inlinks", "page_id").limit(targets).select(F.col("page_id").alias("target_id"))
+    )
+    if targets is not None:
+        wanted = wanted.orderBy(F.desc("importance"), "inlinks", "page_id").limit(targets)
+    wanted = wanted.select(F.col("page_id").alias("target_id"))
     usable = ranked.filter((F.col("pages") >= 2) & (F.col("pages") <= F.greatest(F.lit(3.0), n_documents * 0.3)))
     six = Window.partitionBy("page_id").orderBy("rank")
     own = (
-        usable.join(F.broadcast(wanted), F.col("page_id") == F.col("target_id"))  # 60 rows
+        usable.join(wanted, F.col("page_id") == F.col("target_id"))
         .withColumn("_r", F.row_number().over(six)).filter("_r <= 6")
         .select("target_id", "term", F.col("score").alias("target_score"))
     )
-    shared = terms.join(F.broadcast(own), "term").filter("page_id <> target_id")  # at most 360 rows broadcast
-    linked = links.join(F.broadcast(wanted), F.col("to_id") == F.col("target_id"), "left_semi")
+    shared = terms.join(own, "term").filter("page_id <> target_id")
+    linked = links.join(wanted, F.col("to_id") == F.col("target_id"), "left_semi")
     shared = shared.join(linked, (F.col("page_id") == linked["from_id"]) & (F.col("target_id") == linked["to_id"]), "left_anti")
     shared = shared.join(live.select("page_id"), "page_id", "left_semi")
     anchor = F.max_by("term", F.struct(
@@ -308,15 +307,15 @@ def inferred_findings(assists: DataFrame, facts: DataFrame) -> DataFrame:
     have = facts.select("page_id", F.transform(F.concat("question_headings", "questions"), F.lower).alias("have"))
     rows = assists.join(have, "page_id", "left").withColumns({
         "have": F.coalesce("have", F.array().cast("array<string>")),
-        "gap_items": F.slice(F.array_distinct("gaps"), 1, 15),
+        "gap_items": F.array_distinct("gaps"),
         "missing": F.transform(F.filter("terms", lambda x: ~F.coalesce(x["used"], F.lit(False)) & (F.coalesce(x["term"], F.lit("")) != "")),
                                lambda x: x["term"]),
     }).withColumn("open_questions", F.filter(
         F.transform("questions", lambda q: q["question"]),
         lambda q: (q != "") & ~F.array_contains("have", F.lower(q))))
-    item = lambda code, sev, col, k: F.when(F.size(col) > 0, F.struct(
-        F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.size(col).alias("n"), F.slice(col, 1, k).alias("items")))
+    item = lambda code, sev, col: F.when(F.size(col) > 0, F.struct(
+        F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.size(col).alias("n"), F.col(col).alias("items")))
     return rows.select("page_id", F.explode(F.array_compact(F.array(
-        item("content_gaps", "warning", "gap_items", 15),
-        item("keyword_gaps", "info", "missing", 20),
-        item("faq_opportunities", "info", "open_questions", 15)))).alias("f")).select("page_id", "f.*", F.lit("inferred").alias("kind"))
+        item("content_gaps", "warning", "gap_items"),
+        item("keyword_gaps", "info", "missing"),
+        item("faq_opportunities", "info", "open_questions")))).alias("f")).select("page_id", "f.*", F.lit("inferred").alias("kind"))

@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trailmark.config import Config
 from trailmark.sources.registry import Registry
 
-MAX_BODY = 500 * 1024
-
 
 def effective_body(sites: DataFrame, generated: str) -> DataFrame:
     """(site, status, body) -> the text in force: 4xx means no restriction, other failures the default."""
@@ -16,7 +14,7 @@ def effective_body(sites: DataFrame, generated: str) -> DataFrame:
     gone = F.col("status").between(400, 499)
     return sites.select(
         "site",
-        F.when(ok, F.substring("body", 1, MAX_BODY)).when(gone, "").otherwise(generated).alias("body"),
+        F.when(ok, F.col("body")).when(gone, "").otherwise(generated).alias("body"),
         F.when(ok | gone, "http").otherwise("generated").alias("source"),
     )
 
@@ -138,10 +136,10 @@ def robots_bots(registry: Registry, only=None) -> list[tuple[str, str]]:
             if b["robots_tokens"] and (b["ai"] or b["category"] == "search") and (only is None or b["id"] in only)]
 
 
-def access_matrix(policy: DataFrame, pages: DataFrame, config: Config, max_pages: int | None = 500) -> DataFrame:
+def access_matrix(policy: DataFrame, pages: DataFrame, config: Config, max_pages: int | None = None) -> DataFrame:
     """Per crawler: is the site open, which group and rule applies, how many important pages are closed.
 
-    `max_pages` is the size of the checked list of important pages; None checks all of them.
+    All important pages are checked, or the `max_pages` most important ones.
     """
     root = F.col("root")
     sites = policy.withColumn("root", best_rule(F.col("rules"), F.lit("/"))).select(

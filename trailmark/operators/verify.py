@@ -12,7 +12,6 @@ from trailmark.sources.registry import Registry, lookup
 VERDICT_TTL = {"verified": 7 * DAY, "failed": DAY}
 GIVE_UP = 2 * DAY
 MAX_RETRIES = 3
-ADDRESS_ONLY_LIMIT = 3000
 
 
 def range_verdicts(requests: DataFrame, bot_ranges: DataFrame, config: Config) -> DataFrame:
@@ -44,17 +43,15 @@ def range_verdicts(requests: DataFrame, bot_ranges: DataFrame, config: Config) -
 def address_only(requests: DataFrame, bot_ranges: DataFrame) -> DataFrame:
     """(ip, address_bot): agents recognised by address alone, first in registry order.
 
-    `bot_ranges` carries bot_order and ip_only. Switched off when the lists
-    together hold more than 3,000 prefixes.
+    `bot_ranges` carries bot_order and ip_only. The bucket join serves lists of any length.
     """
     own = bot_ranges.filter("ip_only")
-    usable = own.select("file", "cidr").distinct().agg(F.count("*") <= ADDRESS_ONLY_LIMIT)
     keyed = (
         requests.filter("ip <> ''").select("ip").distinct()
         .withColumn("key", net.ip_key(F.col("ip"))).filter("key is not null")
     )
     probes = keyed.select("ip", "key", F.explode(rng.lookup_keys(F.col("key"))).alias("bucket"))
-    table = rng.bucketed(own).select("bot", "bot_order", "bucket", "lo", "hi").filter(usable.scalar())
+    table = rng.bucketed(own).select("bot", "bot_order", "bucket", "lo", "hi")
     return (
         probes.join(table, "bucket").filter(F.col("key").between(F.col("lo"), F.col("hi")))
         .groupBy("ip").agg(F.min_by("bot", "bot_order").alias("address_bot"))
@@ -64,9 +61,9 @@ def address_only(requests: DataFrame, bot_ranges: DataFrame) -> DataFrame:
 def valid_verdicts(verdicts: DataFrame, config: Config) -> DataFrame:
     """Cached verdicts still trusted: a pass for a week, a failure for a day."""
     ttl = lookup(VERDICT_TTL, F.col("verdict"))
-    return verdicts.filter(F.col("checked_at") > F.lit(config.as_of) - ttl).select(
-        "ip_hash", "bot", F.col("verdict").alias("cached")
-    ).dropDuplicates(["ip_hash", "bot"])
+    # of several, the newest; of those checked in the same second, the failure
+    return verdicts.filter(F.col("checked_at") > F.lit(config.as_of) - ttl).groupBy("ip_hash", "bot").agg(
+        F.max_by("verdict", F.struct("checked_at", F.col("verdict") == "failed")).alias("cached"))
 
 
 def decide(events: DataFrame, registry: Registry, config: Config) -> DataFrame:

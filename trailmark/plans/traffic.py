@@ -14,8 +14,6 @@ from trailmark.functions import agents, paths
 from trailmark.operators.classify import event_view, local_day
 from trailmark.sources.registry import ASSISTANT_OF, Registry, lookup
 
-SAMPLE = 20000  # requests a crawler's breakdowns are computed from
-
 
 def _sum_if(cond: Column, col: str) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.col(col))), F.lit(0))
@@ -168,24 +166,24 @@ def crawler_timeline(spark: SparkSession, daily_bots: DataFrame, config: Config,
 BREAKDOWNS = {"status": 12, "verification": 10**6, "network": 15, "user_agent": 10}
 
 
-def crawler_breakdowns(events: DataFrame, config: Config, days: int = 30, sample: int = SAMPLE) -> DataFrame:
-    """Status, verification, network and agent counts over each crawler's latest `sample` requests."""
-    latest = Window.partitionBy("bot").orderBy(F.desc("ts"), F.desc("id"))
-    newest = (
-        events.filter((F.col("ts") >= config.from_ts(days)) & (F.col("bot") != ""))
-        .select("bot", "id", "ts", "status", "cls", "vstate", "ip_net", "ua")
-        .withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") <= sample)
-    )
+def crawler_breakdowns(events: DataFrame, config: Config, days: int = 30) -> DataFrame:
+    """Status, verification, network and agent counts over all requests of each crawler in the window.
+
+    Requests are first counted by what they have in common, map-side, so a crawler with a third of them
+    sends each task's few distinct combinations; the facets are sums over those.
+    """
+    recent = events.filter((F.col("ts") >= config.from_ts(days)) & (F.col("bot") != ""))
+    alike = recent.groupBy("bot", "status", "cls", "vstate", "ip_net", "ua").agg(F.count("*").alias("n"))
     facet = lambda kind, k1, k2: F.struct(
         F.lit(kind).alias("kind"), k1.alias("key"), k2.alias("detail"))
     none = F.lit("")
-    each = newest.select("bot", F.explode(F.array(
+    each = alike.select("bot", "n", F.explode(F.array(
         facet("status", F.col("status").cast("string"), none),
         facet("verification", F.col("cls"), F.col("vstate")),
         facet("network", F.col("ip_net"), F.col("vstate")),
         facet("user_agent", F.col("ua"), none),
-    )).alias("f")).select("bot", "f.*").filter("not (kind = 'network' and key = '')")
-    counts = each.groupBy("bot", "kind", "key", "detail").agg(F.count("*").alias("n"))
+    )).alias("f")).select("bot", "n", "f.*").filter("not (kind = 'network' and key = '')")
+    counts = each.groupBy("bot", "kind", "key", "detail").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("bot", "kind").orderBy(F.desc("n"), "key", "detail"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= lookup(BREAKDOWNS, F.col("kind")))
 
@@ -268,8 +266,8 @@ def page_list(pages: DataFrame, page_bots: DataFrame, daily: DataFrame, daily_pa
     crawled = page_bots.filter(who).groupBy("url_hash").agg(
         F.max("last_seen").alias("last_ai"), F.count("*").alias("nbots"),
         # at most one entry per registered crawler
-        F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("last_seen")).alias("o"), "bot"))),
-                            lambda s: s["bot"]), 1, 6).alias("bots"))
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("last_seen")).alias("o"), "bot"))),
+                    lambda s: s["bot"]).alias("bots"))
     source = daily.filter(F.col("bot") == bot) if bot else daily_pages
     window = source.filter(F.col("day") >= since).groupBy("url_hash").agg(
         F.sum("hits").alias("hits"), F.sum("errors").alias("errors"))
@@ -586,12 +584,12 @@ def issue_history(findings: DataFrame, config: Config, days: int = 90, group: st
 
 
 def crawl_history(page_bots: DataFrame, referrals: DataFrame, registry: Registry, config: Config) -> DataFrame:
-    """AI hits, last visit, six busiest crawlers and 30-day visits of every URL."""
+    """AI hits, last visit, crawlers from the busiest on and 30-day visits of every URL."""
     ai = F.coalesce(registry.attr(F.col("bot"), "ai"), F.lit(False))
     seen = page_bots.filter(ai).groupBy("url_hash").agg(
         F.sum("hits").alias("hits"), F.max("last_seen").alias("last"),
         # at most one entry per registered crawler
-        F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("o"), "bot"))),
-                            lambda s: s["bot"]), 1, 6).alias("bots"))
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("o"), "bot"))),
+                    lambda s: s["bot"]).alias("bots"))
     sent = referrals.filter(F.col("day") >= F.lit(config.back(30))).groupBy("url_hash").agg(F.sum("hits").alias("referrals"))
     return seen.join(sent, "url_hash", "full").fillna(0, ["hits", "last", "referrals"])

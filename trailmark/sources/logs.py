@@ -8,8 +8,6 @@ from trailmark.config import Config, DAY
 from trailmark.functions import agents, net, paths
 from trailmark.sources.registry import Registry
 
-MAX_LINE = 1 << 20  # a longer "line" is not a log line
-
 # Names of each field in the JSON logs of CDN vendors, first non-empty wins.
 JSON_FIELDS = {
     "uri": ["ClientRequestURI", "ClientRequestPath", "request_uri", "uri", "path", "url"],
@@ -135,14 +133,14 @@ def parse_json(lines: DataFrame) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, kind: str = "auto") -> DataFrame:
-    """Parsed requests; rows without a request (blank, oversized, malformed) are dropped.
+    """Parsed requests; rows without a request (blank, malformed) are dropped.
 
     `kind` is 'combined', 'json' or 'auto'. Auto reads the lines once per
     format and keeps each line for its own parser; name the format when a
     folder holds only one, as log folders do.
     """
     v = F.col("value")
-    usable = lines.filter((F.length(v) > 0) & (F.length(v) <= MAX_LINE)).select(
+    usable = lines.filter(F.length(v) > 0).select(
         F.when(v.endswith("\r"), F.substr(v, F.lit(1), F.length(v) - 1)).otherwise(v).alias("line"))
     is_json = F.col("line").startswith("{")
     parsers = {"combined": (parse_combined, ~is_json), "json": (parse_json, is_json)}

@@ -6,12 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_wide(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet rows with long text, for CPU-bound work on each row.
-
-    A scan with fewer splits than cores would leave most of the cluster idle,
-    so such a small input is spread over the cores first. Large inputs have
-    enough splits and are never shuffled.
-    """
-    rows = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Parquet rows with long text; the session's `spark.sql.files.maxPartitionBytes` says how finely they are split."""
+    return spark.read.parquet(path)

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trailmark.config import Config, DAY
 from trailmark.functions import net
 
-MAX_PER_FILE = 20000
 FRESH_DAYS = 7
 
 
 def extract_cidrs(documents: DataFrame) -> DataFrame:
     """(file, fetched_at, body) -> every CIDR or address anywhere in the JSON text."""
     found = F.regexp_extract_all(F.col("body"), F.lit(r'"([0-9a-fA-F.:]+(?:/\d{1,3})?)"'), 1)
-    each = documents.select("file", "fetched_at", F.posexplode(found).alias("pos", "cidr"))
+    each = documents.select("file", "fetched_at", F.explode(found).alias("cidr"))
     each = each.filter((F.length("cidr") <= 50) & net.cidr_bounds(F.col("cidr")).isNotNull())
-    once = each.groupBy("file", "cidr").agg(F.max("fetched_at").alias("fetched_at"), F.min("pos").alias("pos"))
-    order = Window.partitionBy("file").orderBy("pos")
-    # the size limit of a published file, not a sample: longer lists are cut by the format's contract
-    return (
-        once.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= MAX_PER_FILE).drop("_r", "pos")
-    )
+    return each.groupBy("file", "cidr").agg(F.max("fetched_at").alias("fetched_at"))
 
 
 def read_range_files(spark: SparkSession, path: str, fetched_at: int) -> DataFrame:

@@ -136,13 +136,14 @@ ASSISTANT_OF = {
 }
 
 
-def _clean_list(col: Column, max_items: int, max_len: int, pattern: str | None = None) -> Column:
+def _clean_list(col: Column, pattern: str | None = None) -> Column:
+    """All usable entries, each once."""
     ok = lambda s: (
-        (F.length(s) > 0) & (F.length(s) <= max_len) & ~s.rlike(r"[\x00-\x1F\x7F]")
+        (F.length(s) > 0) & ~s.rlike(r"[\x00-\x1F\x7F]")
         & (s.rlike(pattern) if pattern else F.lit(True))
     )
     trimmed = F.transform(F.coalesce(col, F.array().cast("array<string>")), lambda x: F.trim(x))
-    return F.array_distinct(F.slice(F.filter(trimmed, ok), 1, max_items))
+    return F.array_distinct(F.filter(trimmed, ok))
 
 
 def validate_bots(raw: DataFrame) -> DataFrame:
@@ -151,21 +152,21 @@ def validate_bots(raw: DataFrame) -> DataFrame:
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     clean = raw.filter(F.col("id").rlike(r"^[a-z0-9][a-z0-9-]{1,39}$")).select(
         "id",
-        F.substring(F.trim(F.coalesce("name", "id")), 1, 80).alias("name"),
-        F.substring(F.trim(F.coalesce("provider", F.lit(""))), 1, 80).alias("provider"),
+        F.trim(F.coalesce("name", "id")).alias("name"),
+        F.trim(F.coalesce("provider", F.lit(""))).alias("provider"),
         category.alias("category"),
         (flag("ai") | category.startswith("ai_")).alias("ai"),
-        _clean_list(F.col("patterns"), 10, 80).alias("patterns"),
-        _clean_list(F.col("robots_tokens"), 6, 60, r"^[A-Za-z0-9 ._/-]+$").alias("robots_tokens"),
+        _clean_list(F.col("patterns")).alias("patterns"),
+        _clean_list(F.col("robots_tokens"), r"^[A-Za-z0-9 ._/-]+$").alias("robots_tokens"),
         flag("robots_only").alias("robots_only"),
         flag("ip_only").alias("ip_only"),
         flag("signed_only").alias("signed_only"),
         flag("deprecated").alias("deprecated"),
         "respects_robots",
-        _clean_list(F.col("ranges"), 6, 299,
+        _clean_list(F.col("ranges"),
                     r"(?i)^https://[a-z0-9.-]+\.[a-z]{2,}(/[\x21-\x7E]*)?$").alias("ranges"),
-        _clean_list(F.col("rdns"), 6, 80, r"(?i)^\.[a-z0-9.-]+$").alias("rdns"),
-        _clean_list(F.col("signature_hosts"), 4, 80, r"(?i)^[a-z0-9.-]+$").alias("signature_hosts"),
+        _clean_list(F.col("rdns"), r"(?i)^\.[a-z0-9.-]+$").alias("rdns"),
+        _clean_list(F.col("signature_hosts"), r"(?i)^[a-z0-9.-]+$").alias("signature_hosts"),
         F.when(F.col("confidence").isin("high", "medium", "low"), F.col("confidence"))
         .otherwise("medium").alias("confidence"),
     )
@@ -199,9 +200,9 @@ def validate_referrers(raw: DataFrame) -> DataFrame:
     lowered = lambda c: F.transform(c, F.lower)
     return raw.filter(F.col("id").rlike(r"^[a-z0-9-]{2,20}$")).select(
         "id",
-        F.substring(F.trim(F.coalesce("name", "id")), 1, 60).alias("name"),
-        lowered(_clean_list(F.col("hosts"), 8, 80, r"(?i)^[a-z0-9.-]+$")).alias("hosts"),
-        lowered(_clean_list(F.col("utm"), 6, 40, r"(?i)^[a-z0-9._-]+$")).alias("utm"),
+        F.trim(F.coalesce("name", "id")).alias("name"),
+        lowered(_clean_list(F.col("hosts"), r"(?i)^[a-z0-9.-]+$")).alias("hosts"),
+        lowered(_clean_list(F.col("utm"), r"(?i)^[a-z0-9._-]+$")).alias("utm"),
     )
 
 

@@ -52,9 +52,9 @@ def hot_pages(spark, d):
     return a.hot_pages(b.daily(spark, d), b.inventory(spark, d), R, C, days=29)
 
 
-@query("dropped_pages", f"""SELECT page_id, path, importance, last_seen FROM (SELECT page_id, path, importance, pinned, last_seen FROM live JOIN
+@query("dropped_pages", f"""SELECT page_id, path, importance, last_seen FROM live JOIN
   (SELECT url_hash, max(last_seen) AS last_seen FROM page_bots WHERE hits >= 3 GROUP BY 1) USING (url_hash)
-WHERE (importance >= 40 OR pinned > 0) AND last_seen < {b.AS_OF} AND last_seen > {b.AS_OF - 90 * D} ORDER BY importance DESC, page_id LIMIT 25) WHERE pinned >= 0""")
+WHERE (importance >= 40 OR pinned > 0) AND last_seen < {b.AS_OF} AND last_seen > {b.AS_OF - 90 * D} AND pinned >= 0""")
 def dropped_pages(spark, d):
     """Seen from a month later."""
     return a.dropped_pages(b.inventory(spark, d), b.page_bots(spark, d), C.with_(as_of=b.AS_OF + 30 * D))
@@ -250,13 +250,12 @@ def site_guide(spark, d):
 
 
 @query("site_full_text", f"""
-SELECT 'main' AS site, count(*) AS links, sum(strlen(text)) > 0 AS has_text FROM (
-  SELECT l.rank, f.text, sum(strlen(chr(10) || '## ' || label || chr(10) || chr(10) || 'URL: https://example.com' || path || chr(10) || 'Updated: 2024-01-31' || chr(10) || chr(10) || f.text || chr(10)))
-    OVER (ORDER BY rank) + 15 AS bytes FROM listed l JOIN facts f USING (page_id) WHERE rank <= 60 AND object_type = 'post' AND words >= 50) WHERE bytes <= 40000""", LISTED + "," + FACTS)
+SELECT 'main' AS site, count(*) AS links, '# Example site' || chr(10) || string_agg(
+    chr(10) || '## ' || label || chr(10) || chr(10) || 'URL: https://example.com' || path || chr(10) || 'Updated: 2024-01-31' || chr(10) || chr(10) || f.text || chr(10), '' ORDER BY rank) AS text
+FROM listed l JOIN facts f USING (page_id) WHERE object_type = 'post' AND words >= 50""", LISTED + "," + FACTS)
 def site_full_text(spark, d):
     texts = facts(spark, d).select("page_id", "text", F.lit(C.local_date()).alias("updated"))
-    out = p.full_text(listed(spark, d, 60), texts, guide_sites(spark), max_bytes=40000)
-    return out.select("site", "links", (F.length("text") > 0).alias("has_text"))
+    return p.full_text(listed(spark, d, None), texts, guide_sites(spark)).select("site", "links", "text")
 
 
 def choices(spark, d):

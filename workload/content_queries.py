@@ -24,10 +24,24 @@ def facts(spark, d):
     return c.analyze_pages(b.wide_table(spark, d, "pages").withColumn("modified", F.lit(b.AS_OF) - F.col("page_id") % 500 * 86400), C)
 
 
-def stop(spark=None):
-    from pyspark.sql import SparkSession
-
-    return text.stop_words(spark or SparkSession.builder.getOrCreate())
+# Words that are no terms, as SQL.
+STOP_SQL = """
+'a', 'about', 'above', 'after', 'again', 'against', 'all', 'also', 'am', 'an', 'and', 'any', 'are', 'as', 'at', 
+'be', 'because', 'been', 'before', 'being', 'below', 'between', 'both', 'but', 'by', 'can', 'could', 'did', 
+'do', 'does', 'doing', 'down', 'during', 'each', 'even', 'every', 'few', 'for', 'from', 'further', 'get', 
+'got', 'had', 'has', 'have', 'having', 'he', 'her', 'here', 'hers', 'herself', 'him', 'himself', 'his', 'how', 
+'however', 'i', 'if', 'in', 'into', 'is', 'it', 'its', 'itself', 'just', 'let', 'like', 'make', 'many', 'may', 
+'me', 'might', 'more', 'most', 'much', 'must', 'my', 'myself', 'need', 'new', 'no', 'nor', 'not', 'now', 'of', 
+'off', 'on', 'once', 'one', 'only', 'or', 'other', 'our', 'ours', 'ourselves', 'out', 'over', 'own', 'per', 
+'really', 'same', 'see', 'she', 'should', 'so', 'some', 'still', 'such', 'than', 'that', 'the', 'their', 
+'theirs', 'them', 'themselves', 'then', 'there', 'these', 'they', 'thing', 'things', 'this', 'those', 'though', 
+'through', 'to', 'too', 'two', 'under', 'until', 'up', 'upon', 'us', 'use', 'used', 'using', 'very', 'via', 
+'want', 'was', 'way', 'we', 'well', 'were', 'what', 'when', 'where', 'whether', 'which', 'while', 'who', 
+'whom', 'whose', 'why', 'will', 'with', 'within', 'without', 'would', 'yes', 'yet', 'you', 'your', 'yours', 
+'yourself', 'yourselves', 'read', 'more', 'click', 'here', 'share', 'post', 'posts', 'page', 'menu', 'skip', 
+'content', 'home', 'search', 'copyright', 'reserved', 'rights', 'cookie', 'cookies', 'privacy', 'policy', 
+'best', 'guide', 'tips', 'part', 'explained', 'uncategorized', 'review', 'reviews', 'ultimate', 'complete', 
+'hello', 'world'"""
 
 
 def _drop(expr, *tags):
@@ -47,7 +61,7 @@ paras AS (SELECT page_id, list_transform(string_split_regex(body, '(?is)<p(?:\\s
 facts AS (SELECT page_id, url, body, text, len(regexp_extract_all(text, '{WORD}')) AS words, {_SENT} AS sentences,
     coalesce(list_filter(counts, lambda n: n >= 5)[1], 0) AS first_para_words,
     regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang,
-    substr(trim(regexp_replace({b.unescape_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')), 1, 255) AS title,
+    trim(regexp_replace({b.unescape_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS title,
     len(regexp_extract_all(body, '(?i)<(?:ul|ol|dl)[\\s/>]')) AS lists
   FROM texts JOIN paras USING (page_id))"""
 
@@ -55,7 +69,7 @@ facts AS (SELECT page_id, url, body, text, len(regexp_extract_all(text, '{WORD}'
 @query("page_facts", """
 SELECT page_id, title, lang, words, lists, 0 AS h2, 0 AS h3, 0 AS images, first_para_words,
   CAST(CASE WHEN len(sentences) > 0 THEN round(words / len(sentences)) ELSE 0 END AS BIGINT) AS avg_sentence,
-  len(list_filter(sentences, lambda s: s LIKE '%?' AND strlen(s) < 200)[:15]) AS questions, md5(text) AS text_hash,
+  len(list_filter(sentences, lambda s: s LIKE '%?')) AS questions, md5(text) AS text_hash,
   FALSE AS noindex, FALSE AS canonical_elsewhere FROM facts""", FACTS)
 def page_facts(spark, d):
     return facts(spark, d).select(
@@ -64,7 +78,7 @@ def page_facts(spark, d):
 
 
 INTENT = """
-intents AS (SELECT page_id, lower(title || ' ') AS t, title || ' ' || lower(substr(text, 1, 4000)) AS tb, lower(substr(text, 1, 4000)) AS b FROM facts)"""
+intents AS (SELECT page_id, lower(title || ' ') AS t, title || ' ' || lower(text) AS tb, lower(text) AS b FROM facts)"""
 
 
 @query("page_intent", r"""
@@ -101,9 +115,8 @@ def question_turns(spark, d):
 
 
 def _terms_sql(source, key="page_id"):
-    words = ", ".join("'" + w.replace("'", "''") + "'" for w in stop())
     return f"""
-tokens AS (SELECT {key}, part, pos, CASE WHEN length(w) BETWEEN 3 AND 40 AND NOT regexp_matches(w, '^\\d+$') AND w NOT IN ({words}) THEN w END AS w
+tokens AS (SELECT {key}, part, pos, CASE WHEN length(w) BETWEEN 3 AND 40 AND NOT regexp_matches(w, '^\\d+$') AND w NOT IN ({STOP_SQL}) THEN w END AS w
   FROM (SELECT {key}, part, pos, regexp_replace(raw, '^[-''’]+|[-''’]+$', '', 'g') AS w FROM (
     SELECT {key}, part, unnest(ws) AS raw, generate_subscripts(ws, 1) AS pos FROM (
       SELECT {key}, part, regexp_extract_all(lower(txt), '{WORD}') AS ws FROM ({source}))))),
@@ -113,9 +126,7 @@ mentions AS (
     SELECT *, lag(w) OVER (PARTITION BY {key}, part ORDER BY pos) AS prev FROM tokens) WHERE prev IS NOT NULL AND w IS NOT NULL),
 counted AS (SELECT {key}, term, CAST(sum(CASE part WHEN 0 THEN 1 ELSE 3 END) AS BIGINT) AS weight, min(part * 100000000 + ord) AS ord
   FROM mentions GROUP BY {key}, term),
-terms AS (SELECT {key}, substr(term, 1, 64) AS term, weight FROM (
-  SELECT * FROM counted WHERE NOT contains(term, ' ') OR weight >= 2)
-  QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY weight DESC, ord) <= 40)"""
+terms AS (SELECT {key}, term, weight FROM counted WHERE NOT contains(term, ' ') OR weight >= 2)"""
 
 
 PAGE_TEXTS = "SELECT page_id, 0 AS part, text AS txt FROM facts UNION ALL SELECT page_id, 1, title || ' ' FROM facts"
@@ -124,7 +135,7 @@ DOC_TEXTS = "SELECT doc_id, 0 AS part, text AS txt FROM documents"
 
 def page_terms(spark, d):
     rows = facts(spark, d).select("page_id", "text", F.concat_ws(" ", "title", F.array_join("headings", " ")).alias("emphasis"))
-    return c.term_counts(rows, stop(spark))
+    return c.term_counts(rows, text.STOP_WORDS)
 
 
 def page_total(spark, d):
@@ -139,7 +150,7 @@ def page_terms_query(spark, d):
 @query("document_terms", "SELECT doc_id, term, weight FROM terms", lambda: _terms_sql(DOC_TEXTS, "doc_id"))
 def document_terms(spark, d):
     rows = b.wide_table(spark, d, "documents").select("doc_id", "text", F.lit("").alias("emphasis"))
-    return c.term_counts(rows, stop(spark), key="doc_id")
+    return c.term_counts(rows, text.STOP_WORDS, key="doc_id")
 
 
 @query("document_frequency", "SELECT term, count(*) AS df FROM terms GROUP BY term", lambda: FACTS + "," + _terms_sql(PAGE_TEXTS))
@@ -175,7 +186,7 @@ def term_changes(spark, d):
 
 @query("topics", """
 SELECT term, pages, weight FROM (SELECT term, count(*) AS pages, CAST(sum(weight) AS BIGINT) AS weight FROM terms
-  WHERE page_id IN (SELECT page_id FROM live) GROUP BY term HAVING count(*) >= 2 ORDER BY weight DESC, term LIMIT 300) x
+  WHERE page_id IN (SELECT page_id FROM live) GROUP BY term HAVING count(*) >= 2) x
 WHERE EXISTS (SELECT 1 FROM live WHERE CASE WHEN contains(lower(title), x.term) THEN
   regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}])' || regexp_escape(x.term) || '($|[^\\p{L}\\p{N}])') ELSE FALSE END)
 ORDER BY weight DESC, term LIMIT 30""", lambda: FACTS + "," + _terms_sql(PAGE_TEXTS))
@@ -190,10 +201,10 @@ SELECT doc_id, phrase, count(*) AS mentions, row_number() OVER (PARTITION BY doc
       SELECT doc_id, s, sentence, regexp_extract_all(' ' || sentence, '\\s(\\p{{Lu}}[\\p{{L}}\\p{{N}}&\\.''’-]+(?:\\s+(?:of|the|de|la|and|&)?\\s*\\p{{Lu}}[\\p{{L}}\\p{{N}}&\\.''’-]+){{0,3}})', 1) AS ps FROM (
         SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS s FROM (SELECT doc_id, {_SENT} AS ss FROM documents)))))
 WHERE NOT (starts_with(ltrim(sentence), phrase) AND NOT contains(phrase, ' ')) AND length(phrase) >= 3
-  AND lower(phrase) NOT IN ({", ".join("'" + w + "'" for w in stop())})
+  AND lower(phrase) NOT IN ({STOP_SQL})
 GROUP BY doc_id, phrase HAVING count(*) >= 2 OR contains(phrase, ' ') QUALIFY rank <= 15""")
 def entities(spark, d):
-    return c.entities(b.wide_table(spark, d, "documents").select("doc_id", "text"), stop(spark), key="doc_id")
+    return c.entities(b.wide_table(spark, d, "documents").select("doc_id", "text"), text.STOP_WORDS, key="doc_id")
 
 
 # links: the driver's pages link to paths outside the inventory, so edges are derived from page ids
@@ -248,8 +259,7 @@ FROM (SELECT o.target_id, t.page_id AS from_id, t.term, t.weight, o.target_score
       WHERE t.page_id <> o.target_id AND t.page_id IN (SELECT page_id FROM live)
         AND NOT EXISTS (SELECT 1 FROM links l WHERE l.from_id = t.page_id AND l.to_id = o.target_id))
 GROUP BY target_id, from_id QUALIFY rank <= 3""", lambda: FACTS + "," + _terms_sql(PAGE_TEXTS) + "," + RANKED + "," + EDGES + """,
-targets AS (SELECT page_id AS target_id FROM live WHERE analyzed AND (importance >= 40 OR pinned > 0) AND inlinks < 5 AND object_type = 'post'
-  ORDER BY importance DESC, inlinks, page_id LIMIT 60),
+targets AS (SELECT page_id AS target_id FROM live WHERE analyzed AND (importance >= 40 OR pinned > 0) AND inlinks < 5 AND object_type = 'post'),
 own AS (SELECT target_id, term, score AS target_score FROM ranked r JOIN targets ON target_id = r.page_id, page_total
   WHERE pages >= 2 AND pages <= greatest(3.0, n * 0.3) QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY rank) <= 6)""")
 def link_suggestions(spark, d):

@@ -137,13 +137,12 @@ SELECT bot, kind, key, detail, n, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY bot, kind ORDER BY n DESC, key, detail) AS rank FROM (
     SELECT bot, kind, key, detail, count(*) AS n FROM facets WHERE NOT (kind = 'network' AND key = '') GROUP BY ALL))
 WHERE rank <= CASE kind WHEN 'status' THEN 12 WHEN 'verification' THEN 1000000 WHEN 'network' THEN 15 ELSE 10 END""", f"""
-latest AS (SELECT * FROM requests WHERE ts >= {FROM30} AND bot <> ''
-  QUALIFY row_number() OVER (PARTITION BY bot ORDER BY ts DESC, id DESC) <= 300),
+latest AS (SELECT * FROM requests WHERE ts >= {FROM30} AND bot <> ''),
 facets AS (SELECT bot, 'status' AS kind, CAST(status AS VARCHAR) AS key, '' AS detail FROM latest
   UNION ALL SELECT bot, 'verification', cls, vstate FROM latest
   UNION ALL SELECT bot, 'network', ip_net, vstate FROM latest UNION ALL SELECT bot, 'user_agent', ua, '' FROM latest)""")
 def crawler_breakdowns(spark, d):
-    return t.crawler_breakdowns(b.requests(spark, d), C, sample=300)
+    return t.crawler_breakdowns(b.requests(spark, d), C)
 
 
 ATTRS = "LEFT JOIN (SELECT url_hash, page_id, title, importance FROM live) USING (url_hash)"
@@ -203,7 +202,7 @@ page_rows AS (
   SELECT p.page_id, object_type, subtype, path, title, importance, {IMP} AND pinned >= 0 AS important, pinned, score, word_count, inlinks,
     last_ai, bots, coalesce(hits, 0) AS hits, coalesce(errors, 0) AS errors, coalesce(critical, 0) AS critical, coalesce(warnings, 0) AS warnings
   FROM live p LEFT JOIN (
-    SELECT url_hash, max(last_seen) AS last_ai, array_to_string(list_slice(list(bot ORDER BY last_seen DESC, bot), 1, 6), ',') AS bots
+    SELECT url_hash, max(last_seen) AS last_ai, array_to_string(list(bot ORDER BY last_seen DESC, bot), ',') AS bots
     FROM page_bots WHERE bot IN (SELECT bot FROM ai) GROUP BY 1) USING (url_hash)
   LEFT JOIN (SELECT url_hash, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(errors) AS BIGINT) AS errors FROM daily_pages
     WHERE day >= {b.since(30)} GROUP BY 1) USING (url_hash)
@@ -456,7 +455,7 @@ def issue_history(spark, d):
 
 @query("crawl_history", f"""
 SELECT url_hash, coalesce(hits, 0) AS hits, coalesce(last, 0) AS last, bots, coalesce(referrals, 0) AS referrals FROM (
-  SELECT url_hash, CAST(sum(hits) AS BIGINT) AS hits, max(last_seen) AS last, array_to_string(list_slice(list(bot ORDER BY hits DESC, bot), 1, 6), ',') AS bots
+  SELECT url_hash, CAST(sum(hits) AS BIGINT) AS hits, max(last_seen) AS last, array_to_string(list(bot ORDER BY hits DESC, bot), ',') AS bots
   FROM page_bots WHERE bot IN (SELECT bot FROM ai) GROUP BY 1)
 FULL JOIN (SELECT url_hash, CAST(sum(hits) AS BIGINT) AS referrals FROM referrals WHERE day >= {b.day(30)} GROUP BY 1) USING (url_hash)""")
 def crawl_history(spark, d):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trailmark.config import Config, DAY
 from trailmark.functions import net
-from trailmark.operators import classify, rollups, sessions
+from trailmark.operators import verify, classify, rollups, sessions
 from trailmark.sources import logs
 from trailmark.sources.registry import Registry
 from trailmark.streaming import rollup_stream as st
@@ -149,3 +149,31 @@ def test_stream_equals_batch_and_survives_a_retry(spark, tmp_path):
     assert st.read_sessions(spark, root).count() == 2
     st.compact(spark, root, str(tmp_path / "compact"))
     assert total(st.read_rollup(spark, str(tmp_path / "compact"), "daily"), "hits") == 31
+
+
+def test_late_batches_and_compacted_history_do_not_replace_live_ones(spark, tmp_path):
+    root, base = str(tmp_path / "live"), str(tmp_path / "base")
+    st.fold_batch(root)(golden(spark), 0)
+    st.backfill(golden(spark), root, 0)
+    assert total(st.read_rollup(spark, root, "daily"), "hits") == 62
+    st.compact(spark, root, base)
+    st.fold_batch(base)(golden(spark), 0)
+    assert total(st.read_rollup(spark, base, "daily"), "hits") == 93
+
+
+def test_newest_verdict_settles_pending_events_only(spark):
+    events = spark.createDataFrame(
+        [(1, "a", "h", "pending", "ai"), (2, "a", "h", "none", "ai"), (3, "a", "g", "pending", "ai"), (4, "b", "h", "pending", "ai")],
+        "id bigint, bot string, ip_hash string, vstate string, cls string")
+    rows = [("rdns", "a", "h", 0, "verified", 5), ("rdns", "a", "h", 0, "failed", 9), ("rdns", "a", "g", 0, "retry", 9), ("sig", "b", "", 4, "verified", 1)]
+    verdicts = spark.createDataFrame(rows, "kind string, bot string, ip_hash string, event_id bigint, verdict string, decided_at bigint")
+    got = {r.id: (r.vstate, r.cls) for r in verify.settle(events, verdicts).collect()}
+    assert got == {1: ("failed", "spoofed"), 2: ("none", "ai"), 3: ("pending", "ai"), 4: ("verified", "ai")}
+
+
+def test_any_name_of_an_address_may_confirm_it(spark):
+    queue = spark.createDataFrame([("googlebot", "66.249.66.1"), ("googlebot", "66.249.66.2"), ("googlebot", "66.249.66.3")], "bot string, ip string")
+    ptr = spark.createDataFrame([("66.249.66.1", "x.example"), ("66.249.66.1", "crawl-1.googlebot.com."), ("66.249.66.2", "evil.example")], "ip string, host string")
+    fwd = spark.createDataFrame([("crawl-1.googlebot.com", ["66.249.66.1"]), ("evil.example", ["66.249.66.2"])], "host string, ips array<string>")
+    got = {r.ip: r.verdict for r in verify.check_rdns(queue, ptr, fwd, R).collect()}
+    assert got == {"66.249.66.1": "verified", "66.249.66.2": "failed", "66.249.66.3": "retry"}

@@ -6,6 +6,9 @@ subject, n); `raise_alerts` drops candidates whose key fired within its cooldown
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from trailmark.config import Config, DAY
@@ -191,6 +194,21 @@ def snapshot_alerts(snapshots: DataFrame, config: Config) -> DataFrame:
         F.lit("").alias("subject"), F.col("f.n").alias("n"))
 
 
+def _fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Times that fire, from rows ordered by key and time; `last` is the key's last time before them."""
+    key, last = None, None
+    for b in batches:
+        keys, times = [], []
+        for dedupe, at, cooldown, before in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if dedupe != key:
+                key, last = dedupe, before
+            if last is None or last <= at - cooldown:
+                keys.append(dedupe)
+                times.append(at)
+                last = at
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(times, pa.int64())], names=["dedupe", "at"])
+
+
 def union_rules(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -201,25 +219,23 @@ def union_rules(*frames: DataFrame) -> DataFrame:
 def raise_alerts(candidates: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Candidates whose key did not fire within the cooldown, in time order.
 
-    stored: dedupe, created_at of earlier alerts. A key's distinct candidate
-    times are folded in order; at most one per run of the rules.
+    stored: dedupe, created_at of earlier alerts. Distinct candidate times, which
+    merge map-side, are walked in order, key after key; the walk keeps one number
+    and never a key's list of times.
     """
     dedupe = F.concat_ws(":", "rule", "key")
     rows = candidates.withColumn("dedupe", dedupe)
     first = Window.partitionBy("dedupe", "at").orderBy(F.desc("severity"), "subject")
     rows = rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    times = rows.groupBy("dedupe").agg(
-        F.array_sort(F.collect_set(F.struct("at", "cooldown"))).alias("times"))
+    times = rows.groupBy("dedupe", "at").agg(F.min("cooldown").alias("cooldown"))
     if stored is not None:
         last = stored.groupBy("dedupe").agg(F.max("created_at").alias("last"))
         times = times.join(last, "dedupe", "left")
     else:
         times = times.withColumn("last", F.lit(None).cast("bigint"))
-    start = F.struct(F.col("last").alias("last"), F.expr("array()").cast("array<bigint>").alias("fired"))
-    fires = lambda acc, t: acc["last"].isNull() | (acc["last"] <= t["at"] - t["cooldown"])
-    folded = F.aggregate("times", start, lambda acc, t: F.when(
-        fires(acc, t), F.struct(t["at"].alias("last"), F.concat(acc["fired"], F.array(t["at"])).alias("fired"))).otherwise(acc))
-    kept = times.select("dedupe", F.explode(folded["fired"]).alias("at"))
+    ordered = times.select("dedupe", F.col("at").cast("bigint"), F.col("cooldown").cast("bigint"), F.col("last").cast("bigint")
+                           ).repartition("dedupe").sortWithinPartitions("dedupe", "at")
+    kept = ordered.mapInArrow(_fire, "dedupe string, at bigint")
     return rows.join(kept, ["dedupe", "at"]).select(
         "rule", "dedupe", "severity", "subject", "n", F.lit("unread").alias("status"), F.col("at").alias("created_at"))
 

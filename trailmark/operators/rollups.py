@@ -149,12 +149,13 @@ def referrals(visits: DataFrame) -> DataFrame:
 
 
 def agents(classified: DataFrame, config: Config) -> DataFrame:
-    """Unrecognised agents by the hash of their name; imported logs do not count hits."""
+    """Unrecognised agents by the hash of their name, with their newest class; imported logs do not count hits."""
     rows = classified.filter(F.col("cls").isin("unknown", "potential"))
     if not config.track_unknown:
         rows = rows.limit(0)
     return (
-        rows.groupBy("ua", "cls").agg(
+        rows.groupBy("ua").agg(
+            F.max_by("cls", F.struct("ts", "cls")).alias("cls"),
             F.count_if(F.col("source") == "live").alias("hits"),
             F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         )
@@ -276,8 +277,8 @@ def build_rollups(events: DataFrame, root: str) -> None:
 
 
 def write_partitioned(rows: DataFrame, path: str) -> None:
-    """Replace only the days present in `rows`."""
+    """Replace only the days present in `rows`; a day is written by as many tasks as its size asks for."""
     (
-        rows.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("day").parquet(path)
     )

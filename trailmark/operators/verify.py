@@ -114,19 +114,20 @@ def check_rdns(queue: DataFrame, ptr: DataFrame, fwd: DataFrame, registry: Regis
     for bot, ends in suffixes.items():
         allowed = F.when(F.col("bot") == bot, F.array(*[F.lit(e) for e in ends])).otherwise(allowed)
     name = lambda c: F.lower(F.regexp_replace(c, r"\.+$", ""))
-    answers = ptr.select("ip", name(F.col("host")).alias("host")).dropDuplicates(["ip"])
+    names = ptr.select("ip", name(F.col("host")).alias("host")).distinct()
     forward = fwd.select(name(F.col("host")).alias("host"), F.explode("ips").alias("ip")).distinct().withColumn("confirmed", F.lit(True))
-    joined = queue.join(answers, "ip", "left").join(forward, ["host", "ip"], "left").withColumn("ends", allowed)
-    host_ok = F.exists("ends", lambda s: F.col("host").endswith(s))
+    # an address may have several names; any that leads back to it will do
+    answers = names.join(forward, ["host", "ip"], "left").groupBy("ip").agg(
+        F.collect_set("host").alias("hosts"), F.collect_set(F.when(F.col("confirmed"), F.col("host"))).alias("sure"))
+    joined = queue.join(answers, "ip", "left").withColumn("ends", allowed)
+    ours = lambda hosts: F.exists(hosts, lambda h: F.exists("ends", lambda s: h.endswith(s)))
     verdict = (
         F.when(F.col("ends").isNull() | ~net.is_ip(F.col("ip")), "failed")
-        .when(F.col("host").isNull(), "retry")
-        .when(F.col("host") == "", "failed")
-        .when(~host_ok, "failed")
-        .when(F.coalesce("confirmed", F.lit(False)), "verified")
+        .when(F.col("hosts").isNull(), "retry")
+        .when(ours("sure"), "verified")
         .otherwise("failed")
     )
-    return joined.withColumn("verdict", verdict).drop("ends", "confirmed")
+    return joined.withColumn("verdict", verdict).drop("ends", "hosts", "sure")
 
 
 def expire(queue: DataFrame, config: Config) -> DataFrame:
@@ -141,20 +142,28 @@ def settle(events: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Put decided verdicts on pending events.
 
     verdicts: kind ('rdns' by bot + ip_hash, 'sig' by event_id), bot, ip_hash,
-    event_id, verdict. `retry` leaves an event pending.
+    event_id, verdict and, if there is one, decided_at. `retry` leaves an event
+    pending. Of several verdicts the newest counts, at equal times a failure.
+    Only pending events are joined; all others pass as they are.
     """
     done = verdicts.filter("verdict <> 'retry'")
-    dns = done.filter("kind = 'rdns'").select("bot", "ip_hash", F.col("verdict").alias("_dns")).dropDuplicates(
-        ["bot", "ip_hash"])
-    sig = done.filter("kind = 'sig'").select(F.col("event_id").alias("id"), F.col("verdict").alias("_sig")
-                                              ).dropDuplicates(["id"])
+    when = F.col("decided_at") if "decided_at" in verdicts.columns else F.lit(0)
+    newest = F.max_by("verdict", F.struct(when, F.col("verdict") == "failed"))
+    dns = done.filter("kind = 'rdns'").groupBy("bot", "ip_hash").agg(newest.alias("_dns"))
+    sig = done.filter("kind = 'sig'").groupBy(F.col("event_id").alias("id")).agg(newest.alias("_sig"))
     found = F.coalesce("_sig", "_dns")
-    hit = (F.col("vstate") == "pending") & found.isNotNull()
-    return (
-        events.join(dns, ["bot", "ip_hash"], "left").join(sig, "id", "left")
-        .withColumn("cls", F.when(hit & (found == "failed"), "spoofed").otherwise(F.col("cls")))
-        .withColumn("vstate", F.when(hit, found).otherwise(F.col("vstate"))).drop("_dns", "_sig")
+    waiting, rest = _pending(events)
+    settled = (
+        waiting.join(dns, ["bot", "ip_hash"], "left").join(sig, "id", "left")
+        .withColumn("cls", F.when(found == "failed", "spoofed").otherwise(F.col("cls")))
+        .withColumn("vstate", F.coalesce(found, "vstate")).select(*events.columns)
     )
+    return rest.unionByName(settled)
+
+
+def _pending(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    waiting = F.coalesce(F.col("vstate") == "pending", F.lit(False))
+    return events.filter(waiting), events.filter(~waiting)
 
 
 def repair_orphans(events: DataFrame, queue: DataFrame) -> DataFrame:
@@ -163,11 +172,12 @@ def repair_orphans(events: DataFrame, queue: DataFrame) -> DataFrame:
         "_e", F.lit(True))
     by_address = queue.filter("kind = 'rdns'").select("bot", "ip_hash").distinct().withColumn("_a", F.lit(True))
     queued = F.coalesce("_e", F.lit(False)) | F.coalesce("_a", F.lit(False))
-    return (
-        events.join(by_event, "id", "left").join(by_address, ["bot", "ip_hash"], "left")
-        .withColumn("vstate", F.when((F.col("vstate") == "pending") & ~queued, "none").otherwise(F.col("vstate")))
-        .drop("_e", "_a")
+    waiting, rest = _pending(events)
+    repaired = (
+        waiting.join(by_event, "id", "left").join(by_address, ["bot", "ip_hash"], "left")
+        .withColumn("vstate", F.when(queued, F.col("vstate")).otherwise("none")).select(*events.columns)
     )
+    return rest.unionByName(repaired)
 
 
 def backlog(queue: DataFrame, ranges: DataFrame, events: DataFrame, watermark: int, config: Config) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -52,16 +53,19 @@ def _partials(batch: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def fold_batch(root: str) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` sink that writes the partial rollups of a batch under its number."""
+def fold_batch(root: str, kind: str = "live") -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` sink that writes the partial rollups of a batch under its kind and number.
+
+    Numbers of the stream, of late imports (`late`) and of compacted history (`base`) never meet.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parts = _partials(batch)
         cube = parts.pop("cube")
         try:
             for name, df in parts.items():
-                df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
-            sessions.grain(batch).write.mode("overwrite").parquet(f"{root}/session_grain/batch={batch_id}")
+                df.write.mode("overwrite").parquet(f"{root}/{name}/batch={kind}-{batch_id}")
+            sessions.grain(batch).write.mode("overwrite").parquet(f"{root}/session_grain/batch={kind}-{batch_id}")
         finally:
             cube.unpersist()
 
@@ -84,10 +88,10 @@ def read_sessions(spark: SparkSession, root: str) -> DataFrame:
 def compact(spark: SparkSession, source: str, target: str) -> None:
     """Merge every batch into one, in a new folder; the old folder stays valid until readers move over."""
     for name, merge in MERGE.items():
-        merge(spark.read.parquet(f"{source}/{name}").drop("batch")).write.mode("overwrite").parquet(f"{target}/{name}/batch=0")
+        merge(spark.read.parquet(f"{source}/{name}").drop("batch")).write.mode("overwrite").parquet(f"{target}/{name}/batch=base-0")
     grain = spark.read.parquet(f"{source}/session_grain").drop("batch").groupBy("bot", "ts", "url_hash", "ip_hash").agg(
         F.sum("hits").alias("hits"), F.sum("errors").alias("errors"))
-    grain.write.mode("overwrite").parquet(f"{target}/session_grain/batch=0")
+    grain.write.mode("overwrite").parquet(f"{target}/session_grain/batch=base-0")
 
 
 def start_rollups(events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -99,7 +103,7 @@ def start_rollups(events: DataFrame, root: str, checkpoint: str, trigger: dict |
 
 def backfill(events: DataFrame, root: str, batch_id: int) -> None:
     """Late or imported requests: the same tables, under a batch number of their own."""
-    fold_batch(root)(events, batch_id)
+    fold_batch(root, "late")(events, batch_id)
 
 
 # streaming aggregations ----------------------------------------------------------
@@ -131,22 +135,23 @@ def gap_sessions(events: DataFrame, gap_minutes: int = 30, delay: str = WATERMAR
 
 
 def settled(events: DataFrame, verdicts: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """Hold pending events until their verdict arrives or two days pass (then `none`).
+    """Hold pending events until their verdict arrives or two days pass (then `none`); others pass at once.
 
-    verdicts: bot, ip_hash, verdict, decided_at (unix seconds).
+    verdicts: bot, ip_hash, verdict, decided_at (unix seconds). A verdict serves events up to two days older and a
+    week younger than it, as a cached one does. An event that meets several verdicts leaves once, with the first
+    that reaches it.
     """
-    e = event_time(events).withWatermark("event_time", delay)
+    waiting = F.coalesce(F.col("vstate") == "pending", F.lit(False))
+    e = event_time(events.filter(waiting)).withWatermark("event_time", delay)
     v = verdicts.select(
         F.col("bot").alias("v_bot"), F.col("ip_hash").alias("v_hash"), "verdict", F.timestamp_seconds("decided_at").alias("decided")
     ).withWatermark("decided", delay)
-    match = F.expr("bot = v_bot and ip_hash = v_hash and vstate = 'pending' and decided >= event_time and decided <= event_time + interval 2 days")
-    joined = e.join(v, match, "leftOuter")
-    pending = F.col("vstate") == "pending"
+    match = F.expr("bot = v_bot and ip_hash = v_hash and decided >= event_time - interval 7 days and decided <= event_time + interval 2 days")
+    joined = e.join(v, match, "leftOuter").select(*events.columns, "event_time", "verdict").dropDuplicatesWithinWatermark(["id"])
     verdict = F.coalesce("verdict", F.lit("none"))
-    return joined.select(
-        *[c for c in events.columns if c not in ("vstate", "cls")],
-        F.when(pending & (verdict == "failed"), "spoofed").otherwise(F.col("cls")).alias("cls"),
-        F.when(pending, verdict).otherwise(F.col("vstate")).alias("vstate"))
+    done = joined.withColumns({
+        "cls": F.when(verdict == "failed", "spoofed").otherwise(F.col("cls")), "vstate": verdict}).select(*events.columns)
+    return events.filter(~waiting).unionByName(done)
 
 
 # keyed state -------------------------------------------------------------------
@@ -160,25 +165,38 @@ def first_seen(keys: DataFrame, delay: str = "365 days") -> DataFrame:
     return event_time(keys).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["kind", "key"]).drop("event_time")
 
 
-def cooled_alerts(candidates: DataFrame) -> DataFrame:
-    """Alert cooldown with keyed state: a key fires again only after its cooldown (dedupe, at, cooldown)."""
+def cooled_alerts(candidates: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    """Alert cooldown with keyed state: a key fires again only after its cooldown (dedupe, at, cooldown).
+
+    The state is one time per key and leaves once the watermark has passed its cooldown. Within a batch a key's
+    distinct times are gathered as numbers, frame by frame.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def fire(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        times = pd.concat([b[["at", "cooldown"]] for b in batches]).drop_duplicates().sort_values("at")
-        fired = []
+        times = pd.DataFrame({"at": [], "cooldown": []}, dtype="int64")
+        for b in batches:
+            times = pd.concat([times, b[["at", "cooldown"]]]).drop_duplicates()
+        times = times.sort_values("at")
+        fired, wait = [], 0
         for at, cooldown in times.itertuples(index=False):
             if last is None or last <= at - cooldown:
                 fired.append(at)
-                last = int(at)
-        state.update((last,))
+                last, wait = int(at), int(cooldown)
+        if last is not None:
+            state.update((last,))
+            # not before the watermark, which may be ahead of late candidates
+            state.setTimeoutTimestamp(max((last + wait) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"dedupe": [key[0]] * len(fired), "created_at": fired})
 
-    # one row per key and time before the state, so repeats of a candidate are not sent to it
-    return candidates.groupBy("dedupe").applyInPandasWithState(
-        fire, "dedupe string, created_at bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    timed = candidates.withColumn("event_time", F.timestamp_seconds("at")).withWatermark("event_time", delay)
+    return timed.groupBy("dedupe").applyInPandasWithState(
+        fire, "dedupe string, created_at bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def import_batches(done_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
@@ -190,7 +208,10 @@ def import_batches(done_path: str, out_path: str) -> Callable[[DataFrame, int],
             # a retried batch must not be stopped by its own record
             done = spark.read.schema("file_key string, batch bigint, epoch bigint").parquet(done_path).filter(
                 F.col("epoch") != batch_id).drop("epoch")
-        except Exception:  # noqa: BLE001 - nothing recorded yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            # nothing is recorded yet
             done = spark.createDataFrame([], "file_key string, batch bigint")
         fresh = batch.join(done, ["file_key", "batch"], "left_anti")
         fresh.write.mode("overwrite").parquet(f"{out_path}/epoch={batch_id}")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -187,12 +188,12 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for files a query writes: the cluster's shared folder, else a temporary one in tests."""
+    """A new folder for files a query writes, in the cluster's shared folder; a temporary one on a local master only."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        import uuid
-
         return os.path.join(shared, f"trailmark-{name}-{uuid.uuid4().hex}")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"spark-{name}-")
 
 

@@ -281,8 +281,8 @@ def request_files(spark, d, parts=4):
     return out
 
 
-def stream_of(spark, path):
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
+def stream_of(spark, path, files=2):
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def run(query):
@@ -367,30 +367,38 @@ def stream_first_seen(spark, d):
     return to_table(spark, st.first_seen(rows).select("key"), "append", "first")
 
 
-@query("stream_cooled_alerts")
+@query("stream_cooled_alerts", "SELECT dedupe, t AS created_at FROM walk WHERE fired", """
+cand AS (SELECT DISTINCT 'spoof:' || bot AS dedupe, ts AS t FROM requests WHERE cls = 'spoofed'),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY dedupe ORDER BY t) AS rn FROM cand),
+walk AS (SELECT dedupe, t, rn, TRUE AS fired, t AS last FROM ordered WHERE rn = 1
+  UNION ALL SELECT o.dedupe, o.t, o.rn, w.last <= o.t - 259200, CASE WHEN w.last <= o.t - 259200 THEN o.t ELSE w.last END
+  FROM walk w JOIN ordered o ON o.dedupe = w.dedupe AND o.rn = w.rn + 1)""", True)
 def stream_cooled_alerts(spark, d):
-    rows = stream_of(spark, request_files(spark, d, 1)).filter("cls = 'spoofed'").select(
+    """The files aren't ordered by time, so they are one batch of several tasks."""
+    rows = stream_of(spark, request_files(spark, d), 100).filter("cls = 'spoofed'").select(
         F.concat(F.lit("spoof:"), "bot").alias("dedupe"), F.col("ts").alias("at"), F.lit(3 * 86400).cast("bigint").alias("cooldown"))
     return to_table(spark, st.cooled_alerts(rows), "append", "cooled")
 
 
 @query("stream_settled", """SELECT id, CASE WHEN bot <> 'googlebot' THEN vstate WHEN k % 3 = 0 THEN 'verified' WHEN k % 3 = 1 THEN 'failed' ELSE 'none' END AS vstate,
   CASE WHEN bot = 'googlebot' AND k % 3 = 1 THEN 'spoofed' ELSE cls END AS cls
-FROM (SELECT *, CAST(regexp_extract(ip, '([0-9]+)$', 1) AS INT) AS k FROM requests) WHERE bot <> 'googlebot' OR k % 3 < 2 OR ts < (SELECT max(ts) FROM requests) - 5 * 86400""")
+FROM (SELECT *, CAST(regexp_extract(ip, '([0-9]+)$', 1) AS INT) AS k FROM requests)""")
 def stream_settled(spark, d):
-    """Pending events meet their verdict within two days; those without one are released as unverified later."""
+    """Pending events meet their verdict; those without one are released as unverified once an event and a verdict of
+    two months later have come."""
     src, answers = b.scratch_dir(spark, "pending"), b.scratch_dir(spark, "verdicts")
     rows = pending(spark, d)
     k = F.substring_index("ip", ".", -1).cast("int")
-    rows.repartition(1).write.mode("overwrite").parquet(src)
-    # one verdict per event, so that a repeated address is not multiplied
+    late = b.AS_OF + 60 * 86400
+    marker = rows.filter("bot = 'googlebot'").limit(1).withColumns({
+        "id": F.lit(-1).cast("bigint"), "ts": F.lit(late).cast("bigint"), "ip_hash": F.lit("marker")})
+    rows.unionByName(marker).write.mode("overwrite").parquet(src)
+    # two equal verdicts for each address and day, each for all of the day's events of the address
+    day = F.col("ts") - F.col("ts") % 86400
     decided = rows.filter("bot = 'googlebot'").select(
-        F.concat("bot", F.lit("#"), F.col("id").cast("string")).alias("bot"), "ip_hash",
-        F.when(k % 3 == 0, "verified").when(k % 3 == 1, "failed").alias("verdict"), (F.col("ts") + 60).alias("decided_at"))
-    decided.filter("verdict is not null").repartition(1).write.mode("overwrite").parquet(answers)
-    events = stream_of(spark, src).withColumn("bot", F.when(F.col("bot") == "googlebot", F.concat("bot", F.lit("#"), F.col("id").cast("string"))).otherwise(F.col("bot")))
-    out = to_table(spark, st.settled(events, stream_of(spark, answers)).select("id", "vstate", "cls"), "append", "settled")
-    last = b.requests(spark, d).agg(F.max("ts")).scalar()
-    kept = out.join(rows.select("id", "ts", F.col("bot").alias("b"), k.alias("k")), "id")
-    # unmatched events near the end of the data are still held back by the watermark
-    return kept.filter(~((F.col("b") == "googlebot") & (F.col("k") % 3 == 2) & (F.col("ts") >= last - 5 * 86400))).select("id", "vstate", "cls")
+        "bot", "ip_hash", F.when(k % 3 == 0, "verified").when(k % 3 == 1, "failed").alias("verdict"), day.alias("decided_at"))
+    decided = decided.filter("verdict is not null").distinct()
+    done = marker.select("bot", "ip_hash", F.lit("verified").alias("verdict"), F.col("ts").alias("decided_at"))
+    decided.unionByName(decided.withColumn("decided_at", F.col("decided_at") + 60)).unionByName(done).write.mode("overwrite").parquet(answers)
+    out = to_table(spark, st.settled(stream_of(spark, src, 100), stream_of(spark, answers, 100)).select("id", "vstate", "cls"), "append", "settled")
+    return out.filter("id >= 0")

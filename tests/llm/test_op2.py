@@ -77,7 +77,5 @@ def test_equal_windows_of_repetitive_data(letters):
 
 
 def test_the_cover_reaches_every_pair():
-    for r in range(31):
-        for s in range(31):
-            d = suffixes.SHIFT[r, s]
-            assert (r + d) % 31 in suffixes.COVER and (s + d) % 31 in suffixes.COVER
+    cover = set(suffixes.COVER)
+    assert all(any({(r + d) % 31, (s + d) % 31} <= cover for d in range(31)) for r in range(31) for s in range(31))

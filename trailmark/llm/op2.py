@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from trailmark.llm.shared import documents
 from trailmark.llm.suffixes import WIDTH, equal_windows, runs
 
-#: Bytes of text in a block, and of runs in a bucket, about.
-BLOCK, BUCKET = 8 << 20, 5 << 20
+#: Bytes of text in a block, and of runs in a bucket, about; buckets that travel, and are decompressed, together.
+BLOCK, BUCKET, TOGETHER = 8 << 20, 2 << 20, 24
 #: A text's bytes travel about so many times in runs.
 SPREAD = 3.3
 
@@ -68,6 +68,40 @@ def _marks(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
+def _earlier(data: bytes, sizes: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For one bucket's runs (texts one after another, their sizes and least documents): run, first window, windows and
+    document of each stretch of windows that a smaller document than the run's own has, ordered by run.
+
+    Equal runs are sorted once, with the least document of all of them.
+    """
+    ends = np.cumsum(sizes)
+    number: dict[bytes, int] = {}
+    same = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64)
+    lengths = np.array([len(t) for t in number], np.int64)
+    first = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(first, same, least)
+    count = lengths - WIDTH + 1  # windows of each distinct run
+    of_run = np.repeat(np.arange(len(lengths)), count)
+    inside = np.arange(len(of_run)) - (np.cumsum(count) - count)[of_run]
+    window, klass = equal_windows(np.frombuffer(b"".join(number), np.uint8), (np.cumsum(lengths) - lengths)[of_run] + inside)
+    found = first[of_run]
+    smallest = np.full(int(klass.max()) + 1 if len(klass) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, klass, found[window])
+    found[window] = smallest[klass]
+    # neighbouring windows of a run with the same earliest document are one stretch
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (of_run[1:] != of_run[:-1])
+    head = np.flatnonzero(new)
+    length = np.diff(np.append(head, len(found)))
+    # each run has the stretches of its distinct run, as far as their documents are smaller than its own
+    low, high = np.searchsorted(of_run[head], [same, same + 1])
+    run = np.repeat(np.arange(len(same)), high - low)
+    stretch = np.arange(len(run)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[run]
+    better = found[head[stretch]] < least[run]
+    run, stretch = run[better], stretch[better]
+    return run, inside[head[stretch]], length[stretch], found[head[stretch]]
+
+
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, kept_sha256, spans (start, end of each removed stretch, in bytes) for each row of docs; with `texts`, kept too.
 
@@ -77,50 +111,41 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """
     held = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, buckets = max(1, -(-total // BLOCK)), max(1, int(total * SPREAD) // BUCKET)
+    blocks, groups = max(1, -(-total // BLOCK)), max(1, int(total * SPREAD) // (BUCKET * TOGETHER))
+    buckets = groups * TOGETHER
     dealt = held.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
     def cut(table: pa.Table) -> pa.Table:
         b = _Block(table, buckets)
         order = np.argsort(b.bucket, kind="stable")
-        edges = np.flatnonzero(np.append(True, np.diff(b.bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+        cuts = np.searchsorted(b.bucket[order], np.arange(0, buckets + 1, TOGETHER))
         rows = []
-        for i, k in enumerate(edges.tolist()):
-            own = order[k : edges[i + 1] if i + 1 < len(edges) else len(order)]
+        for g in np.flatnonzero(np.diff(cuts)).tolist():
+            own = order[cuts[g] : cuts[g + 1]]
             some = [b.texts[r] for r in own.tolist()]
-            rows.append((int(b.bucket[own[0]]), _pack(own.astype("<u4"), np.array([len(t) for t in some], "<u4"), b.least_doc[own].astype("<i8"), data=b"".join(some))))
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(rows), pa.int32()), "runs": pa.array([r[1] for r in rows], pa.binary())})
+            each = np.bincount(b.bucket[own] - g * TOGETHER, minlength=TOGETHER)  # runs of each bucket, in order
+            rows.append((g, _pack(each.astype("<u4"), own.astype("<u4"), np.array([len(t) for t in some], "<u4"), b.least_doc[own].astype("<i8"), data=b"".join(some))))
+        return pa.table({"group": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(rows), pa.int32()), "runs": pa.array([r[1] for r in rows], pa.binary())})
 
     def sort(table: pa.Table) -> pa.Table:
-        parts = [(block, *_unpack(blob.as_py(), "<u4", "<u4", "<i8")) for block, blob in zip(table["block"].to_pylist(), table["runs"], strict=True)]
-        sizes = np.concatenate([p[1][1] for p in parts]).astype(np.int64)
-        least = np.concatenate([p[1][2] for p in parts])
-        data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
-        count = sizes - WIDTH + 1  # windows of each run
-        before = np.cumsum(count) - count
-        of_run = np.repeat(np.arange(len(sizes)), count)
-        inside = np.arange(len(of_run)) - before[of_run]
-        starts = (np.cumsum(sizes) - sizes)[of_run] + inside
-        window, klass = equal_windows(data, starts)
-        smallest = np.full(int(klass.max()) + 1 if len(klass) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, klass, least[of_run[window]])
-        found = smallest[klass]
-        better = found < least[of_run[window]]
-        window, found = window[better], found[better]
-        at = np.argsort(window)
-        window, found = window[at], found[at]
-        # neighbouring windows of a run with the same earlier document are one stretch
-        new = np.ones(len(window), bool)
-        new[1:] = (window[1:] != window[:-1] + 1) | (found[1:] != found[:-1]) | (of_run[window[1:]] != of_run[window[:-1]])
-        head = np.flatnonzero(new)
-        length = np.diff(np.append(head, len(window)))
-        run, offset, doc = of_run[window[head]], inside[window[head]], found[head]
-        rows, low = [], 0
-        for block, (own, _, _), _ in parts:
-            a, b = np.searchsorted(run, [low, low + len(own)])
-            if b > a:
-                rows.append((block, _pack(own[run[a:b] - low].astype("<u4"), offset[a:b].astype("<u4"), length[a:b].astype("<u4"), doc[a:b].astype("<i8"))))
-            low += len(own)
+        parts = [_unpack(blob.as_py(), "<u4", "<u4", "<u4", "<i8") for blob in table["runs"]]
+        cuts = [np.concatenate(([0], np.cumsum(p[0][0], dtype=np.int64))) for p in parts]
+        bytes_at = [np.concatenate(([0], np.cumsum(p[0][2], dtype=np.int64))) for p in parts]
+        answers: list[list[list[np.ndarray]]] = [[] for _ in parts]
+        for k in range(TOGETHER):  # one bucket at a time
+            mine = [slice(c[k], c[k + 1]) for c in cuts]
+            sizes = np.concatenate([p[0][2][m] for p, m in zip(parts, mine, strict=True)]).astype(np.int64)
+            least = np.concatenate([p[0][3][m] for p, m in zip(parts, mine, strict=True)])
+            data = b"".join(p[1][at[m.start] : at[m.stop]] for p, m, at in zip(parts, mine, bytes_at, strict=True))
+            run, offset, length, doc = _earlier(data, sizes, least)
+            low = 0
+            for answer, (arrays, _), m in zip(answers, parts, mine, strict=True):
+                own = arrays[1][m]
+                a, b = np.searchsorted(run, [low, low + len(own)])
+                if b > a:
+                    answer.append([own[run[a:b] - low], offset[a:b], length[a:b], doc[a:b]])
+                low += len(own)
+        rows = [(block, _pack(*(np.concatenate(x).astype(t) for x, t in zip(zip(*answer, strict=True), ("<u4", "<u4", "<u4", "<i8"), strict=True)))) for block, answer in zip(table["block"].to_pylist(), answers, strict=True) if answer]
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "stretches": pa.array([r[1] for r in rows], pa.binary())})
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -157,8 +182,8 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
         return pa.table([table["doc_id"].combine_chunks() if table.num_rows else pa.array([], pa.int64()), *cols], names=["doc_id", "n_bytes", "n_removed", "kept_sha256", "spans", "kept"])
 
-    cut_up = dealt.groupBy("block").applyInArrow(cut, "bucket int, block int, runs binary")
-    replies = cut_up.groupBy("bucket").applyInArrow(sort, "block int, stretches binary")
+    cut_up = dealt.groupBy("block").applyInArrow(cut, "group int, block int, runs binary")
+    replies = cut_up.groupBy("group").applyInArrow(sort, "block int, stretches binary")
     schema = "doc_id long, n_bytes long, n_removed long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary"
     out = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
     return out if texts else out.drop("kept")

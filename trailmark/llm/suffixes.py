@@ -17,8 +17,6 @@ WIDTH, GRAM = 50, 8
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
-#: SHIFT[r, s]: the least d with both r + d and s + d in COVER, modulo PERIOD.
-SHIFT = np.array([[next(d for d in range(PERIOD) if _IN_COVER[(r + d) % PERIOD] and _IN_COVER[(s + d) % PERIOD]) for s in range(PERIOD)] for r in range(PERIOD)])
 
 
 def words(data: np.ndarray) -> np.ndarray:
@@ -64,7 +62,7 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _resort(order: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Within each group of `order`, sorts by key; what is alone then leaves. group: ascending numbers."""
-    at = np.lexsort((key, group)) if len(group) and group[-1] else np.argsort(key, kind="stable")
+    at = np.lexsort((key, group)) if len(group) and group[-1] else np.argsort(key)
     order, group, key = order[at], group[at], key[at]
     new = np.ones(len(order), bool)
     new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
@@ -107,20 +105,15 @@ def equal_windows(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     rank[sample] = np.arange(len(sample))
     parts = [v[np.minimum(sample + k, len(v) - 1)] for k in range(0, 56, 8)]
     agree = np.append(0, _common([p[:-1] for p in parts], [p[1:] for p in parts])) if len(sample) else np.zeros(0, np.int64)
-    done_order, done_class, classes = [], [], 0
-    while len(order):
-        new = np.ones(len(order), bool)
-        new[1:] = group[1:] != group[:-1]
-        which = np.cumsum(new) - 1
-        a, b = starts[order[new]][which], starts[order]  # each group's first window stands for it
-        shift = SHIFT[a % PERIOD, b % PERIOD]
-        same = np.zeros(len(order), bool)
-        for d in np.unique(shift):
-            at = np.flatnonzero(shift == d)
+    # a shift brings together all suffixes that it leads to ranked positions; any two meet at some shift, so the first
+    # of equal windows meets each of the others, and one turn over the shifts gives all of them its number
+    at, klass = starts[order], np.arange(len(order))
+    for d in range(PERIOD):
+        here = np.flatnonzero(_IN_COVER[(at + d) % PERIOD])
+        if len(here):
             upto = np.cumsum(agree < WIDTH - d)  # ranks that agree on WIDTH - d bytes share a number
-            same[at] = upto[rank[a[at] + d]] == upto[rank[b[at] + d]]
-        done_order.append(order[same])
-        done_class.append(which[same] + classes)
-        classes += int(new.sum())
-        order, group = order[~same], group[~same]
-    return np.concatenate(done_order), np.concatenate(done_class)
+            key = group[here] * (len(sample) + 1) + upto[rank[at[here] + d]]
+            by = np.argsort(key)
+            head = np.flatnonzero(np.append(True, np.diff(key[by]) != 0))
+            klass[here[by]] = np.repeat(np.minimum.reduceat(klass[here[by]], head), np.diff(np.append(head, len(here))))
+    return order, klass

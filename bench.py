@@ -22,6 +22,10 @@ from trailmark.sources import logs  # noqa: E402
 from workload import bridge as b, content_queries as cq, ingest_queries as iq, quality_queries as qq  # noqa: E402
 
 
+#: Requests that the fold and the reports run on, at least.
+EVENTS = 1_000_000
+
+
 def main() -> None:
     d = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -35,11 +39,19 @@ def main() -> None:
     C, R = b.CONFIG, b.REGISTRY
 
     # inputs as they arrive in use: stored requests, log lines, an inventory
-    b.requests(spark, d).repartition(int(cpus)).write.parquet(f"{root}/requests")
+    # the given requests, repeated some seconds apart until there are at least a million
+    given = b.requests(spark, d)
+    copies = -(-EVENTS // given.count())
+    k = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("k")
+    many = given.select("*", k).withColumns({"id": F.col("id") * copies + F.col("k"), "ts": F.col("ts") + F.col("k") * 7}).drop("k")
+    many.repartition(int(cpus)).write.parquet(f"{root}/requests")
     b.visits(spark, d).write.parquet(f"{root}/visits")
     b.inventory(spark, d).write.parquet(f"{root}/pages")
     b.findings(spark, d).write.parquet(f"{root}/findings")
-    iq.combined_lines(spark, d).repartition(int(cpus)).write.text(f"{root}/log")
+    lines = iq.combined_lines(spark, d)
+    lines = lines.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("k")).drop("k")
+    lines.repartition(int(cpus)).write.text(f"{root}/log")
+    log_mb = sum(os.path.getsize(os.path.join(f"{root}/log", x)) for x in os.listdir(f"{root}/log") if x.startswith("part-")) / 1e6
     stored = lambda name: spark.read.parquet(f"{root}/{name}")
 
     def run(df) -> None:
@@ -48,13 +60,24 @@ def main() -> None:
     def fold() -> None:
         rollups.build_rollups(stored("requests"), root)
         rollups.referrals(stored("visits")).write.mode("overwrite").parquet(f"{root}/referrals")
+        sessions.sessions(stored("requests")).write.mode("overwrite").parquet(f"{root}/sessions")
+
+    def detail() -> None:
+        """All that a crawler's page shows."""
+        bot = "googlebot"
+        run(t.crawlers(stored("daily_bots"), stored("page_bots"), stored("bots_seen"), R, C).filter(F.col("bot") == bot))
+        run(t.crawler_timeline(spark, stored("daily_bots"), C, bot))
+        run(t.crawler_top_pages(stored("daily"), stored("pages"), C, bot))
+        run(t.latest_sessions(stored("sessions"), bot))
+        run(t.latest_requests(stored("requests"), R, 50, bot))
+        run(t.crawler_breakdowns(stored("requests").filter(F.col("bot") == bot), C))
 
     def terms():
         return cq.page_terms(spark, d)
 
     queries = {
         "rollup_fold": fold,
-        "crawl_sessions": lambda: run(sessions.sessions(stored("requests"))),
+        "crawler_detail": detail,
         "log_parse": lambda: run(logs.parse_lines(logs.read_lines(spark, f"{root}/log"), "combined")),
         "classify": lambda: run(iq.classify.classify_requests(
             stored("requests").select("id", "ts", "ip", "method", "path", "status", "ua", "ms", "source", F.lit("").alias("referer")), R, C)),
@@ -81,7 +104,8 @@ def main() -> None:
         fn()
         seconds[name] = round(time.perf_counter() - t0, 3)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-                      "sf": os.path.basename(d).removeprefix("sf"), "events": stored("requests").count(), "cpus": int(cpus)}))
+                      "sf": os.path.basename(d).removeprefix("sf"), "events": stored("requests").count(), "cpus": int(cpus),
+                      "fold_events_per_sec": round(stored("requests").count() / seconds["rollup_fold"]), "log_mb_per_sec": round(log_mb / seconds["log_parse"], 1)}))
     spark.stop()
 
 

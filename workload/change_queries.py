@@ -9,6 +9,7 @@ from workload import bridge as b
 from workload.content_queries import FACTS, facts
 from workload.quality_queries import ACCESS, PRIORITY, blocked, policy, restated, robots_matrix, site_pages, stored_findings
 from workload.rollup_queries import WEEK_AGO
+from workload.traffic_queries import CRAWLERS_SQL, LIST
 
 QUERIES, ORACLE = {}, {}
 C, R = b.CONFIG, b.REGISTRY
@@ -322,12 +323,18 @@ def export_referrals(spark, d):
     return p.export_referrals(b.referrals(spark, d), R, C)
 
 
-@query("export_crawlers")
+def _utc_sql(ts):
+    return f"coalesce(strftime(to_timestamp({ts}) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), '')"
+
+
+@query("export_crawlers", f"""SELECT name AS crawler, provider AS company, category, {", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in ("requests", "verified", "impersonations", "errors", "avg_ms", "pages"))},
+  {_utc_sql("first_seen")} AS first_seen_utc, {_utc_sql("last_seen")} AS last_seen_utc FROM ({CRAWLERS_SQL})""")
 def export_crawlers(spark, d):
     return p.export_crawlers(traffic.crawlers(b.daily_bots(spark, d), b.page_bots(spark, d), b.bots_seen(spark, d), R, C))
 
 
-@query("export_pages")
+@query("export_pages", f"""SELECT path, title, subtype AS type, {", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {a}" for c, a in (("importance", "importance"), ("score", "score"), ("word_count", "words"), ("inlinks", "internal_links_in")))},
+  {_utc_sql("last_ai")} AS last_ai_crawl_utc, CAST(hits AS VARCHAR) AS hits, coalesce(replace(bots, ',', ' '), '') AS crawlers FROM page_rows""", LIST)
 def export_pages(spark, d):
     return p.export_pages(traffic.page_list(b.inventory(spark, d), b.page_bots(spark, d), b.daily(spark, d), b.daily_pages(spark, d), b.findings(spark, d), R, C, page=None))
 
@@ -371,7 +378,12 @@ def publication_audit(spark, d):
     return audited(spark, d)
 
 
-@query("publication_alerts")
+@query("publication_alerts", f"""SELECT 'publish_guard' AS rule, 'publish_guard:' || page_id || ':' || checks AS dedupe, CASE WHEN important THEN 'critical' ELSE 'warning' END AS severity,
+  CAST(page_id AS VARCHAR) AS subject, n, 'unread' AS status, {b.AS_OF} AS created_at
+FROM (SELECT page_id, important, first_published, string_agg("check", ',' ORDER BY "check") AS checks, count(*) AS n FROM (
+  SELECT page_id, important, first_published, "check", status FROM (SELECT page_id, important, first_published, indexing, coalesce(robots, 'pass') AS robots, canonical, url_change, content FROM audits)
+  UNPIVOT (status FOR "check" IN (indexing, robots, canonical, url_change, content))) WHERE status = 'fail' AND (important OR first_published) GROUP BY ALL)""",
+       SNAP2.replace("CASE WHEN nb = 0 THEN", "CASE WHEN coalesce(nb, 0) = 0 THEN"))
 def publication_alerts(spark, d):
     return a.raise_alerts(a.publish_guard(audited(spark, d), C))
 

@@ -284,7 +284,21 @@ def pages_with_questions(spark, d):
         F.count_if("q").alias("pages_with_questions"), F.count_if(~F.col("analyzed")).alias("not_analyzed"))
 
 
-@query("light_markdown")
+def _markdown_sql():
+    sub = lambda t, pattern, to: f"regexp_replace({t}, '{pattern}', {to}, 'g')"
+    t = "body"
+    for level in range(1, 7):
+        marks = "#" * min(6, max(3, level + 1))
+        t = sub(t, f"(?is)<h{level}\\b[^>]*>\\s*(.*?)\\s*</h{level}>", f"chr(10) || chr(10) || '{marks} \\1' || chr(10) || chr(10)")
+    t = sub(t, "(?i)<li\\b[^>]*>", "chr(10) || '- '")
+    t = sub(t, "(?i)</(p|div|ul|ol|table|tr|blockquote|section|figure)>|<br\\s*/?>", "chr(10) || chr(10)")
+    t = b.unescape_sql(sub(t, "(?s)<[^>]*>", "''"))
+    for had, want in (("[ \\t]+", "' '"), (" *\\n *", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)")):
+        t = sub(t, had, want)
+    return f"SELECT page_id, trim(regexp_replace({t}, '^\\s+|\\s+$', '', 'g')) AS text FROM bodies"
+
+
+@query("light_markdown", _markdown_sql, FACTS)
 def light_markdown(spark, d):
     return b.table(spark, d, "pages").select("page_id", html.light_markdown(html.main_region(html.drop_comments(F.col("html")))).alias("text"))
 

@@ -78,7 +78,7 @@ def timeline(spark, d):
     return text_days(t.timeline(spark, b.daily_bots(spark, d), R, C))
 
 
-@query("crawlers", f"""
+CRAWLERS_SQL = f"""
 SELECT d.bot, coalesce(max(b.name), CASE d.bot WHEN '_signed' THEN 'Signed agent (unknown operator)' ELSE 'Possible AI crawlers' END) AS name,
   max(provider) AS provider, max(category) AS category, bool_or(ai) AS ai,
   CAST(sum(d.hits) FILTER (day >= {b.since(30)}) AS BIGINT) AS requests,
@@ -95,7 +95,10 @@ SELECT d.bot, coalesce(max(b.name), CASE d.bot WHEN '_signed' THEN 'Signed agent
 FROM daily_bots d JOIN bots b ON b.bot = d.bot
 LEFT JOIN (SELECT bot, count(*) AS pages FROM page_bots WHERE last_seen >= {FROM30} GROUP BY bot) p ON p.bot = d.bot
 LEFT JOIN bots_seen s ON s.bot = d.bot
-WHERE day >= {b.since(60)} GROUP BY d.bot""")
+WHERE day >= {b.since(60)} GROUP BY d.bot"""
+
+
+@query("crawlers", CRAWLERS_SQL)
 def crawlers(spark, d):
     out = t.crawlers(b.daily_bots(spark, d), b.page_bots(spark, d), b.bots_seen(spark, d), R, C)
     return out.withColumn("spark", F.array_join(F.transform("spark", lambda x: x.cast("string")), ","))

@@ -111,15 +111,32 @@ def head_facts(html: Column) -> dict[str, Column]:
 CHROME = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg")
 
 
+def _first_element(src: Column, tag: str) -> Column:
+    """What the first element of this name holds, elements of the same name within it included."""
+    inside = F.regexp_extract(src, rf"(?is)<{tag}(?:\s[^>]*)?>(.*)", 1)
+    until_close = F.regexp_extract(inside, rf"(?is)^(.*?)(?:</{tag}\s*>|\z)", 1)
+    either = rf"(?is)</?{tag}(?:\s[^>]*)?>"
+    parts, marks = F.split(inside, either), F.regexp_extract_all(inside, F.lit(either), 0)
+
+    def step(acc: Column, mark: Column) -> Column:
+        depth = acc["depth"] + F.when(mark.startswith("</"), -1).otherwise(1)
+        going = acc["depth"] > 0
+        return F.struct(F.when(going, depth).otherwise(0).alias("depth"), (acc["n"] + F.when(going & (depth > 0), 1).otherwise(0)).alias("n"))
+
+    # marks before the one that closes the element
+    n = F.aggregate(marks, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.get(parts, i), F.when(i < n, F.get(marks, i)).otherwise("")))
+    return F.when(until_close.rlike(rf"(?i)<{tag}[\s>]"), F.array_join(pieces, "")).otherwise(until_close)
+
+
 def main_region(src: Column) -> Column:
     """The main content of a comment-free page: first main, article, role=main, else body, without page chrome."""
     pick = lambda p, i: F.regexp_extract(src, p, i)
-    to_end = lambda tag: rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)"
     role = r"""(?is)<([a-z0-9]+)\s[^>]*\brole\s*=\s*["']?main\b[^>]*>(.*)(?:</\1\s*>|\z)"""
     body = r"(?is)<body(?:\s[^>]*)?>(.*)(?:</body\s*>|\z)"
     region = (
-        F.when(src.rlike(r"(?i)<main[\s>]"), pick(to_end("main"), 1))
-        .when(src.rlike(r"(?i)<article[\s>]"), pick(to_end("article"), 1))
+        F.when(src.rlike(r"(?i)<main[\s>]"), _first_element(src, "main"))
+        .when(src.rlike(r"(?i)<article[\s>]"), _first_element(src, "article"))
         .when(src.rlike(role), pick(role, 2))
         .when(src.rlike(body), F.regexp_replace(pick(body, 1), r"(?is)</body\s*>.*$", ""))
         .otherwise("")

@@ -81,14 +81,15 @@ INTENT = """
 intents AS (SELECT page_id, lower(title || ' ') AS t, title || ' ' || lower(text) AS tb, lower(text) AS b FROM facts)"""
 
 
-@query("page_intent", r"""
-SELECT page_id, CASE
+INTENT_CASE = r"""CASE
   WHEN regexp_matches(t, '\b(buy|price|pricing|order now|add to cart|shop|discount|coupon|free trial|sign up|book now|get a quote)\b') THEN 'transactional'
   WHEN regexp_matches(tb, '\b(near me|opening hours|directions|our location|visit us|in [A-Z][a-z]+)\b') AND regexp_matches(b, '\b(address|phone|call us|opening hours)\b') THEN 'local'
   WHEN regexp_matches(t, '\b(best|top \d+|vs\.?|versus|review|reviews|compared?|comparison|alternatives?|pros and cons)\b') THEN 'commercial'
   WHEN regexp_matches(t, '\b(how|what|why|when|guide|tutorial|tips|ways|steps|explained|meaning|definition|examples?)\b') THEN 'informational'
-  WHEN regexp_matches(t, '\b(contact|about us|login|account|support)\b') THEN 'navigational' ELSE 'informational' END AS intent FROM intents""",
-       FACTS + "," + INTENT)
+  WHEN regexp_matches(t, '\b(contact|about us|login|account|support)\b') THEN 'navigational' ELSE 'informational' END"""
+
+
+@query("page_intent", f"SELECT page_id, {INTENT_CASE} AS intent FROM intents", FACTS + "," + INTENT)
 def page_intent(spark, d):
     return facts(spark, d).select("page_id", F.col("intent.intent").alias("intent"))
 
@@ -268,12 +269,48 @@ def link_suggestions(spark, d):
     return c.suggest_links(terms, ranked, links(spark, d), b.inventory(spark, d), n, C)
 
 
-@query("query_patterns")
+_WORDY = f"len(regexp_extract_all(t, '{WORD}'))"
+_PATTERNS = f"""
+stripped AS (SELECT page_id, lower(trim(title)) AS raw, trim(regexp_replace(regexp_replace(regexp_replace(
+    trim(string_split_regex(lower(title), '\\s[—–|:]\\s|\\s-\\s')[1]),
+    '^(how to|how do (i|you)|what (is|are)|why (is|are|do|does)|the ultimate guide to|a guide to|guide to|the best|best|top \\d+|the|a|an)\\s+', ''),
+    '\\s+(guide|explained|tips|review|reviews|for beginners|\\d{{4}})$', ''), '[?!.]+$', '')) AS t FROM facts),
+subjects AS (SELECT page_id, raw, CASE WHEN {_WORDY} BETWEEN 1 AND 6 THEN t ELSE '' END AS own FROM stripped),
+about AS (SELECT s.page_id, raw, own, CASE WHEN own <> '' THEN own ELSE coalesce(term, '') END AS t, {INTENT_CASE.replace("(t,", "(i.t,")} AS intent
+  FROM subjects s JOIN intents i USING (page_id) LEFT JOIN (SELECT page_id, term FROM ranked WHERE rank = 1) USING (page_id)),
+best AS (SELECT *, CASE WHEN regexp_matches(t, '\\bbest\\b') THEN t ELSE 'best ' || t END AS b FROM about)"""
+
+
+@query("query_patterns", """
+SELECT page_id, own AS subject, CASE WHEN t = '' OR page_id % 11 = 0 THEN '' ELSE array_to_string(list_transform(CASE
+  WHEN raw LIKE '%?' THEN [raw, t || ' explained']
+  WHEN raw LIKE 'how to %' THEN ['how to ' || t, 'how long does it take to ' || t, t || ' step by step', t || ' for beginners', 'common mistakes when you ' || t]
+  WHEN intent = 'transactional' THEN [t || ' price', 'where to buy ' || t, 'is ' || t || ' worth it', t || ' reviews']
+  WHEN intent = 'commercial' THEN [b, t || ' alternatives', 'which ' || t || ' should I choose', t || ' pros and cons']
+  WHEN intent = 'local' THEN [t || ' near me', b || ' in my area', t || ' opening hours']
+  ELSE ['what is ' || t, 'how does ' || t || ' work', t || ' explained', t || ' examples', 'common ' || t || ' mistakes'] END, lambda x: trim(x)), ' | ') END AS patterns
+FROM best""", lambda: FACTS + "," + INTENT + "," + _terms_sql(PAGE_TEXTS) + "," + RANKED + "," + _PATTERNS)
 def query_patterns(spark, d):
-    f = facts(spark, d)
-    first = F.get(F.filter(text.words(F.col("text")), lambda w: F.length(w) > 4), F.lit(0))
-    return f.select("page_id", text.subject(F.col("title")).alias("subject"),
-                    F.array_join(text.query_patterns(F.col("title"), first, F.col("intent.intent")), " | ").alias("patterns"))
+    """Pages whose number is a multiple of eleven are no posts."""
+    terms = page_terms(spark, d)
+    top = c.key_terms(terms, c.document_frequency(terms), page_total(spark, d), limit=1).select("page_id", "term")
+    kind = F.when(F.col("page_id") % 11 == 0, "home").otherwise("post")
+    made = text.query_patterns(F.col("title"), F.col("term"), F.col("intent.intent"), kind)
+    return facts(spark, d).join(top, "page_id", "left").select("page_id", text.subject(F.col("title")).alias("subject"), F.array_join(made, " | ").alias("patterns"))
+
+
+@query("nested_regions", """
+SELECT page_id, 'A' || t || 'B' || CASE WHEN page_id % 3 = 0 THEN '' ELSE 'C' || t END AS words FROM (SELECT page_id, regexp_replace(lower(url), '[^a-z]', '', 'g') AS t FROM pages)""")
+def nested_regions(spark, d):
+    """Articles within articles, and main within main; a third of the pages close after the first inner one."""
+    t = F.regexp_replace(F.lower("url"), "[^a-z]", "")
+    tag = F.when(F.col("page_id") % 2 == 0, "article").otherwise("main")
+    open_, close = F.concat(F.lit("<"), tag, F.lit(" class='x'>")), F.concat(F.lit("</"), tag, F.lit(">"))
+    inner = F.concat(open_, t, close)
+    more = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("C"), open_, open_, t, close, close))
+    page = F.concat(F.lit("<body>"), open_, F.lit("A"), inner, F.lit("B"), more, close, F.lit("<p>outside</p>"), inner, F.lit("</body>"))
+    rows = b.table(spark, d, "pages").select("page_id", page.alias("html"))
+    return rows.select("page_id", html.strip_tags(html.main_region(F.col("html"))).alias("words"))
 
 
 @query("pages_with_questions", """

@@ -93,6 +93,7 @@ def confidence(registry: Registry, cls: Column, vstate: Column, bot: Column) ->
     )
 
 
+# Which part of an agent names it.
 def agent_token(ua: Column) -> Column:
     """The name an unknown agent gives itself."""
     rest = F.regexp_replace(ua, r"^Mozilla/[\d.]+\s*(\([^)]*\))?\s*", "")

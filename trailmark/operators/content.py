@@ -177,6 +177,7 @@ def topics(terms: DataFrame, pages: DataFrame, k: int = 30) -> DataFrame:
 
 def entities(documents: DataFrame, stop: list[str], key: str = "page_id", limit: int = 15) -> DataFrame:
     """Names a text mentions: capitalised phrases that repeat or have several words."""
+    # What a name looks like.
     phrase = (r"(?<=\s)(\p{Lu}[\p{L}\p{N}&\.'’-]+(?:\s+(?:of|the|de|la|and|&)?\s*\p{Lu}[\p{L}\p{N}&\.'’-]+){0,3})")
     named = documents.select(key, F.posexplode(txt.sentences(F.col("text"))).alias("s", "sentence")).select(
         key, "s", "sentence",

@@ -81,6 +81,7 @@ INTENT = """
 intents AS (SELECT page_id, lower(title || ' ') AS t, title || ' ' || lower(text) AS tb, lower(text) AS b FROM facts)"""
 
 
+# Wording that tells what a visitor wants, as SQL.
 INTENT_CASE = r"""CASE
   WHEN regexp_matches(t, '\b(buy|price|pricing|order now|add to cart|shop|discount|coupon|free trial|sign up|book now|get a quote)\b') THEN 'transactional'
   WHEN regexp_matches(tb, '\b(near me|opening hours|directions|our location|visit us|in [A-Z][a-z]+)\b') AND regexp_matches(b, '\b(address|phone|call us|opening hours)\b') THEN 'local'

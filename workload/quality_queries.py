@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trailmark.operators import content, quality as q, robots
 from trailmark.plans import readiness, traffic
 from workload import bridge as b
-from workload.content_queries import EDGES, FACTS, INTENT, facts, links
+from workload.content_queries import EDGES, FACTS, INTENT, INTENT_CASE, facts, links
 
 QUERIES, ORACLE = {}, {}
 C, R = b.CONFIG, b.REGISTRY
@@ -175,12 +175,7 @@ def profile(spark, d):
 
 
 PROFILE = FACTS + "," + INTENT + "," + ACCESS + "," + IMPORTANT + "," + STATE + r""",
-intent_of AS (SELECT page_id, CASE
-  WHEN regexp_matches(t, '\b(buy|price|pricing|order now|add to cart|shop|discount|coupon|free trial|sign up|book now|get a quote)\b') THEN 'transactional'
-  WHEN regexp_matches(tb, '\b(near me|opening hours|directions|our location|visit us|in [A-Z][a-z]+)\b') AND regexp_matches(b, '\b(address|phone|call us|opening hours)\b') THEN 'local'
-  WHEN regexp_matches(t, '\b(best|top \d+|vs\.?|versus|review|reviews|compared?|comparison|alternatives?|pros and cons)\b') THEN 'commercial'
-  WHEN regexp_matches(t, '\b(how|what|why|when|guide|tutorial|tips|ways|steps|explained|meaning|definition|examples?)\b') THEN 'informational'
-  WHEN regexp_matches(t, '\b(contact|about us|login|account|support)\b') THEN 'navigational' ELSE 'informational' END AS intent FROM intents),
+intent_of AS (SELECT page_id, """ + INTENT_CASE + r""" AS intent FROM intents),
 profile AS (SELECT w.page_id, w.url_hash, w.subtype, w.pinned, w.inlinks, w.modified, w.importance, w.importance >= 40 AS important,
     w.object_type = 'home' OR contains(w.reasons, 'home') AS is_home, f.words, f.first_para_words, f.lists, i.intent, 'post' AS object_type,
     coalesce(ai_any, FALSE) AS ai_any, coalesce(ai_search, FALSE) AS ai_search, coalesce(training, FALSE) AS training, last_ai, r.hits AS rh, r.ms AS rms,

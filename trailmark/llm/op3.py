@@ -79,7 +79,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     each = cut(fingerprints(docs))
     fps = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = fps.join(components(links(fps.select("fp"), distance)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = cut(roots.select("fp", "root").join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"))
+    # both are written first: a group with many fingerprints is then a skewed join that adaptive execution can split
+    roots = cut(roots)
+    least = cut(roots.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = cut(roots.select("fp", "root").join(least, "root").select("fp", "component_id"))
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_files": op9.op9_token_files,
     "op10_licences": op10.op10_licences,
 }
-ORACLE = {"op5_decontamination": op5.ORACLE_SQL, "op6_warc": op6.ORACLE_SQL}
+ORACLE = {"op1_embedding_dedup": op1.ORACLE_SQL, "op5_decontamination": op5.ORACLE_SQL, "op6_warc": op6.ORACLE_SQL}

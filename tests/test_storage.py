@@ -177,3 +177,18 @@ def test_any_name_of_an_address_may_confirm_it(spark):
     fwd = spark.createDataFrame([("crawl-1.googlebot.com", ["66.249.66.1"]), ("evil.example", ["66.249.66.2"])], "host string, ips array<string>")
     got = {r.ip: r.verdict for r in verify.check_rdns(queue, ptr, fwd, R).collect()}
     assert got == {"66.249.66.1": "verified", "66.249.66.2": "failed", "66.249.66.3": "retry"}
+
+
+def test_stored_rollups_are_read_by_day(spark, tmp_path):
+    root = str(tmp_path)
+    rollups.build_rollups(golden(spark), root)
+    daily = spark.read.parquet(f"{root}/daily")
+    day = daily.agg(F.max("day")).first()[0]
+    plan = daily.filter(F.col("day") == day)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    want = rollups.daily(rollups.fold(golden(spark)))
+    assert sorted(daily.select(*want.columns).collect()) == sorted(want.collect())
+    n = daily.count()
+    rollups.write_partitioned(want.filter(F.col("day") == day).withColumn("hits", F.lit(0).cast("bigint")), f"{root}/daily")
+    again = spark.read.parquet(f"{root}/daily")
+    assert again.filter(F.col("day") == day).agg(F.sum("hits")).first()[0] == 0 and again.count() == n

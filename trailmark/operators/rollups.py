@@ -271,11 +271,19 @@ def build_rollups(events: DataFrame, root: str) -> None:
     tables = {"daily": daily, "daily_pages": daily_pages, "daily_bots": daily_bots, "page_bots": page_bots, "bots_seen": bots_seen}
     # the tables are independent jobs over the small fold; the scheduler runs them together
     with ThreadPoolExecutor(len(tables)) as pool:
-        jobs = [pool.submit(make(cube).write.mode("overwrite").parquet, f"{root}/{name}") for name, make in tables.items()]
+        jobs = [pool.submit(_replace, make(cube), f"{root}/{name}") for name, make in tables.items()]
         for job in jobs:
             job.result()
 
 
+def _replace(rows: DataFrame, path: str) -> None:
+    """Writes a whole table; one with days has a folder for each, so that reports read the days they show."""
+    if "day" in rows.columns:
+        rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(path)
+
+
 def write_partitioned(rows: DataFrame, path: str) -> None:
     """Replace only the days present in `rows`; a day is written by as many tasks as its size asks for."""
     (

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.config import Config, DAY
-from trailmark.functions import agents, net, paths
+from trailmark.functions import agents, net, paths, text
 from trailmark.operators import classify, verify
 from trailmark.sources import registry as reg
 
@@ -147,3 +147,18 @@ def test_reverse_dns(spark):
     fwd = spark.createDataFrame([(host % 1, ["66.249.90.1"]), ("evil.example.com", ["66.249.90.2"]), (host % 3, ["10.0.0.1"])], "host string, ips array<string>")
     got = [r.verdict for r in verify.check_rdns(queue, ptr, fwd, R).orderBy("ip").collect()]
     assert got == ["verified", "failed", "failed", "failed", "retry"]
+
+
+def test_long_lists_paths_and_agents_are_used_whole(spark):
+    ranges = spark.range(3500).select(
+        F.lit("gptbot").alias("bot"), F.lit(0).alias("bot_order"), F.lit(True).alias("ip_only"), F.lit("f").alias("file"),
+        F.format_string("10.%d.%d.0/24", F.floor(F.col("id") / 250), F.col("id") % 250).alias("cidr"), F.lit(0).cast("bigint").alias("fetched_at"))
+    asked = spark.createDataFrame([("10.13.249.7",), ("10.200.0.1",)], "ip string")
+    assert [(r.ip, r.address_bot) for r in verify.address_only(asked, ranges).collect()] == [("10.13.249.7", "gptbot")]
+    urls = spark.createDataFrame([("/" + "a" * 600 + "x",), ("/" + "a" * 600 + "y",)], "u string")
+    assert urls.select(paths.normalize_path(F.col("u")).alias("p")).distinct().count() == 2
+    agents_ = spark.createDataFrame([("b" * 300 + "1",), ("b" * 300 + "2",)], "ua string")
+    assert agents_.select(paths.clean(F.col("ua")).alias("c")).distinct().count() == 2
+    body = spark.createDataFrame([("Our place", "word " * 2000 + "opening hours and address")], "title string, body string")
+    none = F.array().cast("array<string>")
+    assert body.select(text.intent(F.col("title"), none, F.col("body"), F.lit(""), none)["intent"].alias("i")).first().i == "local"

@@ -66,3 +66,30 @@ def test_repeated_ids_null_ids_and_no_rows(spark):
     got = op1.near_duplicates(spark.createDataFrame(given, SCHEMA)).collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted([(1, 2, 1, True), (1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True), (3, 2, 1, False)], key=str)
     assert op1.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rare_pairs_beside_a_hot_group(spark, monkeypatch):
+    """Pairs in a narrow cone that one poor forest loses, and a group with most of all links."""
+    for name, value in (("LEAF", 4), ("TREES", 1), ("LIST", 2), ("MEETING", 6), ("FORESTS", 1)):
+        monkeypatch.setattr(op1, name, value)
+    rng = np.random.default_rng(5)
+    centre = np.ones(32) / np.sqrt(32)
+    noise = lambda size: rng.normal(size=32) * size / np.sqrt(32)
+    cone = [centre + noise(0.5) for _ in range(300)]
+    vectors = [*cone, *(v + noise(0.1) for v in cone[:60]), *(rng.normal(size=32) for _ in range(20)), *(centre * -1 + noise(0.05) for _ in range(80))]
+    given = [(i, [float(np.float32(x)) for x in v], 1, "x", 1) for i, v in enumerate(vectors)]
+    got = op1.near_duplicates(spark.createDataFrame(given, SCHEMA)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == brute(given)
+
+
+def test_few_links_are_found_exactly(spark, monkeypatch):
+    """One pair among so many that an audit of MOST classes may see none of it."""
+    for name, value in (("LEAF", 4), ("TREES", 1), ("LIST", 1), ("AUDIT", 10), ("MOST", 20), ("WIDE", 64), ("AT_ONCE", 10)):
+        monkeypatch.setattr(op1, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    vectors = [rng.normal(size=24) for _ in range(300)]
+    vectors += [v + rng.normal(size=24) * 0.15 for v in vectors[:6]]
+    given = [(i, [float(np.float32(x)) for x in v], i % 2, "x", 1) for i, v in enumerate(vectors)]
+    got = op1.near_duplicates(spark.createDataFrame(given, SCHEMA)).collect()
+    want = brute(given)
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == want and any(w[1] for w in want)

@@ -43,3 +43,34 @@ def test_open_sequences_meet_over_many_partitions(spark):
     assert len(rows) == 640 and gapless(rows, 100) <= -(-sum(r.length for r in rows) // 100) * 1.1
     same = op7.pack(spark.range(200).select("id", F.lit(60).cast("long").alias("length")).repartition(20), 100).collect()
     assert gapless(same, 100) == 200
+
+
+def test_all_open_sequences_meet_whatever_their_number(spark, monkeypatch):
+    monkeypatch.setattr(op7, "PASSED", 2, raising=False)
+    items = spark.range(0, 64, 1, 64).select("id", F.when(F.col("id") < 32, 60).otherwise(40).cast("long").alias("length"))
+    rows = op7.pack(items, 100).collect()
+    assert len(rows) == 64 and gapless(rows, 100) == 32
+
+
+def test_runs_of_one_partition_meet(spark, monkeypatch):
+    monkeypatch.setattr(op7, "RUN", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        rows = op7.pack(spark.range(0, 64, 1, 1).select("id", F.when(F.col("id") < 32, 60).otherwise(40).cast("long").alias("length")), 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 64 and gapless(rows, 100) == 32
+
+
+def test_plan_is_best_fit():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        lengths = rng.integers(1, 90, rng.integers(1, 200))
+        sizes, n = np.unique(lengths, return_counts=True)
+        rows = op7.plan(dict(zip(sizes.tolist(), n.tolist(), strict=True)), 100)
+        bins = defaultdict(int)
+        for size, _, items, times, first, offset in sorted(rows.tolist(), key=lambda r: r[4:]):
+            for b in range(items // times):
+                assert offset == bins[first + b]
+                bins[first + b] += size * times
+        assert sorted(bins.values()) == sorted(op7.best_fit(lengths, 100)[2].tolist())

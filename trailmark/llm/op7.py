@@ -1,9 +1,9 @@
 """Hierarchical best-fit packing of documents into sequences.
 
 Pieces are packed best-fit, longest first, within their own partition. Sequences that are nearly full are done.
-The others go up a tree as single items: those of eight neighbouring partitions meet, are packed again best-fit,
-and so on until one group is left. A group passes a bounded number of open sequences on, the emptiest ones; the
-fuller ones beyond that are done too, so no task and no level holds more, and every piece is in a sequence.
+All others meet as single items and are packed again best-fit, over all partitions: that takes only their number per
+fill, so the plan is bounded by the capacity however many they are. An open sequence finds its place in the plan by
+its number among those of equal fill, counted in its partition, after those of the partitions before.
 Only numbers travel: (document, piece, length), never texts or ids.
 """
 
@@ -18,6 +18,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trailmark.llm.shared import cut, documents
 from trailmark.llm.tokens import worker_tokenizer
@@ -25,9 +26,8 @@ from trailmark.llm.tokens import worker_tokenizer
 CAPACITY, END = 2048, 0
 #: Sequences with so few places left are done.
 NEARLY = 8
-FAN = 8
-#: A partition is packed in runs of so many pieces; a group hands up as many open sequences at most.
-RUN, PASSED = 1_000_000, 50_000
+#: A partition is packed in runs of so many pieces.
+RUN = 1_000_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -72,6 +72,40 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
+    """Best fit, longest first, of so many items of each size. Rows: size, number of the first item, items, items in a bin, first bin, offset.
+
+    As `best_fit` does, but equal bins are filled together: the work grows with the sizes, not with the items.
+    """
+    by_room: dict[int, list[tuple[int, tuple]]] = {}  # bins of equal content: how many, and (size, times) of what is in them
+
+    def put(room: int, bins: int, content: tuple) -> None:
+        if bins:
+            by_room.setdefault(room, []).append((bins, content))
+
+    for size, left in sorted(counts.items(), reverse=True):
+        while left:
+            room = min((r for r in by_room if r >= size), default=capacity)
+            bins, content = by_room[room].pop() if room in by_room else (left, ())
+            if room in by_room and not by_room[room]:
+                del by_room[room]
+            times = min(room // size, left)
+            full = min(bins, left // times)
+            put(room - times * size, full, (*content, (size, times)))
+            if content:
+                put(room, bins - full, content)
+            left -= full * times
+    rows, used, first = [], dict.fromkeys(counts, 0), 0
+    for bins, content in (x for r in sorted(by_room) for x in by_room[r]):
+        offset = 0
+        for size, times in content:
+            rows.append((size, used[size], bins * times, times, first, offset))
+            used[size] += bins * times
+            offset += size * times
+        first += bins
+    return np.array(sorted(rows), np.int64).reshape(-1, 6)
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`items` (length: 1 to capacity, other columns kept) with sequence_id and offset.
 
@@ -84,44 +118,44 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         from pyspark import TaskContext
 
         part, n, held, rows = TaskContext.get().partitionId(), 0, [], 0
+        seen = np.zeros(capacity + 1, np.int64)
         for last, frame in _marked(frames):
             held.append(frame)
             rows += len(frame)
             if rows and (last or rows >= RUN):
                 all_ = pd.concat(held, ignore_index=True)
                 b, offset, fills = best_fit(all_["length"].to_numpy(), capacity)
-                yield all_.assign(part=part, bin=(part << 40) + n + b, at=offset, fill=fills[b])
+                order, each = np.argsort(fills, kind="stable"), np.bincount(fills, minlength=capacity + 1)
+                nth = np.empty(len(fills), np.int64)
+                nth[order] = np.arange(len(fills)) + (seen - np.cumsum(each) + each)[fills[order]]
+                seen += each
+                yield all_.assign(part=part, bin=(part << 40) + n + b, at=offset, fill=fills[b], nth=nth[b])
                 n, held, rows = n + len(fills), [], 0
 
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in items.dtypes)}, part long, bin long, at long, fill long"
+    schema = f"{', '.join(f'`{n}` {t}' for n, t in items.dtypes)}, part long, bin long, at long, fill long, nth long"
     placed = cut(items.mapInPandas(local, schema))
-    open_bins = placed.filter(F.col("fill") < capacity - NEARLY).groupBy("bin").agg(F.first("part").alias("group"), F.first("fill").alias("fill"))
-    # moved: where each open sequence of the first level stands by now
-    moved = cut(open_bins.select(F.col("bin").alias("bin0"), "bin", F.lit(0).cast("long").alias("shift"), "fill", "group"))
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bin", ignore_index=True)
-        b, offset, fills = best_fit(frame["fill"].to_numpy(), capacity)
-        first = np.full(len(fills), -1, np.int64)
-        first[b[::-1]] = frame["bin"].to_numpy()[::-1]
-        up = np.zeros(len(fills), bool)
-        up[np.argsort(fills, kind="stable")[:PASSED]] = True
-        up &= fills < capacity - NEARLY
-        return pd.DataFrame({"old": frame["bin"], "new": first[b], "by": offset, "filled": fills[b], "up": up[b]})
-
-    moved = moved.withColumn("up", F.lit(True))
-    while parts > 1:
-        parts = -(-parts // FAN)
-        moved = moved.withColumn("group", F.floor(F.col("group") / FAN))
-        level = moved.filter("up").select("group", "bin", "fill").distinct().groupBy("group").applyInPandas(merge, "old long, new long, by long, filled long, up boolean")
-        moved = cut(
-            moved.join(level.withColumnRenamed("up", "up_"), (F.col("bin") == F.col("old")) & F.col("up"), "left").select(
-                "bin0", F.coalesce("new", "bin").alias("bin"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"), F.coalesce("filled", "fill").alias("fill"), "group", F.coalesce("up_", F.lit(False)).alias("up"),
-            )
-        )
-    there = moved.select(F.col("bin0").alias("bin"), F.col("bin").alias("to"), "shift")
-    out = placed.join(there, "bin", "left")
-    return out.select(*[F.col(f"`{c}`") for c in items.columns], F.coalesce("to", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    # how many open sequences of each fill a partition has, and how many the partitions before it
+    own = placed.filter(F.col("fill") < capacity - NEARLY).groupBy("part", "fill").agg((F.max("nth") + 1).alias("own"))
+    upto = F.sum("own").over(Window.partitionBy("fill").orderBy("part"))
+    starts = cut(own.withColumn("before", upto - F.col("own")))
+    rows = plan({r["fill"]: r["n"] for r in starts.groupBy("fill").agg(F.sum("own").alias("n")).collect()}, capacity)  # a row per fill
+    # a number is below 2 ** 48, a fill below 2 ** 15 in keys of 64 bits; larger capacities leave less for numbers
+    bits = 63 - int(capacity).bit_length()
+    keys = (rows[:, 0] << bits) + rows[:, 1]
+
+    @F.pandas_udf("sequence long, by long")
+    def place(fill: pd.Series, number: pd.Series) -> pd.DataFrame:
+        x = number.to_numpy()
+        if not len(keys):
+            return pd.DataFrame({"sequence": x, "by": x})
+        size, start, _, times, first, offset = rows[np.searchsorted(keys, (fill.to_numpy() << bits) + np.maximum(x, 0), side="right") - 1].T
+        return pd.DataFrame({"sequence": (parts << 40) + first + (x - start) // times, "by": offset + (x - start) % times * size})
+
+    number = placed.join(starts.drop("own"), ["part", "fill"], "left").withColumn("to", place("fill", F.coalesce(F.col("before") + F.col("nth"), F.lit(-1))))
+    moves = F.col("before").isNotNull()
+    return number.select(
+        *[F.col(f"`{c}`") for c in items.columns], F.when(moves, F.col("to.sequence")).otherwise(F.col("bin")).alias("sequence_id"), (F.col("at") + F.when(moves, F.col("to.by")).otherwise(0)).alias("offset")
+    )
 
 
 def _marked(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:

@@ -69,3 +69,9 @@ def test_seeds_lose_no_place_of_the_whole_search():
 
 def test_clean_text_has_nothing():
     assert op10.scan("the river and the garden, a permit for the license plate of my car; rights and duties")[1:] == ([], [])
+
+
+def test_edited_notices_before_an_exact_one():
+    text = "licensed undr the mit license licensed under the mit license licensd under the mit license"
+    hits = op10.scan(text)[2]
+    assert [(h.label, h.edits, h.first, h.last) for h in hits] == [("mit", 1, 0, 4), ("mit", 0, 5, 9), ("mit", 1, 10, 14)]

@@ -91,18 +91,19 @@ class _Notices:
         found = []
         for n, mine in windows.items():
             exact, _, length = self.expressions[n]
-            for a, b in mine:
-                if b - a < length - self.expressions[n][1]:
+            while mine:
+                a, b = mine.pop()
+                if b - a < length - self.expressions[n][1] or not (m := exact.search(joined, a, b)):
                     continue
-                while m := exact.search(joined, a, b):
-                    s, e = m.start(), m.end()
-                    while s < e and joined[s] == " ":
-                        s += 1
-                    while e > s and joined[e - 1] == " ":
-                        e -= 1
-                    # an edited edge may lie within a word; what counts are the words it touches
-                    found.append((n, sum(m.fuzzy_counts), s, e))
-                    a = max(m.end(), a + 1)
+                s, e = m.start(), m.end()
+                while s < e and joined[s] == " ":
+                    s += 1
+                while e > s and joined[e - 1] == " ":
+                    e -= 1
+                # an edited edge may lie within a word; what counts are the words it touches
+                found.append((n, sum(m.fuzzy_counts), s, e))
+                # the best match of the window comes first; others may stand on both sides of it
+                mine += [[a, m.start()], [m.end(), b]]
         return found
 
 

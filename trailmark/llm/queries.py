@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmark.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op13
+from trailmark.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13
 
 QUERIES = {
     "op1_embedding_dedup": op1.op1_embedding_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality": op8.op8_quality,
     "op9_token_files": op9.op9_token_files,
     "op10_licences": op10.op10_licences,
+    "op11_conversation_repair": op11.op11_conversation_repair,
+    "op12_merkle_manifest": op12.op12_merkle_manifest,
     "op13_shortest_pack": op13.op13_shortest_pack,
 }
-ORACLE = {"op1_embedding_dedup": op1.ORACLE_SQL, "op5_decontamination": op5.ORACLE_SQL, "op6_warc": op6.ORACLE_SQL}
+ORACLE = {"op1_embedding_dedup": op1.ORACLE_SQL, "op5_decontamination": op5.ORACLE_SQL, "op6_warc": op6.ORACLE_SQL, "op12_merkle_manifest": op12.ORACLE_SQL}

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from trailmark.config import Config, DAY
@@ -68,6 +69,23 @@ def test_robots_truth_table(spark):
     assert got[("b", "GPTBot", "/shop/cart")][1] == "Disallow: /shop/"
 
 
+def test_rule_index_decides_as_all_rules_tried_one_by_one(spark):
+    import random
+
+    rng = random.Random(7)
+    parts = ["/a", "/b", "/shop", ".pdf", "?q=1", "x", "é", "/"]
+    text = lambda n: "".join(rng.choice(parts) for _ in range(rng.randint(1, n)))
+    rule = lambda: rng.choice(["Allow: ", "Disallow: "]) + rng.choice(["", "*", "/"]) + text(3) + rng.choice(["", "", "*", "*" + text(1), "*" + text(2) + "$", "$"])
+    body = lambda: "\n".join(f"User-agent: {a}\n" + "\n".join(rule() for _ in range(40)) for a in ("*", "GPTBot", "CCBot"))
+    sites = spark.createDataFrame([("a", ROBOTS_A), ("b", ROBOTS_B), ("c", ""), *[(f"s{i}", body()) for i in range(4)]], "site string, body string")
+    bots = [(t, t) for t in ("GPTBot", "CCBot", "ClaudeBot", "Googlebot-News")]
+    asked = sites.select("site").crossJoin(spark.createDataFrame([(i, "/" + text(4)) for i in range(120)] + [(500, "/"), (501, "/tmp%C3%A9")], "page_id long, path string"))
+    want = {(r.site, r.page_id, r.bot): (r.allowed, r.rule) for r in robots.check(robots.policies(sites, bots), asked).collect() if r.rule}
+    index = robots.index(sites, bots)
+    got = {(r.site, r.page_id, r.bot): (r.allowed, r.rule) for r in robots.page_verdicts(index, asked).join(index.groups, ["site", "agent"]).collect()}
+    assert got == want and len({v[0] for v in want.values()}) == 2
+
+
 def test_findings_lifecycle(spark):
     schema = "page_id bigint, code string, bot string, severity string, kind string, status string, n bigint, first_seen bigint, last_seen bigint, resolved_at bigint"
     stored = spark.createDataFrame([(1, "noindex", "", "critical", "observed", "open", None, 5, 5, None), (1, "no_faq", "", "info", "observed", "ignored", None, 5, 5, None),
@@ -105,3 +123,54 @@ def test_importance(spark):
     df = spark.createDataFrame(rows, "object_type string, object_id bigint, subtype string, pinned int, inlinks bigint, modified bigint, word_count bigint")
     got = [(r.importance, r.imp_reasons) for r in quality.importance(df, CFG).orderBy("object_id").collect()]
     assert got == [(65, ["home", "fresh"]), (27, ["product", "inlinks", "in_depth"]), (0, ["excluded"]), (100, ["pinned"])]
+
+
+def planted_terms(spark, n, seed):
+    """n pages: a term on three tenths of them, two on a fifth, and a long tail of rare ones."""
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for page in range(n):
+        own = {f"rare{rng.randrange(n // 2)}" for _ in range(3)}
+        own |= {t for t, share in (("hot", 0.28), ("warm a", 0.2), ("warmb", 0.2)) if rng.random() < share}
+        rows += [(page, t, rng.randrange(1, 5)) for t in sorted(own)]
+    terms = spark.createDataFrame(rows, "page_id long, term string, weight long")
+    pages = spark.createDataFrame(
+        [(p, p % 60, 0, p % 7, "post", p % 31 == 30, True) for p in range(n)],
+        "page_id long, importance long, pinned int, inlinks long, object_type string, deleted boolean, analyzed boolean")
+    links = spark.createDataFrame([(rng.randrange(n), rng.randrange(n)) for _ in range(n)] + [(p, 45) for p in range(0, n, 2)], "from_id long, to_id long")
+    return terms, pages, links
+
+
+@pytest.mark.parametrize("light", [3, 30, 10_000])
+def test_link_suggestions_are_the_best_of_all_pairs(spark, light):
+    from collections import defaultdict
+
+    terms, pages, links = planted_terms(spark, 240, 1)
+    ranked = content.key_terms(terms, content.document_frequency(terms), F.lit(240))
+    got = {(r.target_id, r["rank"]): (r.from_id, r.shared_terms, r.weight) for r in content.suggest_links(terms, ranked, links, pages, F.lit(240), CFG, light=light).collect()}
+    weights, live = {(r.page_id, r.term): r.weight for r in terms.collect()}, {r.page_id for r in pages.collect() if not r.deleted}
+    own = defaultdict(list)
+    for r in sorted(ranked.collect(), key=lambda r: r["rank"]):
+        if 2 <= r.pages <= 72 and len(own[r.page_id]) < 6:
+            own[r.page_id].append(r.term)
+    linked = {(r.from_id, r.to_id) for r in links.collect()}
+    want = {}
+    for p in pages.collect():
+        if p.page_id in live and p.importance >= CFG.importance_min and p.inlinks < 5:
+            found = [(-len(s), -sum(s), q) for q in live - {p.page_id} if (q, p.page_id) not in linked and (s := [weights[q, t] for t in own[p.page_id] if (q, t) in weights])]
+            for k, (n, w, q) in enumerate(sorted(found)[:3]):
+                want[p.page_id, k + 1] = (q, -n, -w)
+    assert got == want and len(want) > 100
+
+
+def test_link_candidates_grow_with_the_pages(spark):
+    def pairs(n):
+        terms, pages, links = planted_terms(spark, n, 2)
+        ranked = content.key_terms(terms, content.document_frequency(terms), F.lit(n))
+        own = content._wanted(ranked, pages, F.lit(n), CFG, None).join(terms.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("heavy", F.col("df") > 20)
+        closed = own.select("target_id", F.col("target_id").alias("from_id")).distinct()
+        return content.link_candidates(own, terms.withColumnRenamed("page_id", "from_id"), closed, 3).count()
+
+    assert pairs(1200) < 3 * pairs(600)

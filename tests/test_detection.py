@@ -162,3 +162,29 @@ def test_long_lists_paths_and_agents_are_used_whole(spark):
     body = spark.createDataFrame([("Our place", "word " * 2000 + "opening hours and address")], "title string, body string")
     none = F.array().cast("array<string>")
     assert body.select(text.intent(F.col("title"), none, F.col("body"), F.lit(""), none)["intent"].alias("i")).first().i == "local"
+
+
+def test_ranges_are_searched_in_the_scan_as_by_bucket(spark, monkeypatch):
+    cfg = Config(as_of=1_700_000_000)
+    lists = [("gptbot", "10.0.0.0/8"), ("gptbot", "10.1.0.0/16"), ("gptbot", "9.255.255.0/24"), ("gptbot", "2001:db8::/32"), ("gptbot", "nonsense"), ("ccbot", "192.0.2.7"), ("ccbot", "192.0.2.9/32"), ("ccbot", "2600::/12"), ("ccbot", "198.18.0.0/15"), ("ccbot", "203.0.112.0/22"), ("ccbot", "2001:db8:7::/48")]
+    ranges = spark.createDataFrame([(bot, bot, c, 1_700_000_000 - (40 * 86400 if bot == "ccbot" else 60)) for bot, c in lists], "bot string, file string, cidr string, fetched_at long")
+    ips = ["10.1.2.3", "10.255.255.255", "9.255.255.9", "9.255.254.9", "11.0.0.0", "192.0.2.7", "192.0.2.8", "192.0.2.9", "2001:db8::1", "2001:db9::1", "260f::", "2610::", "198.19.9.9", "198.20.0.0", "203.0.115.255", "203.0.116.0", "2001:db8:7:1::", "2001:db8:8::", "bad", "", None]
+    rows = spark.createDataFrame([(bot, ip) for bot in ("gptbot", "ccbot", "other", "", None) for ip in ips], "bot string, ip string")
+    found = {(r.bot, r.ip): r.by_range for r in verify.in_scan_verdicts(rows, ranges, cfg).collect()}
+    by_bucket = {(r.bot, r.ip): r.by_range for r in verify.range_verdicts(rows, ranges, cfg).collect()}
+    assert {k: v for k, v in found.items() if v} == by_bucket and "failed" in by_bucket.values()
+    monkeypatch.setattr(verify, "IN_SCAN", 2)
+    assert verify.in_scan_verdicts(rows, ranges, cfg) is None
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_verdicts_are_those_known_at_the_time(spark, monkeypatch, few):
+    monkeypatch.setattr(verify, "IN_SCAN", few)
+    day = 86400
+    checks = [("h", "b", "verified", 0), ("h", "b", "failed", 3 * day), ("h", "b", "verified", 20 * day), ("h", "b", "failed", 20 * day), ("g", "b", "verified", 5)]
+    verdicts = spark.createDataFrame(checks, "ip_hash string, bot string, verdict string, checked_at long")
+    at = [-1, 0, 3 * day - 1, 3 * day, 4 * day - 1, 4 * day, 6 * day, 20 * day, 21 * day]
+    rows = spark.createDataFrame([("h", "b", t) for t in at] * 3 + [("h", "c", 1), (None, "b", 1), ("g", "b", 7 * day + 4), ("g", "b", 7 * day + 5)], "ip_hash string, bot string, ts long")
+    got = sorted((r.ip_hash or "", r.bot, r.ts, r.cached) for r in verify.as_of_verdicts(rows, verdicts).collect())
+    want = [None, "verified", "verified", "failed", "failed", None, None, "failed", None]
+    assert got == sorted([("h", "b", t, w) for t, w in zip(at, want)] * 3 + [("h", "c", 1, None), ("", "b", 1, None), ("g", "b", 7 * day + 4, "verified"), ("g", "b", 7 * day + 5, None)], key=lambda r: r[:3])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from trailmark.config import Config, DAY
 from trailmark.functions import html as h, paths, text as txt
+from trailmark.storage import kept
 
 MIN_LOCAL_WORDS = 80
 
@@ -211,37 +212,112 @@ def link_counts(links: DataFrame) -> DataFrame:
     return ends.groupBy("page_id").agg(F.sum("i").alias("inlinks"), F.sum("o").alias("outlinks"))
 
 
-def suggest_links(terms: DataFrame, ranked: DataFrame, links: DataFrame, pages: DataFrame, n_documents: Column,
-                  config: Config, targets: int | None = None, per_target: int = 3) -> DataFrame:
-    """Pages that share a target's terms but do not link to it yet.
+#: Terms on more live pages than this have no postings of their own joined to targets.
+LIGHT = 256
 
-    Targets are the important pages with fewer than five links, or the first
-    `targets` of them. Each is looked up by its six best terms, none of which
-    is on more than three tenths of the pages, so the term index is scanned
-    once and pages are never compared with each other.
-    """
-    live = pages.filter(~F.col("deleted"))
-    wanted = live.filter(
-        F.col("analyzed") & ((F.col("importance") >= config.importance_min) | (F.col("pinned") > 0))
+
+def _wanted(ranked: DataFrame, pages: DataFrame, n_documents: Column, config: Config, targets: int | None) -> DataFrame:
+    """target_id, term, target_score: the six best usable terms of every page that should get links."""
+    wanted = pages.filter(
+        ~F.col("deleted") & F.col("analyzed") & ((F.col("importance") >= config.importance_min) | (F.col("pinned") > 0))
         & (F.col("inlinks") < 5) & (F.col("object_type") == "post")
     )
     if targets is not None:
         wanted = wanted.orderBy(F.desc("importance"), "inlinks", "page_id").limit(targets)
-    wanted = wanted.select(F.col("page_id").alias("target_id"))
     usable = ranked.filter((F.col("pages") >= 2) & (F.col("pages") <= F.greatest(F.lit(3.0), n_documents * 0.3)))
     six = Window.partitionBy("page_id").orderBy("rank")
-    own = (
-        usable.join(wanted, F.col("page_id") == F.col("target_id"))
+    return (
+        usable.join(wanted.select("page_id"), "page_id", "left_semi")
         .withColumn("_r", F.row_number().over(six)).filter("_r <= 6")
-        .select("target_id", "term", F.col("score").alias("target_score"))
+        .select(F.col("page_id").alias("target_id"), "term", F.col("score").alias("target_score"))
+    )
+
+
+def _light_candidates(own: DataFrame, postings: DataFrame, closed: DataFrame, per_target: int) -> DataFrame:
+    """target_id, from_id, bar: pages that share a light term with a target and may be among its best.
+
+    `bar` is how many light terms the last of the target's `per_target` best shares (null: there are fewer). A page
+    may still share all heavy terms, so those go that would stay under the bar even then.
+    """
+    shared = own.filter("not heavy").join(postings, "term").groupBy("target_id", "from_id").agg(F.count("*").alias("n"))
+    shared = shared.join(closed, ["target_id", "from_id"], "left_anti")
+    order = Window.partitionBy("target_id").orderBy(F.desc("n"), "from_id")
+    ranked = shared.withColumn("_r", F.row_number().over(order))
+    bars = ranked.filter(F.col("_r") == per_target).select("target_id", F.col("n").alias("bar"))
+    heavies = own.groupBy("target_id").agg(F.count_if("heavy").alias("h"))
+    open_ = shared.join(bars, "target_id", "left").join(heavies, "target_id")
+    return open_.filter(F.col("bar").isNull() | (F.col("n") + F.col("h") >= F.col("bar"))).select("target_id", "from_id", "bar")
+
+
+def _heavy_candidates(own: DataFrame, postings: DataFrame, closed: DataFrame, bars: DataFrame, per_target: int) -> DataFrame:
+    """target_id, from_id: pages that share no light term but may be among the best by heavy ones.
+
+    A page that shares just the set S of a target's heavy terms scores by S alone, whichever target asks. So each set
+    of heavy terms is answered once, by its heaviest pages: as many as the target lacks, and as many more as it may
+    have to pass over (itself and pages that link to it). Targets whose bar is above their number of heavy terms
+    ask for nothing.
+    """
+    asks = own.filter("heavy").groupBy("target_id").agg(F.sort_array(F.collect_set(F.struct("df", "term"))).alias("terms"))
+    asks = asks.join(bars, "target_id", "left").filter(F.col("bar").isNull() | (F.col("bar") <= F.size("terms")))
+    # a target has six terms at most, so 63 sets at most; the rarest term of a set comes first in it
+    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 6) - 1)
+    subsets = F.transform(
+        F.filter(masks, lambda m: m < F.pow(F.lit(2), F.size("terms"))),
+        lambda m: F.transform(F.filter("terms", lambda t, i: F.getbit(m.cast("long"), i) == 1), lambda t: t["term"]))
+    asked = kept(asks.select("target_id", F.explode(subsets).alias("terms")).withColumn("set_id", F.sha2(F.array_join("terms", "\n"), 256)))
+    passed_over = closed.groupBy("target_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    keep = per_target + passed_over
+    sets = asked.select("set_id", "terms").dropDuplicates(["set_id"])
+    first = sets.withColumn("term", F.col("terms")[0]).join(postings, "term").select("set_id", "from_id", "terms", "weight")
+    single = first.filter(F.size("terms") == 1).select("set_id", "from_id", "weight")
+    others = first.filter(F.size("terms") > 1).select("set_id", "from_id", F.col("weight").alias("w"), (F.size("terms") - 1).alias("need"), F.explode(F.slice("terms", 2, 5)).alias("term"))
+    several = (
+        others.join(postings, ["from_id", "term"]).groupBy("set_id", "from_id", "w", "need")
+        .agg(F.count("*").alias("n"), F.sum("weight").alias("more")).filter("n = need")
+        .select("set_id", "from_id", (F.col("w") + F.col("more")).alias("weight"))
     )
-    shared = terms.join(own, "term").filter("page_id <> target_id")
-    linked = links.join(wanted, F.col("to_id") == F.col("target_id"), "left_semi")
-    shared = shared.join(linked, (F.col("page_id") == linked["from_id"]) & (F.col("target_id") == linked["to_id"]), "left_anti")
-    shared = shared.join(live.select("page_id"), "page_id", "left_semi")
+    order = Window.partitionBy("set_id").orderBy(F.desc("weight"), "from_id")
+    # the rank limit is applied in every task before the shuffle, so a term on a third of all pages moves few rows
+    best = single.unionByName(several).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= keep)
+    return asked.select("target_id", "set_id").join(best.select("set_id", "from_id"), "set_id").select("target_id", "from_id").distinct().join(
+        closed, ["target_id", "from_id"], "left_anti")
+
+
+def link_candidates(own: DataFrame, postings: DataFrame, closed: DataFrame, per_target: int) -> DataFrame:
+    """target_id, from_id: few pages per target, with all of its `per_target` best among them.
+
+    own: target_id, term, df, heavy; postings: term, from_id, weight of those terms; closed: pairs that don't count.
+    """
+    light = kept(_light_candidates(own, postings, closed, per_target))
+    bars = light.groupBy("target_id").agg(F.max("bar").alias("bar"))
+    heavy = _heavy_candidates(own, postings, closed, bars, per_target)
+    return light.select("target_id", "from_id").unionByName(heavy).distinct()
+
+
+def suggest_links(terms: DataFrame, ranked: DataFrame, links: DataFrame, pages: DataFrame, n_documents: Column,
+                  config: Config, targets: int | None = None, per_target: int = 3, light: int = LIGHT) -> DataFrame:
+    """Pages that share a target's terms but do not link to it yet.
+
+    Targets are the important pages with fewer than five links, or the first `targets` of them, each with its six
+    best terms. Pages rank by the number of shared terms, then by their weight. Terms on at most `light` pages
+    are looked up in the term index; a term on more is never multiplied by its targets (see `_heavy_candidates`).
+    Candidates, a bounded number per target, are then scored exactly.
+    """
+    own = kept(_wanted(ranked, pages, n_documents, config, targets))
+    live = pages.filter(~F.col("deleted")).select("page_id")
+    used = own.select("term").distinct()
+    postings = kept(terms.join(used, "term", "left_semi").join(live, "page_id", "left_semi").select("term", F.col("page_id").alias("from_id"), "weight"))
+    counts = postings.groupBy("term").agg(F.count("*").alias("df"))
+    own = kept(own.join(counts, "term", "left").withColumn("heavy", F.coalesce(F.col("df") > light, F.lit(False))))
+    goals = own.select("target_id").distinct()
+    closed = kept(
+        links.select(F.col("to_id").alias("target_id"), "from_id").join(goals, "target_id", "left_semi")
+        .unionByName(goals.withColumn("from_id", F.col("target_id"))).distinct())
+    pairs = link_candidates(own, postings, closed, per_target)
+    shared = pairs.join(own, "target_id").join(postings, ["from_id", "term"])
     anchor = F.max_by("term", F.struct(
         F.when(F.col("term").contains(" "), 1).otherwise(0).alias("phrase"), F.col("target_score"), F.col("term")))
-    found = shared.groupBy("target_id", F.col("page_id").alias("from_id")).agg(
+    found = shared.groupBy("target_id", "from_id").agg(
         F.count("*").alias("shared_terms"), F.sum("weight").alias("weight"), anchor.alias("anchor"))
     best = Window.partitionBy("target_id").orderBy(F.desc("shared_terms"), F.desc("weight"), "from_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_target)

@@ -8,10 +8,13 @@ from trailmark.config import Config, DAY
 from trailmark.functions import net
 from trailmark.sources import ranges as rng
 from trailmark.sources.registry import Registry, lookup
+from trailmark.storage import kept
 
 VERDICT_TTL = {"verified": 7 * DAY, "failed": DAY}
 GIVE_UP = 2 * DAY
 MAX_RETRIES = 3
+#: Merged intervals (some 100 bytes each) and verdict spans that every executor may hold.
+IN_SCAN = 250_000
 
 
 def range_verdicts(requests: DataFrame, bot_ranges: DataFrame, config: Config) -> DataFrame:
@@ -40,6 +43,60 @@ def range_verdicts(requests: DataFrame, bot_ranges: DataFrame, config: Config) -
     )
 
 
+def merged_ranges(bot_ranges: DataFrame) -> DataFrame:
+    """bot, lo, hi: each crawler's ranges as disjoint intervals of address keys."""
+    r = bot_ranges.select("bot", net.cidr_bounds(F.col("cidr")).alias("b")).filter("b is not null").select("bot", "b.lo", "b.hi").distinct()
+    order = Window.partitionBy("bot").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = r.withColumn("opens", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
+    run = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.withColumn("run", run).groupBy("bot", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+
+
+#: Characters of an address key (family and hex digits) under which an interval is filed: the longest that its ends share.
+LEVELS = {"4": (7, 5, 3), "6": (13, 9, 3)}
+
+
+def _filed(merged: DataFrame) -> list[DataFrame]:
+    """The intervals by level, narrow to wide: bot, bucket, lo, hi. A wide one is filed under every first octet it covers."""
+    family = F.substring("lo", 1, 1)
+    part = lambda c, level: F.when(family == "4", F.substring(c, 1, LEVELS["4"][level])).otherwise(F.substring(c, 1, LEVELS["6"][level]))
+    same = lambda level: part("lo", level) == part("hi", level)
+    octet = lambda c: F.conv(F.substring(c, 2, 2), 16, 10).cast("int")
+    octets = F.transform(F.sequence(octet("lo"), octet("hi")), lambda o: F.concat(family, F.lower(F.lpad(F.hex(o), 2, "0"))))
+    return [
+        merged.filter(same(0)).withColumn("bucket", part("lo", 0)),
+        merged.filter(~same(0) & same(1)).withColumn("bucket", part("lo", 1)),
+        merged.filter(~same(1)).withColumn("bucket", F.explode(octets)),
+    ]
+
+
+def in_scan_verdicts(requests: DataFrame, bot_ranges: DataFrame, config: Config) -> DataFrame | None:
+    """`requests` with by_range, decided where the rows are read; None where the intervals are too many for that.
+
+    Intervals of one crawler are disjoint, so whichever level they are filed under, a request meets at most one and
+    stays one row: three broadcast joins on (crawler, leading digits) with the bounds as a residual, no exchange of
+    requests. A bucket holds a few hundred intervals at most.
+    """
+    merged = kept(merged_ranges(bot_ranges))
+    if merged.count() > IN_SCAN:
+        return None
+    out = requests.withColumn("_key", net.ip_key(F.col("ip")))
+    for level, side in enumerate(_filed(merged)):
+        names = [f"_{c}{level}" for c in ("bot", "lo", "hi", "bucket")]
+        side = F.broadcast(side.select("bot", "lo", "hi", "bucket").toDF(*names))
+        v4, v6 = LEVELS["4"][level], LEVELS["6"][level]
+        bucket = F.when(F.col("_key").startswith("4"), F.substring("_key", 1, v4)).otherwise(F.substring("_key", 1, v6))
+        on = (F.col("bot") == F.col(names[0])) & (bucket == F.col(names[3])) & F.col("_key").between(F.col(names[1]), F.col(names[2]))
+        out = out.join(side, on, "left").drop(names[0], names[2], names[3])
+    fresh = bot_ranges.groupBy("bot").agg(F.max(F.col("fetched_at") > config.as_of - rng.FRESH_DAYS * DAY).alias("_fresh")).withColumnRenamed("bot", "_file_bot")
+    out = out.join(F.broadcast(fresh), F.col("bot") == F.col("_file_bot"), "left")  # a row per crawler
+    inside = F.coalesce("_lo0", "_lo1", "_lo2").isNotNull()
+    asked = (F.coalesce("bot", F.lit("")) != "") & (F.coalesce("ip", F.lit("")) != "")
+    return out.withColumn("by_range", F.when(asked & inside, "verified").when(asked & F.col("_fresh"), "failed")).drop(
+        "_key", "_lo0", "_lo1", "_lo2", "_fresh", "_file_bot")
+
+
 def address_only(requests: DataFrame, bot_ranges: DataFrame) -> DataFrame:
     """(ip, address_bot): agents recognised by address alone, first in registry order.
 
@@ -66,6 +123,40 @@ def valid_verdicts(verdicts: DataFrame, config: Config) -> DataFrame:
         F.max_by("verdict", F.struct("checked_at", F.col("verdict") == "failed")).alias("cached"))
 
 
+def verdict_spans(verdicts: DataFrame) -> DataFrame:
+    """ip_hash, bot, since, until, cached: when each verdict is the one to go by (`until` excluded).
+
+    A newer verdict takes the place of an older one, whether it is still trusted or not; of those checked in the same
+    second a failure counts.
+    """
+    one = verdicts.groupBy("ip_hash", "bot", "checked_at").agg(F.max_by("verdict", F.col("verdict") == "failed").alias("cached"))
+    key = Window.partitionBy("ip_hash", "bot").orderBy("checked_at")
+    trusted = F.col("checked_at") + lookup(VERDICT_TTL, F.col("cached"))
+    until = F.least(trusted, F.lead("checked_at").over(key))
+    return one.select("ip_hash", "bot", F.col("checked_at").alias("since"), until.alias("until"), "cached")
+
+
+def _few(spans: DataFrame) -> bool:
+    """Whether the spans fit every executor (those of a week have eight days at most)."""
+    return len(spans.select("since").take(IN_SCAN + 1)) <= IN_SCAN
+
+
+def as_of_verdicts(requests: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """`requests` (ip_hash, bot, ts, ...) with `cached`: the verdict trusted at the time of each request, if any.
+
+    Spans of one key never overlap and none is longer than a week, so each is entered under the days it touches and a
+    request meets at most one: an equality on key and day, with the second as a residual. The span side has few rows
+    per key and day; a hot address only makes its request side large, which is split freely.
+    """
+    day = lambda c: F.floor(c / DAY)
+    spans = verdict_spans(verdicts).filter("since < until")
+    days = spans.withColumn("_on", F.explode(F.sequence(day(F.col("since")), day(F.col("until") - 1))))
+    days = (F.broadcast(days) if _few(spans) else days).withColumnsRenamed({"ip_hash": "_hash", "bot": "_bot"})
+    keyed = requests.withColumn("_day", day(F.col("ts")))
+    met = (F.col("ip_hash") == F.col("_hash")) & (F.col("bot") == F.col("_bot")) & (F.col("_day") == F.col("_on")) & (F.col("ts") >= F.col("since")) & (F.col("ts") < F.col("until"))
+    return keyed.join(days, met, "left").drop("_hash", "_bot", "_on", "_day", "since", "until")
+
+
 def decide(events: DataFrame, registry: Registry, config: Config) -> DataFrame:
     """vstate and the pending check, from by_range, cached and proxy_suspected columns."""
     has_rdns = lookup({b["id"]: True for b in registry.bots if b["rdns"]}, F.col("bot"))
@@ -94,13 +185,27 @@ def decide(events: DataFrame, registry: Registry, config: Config) -> DataFrame:
 
 def verify_requests(classified: DataFrame, bot_ranges: DataFrame, verdicts: DataFrame,
                     registry: Registry, config: Config) -> DataFrame:
-    """Verdict per request. Join sides are unique per key, so the request side may be split freely."""
-    by_range = range_verdicts(classified, bot_ranges, config)
-    out = classified.join(by_range, ["bot", "ip"], "left")
-    out = out.join(valid_verdicts(verdicts, config), ["ip_hash", "bot"], "left")
+    """Verdict per request, by published ranges and the verdict known at its time.
+
+    Ranges are met where the rows are read, as long as they fit every executor; longer lists are joined by bucket. Only requests of crawlers that answer by reverse DNS and that no range decides look for a cached verdict,
+    so nothing is exchanged for the others: spans that fit every executor are broadcast, and beyond that the asking
+    requests alone are shuffled.
+    """
+    out = in_scan_verdicts(classified, bot_ranges, config)
+    if out is None:
+        out = classified.join(range_verdicts(classified, bot_ranges, config), ["bot", "ip"], "left")
     if "proxy_suspected" not in out.columns:
         out = out.withColumn("proxy_suspected", F.lit(False))
-    return decide(out, registry, config).drop("by_range", "cached")
+    by_dns = lookup({b["id"]: True for b in registry.bots if b["rdns"]}, F.col("bot"))
+    asks = F.coalesce(by_dns, F.lit(False)) & ~F.coalesce(F.col("by_range") == "verified", F.lit(False)) & (F.coalesce("ip_hash", F.lit("")) != "")
+    if _few(verdict_spans(verdicts)):
+        # one scan: rows that ask for nothing have no key and meet nothing
+        keyed = out.withColumns({"_ask": F.when(asks, F.col("ip_hash"))})
+        names = {"ip_hash": "_ip_hash", "_ask": "ip_hash"}
+        found = as_of_verdicts(keyed.withColumnsRenamed(names), verdicts).drop("ip_hash").withColumnRenamed("_ip_hash", "ip_hash")
+    else:
+        found = as_of_verdicts(out.filter(asks), verdicts).unionByName(out.filter(~asks).withColumn("cached", F.lit(None).cast("string")))
+    return decide(found, registry, config).drop("by_range", "cached")
 
 
 def check_rdns(queue: DataFrame, ptr: DataFrame, fwd: DataFrame, registry: Registry) -> DataFrame:

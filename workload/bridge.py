@@ -197,6 +197,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"spark-{name}-")
 
 
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """An input table as a job would find it: written once, read by whatever needs it."""
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 # ------------------------------------------------------------------ oracle
 
 def _values(items) -> str:

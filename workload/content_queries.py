@@ -267,7 +267,8 @@ own AS (SELECT target_id, term, score AS target_score FROM ranked r JOIN targets
 def link_suggestions(spark, d):
     terms, n = page_terms(spark, d), page_total(spark, d)
     ranked = c.key_terms(terms, c.document_frequency(terms), n)
-    return c.suggest_links(terms, ranked, links(spark, d), b.inventory(spark, d), n, C)
+    # at a few hundred pages no term is frequent: a lower limit sends some through the index of frequent terms
+    return c.suggest_links(terms, ranked, links(spark, d), b.inventory(spark, d), n, C, light=20)
 
 
 _WORDY = f"len(regexp_extract_all(t, '{WORD}'))"

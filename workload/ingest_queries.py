@@ -132,10 +132,10 @@ def referral_merge(spark, d):
 
 def ranges(spark, d):
     """Published ranges: the real network for every crawler, in several widths; Googlebot's file is stale."""
-    bots = b.requests(spark, d).filter("bot <> ''").groupBy("bot").agg(F.min("ts").alias("t"))
+    bots = spark.createDataFrame([(x,) for x in b.BOTS if x], "bot string")
     each = F.array(*[F.lit(x) for x in ("203.0.113.0/25", "203.0.113.128/26", "203.0.113.192/26", "10.0.0.0/8", "0.0.0.0/7", "2001:db8::/32", "2600::/12")])
     return bots.select("bot", F.concat("bot", F.lit(".json")).alias("file"), F.explode(each).alias("cidr"),
-                       F.when(F.col("bot") == "googlebot", b.AS_OF - 30 * 86400).otherwise(b.AS_OF - 86400).alias("fetched_at"))
+                       F.when(F.col("bot") == "googlebot", b.AS_OF - 30 * 86400).otherwise(b.AS_OF - 86400).cast("bigint").alias("fetched_at"))
 
 
 @query("range_verdicts", """SELECT DISTINCT bot, ip, CASE WHEN ip LIKE '203.%' THEN 'verified' ELSE 'failed' END AS by_range FROM requests
@@ -144,18 +144,42 @@ def range_verdicts(spark, d):
     return verify.range_verdicts(b.requests(spark, d), ranges(spark, d), C)
 
 
-@query("verified_requests", """SELECT id, nbot AS bot, CASE WHEN ip LIKE '203.%' THEN CASE WHEN bot = '' THEN 'none' ELSE 'verified' END WHEN bot = 'googlebot' THEN CASE WHEN event_hash THEN 'verified' ELSE 'pending' END ELSE 'failed' END AS vstate,
-  CASE WHEN bot = '' THEN 'unknown' WHEN ip LIKE '203.%' OR bot = 'googlebot' THEN ncls ELSE 'spoofed' END AS cls
-FROM (SELECT *, CAST(regexp_extract(ip, '([0-9]+)$', 1) AS INT) % 2 = 0 AS event_hash FROM typed)""", NATURAL)
+# each address of a crawler is checked every 18 hours, with gaps, and the verdicts change; every tenth check came out
+# both ways in one second
+CHECKED = f"""keys AS (SELECT DISTINCT bot, ip_hash, CAST(regexp_extract(ip, '([0-9]+)$', 1) AS BIGINT) AS k FROM met WHERE bot <> ''),
+checks AS (SELECT bot, ip_hash, {b.AS_OF - 30 * 86400} + n * 64800 + k * 60 AS checked_at, CASE WHEN (k * 7 + n * 5) % 4 = 0 OR n % 10 = 0 THEN 'failed' ELSE 'verified' END AS verdict
+  FROM keys, range(40) r(n) WHERE (k + n) % 3 <> 0),
+timed AS (SELECT m.*, CASE WHEN m.ts < v.checked_at + CASE v.verdict WHEN 'failed' THEN 86400 ELSE 604800 END THEN v.verdict END AS cached
+  FROM met m ASOF LEFT JOIN checks v ON m.bot = v.bot AND m.ip_hash = v.ip_hash AND m.ts >= v.checked_at)"""
+
+
+def checks(rows):
+    k = F.substring_index("ip", ".", -1).cast("bigint")
+    each = rows.filter("bot <> ''").select("bot", "ip_hash", k.alias("k")).distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(39)))).filter("(k + n) % 3 <> 0")
+    verdicts = F.when((F.col("k") * 7 + F.col("n") * 5) % 4 == 0, F.array(F.lit("failed"))).when(F.col("n") % 10 == 0, F.array(F.lit("verified"), F.lit("failed"))).otherwise(F.array(F.lit("verified")))
+    return each.select("bot", "ip_hash", F.explode(verdicts).alias("verdict"), (b.AS_OF - 30 * 86400 + F.col("n") * 64800 + F.col("k") * 60).alias("checked_at"))
+
+
+@query("verified_requests", """SELECT id, nbot AS bot, found AS vstate, CASE WHEN found = 'failed' THEN 'spoofed' ELSE ncls END AS cls FROM (SELECT *, CASE WHEN bot = '' THEN 'none' WHEN ip LIKE '203.%' THEN 'verified'
+  WHEN bot = 'googlebot' THEN coalesce(cached, 'pending') ELSE 'failed' END AS found FROM timed)""", NATURAL + ", met AS (SELECT * FROM typed), " + CHECKED)
 def verified_requests(spark, d):
-    """Ranges decide; a stale file leaves Googlebot to cached DNS verdicts, known for even addresses."""
-    rows = classified(spark, d)
-    cached = rows.filter("bot = 'googlebot' and ip like '198.%'").select("ip", "ip_hash", "bot").distinct().filter(
-        F.substring_index("ip", ".", -1).cast("int") % 2 == 0).select(
-        "ip_hash", "bot", F.lit("verified").alias("verdict"), F.lit(b.AS_OF - 3600).cast("bigint").alias("checked_at"))
+    """Ranges decide; a stale file leaves Googlebot to the DNS verdict known at the time of the request."""
+    rows = b.written(spark, classified(spark, d), "requests")
+    cached = b.written(spark, checks(rows.filter("bot <> '_unknown'")), "verdicts")
     return verify.verify_requests(rows, ranges(spark, d), cached, R, C).select("id", "bot", "vstate", "cls")
 
 
+@query("verdicts_as_of", "SELECT id, bot, cached FROM timed", """met AS (SELECT id, ts, CASE WHEN id % 3 = 0 THEN 'googlebot' ELSE bot END AS bot, CASE WHEN id % 3 = 0 THEN '203.0.113.7' ELSE ip END AS ip,
+  substr(md5(CASE WHEN id % 3 = 0 THEN '203.0.113.7' ELSE ip END), 1, 16) AS ip_hash FROM requests), """ + CHECKED)
+def verdicts_as_of(spark, d):
+    """The verdict trusted when each request came; one address sends a third of all requests."""
+    hot = F.col("id") % 3 == 0
+    ip = F.when(hot, "203.0.113.7").otherwise(F.col("ip"))
+    rows = b.requests(spark, d).select("id", "ts", F.when(hot, "googlebot").otherwise(F.col("bot")).alias("bot"), ip.alias("ip"), F.substring(F.md5(ip), 1, 16).alias("ip_hash"))
+    rows = b.written(spark, rows, "requests")
+    return verify.as_of_verdicts(rows, b.written(spark, checks(rows), "verdicts")).select("id", "bot", "cached")
+
+
 @query("valid_verdicts", """SELECT bot, ip_hash, cached FROM (SELECT DISTINCT bot, ip_hash, CASE WHEN ip LIKE '203.%' THEN 'verified' ELSE 'failed' END AS cached,
   CAST(regexp_extract(ip, '([0-9]+)$', 1) AS INT) AS k FROM requests WHERE bot <> '') WHERE k * 3600 < CASE cached WHEN 'verified' THEN 604800 ELSE 86400 END""")
 def valid_verdicts(spark, d):

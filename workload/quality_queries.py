@@ -48,7 +48,7 @@ def sites(spark):
 
 
 def policy(spark, only=None):
-    return robots.policies(robots.effective_body(sites(spark), robots.generated_body(C)), robots.robots_bots(R, only))
+    return robots.index(robots.effective_body(sites(spark), robots.generated_body(C)), robots.robots_bots(R, only))
 
 
 def site_pages(spark, d):
@@ -76,10 +76,68 @@ def robots_matrix(spark, d):
     return robots.access_matrix(policy(spark), site_pages(spark, d), C, max_pages=None)
 
 
-@query("robots_check", "SELECT page_id, bot, allowed, rule FROM access", ACCESS)
+@query("robots_check", "SELECT page_id, bot, allowed, rule FROM access WHERE rule <> ''", ACCESS)
 def robots_check(spark, d):
-    rows = site_pages(spark, d).filter("not deleted").select("site", "page_id", "path")
-    return robots.check(policy(spark), rows).select("page_id", "bot", "allowed", "rule")
+    """Every page and crawler for which a rule speaks."""
+    rows, p = site_pages(spark, d).filter("not deleted").select("site", "page_id", "path"), policy(spark)
+    return robots.page_verdicts(p, rows).join(p.groups, ["site", "agent"]).select("page_id", "bot", "allowed", "rule")
+
+
+# many sites: one for each language section and fifth of the pages, whose robots.txt names their own pages. One fifth
+# answers 404, one 503; before the change, one closed everything to all and one did not close itself to GPTBot
+
+def section(path, page_id):
+    return F.concat(F.regexp_extract(path, "^/([a-z]+)", 1), F.lit("-"), (page_id % 5).cast("string"))
+
+
+def many_sites(spark, d, old=False):
+    """(site, status, body) of the sections."""
+    pid, path = F.col("page_id"), F.col("path")
+    line = lambda when, kind, text: F.when(when, F.struct(F.lit(kind).alias("kind"), pid.alias("page_id"), text.alias("text")))
+    each = F.array_compact(F.array(
+        line(pid % 3 == 0, 1, F.concat(F.lit("Disallow: "), path)), line(pid % 7 == 1, 2, F.concat(F.lit("Allow: "), path, F.lit("$"))),
+        line(pid % 11 == 2, 3, F.concat(F.lit("Disallow: /*"), F.right(path, F.lit(2)), F.lit("$"))), line(pid % 4 == 1, 4, F.concat(F.lit("Disallow: "), path))))
+    rows = b.inventory(spark, d).select(section(path, pid).alias("site"), F.explode_outer(each).alias("l"))
+    per = rows.groupBy("site").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    text = lambda cond: F.array_join(F.transform(F.filter("l", cond), lambda x: x["text"]), "\n")
+    n = F.split_part("site", F.lit("-"), F.lit(2))
+    closed, shut = (F.when(n == "4", "\nDisallow: /").otherwise(""), F.lit("")) if old else (F.lit(""), F.when(n == "3", "\nDisallow: /").otherwise(""))
+    body = F.concat(F.lit("User-agent: *\nDisallow: /nothing/here\n"), text(lambda x: x["kind"] < 4), closed, F.lit("\n\nUser-agent: GPTBot\nUser-agent: ClaudeBot\n"), text(lambda x: x["kind"] == 4), shut)
+    status = F.when(n == "1", 404).when(n == "2", 503).otherwise(200)
+    return per.select("site", status.alias("status"), body.alias("body"))
+
+
+def section_index(spark, d, old=False):
+    table = b.written(spark, many_sites(spark, d, old), "robots")
+    return robots.index(robots.effective_body(table, robots.generated_body(C)), robots.robots_bots(R))
+
+
+def section_pages(spark, d):
+    return b.inventory(spark, d).withColumn("site", section(F.col("path"), F.col("page_id")))
+
+
+SECTIONS = """
+tokens AS (SELECT bot, token, CASE WHEN lower(token) IN ('gptbot', 'claudebot') THEN lower(token) ELSE '*' END AS named, category FROM bots WHERE token IS NOT NULL AND (ai OR category = 'search')),
+section AS (SELECT *, regexp_extract(path, '^/([a-z]+)', 1) || '-' || (page_id % 5) AS site FROM inventory),
+lines AS (SELECT site, '*' AS who, 1 AS kind, page_id, path AS pattern, FALSE AS allow FROM section WHERE page_id % 3 = 0
+  UNION ALL SELECT site, '*', 2, page_id, path || '$', TRUE FROM section WHERE page_id % 7 = 1
+  UNION ALL SELECT site, '*', 3, page_id, '/*' || right(path, 2) || '$', FALSE FROM section WHERE page_id % 11 = 2
+  UNION ALL SELECT site, 'named', 4, page_id, path, FALSE FROM section WHERE page_id % 4 = 1
+  UNION ALL SELECT DISTINCT site, 'named', 5, 0, '/', FALSE FROM section WHERE site LIKE '%-3'),
+rules AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY kind, page_id) * CASE WHEN allow THEN 1 ELSE -1 END AS ord FROM lines WHERE site NOT LIKE '%-1' AND site NOT LIKE '%-2'),
+probed AS (SELECT DISTINCT site, NULL AS page_id, '/' AS path FROM section UNION ALL SELECT site, page_id, path FROM section WHERE NOT deleted AND importance >= 40),
+hits AS (SELECT p.site, p.page_id, who, allow, CASE WHEN allow THEN 'Allow: ' ELSE 'Disallow: ' END || pattern AS rule,
+    row_number() OVER (PARTITION BY p.site, p.page_id, who ORDER BY length(pattern) DESC, allow DESC, ord DESC) AS r
+  FROM probed p JOIN rules r ON r.site = p.site AND CASE kind WHEN 2 THEN p.path || '$' = pattern WHEN 3 THEN regexp_matches(p.path, '^/.*' || regexp_escape(substr(pattern, 3, length(pattern) - 3)) || '$') ELSE starts_with(p.path, pattern) END),
+counted AS (SELECT site, who, count(*) FILTER (page_id IS NOT NULL AND NOT allow) AS blocked, bool_and(allow) FILTER (page_id IS NULL) AS root, max(rule) FILTER (page_id IS NULL) AS rule FROM hits WHERE r = 1 GROUP BY ALL),
+section_matrix AS (SELECT s.site, t.bot, token, coalesce(root, TRUE) AS site_allowed, coalesce(rule, '') AS rule, CASE WHEN s.site LIKE '%-1' THEN '' WHEN s.site LIKE '%-2' THEN '*' ELSE named END AS "group", coalesce(blocked, 0) AS blocked_count, category
+  FROM (SELECT DISTINCT site FROM section) s CROSS JOIN tokens t LEFT JOIN counted c ON c.site = s.site AND c.who = CASE named WHEN '*' THEN '*' ELSE 'named' END)"""
+
+
+@query("robots_sections", "SELECT * EXCLUDE (category) FROM section_matrix", SECTIONS)
+def robots_sections(spark, d):
+    """The access matrix of many sites, whose files name thousands of pages and do not all exist."""
+    return robots.access_matrix(section_index(spark, d), section_pages(spark, d), C)
 
 
 def blocked(spark, d):
@@ -111,13 +169,12 @@ def blocked_crawlers(spark, d):
 
 
 @query("access_changes", """
-SELECT bot, CASE WHEN site_allowed THEN 'allowed' ELSE 'blocked' END AS change, rule, category FROM matrix JOIN (SELECT bot, category FROM bots) USING (bot)
-WHERE bot IN ('gptbot', 'ccbot')""", ACCESS)
+SELECT site, bot, 'blocked' AS change, rule, category FROM section_matrix WHERE site LIKE '%-3' AND "group" <> '*'
+UNION ALL SELECT site, bot, 'allowed', rule, category FROM section_matrix WHERE site LIKE '%-4' AND "group" = '*'""", SECTIONS)
 def access_changes(spark, d):
-    """Before: only CCBot was kept out. Now: only GPTBot."""
-    before = robots.policies(spark.createDataFrame([("main", "User-agent: CCBot\nDisallow: /\n")], "site string, body string"), robots.robots_bots(R))
-    old = robots.access_matrix(before, site_pages(spark, d), C, max_pages=None)
-    return robots.access_changes(old, robots_matrix(spark, d), R)
+    """Two fetches of the sections' files: one section has closed itself to two crawlers, one has opened to the others."""
+    old = robots.access_matrix(section_index(spark, d, old=True), section_pages(spark, d), C)
+    return robots.access_changes(old, robots_sections(spark, d), R)
 
 
 # importance, state -----------------------------------------------------------
@@ -413,5 +470,6 @@ WHERE last_seen IS NOT NULL OR t.bot IN """ + PRIORITY + " OR NOT coalesce(a.all
 def page_crawlers(spark, d):
     """Crawlers of one page: what each did, and what robots.txt says."""
     page = site_pages(spark, d).filter("page_id = 1")
-    verdicts = robots.check(policy(spark), page.select("site", "path")).select("bot", "allowed", "rule")
+    rules = robots.policies(robots.effective_body(sites(spark), robots.generated_body(C)), robots.robots_bots(R))
+    verdicts = robots.check(rules, page.select("site", "path")).select("bot", "allowed", "rule")
     return traffic.page_crawlers(R.frame(spark), b.page_bots(spark, d), verdicts, C, page.select("url_hash").first()[0])

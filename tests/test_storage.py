@@ -192,3 +192,30 @@ def test_stored_rollups_are_read_by_day(spark, tmp_path):
     rollups.write_partitioned(want.filter(F.col("day") == day).withColumn("hits", F.lit(0).cast("bigint")), f"{root}/daily")
     again = spark.read.parquet(f"{root}/daily")
     assert again.filter(F.col("day") == day).agg(F.sum("hits")).first()[0] == 0 and again.count() == n
+
+
+def test_late_rows_merge_stored_sessions_and_a_retry_changes_nothing(spark, tmp_path):
+    import random
+
+    rng, root = random.Random(4), str(tmp_path)
+    times = [(rng.choice("ab"), NOW + rng.randrange(5 * DAY) // 600 * 600) for _ in range(900)]
+    rows = [(bot, ts, rng.choice("xyz"), rng.choice("pq"), 1, ts % 2) for bot, ts in times]
+    rows += [("c", NOW, "x", "p", 1, 0), ("c", NOW + 3000, "y", "p", 1, 0), ("c", NOW + 1500, "z", "q", 1, 0)]  # the last joins the other two
+    schema = "bot string, ts long, url_hash string, ip_hash string, hits long, errors long"
+    rng.shuffle(rows[:900])
+    batches = [spark.createDataFrame(rows[k::3], schema).groupBy("bot", "ts", "url_hash", "ip_hash").agg(F.sum("hits").alias("hits"), F.sum("errors").alias("errors")) for k in range(3)]
+    for k, batch in enumerate(batches):
+        st.merge_sessions(spark, root, batch, f"live-{k}")
+    st.merge_sessions(spark, root, batches[2], "live-2")
+    want = sessions.sessions_from_grain(spark.createDataFrame(rows, schema))
+    got = st.read_sessions(spark, root).select(*want.columns)
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert [(r.started, r.pages) for r in got.filter("bot = 'c'").collect()] == [(NOW, 3)]
+
+
+def test_a_batch_cuts_only_the_runs_it_touches(spark):
+    runs = spark.createDataFrame([("a", 0, 100), ("a", 5000, 6000), ("a", 90000, 200000), ("b", 0, 100)], "bot string, run long, run_end long")
+    new = spark.createDataFrame([("a", 1900), ("a", 3200), ("a", 198000)], "bot string, ts long")
+    assert sorted(tuple(r) for r in sessions.touched_runs(new, runs).collect()) == [("a", 0, 100), ("a", 5000, 6000), ("a", 90000, 200000)]
+    assert sessions.touched_runs(new.filter("ts = 3200"), runs).collect()[0].run == 5000
+    assert sessions.touched_runs(new.filter("ts = 1900"), runs).collect()[0].run_end == 100

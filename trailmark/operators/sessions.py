@@ -68,17 +68,17 @@ def _cap_runs(cap: int):
                     at = end
                     if at < hi:
                         start = ts[at]
-            yield pd.DataFrame({"bot": bots, "ts": ts, "started": out})
+            yield pd.DataFrame({"bot": bots, "run": runs, "ts": ts, "started": out})
 
     return walk
 
 
 def session_starts(seconds: DataFrame, gap: int = GAP, cap: int = CAP) -> DataFrame:
-    """(bot, ts) distinct seconds -> (bot, ts, started)."""
-    # A run is bounded by the seconds it lasts, whatever the traffic; it is read in batches.
+    """(bot, ts) distinct seconds -> (bot, run, ts, started)."""
+    # A run has a row per second at most, whatever the traffic, and passes one task in batches.
     return (
         _runs(seconds, gap).repartition("bot", "run").sortWithinPartitions("bot", "run", "ts")
-        .mapInPandas(_cap_runs(cap), "bot string, ts bigint, started bigint")
+        .mapInPandas(_cap_runs(cap), "bot string, run bigint, ts bigint, started bigint")
     )
 
 
@@ -94,10 +94,28 @@ def sessions(events: DataFrame, gap: int = GAP, cap: int = CAP) -> DataFrame:
 
 
 def sessions_from_grain(rows: DataFrame, gap: int = GAP, cap: int = CAP) -> DataFrame:
+    return sessions_of_runs(rows, gap, cap).drop("run", "run_end")
+
+
+def sessions_of_runs(rows: DataFrame, gap: int = GAP, cap: int = CAP) -> DataFrame:
+    """Sessions with the run they are cut from: its first and last second."""
     starts = session_starts(rows.select("bot", "ts").distinct(), gap, cap)
     placed = rows.join(starts, ["bot", "ts"])
-    return placed.groupBy("bot", "started").agg(
+    out = placed.groupBy("bot", "started").agg(
         F.max("ts").alias("ended"), F.sum("hits").alias("hits"),
         F.countDistinct("url_hash").alias("pages"), F.countDistinct("ip_hash").alias("ips"),
-        F.sum("errors").alias("errors"),
+        F.sum("errors").alias("errors"), F.min("run").alias("run"),
     )
+    return out.withColumn("run_end", F.max("ended").over(Window.partitionBy("bot", "run")))
+
+
+def touched_runs(seconds: DataFrame, runs: DataFrame, gap: int = GAP) -> DataFrame:
+    """The rows of `runs` (bot, run, run_end) that new seconds (bot, ts) fall into, prolong or join to others.
+
+    Both sides are entered under the days they reach, so that runs meet by equality on crawler and day.
+    """
+    day = lambda c: F.floor(c / 86400)
+    own = _runs(seconds.select("bot", "ts").distinct(), gap).groupBy("bot", "run").agg((F.min("ts") - gap).alias("lo"), (F.max("ts") + gap).alias("hi"))
+    near = own.select("bot", "lo", "hi", F.explode(F.sequence(day(F.col("lo")), day(F.col("hi")))).alias("day"))
+    held = runs.select("bot", "run", "run_end", F.explode(F.sequence(day(F.col("run")), day(F.col("run_end")))).alias("day"))
+    return held.join(near, ["bot", "day"]).filter("run <= hi and run_end >= lo").select("bot", "run", "run_end").distinct()

@@ -8,13 +8,16 @@ the partial rollups; `compact` folds finished batches into one.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from trailmark.operators import rollups, sessions
+from trailmark.storage import kept
 
 MERGE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "daily": rollups.merge_daily,
@@ -65,13 +68,67 @@ def fold_batch(root: str, kind: str = "live") -> Callable[[DataFrame, int], None
         try:
             for name, df in parts.items():
                 df.write.mode("overwrite").parquet(f"{root}/{name}/batch={kind}-{batch_id}")
-            sessions.grain(batch).write.mode("overwrite").parquet(f"{root}/session_grain/batch={kind}-{batch_id}")
+            merge_sessions(batch.sparkSession, root, sessions.grain(batch), f"{kind}-{batch_id}")
         finally:
             cube.unpersist()
 
     return write
 
 
+SESSIONS = "bot string, started long, ended long, hits long, pages long, ips long, errors long, run long, run_end long, seq long, gone boolean, batch string"
+GRAIN = "bot string, ts long, url_hash string, ip_hash string, hits long, errors long, batch string, day long"
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The batches of a table, or no rows before the first."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _current(stored: DataFrame) -> DataFrame:
+    """Sessions that no later batch has replaced: `gone` rows name the runs that a batch has cut anew."""
+    gone = stored.filter("gone").groupBy("bot", "run").agg(F.max("seq").alias("_gone"))
+    return stored.filter("not gone").join(gone, ["bot", "run"], "left").filter("_gone is null or _gone <= seq").drop("_gone")
+
+
+def merge_sessions(spark: SparkSession, root: str, new: DataFrame, name: str) -> None:
+    """Merge the grain of a batch into the stored sessions.
+
+    A session depends on nothing outside its run, and a run only changes where a new second lies within the gap of
+    it. So the runs that the batch touches (late rows may join two into one) are read again from the days they
+    cover, cut anew together with the new rows, and written under the batch's name with a note of the runs they
+    replace. A retried batch sees the table without its own rows and writes the same ones. One writer at a time.
+    """
+    day = F.floor(F.col("ts") / 86400).cast("long")
+    new = kept(new)
+    grain_path, path = f"{root}/session_grain", f"{root}/sessions"
+    lo, hi = new.agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        return
+    gap = sessions.GAP
+    others = _stored(spark, path, SESSIONS).filter(F.col("batch") != name)
+    seq = (others.agg(F.max("seq")).first()[0] or 0) + 1
+    # only runs near the batch are read
+    near = _current(others.filter((F.col("run") <= hi + gap) & (F.col("run_end") >= lo - gap))).select("bot", "run", "run_end").distinct()
+    touched = kept(sessions.touched_runs(new, near))
+    first, last = touched.agg(F.min("run"), F.max("run_end")).first()
+    rows = new.withColumn("day", day)
+    if first is not None:
+        stored = _stored(spark, grain_path, GRAIN).filter((F.col("batch") != name) & F.col("day").between(first // 86400, last // 86400))
+        days = touched.withColumn("day", F.explode(F.sequence(F.floor(F.col("run") / 86400), F.floor(F.col("run_end") / 86400))))
+        again = stored.join(days, ["bot", "day"]).filter(F.col("ts").between(F.col("run"), F.col("run_end"))).select(*rows.columns)
+        rows = rows.unionByName(again)
+    rows = rows.groupBy("bot", "ts", "url_hash", "ip_hash").agg(F.sum("hits").alias("hits"), F.sum("errors").alias("errors"))
+    cut = sessions.sessions_of_runs(rows).withColumn("gone", F.lit(False))
+    replaced = touched.withColumn("gone", F.lit(True))
+    cut.unionByName(replaced, allowMissingColumns=True).withColumn("seq", F.lit(seq).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={name}")
+    new.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{grain_path}/batch={name}")
+
+
 def read_rollup(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A rollup as of the batches written so far."""
     merged = MERGE[name](spark.read.parquet(f"{root}/{name}").drop("batch"))
@@ -79,19 +136,19 @@ def read_rollup(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, root: str) -> DataFrame:
-    """Sessions over everything received, whatever order it arrived in."""
-    rows = spark.read.parquet(f"{root}/session_grain").drop("batch").groupBy("bot", "ts", "url_hash", "ip_hash").agg(
-        F.sum("hits").alias("hits"), F.sum("errors").alias("errors"))
-    return sessions.sessions_from_grain(rows)
+    """Sessions over everything received, whatever order it arrived in, as the batches have merged them."""
+    return _current(_stored(spark, f"{root}/sessions", SESSIONS)).drop("run", "run_end", "seq", "gone", "batch")
 
 
 def compact(spark: SparkSession, source: str, target: str) -> None:
     """Merge every batch into one, in a new folder; the old folder stays valid until readers move over."""
     for name, merge in MERGE.items():
         merge(spark.read.parquet(f"{source}/{name}").drop("batch")).write.mode("overwrite").parquet(f"{target}/{name}/batch=base-0")
-    grain = spark.read.parquet(f"{source}/session_grain").drop("batch").groupBy("bot", "ts", "url_hash", "ip_hash").agg(
+    grain = _stored(spark, f"{source}/session_grain", GRAIN).groupBy("bot", "ts", "url_hash", "ip_hash", "day").agg(
         F.sum("hits").alias("hits"), F.sum("errors").alias("errors"))
-    grain.write.mode("overwrite").parquet(f"{target}/session_grain/batch=base-0")
+    grain.write.mode("overwrite").partitionBy("day").parquet(f"{target}/session_grain/batch=base-0")
+    current = _current(_stored(spark, f"{source}/sessions", SESSIONS))
+    current.drop("batch").withColumn("seq", F.lit(0).cast("long")).write.mode("overwrite").parquet(f"{target}/sessions/batch=base-0")
 
 
 def start_rollups(events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -117,15 +174,36 @@ def daily_counts(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     ).select(F.col("window.start").alias("day"), "bot", "hits", "spoofed", "errors", "ms_total")
 
 
+def _floods(events: DataFrame, limit: int, width: str, slide: str | None, delay: str) -> DataFrame:
+    unverified = event_time(events).withWatermark("event_time", delay).filter("vstate <> 'verified' and ip_hash <> ''")
+    window = F.window("event_time", width, slide) if slide else F.window("event_time", width)
+    return unverified.groupBy(window, "ip_hash").agg(F.count("*").alias("requests")).filter(F.col("requests") > limit)
+
+
 def flood_windows(events: DataFrame, limit: int = 600, width: str = "10 minutes", slide: str | None = "1 minute",
                   delay: str = "10 minutes") -> DataFrame:
     """Addresses that pass `limit` unverified requests in a window; throttled for an hour after it."""
-    unverified = event_time(events).withWatermark("event_time", delay).filter("vstate <> 'verified' and ip_hash <> ''")
-    window = F.window("event_time", width, slide) if slide else F.window("event_time", width)
-    return unverified.groupBy(window, "ip_hash").agg(F.count("*").alias("requests")).filter(F.col("requests") > limit).select(
+    return _floods(events, limit, width, slide, delay).select(
         "ip_hash", "requests", F.unix_seconds("window.start").alias("started"), (F.unix_seconds("window.end") + 3600).alias("until"))
 
 
+def throttled(events: DataFrame, limit: int = 600, width: str = "10 minutes", slide: str | None = "1 minute",
+              delay: str = "10 minutes", salts: int = 8) -> DataFrame:
+    """The requests (id, ip_hash, ts) of an address within the hour after a window in which it flooded; each once.
+
+    Two stateful steps in one stream: the windows, then an interval join back to the requests. One address may send a
+    third of all requests, so they are spread over `salts` keys and its few windows are copied to each.
+    """
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    windows = _floods(events, limit, width, slide, delay).select(
+        F.col("ip_hash").alias("flood_hash"), F.window_time("window").alias("flooded"), salt.alias("flood_salt"))
+    asked = event_time(events).withWatermark("event_time", delay).filter("ip_hash <> ''").select(
+        "id", "ip_hash", "ts", "event_time", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    # the window's time is its last microsecond
+    after = F.expr("ip_hash = flood_hash and salt = flood_salt and event_time > flooded and event_time <= flooded + interval 1 hour")
+    return asked.join(windows, after).select("id", "ip_hash", "ts", "event_time").dropDuplicatesWithinWatermark(["id"]).drop("event_time")
+
+
 def gap_sessions(events: DataFrame, gap_minutes: int = 30, delay: str = WATERMARK) -> DataFrame:
     """Live view of crawl sessions by gap; the six-hour cap is applied by `read_sessions`."""
     live = event_time(events).filter(F.col("cls").isin("ai", "search")).withWatermark("event_time", delay)
@@ -134,23 +212,73 @@ def gap_sessions(events: DataFrame, gap_minutes: int = 30, delay: str = WATERMAR
     ).select("bot", "started", "ended", "hits", "errors")
 
 
-def settled(events: DataFrame, verdicts: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """Hold pending events until their verdict arrives or two days pass (then `none`); others pass at once.
+HOLD, TRUST = 2 * 86400, 7 * 86400
+
+
+class HoldBack(StatefulProcessor):
+    """Pending events of one crawler, address and day, until no verdict for them can come any more.
+
+    State: the events as a list, and the verdicts seen, by time. One timer per key, when the day's last event has been
+    held for two days; then every event leaves with the newest verdict from a week before to two days after it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "at long, event string")
+        self.verdicts = handle.getMapState("verdicts", "decided_at long", "verdict string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            pending = frame[frame["verdict"].isna()]
+            if len(pending):
+                self.events.appendList([(int(at), event) for at, event in zip(pending["at"], pending["event"], strict=True)])
+            for at, verdict in frame.loc[frame["verdict"].notna(), ["at", "verdict"]].itertuples(index=False):
+                old = self.verdicts.getValue((int(at),))
+                if old is None or verdict == "failed":  # of those decided in the same second a failure counts
+                    self.verdicts.updateValue((int(at),), (verdict,))
+        if not list(self.handle.listTimers()):
+            # a key whose time has passed already is released with the next batch
+            self.handle.registerTimer(max((int(key[2]) + 1) * 86400 + HOLD, timerValues.getCurrentWatermarkInMs() // 1000 + 1) * 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        decided = sorted((at, verdict) for (at,), (verdict,) in self.verdicts.iterator())
+        times = [at for at, _ in decided]
+        out = []
+        for at, event in self.events.get():
+            k = bisect.bisect_right(times, at + HOLD) - 1
+            out.append((event, decided[k][1] if k >= 0 and times[k] >= at - TRUST else "none"))
+        self.events.clear()
+        self.verdicts.clear()
+        yield pd.DataFrame(out, columns=["event", "verdict"])
+
+    def close(self) -> None:
+        pass
+
+
+def settled(events: DataFrame, verdicts: DataFrame, delay: str = WATERMARK, salts: int = 4) -> DataFrame:
+    """Hold pending events for two days, then let them go with the newest verdict (`none` without one); others pass at once.
 
     verdicts: bot, ip_hash, verdict, decided_at (unix seconds). A verdict serves events up to two days older and a
-    week younger than it, as a cached one does. An event that meets several verdicts leaves once, with the first
-    that reaches it.
+    week younger than it, as a cached one does; of several the newest counts, whichever came first, and in the same
+    second a failure. Events are keyed by crawler, address and day, and a hot address is spread over `salts` keys;
+    verdicts, which are few, are copied to the days and keys they may serve. Needs the RocksDB state store.
     """
     waiting = F.coalesce(F.col("vstate") == "pending", F.lit(False))
-    e = event_time(events.filter(waiting)).withWatermark("event_time", delay)
-    v = verdicts.select(
-        F.col("bot").alias("v_bot"), F.col("ip_hash").alias("v_hash"), "verdict", F.timestamp_seconds("decided_at").alias("decided")
-    ).withWatermark("decided", delay)
-    match = F.expr("bot = v_bot and ip_hash = v_hash and decided >= event_time - interval 7 days and decided <= event_time + interval 2 days")
-    joined = e.join(v, match, "leftOuter").select(*events.columns, "event_time", "verdict").dropDuplicatesWithinWatermark(["id"])
-    verdict = F.coalesce("verdict", F.lit("none"))
-    done = joined.withColumns({
-        "cls": F.when(verdict == "failed", "spoofed").otherwise(F.col("cls")), "vstate": verdict}).select(*events.columns)
+    day = lambda c: F.floor(c / 86400)
+    payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))
+    held = event_time(events.filter(waiting)).withWatermark("event_time", delay).select(
+        "bot", "ip_hash", day(F.col("ts")).alias("day"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
+        F.col("ts").alias("at"), F.lit(None).cast("string").alias("verdict"), payload.alias("event"), "event_time")
+    at = F.col("decided_at")
+    told = verdicts.withColumn("event_time", F.timestamp_seconds(at)).withWatermark("event_time", delay).withColumn(
+        "day", F.explode(F.sequence(day(at - HOLD), day(at + TRUST)))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    told = told.select("bot", "ip_hash", "day", "salt", at.alias("at"), "verdict", F.lit(None).cast("string").alias("event"), "event_time")
+    out = held.unionByName(told).groupBy("bot", "ip_hash", "day", "salt").transformWithStateInPandas(
+        HoldBack(), "event string, verdict string", "append", "EventTime")
+    back = F.from_json("event", events.schema)
+    done = out.select(back.alias("e"), "verdict").select("e.*", "verdict").withColumns({
+        "cls": F.when(F.col("verdict") == "failed", "spoofed").otherwise(F.col("cls")), "vstate": F.col("verdict")}).select(*events.columns)
     return events.filter(~waiting).unionByName(done)
 
 

@@ -309,15 +309,18 @@ def stream_of(spark, path, files=2):
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run(query):
     query.awaitTermination()
     if query.exception():
         raise query.exception()
 
 
-def streamed_root(spark, d):
+def streamed_root(spark, d, files=2):
     src, root = request_files(spark, d), b.scratch_dir(spark, "rollups")
-    run(st.start_rollups(stream_of(spark, src), root, b.scratch_dir(spark, "checkpoint"), {"availableNow": True}))
+    run(st.start_rollups(stream_of(spark, src, files), root, b.scratch_dir(spark, "checkpoint"), {"availableNow": True}))
     return root
 
 
@@ -341,7 +344,8 @@ from workload.rollup_queries import SESSION_SQL  # noqa: E402
 
 @query("stream_sessions", "SELECT * FROM sessions", SESSION_SQL.format(gap=1800, cap=21600), True)
 def stream_sessions(spark, d):
-    return st.read_sessions(spark, streamed_root(spark, d))
+    """Four batches, each from all over the month, so that most sessions are cut again as others join them."""
+    return st.read_sessions(spark, streamed_root(spark, d, 1))
 
 
 def to_table(spark, df, mode, name):
@@ -404,25 +408,48 @@ def stream_cooled_alerts(spark, d):
     return to_table(spark, st.cooled_alerts(rows), "append", "cooled")
 
 
-@query("stream_settled", """SELECT id, CASE WHEN bot <> 'googlebot' THEN vstate WHEN k % 3 = 0 THEN 'verified' WHEN k % 3 = 1 THEN 'failed' ELSE 'none' END AS vstate,
-  CASE WHEN bot = 'googlebot' AND k % 3 = 1 THEN 'spoofed' ELSE cls END AS cls
-FROM (SELECT *, CAST(regexp_extract(ip, '([0-9]+)$', 1) AS INT) AS k FROM requests)""")
+@query("stream_throttled", """SELECT DISTINCT r.id, r.ip_hash, r.ts FROM requests r JOIN floods f ON f.ip_hash = r.ip_hash AND r.ts >= f.until AND r.ts < f.until + 3600 WHERE r.ip_hash <> ''""", """
+slots AS (SELECT ip_hash, (ts // 7200 - k) * 7200 AS began FROM requests, range(6) s(k) WHERE vstate <> 'verified'),
+floods AS (SELECT ip_hash, began + 43200 AS until FROM slots GROUP BY ip_hash, began HAVING count(*) > 2)""")
+def stream_throttled(spark, d):
+    """Sliding windows (twelve hours, every two) with a threshold this data reaches, and the requests they throttle."""
+    out = b.scratch_dir(spark, "requests")
+    rows = b.requests(spark, d).select("id", "ip_hash", "ts", "vstate")
+    # the last row lets the watermark pass all windows
+    end = spark.createDataFrame([(-1, "", b.AS_OF + 90 * 86400, "none")], "id long, ip_hash string, ts long, vstate string")
+    rows.repartition(3, "id").write.parquet(out)
+    end.write.mode("append").parquet(out)
+    return to_table(spark, st.throttled(stream_of(spark, out, 100), 2, "12 hours", "2 hours", "1 hour"), "append", "throttled")
+
+
+# every address gets a verdict each third day, and they change; some days two in one second
+TOLD = f"""told AS (SELECT DISTINCT bot, ip_hash, ts // 86400 * 86400 + k * 60 AS decided_at, CASE WHEN (ts // 86400 + k) % 2 = 0 OR k % 5 = 0 THEN 'failed' ELSE 'verified' END AS verdict
+  FROM (SELECT *, CAST(regexp_extract(ip, '([0-9]+)$', 1) AS BIGINT) AS k FROM requests WHERE bot = 'googlebot') WHERE (ts // 86400 + k) % 3 = 0)"""
+
+
+@query("stream_settled", """SELECT r.id, CASE WHEN bot <> 'googlebot' THEN vstate ELSE coalesce(v, 'none') END AS vstate, CASE WHEN bot = 'googlebot' AND v = 'failed' THEN 'spoofed' ELSE cls END AS cls
+FROM requests r LEFT JOIN (SELECT id, arg_max(verdict, decided_at) AS v FROM requests r JOIN told t USING (bot, ip_hash)
+  WHERE decided_at BETWEEN ts - 604800 AND ts + 172800 GROUP BY id) USING (id)""", TOLD)
 def stream_settled(spark, d):
-    """Pending events meet their verdict; those without one are released as unverified once an event and a verdict of
-    two months later have come."""
+    """Pending events wait for their verdicts, which come before and after them in several batches."""
     src, answers = b.scratch_dir(spark, "pending"), b.scratch_dir(spark, "verdicts")
     rows = pending(spark, d)
-    k = F.substring_index("ip", ".", -1).cast("int")
-    late = b.AS_OF + 60 * 86400
-    marker = rows.filter("bot = 'googlebot'").limit(1).withColumns({
-        "id": F.lit(-1).cast("bigint"), "ts": F.lit(late).cast("bigint"), "ip_hash": F.lit("marker")})
-    rows.unionByName(marker).write.mode("overwrite").parquet(src)
-    # two equal verdicts for each address and day, each for all of the day's events of the address
-    day = F.col("ts") - F.col("ts") % 86400
-    decided = rows.filter("bot = 'googlebot'").select(
-        "bot", "ip_hash", F.when(k % 3 == 0, "verified").when(k % 3 == 1, "failed").alias("verdict"), day.alias("decided_at"))
-    decided = decided.filter("verdict is not null").distinct()
-    done = marker.select("bot", "ip_hash", F.lit("verified").alias("verdict"), F.col("ts").alias("decided_at"))
-    decided.unionByName(decided.withColumn("decided_at", F.col("decided_at") + 60)).unionByName(done).write.mode("overwrite").parquet(answers)
-    out = to_table(spark, st.settled(stream_of(spark, src, 100), stream_of(spark, answers, 100)).select("id", "vstate", "cls"), "append", "settled")
+    k = F.substring_index("ip", ".", -1).cast("bigint")
+    day = F.floor(F.col("ts") / 86400)
+    decided = rows.filter("bot = 'googlebot'").filter((day + k) % 3 == 0).select(
+        "bot", "ip_hash", (day * 86400 + k * 60).alias("decided_at"), F.when((day + k) % 2 == 0, F.array(F.lit("failed"))).when(
+            k % 5 == 0, F.array(F.lit("verified"), F.lit("failed"))).otherwise(F.array(F.lit("verified"))).alias("v"))
+    decided = decided.select("bot", "ip_hash", F.explode("v").alias("verdict"), "decided_at").distinct()
+    # a last row of each kind lets the watermark pass all others
+    late = b.AS_OF + 90 * 86400
+    last = rows.filter("bot = 'googlebot'").limit(1).withColumns({"id": F.lit(-1).cast("bigint"), "ts": F.lit(late).cast("bigint"), "ip_hash": F.lit("end")})
+    rows.repartition(3, "id").write.parquet(src)
+    last.coalesce(1).write.mode("append").parquet(src)
+    decided.repartition(3, "verdict", "decided_at").write.parquet(answers)
+    last.select("bot", "ip_hash", F.lit("verified").alias("verdict"), F.col("ts").alias("decided_at")).coalesce(1).write.mode("append").parquet(answers)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        out = to_table(spark, st.settled(stream_of(spark, src, 2), stream_of(spark, answers, 2), "60 days").select("id", "vstate", "cls"), "append", "settled")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return out.filter("id >= 0")

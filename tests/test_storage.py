@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from trailmark.config import Config, DAY
 from trailmark.functions import net
-from trailmark.operators import verify, classify, rollups, sessions
+from trailmark.operators import classify, page_sets, rollups, sessions, verify
 from trailmark.sources import logs
 from trailmark.sources.registry import Registry
-from trailmark.streaming import rollup_stream as st
+from trailmark.streaming import rollup_stream as st, term_frequencies as tf
 
 NOW = 1_760_000_000
 CFG = Config(as_of=NOW)
@@ -219,3 +219,25 @@ def test_a_batch_cuts_only_the_runs_it_touches(spark):
     assert sorted(tuple(r) for r in sessions.touched_runs(new, runs).collect()) == [("a", 0, 100), ("a", 5000, 6000), ("a", 90000, 200000)]
     assert sessions.touched_runs(new.filter("ts = 3200"), runs).collect()[0].run == 5000
     assert sessions.touched_runs(new.filter("ts = 1900"), runs).collect()[0].run_end == 100
+
+
+def test_page_numbers_are_unique_and_stay(spark):
+    first = page_sets.numbered(spark.range(40_000).select(F.col("id").cast("string").alias("url_hash")), buckets=1).cache()
+    more = page_sets.numbered(spark.range(39_000, 75_000).select(F.col("id").cast("string").alias("url_hash")), first).cache()
+    both = first.unionByName(more)
+    assert more.count() == 35_000 and both.select("bucket", "pos").distinct().count() == 75_000
+    assert {r.bucket for r in both.select("bucket").distinct().collect()} == {0, 1, 2} and both.agg(F.max("pos")).first()[0] == page_sets.WIDTH - 1
+    rows = spark.range(75_000).select(F.lit("d1").alias("day"), F.lit("k").alias("key"), F.col("id").cast("string").alias("url_hash"))
+    sets = page_sets.page_sets(rows.unionByName(rows.limit(500).withColumn("day", F.lit("d2"))), both)
+    assert page_sets.distinct_pages(sets).first().n == 75_000 and page_sets.distinct_pages(sets.filter("day = 'd2'"), "key").first().n == 500
+
+
+def test_compacted_frequencies_are_the_same(spark, tmp_path):
+    root, base = str(tmp_path / "a"), str(tmp_path / "b")
+    pages = lambda *rows: spark.createDataFrame(list(rows), "page_id long, terms array<string>")
+    tf.merge_terms(spark, root, pages((1, ["x", "y"]), (2, ["x"])), "live-0")
+    tf.merge_terms(spark, root, pages((1, ["y"]), (3, ["z"])), "live-1")
+    tf.compact(spark, root, base)
+    tf.merge_terms(spark, base, pages((2, []), (3, ["x", "z"])), "live-0")
+    assert sorted(tuple(r) for r in tf.frequencies(spark, root).collect()) == [("x", 1), ("y", 1), ("z", 1)]
+    assert sorted(tuple(r) for r in tf.frequencies(spark, base).collect()) == [("x", 1), ("y", 1), ("z", 1)]

@@ -96,31 +96,24 @@ def _tokens(text: Column, stop: list[str]) -> Column:
     return F.transform(trimmed, lambda w: F.when(txt.usable(w, stop), w))
 
 
-def _mentions(tokens: Column, weight: int, offset: Column) -> Column:
-    """(term, weight, position) of each word and each pair of neighbours."""
-    entry = lambda term, pos: F.struct(term.alias("term"), F.lit(weight).alias("weight"), pos.alias("pos"))
-    singles = F.transform(tokens, lambda w, i: entry(w, offset + i * 2))
-    size = F.size(tokens)
-    pairs = F.transform(
-        F.arrays_zip(F.slice(tokens, 1, F.greatest(size - 1, F.lit(0))).alias("a"),
-                     F.slice(tokens, 2, F.greatest(size - 1, F.lit(0))).alias("b")),
-        lambda p, i: entry(F.concat(p["a"], F.lit(" "), p["b"]), offset + i * 2 + 3))
-    return F.filter(F.concat(singles, pairs), lambda m: m["term"].isNotNull())
+def _mentions(tokens: Column) -> Column:
+    """Each word and each pair of neighbours."""
+    rest = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, 1, rest), F.slice(tokens, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_compact(F.concat(tokens, pairs))
 
 
 def term_counts(documents: DataFrame, stop: list[str], key: str = "page_id") -> DataFrame:
     """(key, text, emphasis) -> the document's terms: body ×1, emphasis ×3.
 
-    Words and pairs are made inside the row and summed map-side, so what is
+    Words and pairs are made inside the row as plain strings and counted map-side, so what is
     shuffled is each document's distinct terms, not its words.
     """
     body = _tokens(F.coalesce("text", F.lit("")), stop)
     strong = _tokens(F.coalesce("emphasis", F.lit("")), stop)
-    rows = documents.select(key, body.alias("b"), strong.alias("e")).select(
-        key, F.explode(F.concat(_mentions(F.col("b"), 1, F.lit(0)),
-                                _mentions(F.col("e"), 3, F.size("b") * 2))).alias("m"))
-    counts = rows.groupBy(key, F.col("m.term").alias("term")).agg(
-        F.sum("m.weight").alias("weight"))
+    rows = documents.select(key, body.alias("b"), strong.alias("e")).select(key, _mentions(F.col("b")).alias("b"), _mentions(F.col("e")).alias("e"))
+    each = rows.select(key, F.explode(F.concat("b", "e", "e", "e")).alias("term"))
+    counts = each.groupBy(key, "term").agg(F.count("*").alias("weight"))
     return counts.filter(~F.col("term").contains(" ") | (F.col("weight") >= 2))
 
 
@@ -135,11 +128,6 @@ def term_changes(old: DataFrame, new: DataFrame, key: str = "page_id") -> DataFr
     return added.unionByName(gone).groupBy("term").agg(F.sum("d").alias("delta"))
 
 
-def apply_term_changes(df: DataFrame, changes: DataFrame) -> DataFrame:
-    return df.join(changes, "term", "full").select(
-        "term", F.greatest(F.coalesce("df", F.lit(0)) + F.coalesce("delta", F.lit(0)), F.lit(0)).alias("df"))
-
-
 def key_terms(terms: DataFrame, df: DataFrame, n_documents: Column, key: str = "page_id", limit: int = 12) -> DataFrame:
     """Terms ranked by TF-IDF; phrases weigh 1.3."""
     total = F.sum("weight").over(Window.partitionBy(key))  # the distinct terms of one document

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from trailmark.config import Config
 from trailmark.functions import agents, paths
+from trailmark.operators import page_sets
 from trailmark.operators.classify import event_view, local_day
 from trailmark.sources.registry import ASSISTANT_OF, Registry, lookup
 
@@ -34,13 +35,21 @@ def important(config: Config) -> Column:
 
 # overview ----------------------------------------------------------------
 
-def overview(daily_bots: DataFrame, page_bots: DataFrame, referrals: DataFrame, registry: Registry,
-             config: Config, days: int = 30) -> DataFrame:
+def overview(daily_bots: DataFrame, page_bots: DataFrame | None, referrals: DataFrame, registry: Registry,
+             config: Config, days: int = 30, crawled_sets: DataFrame | None = None) -> DataFrame:
+    """Totals of the window and the one before it; one row.
+
+    `crawled_sets` (day, key: the crawler, bucket, pages; see `operators.page_sets`) gives the distinct pages from
+    stored bitmaps; without it they are counted from page_bots.
+    """
     since, prev = F.lit(config.since(days)), F.lit(config.since(2 * days))
     cur = F.col("day") >= since
-    crawled = page_bots.filter(
-        (F.col("last_seen") >= config.from_ts(days)) & registry.is_ai(F.col("bot"))
-    ).agg(F.countDistinct("url_hash").alias("n"))
+    if crawled_sets is not None:
+        crawled = page_sets.distinct_pages(crawled_sets.filter((F.col("day") >= since) & registry.is_ai(F.col("key"))))
+    else:
+        crawled = page_bots.filter(
+            (F.col("last_seen") >= config.from_ts(days)) & registry.is_ai(F.col("bot"))
+        ).agg(F.countDistinct("url_hash").alias("n"))
     visits = referrals.filter(F.col("day") >= prev).agg(
         F.struct(_sum_if(cur, "hits").alias("cur"), _sum_if(~cur, "hits").alias("prev")).alias("v"))
     user = F.col("bot").isin(*registry.user_ids)
@@ -166,24 +175,26 @@ def crawler_timeline(spark: SparkSession, daily_bots: DataFrame, config: Config,
 BREAKDOWNS = {"status": 12, "verification": 10**6, "network": 15, "user_agent": 10}
 
 
+#: Grouping ids of the sets below, in the order of their columns.
+_FACETS = {0b001111: "status", 0b010011: "verification", 0b011001: "network", 0b011110: "user_agent"}
+
+
 def crawler_breakdowns(events: DataFrame, config: Config, days: int = 30) -> DataFrame:
     """Status, verification, network and agent counts over all requests of each crawler in the window.
 
-    Requests are first counted by what they have in common, map-side, so a crawler with a third of them
-    sends each task's few distinct combinations; the facets are sums over those.
+    One aggregate over four grouping sets: requests are counted map-side under each, so a crawler with a third of
+    them sends each task's few distinct keys.
     """
     recent = events.filter((F.col("ts") >= config.from_ts(days)) & (F.col("bot") != ""))
-    alike = recent.groupBy("bot", "status", "cls", "vstate", "ip_net", "ua").agg(F.count("*").alias("n"))
-    facet = lambda kind, k1, k2: F.struct(
-        F.lit(kind).alias("kind"), k1.alias("key"), k2.alias("detail"))
-    none = F.lit("")
-    each = alike.select("bot", "n", F.explode(F.array(
-        facet("status", F.col("status").cast("string"), none),
-        facet("verification", F.col("cls"), F.col("vstate")),
-        facet("network", F.col("ip_net"), F.col("vstate")),
-        facet("user_agent", F.col("ua"), none),
-    )).alias("f")).select("bot", "n", "f.*").filter("not (kind = 'network' and key = '')")
-    counts = each.groupBy("bot", "kind", "key", "detail").agg(F.sum("n").alias("n"))
+    c = lambda *names: [F.col(n) for n in names]
+    sets = [c("bot", "status"), c("bot", "cls", "vstate"), c("bot", "ip_net", "vstate"), c("bot", "ua")]
+    counted = recent.groupingSets(sets, *c("bot", "status", "cls", "vstate", "ip_net", "ua")).agg(
+        F.count("*").alias("n"), F.grouping_id().alias("g"))
+    kind = lookup(_FACETS, F.col("g"))
+    key = F.when(kind == "status", F.col("status").cast("string")).when(kind == "verification", F.col("cls")).when(
+        kind == "network", F.col("ip_net")).otherwise(F.col("ua"))
+    detail = F.when(kind.isin("verification", "network"), F.col("vstate")).otherwise("")
+    counts = counted.select("bot", "n", kind.alias("kind"), key.alias("key"), detail.alias("detail")).filter("not (kind = 'network' and key = '')")
     rank = F.row_number().over(Window.partitionBy("bot", "kind").orderBy(F.desc("n"), "key", "detail"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= lookup(BREAKDOWNS, F.col("kind")))
 
@@ -414,7 +425,14 @@ def crawler_pages(daily: DataFrame, daily_bots: DataFrame, page_bots: DataFrame,
     return _with_page(paged(out, page, per), pages, "title")
 
 
-def referral_sources(referrals: DataFrame, registry: Registry, config: Config, days: int = 30) -> DataFrame:
+def referral_sources(referrals: DataFrame, registry: Registry, config: Config, days: int = 30,
+                     visited_sets: DataFrame | None = None) -> DataFrame:
+    """Visits and distinct pages per assistant; from stored bitmaps (day, key: the source, bucket, pages) if given."""
+    if visited_sets is not None:
+        recent = F.col("day") >= F.lit(config.since(days))
+        visits = referrals.filter(recent).groupBy("source").agg(F.sum("hits").alias("visits"))
+        pages = page_sets.distinct_pages(visited_sets.filter(recent), "key").select(F.col("key").alias("source"), F.col("n").alias("pages"))
+        return visits.join(pages, "source").withColumn("name", registry.referrer_name(F.col("source"))).orderBy(F.desc("visits"), "source")
     return referrals.filter(F.col("day") >= F.lit(config.since(days))).groupBy("source").agg(
         F.sum("hits").alias("visits"), F.countDistinct("url_hash").alias("pages")
     ).withColumn("name", registry.referrer_name(F.col("source"))).orderBy(F.desc("visits"), "source")

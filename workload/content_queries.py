@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import html, text
 from trailmark.operators import content as c
+from trailmark.streaming import term_frequencies as tf
 from workload import bridge as b
 
 QUERIES, ORACLE = {}, {}
@@ -135,9 +136,12 @@ PAGE_TEXTS = "SELECT page_id, 0 AS part, text AS txt FROM facts UNION ALL SELECT
 DOC_TEXTS = "SELECT doc_id, 0 AS part, text AS txt FROM documents"
 
 
+def page_texts(spark, d):
+    return facts(spark, d).select("page_id", "text", F.concat_ws(" ", "title", F.array_join("headings", " ")).alias("emphasis"))
+
+
 def page_terms(spark, d):
-    rows = facts(spark, d).select("page_id", "text", F.concat_ws(" ", "title", F.array_join("headings", " ")).alias("emphasis"))
-    return c.term_counts(rows, text.STOP_WORDS)
+    return c.term_counts(page_texts(spark, d), text.STOP_WORDS)
 
 
 def page_total(spark, d):
@@ -186,6 +190,23 @@ def term_changes(spark, d):
     return c.term_changes(terms.filter("page_id % 2 = 0"), terms.filter("page_id % 3 <> 0"))
 
 
+@query("document_frequency_log", "SELECT term, count(*) AS df FROM terms WHERE page_id % 7 <> 3 AND page_id % 5 <> 4 GROUP BY term",
+       lambda: FACTS + "," + _terms_sql(PAGE_TEXTS))
+def document_frequency_log(spark, d):
+    """Three batches: pages as they were, pages analysed anew (one batch comes twice), and pages deleted."""
+    texts, root = b.written(spark, page_texts(spark, d), "texts"), b.scratch_dir(spark, "frequencies")
+    words, pid = F.col("text"), F.col("page_id")
+    stamped = lambda rows, at, deleted=False: rows.withColumns({"at": F.lit(at).cast("bigint"), "deleted": F.lit(deleted)})
+    first = texts.select("page_id", F.when(pid % 3 == 0, F.concat(words, F.lit(" obsolete wording obsolete wording"))).otherwise(words).alias("text"), "emphasis")
+    edited = stamped(texts.filter("page_id % 3 = 0"), 2).unionByName(stamped(texts.filter("page_id % 5 = 4"), 3, True))
+    apply = tf.keep_frequencies(root, text.STOP_WORDS)
+    apply(stamped(first, 1), 0)
+    apply(edited, 1)
+    apply(edited, 1)
+    apply(stamped(texts.filter("page_id % 7 = 3"), 4, True), 2)
+    return tf.frequencies(spark, root)
+
+
 @query("topics", """
 SELECT term, pages, weight FROM (SELECT term, count(*) AS pages, CAST(sum(weight) AS BIGINT) AS weight FROM terms
   WHERE page_id IN (SELECT page_id FROM live) GROUP BY term HAVING count(*) >= 2) x

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trailmark.operators import classify, rollups, sessions, verify
+from trailmark.operators import classify, page_sets, rollups, sessions, verify
 from trailmark.plans import traffic as t
 from workload import bridge as b
 from workload.rollup_queries import SESSION_SQL
@@ -41,6 +41,33 @@ def overview(spark, d):
     return t.overview(b.daily_bots(spark, d), b.page_bots(spark, d), b.referrals(spark, d), R, C)
 
 
+def stored_sets(spark, d, rows, name):
+    """Bitmaps of the pages per day and key, as an earlier job would have stored them: numbered in two steps."""
+    rows = rows.select("day", "key", "url_hash")
+    old = b.written(spark, page_sets.numbered(rows.filter(F.col("day") < F.lit(C.back(10)))), f"{name}-numbers")
+    new = page_sets.numbered(rows, old)
+    return b.written(spark, page_sets.page_sets(rows, old.unionByName(new)), f"{name}-sets")
+
+
+@query("overview_year", f"""
+SELECT CAST(sum(hits) AS BIGINT) AS ai_requests, count(DISTINCT bot) FILTER (hits > 0) AS ai_bots,
+  (SELECT count(DISTINCT url_hash) FROM daily WHERE day >= {b.since(365)} AND bot IN (SELECT bot FROM ai)) AS pages_crawled,
+  (SELECT CAST(sum(hits) AS BIGINT) FROM referrals WHERE day >= {b.since(365)}) AS ai_referrals
+FROM daily_bots WHERE day >= {b.since(365)} AND bot IN (SELECT bot FROM ai)""")
+def overview_year(spark, d):
+    """A year's overview from stored rollups and page bitmaps alone."""
+    crawled = stored_sets(spark, d, b.daily(spark, d).withColumnRenamed("bot", "key"), "crawled")
+    bots, sent = b.written(spark, b.daily_bots(spark, d), "daily_bots"), b.written(spark, b.referrals(spark, d), "referrals")
+    return t.overview(bots, None, sent, R, C, 365, crawled).select("ai_requests", "ai_bots", "pages_crawled", "ai_referrals")
+
+
+@query("referral_sources_year", f"""SELECT source, CAST(sum(hits) AS BIGINT) AS visits, count(DISTINCT url_hash) AS pages, max(name) AS name
+FROM referrals JOIN refnames USING (source) WHERE day >= {b.since(365)} GROUP BY source""")
+def referral_sources_year(spark, d):
+    sent = b.written(spark, b.referrals(spark, d), "referrals")
+    return t.referral_sources(sent, R, C, 365, stored_sets(spark, d, sent.withColumnRenamed("source", "key"), "visited"))
+
+
 @query("overview_week", f"""
 SELECT CAST(sum(hits) FILTER (day >= {b.since(7)}) AS BIGINT) AS ai_requests,
   CAST(sum(hits) FILTER (day < {b.since(7)}) AS BIGINT) AS ai_requests_prev,

@@ -36,8 +36,9 @@ def new_bot(new_bots: DataFrame, registry: Registry, config: Config) -> DataFram
 
 def _fingerprint(col: str) -> Column:
     """Identity of a set of ids, computed without gathering them."""
-    return F.md5(F.concat_ws(":", F.count("*").cast("string"), F.expr(f"bit_xor(xxhash64({col}))").cast("string"),
-                             F.sum(col).cast("string")))
+    # fifteen hex digits of each id's digest fit a long
+    mixed = F.bit_xor(F.conv(F.substring(F.md5(F.col(col).cast("string")), 1, 15), 16, 10).cast("bigint"))
+    return F.md5(F.concat_ws(":", F.count("*").cast("string"), mixed.cast("string"), F.sum(col).cast("string")))
 
 
 def first_crawl_pages(first_crawls: DataFrame, pages: DataFrame, config: Config) -> DataFrame:
@@ -116,10 +117,9 @@ def hot_pages(daily: DataFrame, pages: DataFrame, registry: Registry, config: Co
               days: int = 1) -> DataFrame:
     """Pages assistants keep fetching for users: the last two days."""
     rows = daily.filter((F.col("day") >= F.lit(config.back(days))) & F.col("bot").isin(*registry.ids("ai_user")))
-    top = rows.groupBy("url_hash").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= min_hits).orderBy(
-        F.desc("hits"), "url_hash").limit(k)
+    often = rows.groupBy("url_hash").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= min_hits)
     live = pages.filter(~F.col("deleted")).select("url_hash", "page_id")
-    return live.join(F.broadcast(top), "url_hash")  # k rows
+    return often.join(live, "url_hash").orderBy(F.desc("hits"), "url_hash").limit(k)
 
 
 def hot_page_alerts(hot: DataFrame, config: Config) -> DataFrame:

@@ -164,8 +164,8 @@ def topics(terms: DataFrame, pages: DataFrame, k: int = 30) -> DataFrame:
     return top.join(in_titles.distinct(), "term", "left_semi").orderBy(F.desc("weight"), "term").limit(k)
 
 
-def entities(documents: DataFrame, stop: list[str], key: str = "page_id", limit: int = 15) -> DataFrame:
-    """Names a text mentions: capitalised phrases that repeat or have several words."""
+def entities(documents: DataFrame, stop: list[str], key: str = "page_id", limit: int | None = None) -> DataFrame:
+    """Names a text mentions: capitalised phrases that repeat or have several words; the first `limit` if given."""
     # What a name looks like.
     phrase = (r"(?<=\s)(\p{Lu}[\p{L}\p{N}&\.'’-]+(?:\s+(?:of|the|de|la|and|&)?\s*\p{Lu}[\p{L}\p{N}&\.'’-]+){0,3})")
     named = documents.select(key, F.posexplode(txt.sentences(F.col("text"))).alias("s", "sentence")).select(
@@ -179,7 +179,8 @@ def entities(documents: DataFrame, stop: list[str], key: str = "page_id", limit:
         F.count("*").alias("mentions"), F.min(F.col("s") * 100000 + F.col("i")).alias("pos"))
     counts = counts.filter((F.col("mentions") >= 2) | F.col("phrase").contains(" "))
     order = Window.partitionBy(key).orderBy(F.desc("mentions"), "pos")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("pos")
+    ranked = counts.withColumn("rank", F.row_number().over(order)).drop("pos")
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 # links -------------------------------------------------------------------

@@ -180,11 +180,11 @@ def first_crawls(events: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def flooding(events: DataFrame, config: Config) -> DataFrame:
-    """Addresses with more than 600 unverified requests in the last 600 seconds."""
+def flooding(events: DataFrame, config: Config, seconds: int = 600, limit: int = 600) -> DataFrame:
+    """Addresses with more than `limit` unverified requests in the last `seconds` seconds."""
     return (
-        events.filter((F.col("ts") > config.as_of - 600) & (F.col("vstate") != "verified") & (F.col("ip_hash") != ""))
-        .groupBy("ip_hash").agg(F.count("*").alias("requests")).filter("requests > 600")
+        events.filter((F.col("ts") > config.as_of - seconds) & (F.col("vstate") != "verified") & (F.col("ip_hash") != ""))
+        .groupBy("ip_hash").agg(F.count("*").alias("requests")).filter(F.col("requests") > limit)
     )
 
 

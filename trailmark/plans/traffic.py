@@ -381,6 +381,22 @@ def url_detail(page_bots: DataFrame, registry: Registry, url_hash: str | None =
     ).withColumn("first_bot", registry.label(F.col("first_bot")))
 
 
+def url_crawlers(page_bots: DataFrame, registry: Registry, url_hash: str | None = None) -> DataFrame:
+    """AI crawlers of a URL (or of every URL): requests and last visit of each."""
+    rows = page_bots.filter(registry.is_ai(F.col("bot")))
+    if url_hash is not None:
+        rows = rows.filter(F.col("url_hash") == url_hash)
+    return rows.select("url_hash", "bot", registry.label(F.col("bot")).alias("name"), "hits", F.col("last_seen").alias("last"))
+
+
+def url_visits(referrals: DataFrame, registry: Registry, config: Config, days: int = 30, url_hash: str | None = None) -> DataFrame:
+    """Visits that each assistant sent to a URL (or to every URL) in the window."""
+    rows = referrals.filter(F.col("day") >= F.lit(config.since(days)))
+    if url_hash is not None:
+        rows = rows.filter(F.col("url_hash") == url_hash)
+    return rows.groupBy("url_hash", "source").agg(F.sum("hits").alias("visits")).withColumn("name", registry.referrer_name(F.col("source")))
+
+
 # pivots ------------------------------------------------------------------
 
 def _top_columns(rows: DataFrame, key: str, k: int = 3) -> list[str]:

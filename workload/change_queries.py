@@ -48,7 +48,7 @@ def activity_changes(spark, d):
 
 
 @query("hot_pages", f"""SELECT url_hash, page_id, hits FROM live JOIN (SELECT url_hash, CAST(sum(hits) AS BIGINT) AS hits FROM daily
-WHERE day >= {b.day(29)} AND bot IN (SELECT bot FROM bots WHERE category = 'ai_user') GROUP BY 1 HAVING sum(hits) >= 10 ORDER BY hits DESC, url_hash LIMIT 10) USING (url_hash)""")
+WHERE day >= {b.day(29)} AND bot IN (SELECT bot FROM bots WHERE category = 'ai_user') GROUP BY 1 HAVING sum(hits) >= 10) USING (url_hash) ORDER BY hits DESC, url_hash LIMIT 10""")
 def hot_pages(spark, d):
     return a.hot_pages(b.daily(spark, d), b.inventory(spark, d), R, C, days=29)
 
@@ -92,6 +92,7 @@ SELECT '2024-01-31' AS day, (SELECT CAST(sum(hits) AS BIGINT) FROM daily_bots WH
   count(*) AS pages, count(*) FILTER (last_ai >= {C.from_ts(30)}) AS pages_crawled_30d, count(*) FILTER (imp) AS important,
   count(*) FILTER (imp AND last_ai >= {C.from_ts(30)}) AS important_crawled_30d, round(100 * count(*) FILTER (imp AND last_ai >= {C.from_ts(30)}) / count(*) FILTER (imp), 1) AS coverage,
   (SELECT count(*) FROM findings WHERE status = 'open' AND severity = 'critical' AND page_id IN (SELECT page_id FROM live)) AS critical,
+  (SELECT count(*) FROM findings WHERE status = 'open' AND severity = 'warning' AND page_id IN (SELECT page_id FROM live)) AS warning,
   (SELECT count(*) FROM findings WHERE status = 'open' AND page_id IN (SELECT page_id FROM live)) AS findings,
   (SELECT CAST(sum(hits) AS BIGINT) FROM referrals WHERE day >= {b.since(7)}) AS referrals_7d
 FROM (SELECT p.*, importance >= 40 OR pinned > 0 AS imp, last_ai FROM live p
@@ -104,7 +105,7 @@ def snapshot(spark, d):
     site = q.site_score(scored, robots_matrix(spark, d), R, C)
     row = a.snapshot(traffic.coverage(pages, b.page_bots(spark, d), R, C), b.daily_bots(spark, d), b.referrals(spark, d),
                      q.finding_counts(found, pages, C), site, readiness.scores(ready_checks(spark, d)), R, C)
-    return row.withColumn("day", b.iso("day")).drop("score", "readiness", "warning")
+    return row.withColumn("day", b.iso("day")).drop("score", "readiness")
 
 
 # alerts ------------------------------------------------------------------
@@ -137,7 +138,32 @@ def all_candidates(spark, d):
         a.snapshot_alerts(snapshots(spark, d), C))
 
 
-@query("alerts")
+W = 7 * D
+ALERT_SQL = f"""
+hot AS (SELECT url_hash, page_id, hits FROM live JOIN (SELECT url_hash, CAST(sum(hits) AS BIGINT) AS hits FROM daily WHERE day >= {b.day(29)}
+  AND bot IN (SELECT bot FROM bots WHERE category = 'ai_user') GROUP BY 1 HAVING sum(hits) >= 10) USING (url_hash) ORDER BY hits DESC, url_hash LIMIT 10),
+dropped AS (SELECT page_id FROM live JOIN (SELECT url_hash, max(last_seen) AS last_seen FROM page_bots WHERE hits >= 3 GROUP BY 1) USING (url_hash)
+  WHERE (importance >= 40 OR pinned > 0) AND last_seen < {b.AS_OF} AND last_seen > {b.AS_OF - 90 * D} AND pinned >= 0),
+moves AS (SELECT bot, category, recent, CASE WHEN weekly >= 5 AND recent = 0 THEN 'bot_stopped' WHEN weekly >= 20 AND recent >= 2 * weekly AND recent >= 50 THEN 'activity_up'
+    WHEN weekly >= 20 AND recent <= 0.4 * weekly THEN 'activity_down' END AS kind
+  FROM (SELECT bot, CAST(coalesce(sum(hits) FILTER (day >= {b.day(7)}), 0) AS BIGINT) AS recent, coalesce(sum(hits) FILTER (day < {b.day(7)}), 0) / 4 AS weekly
+    FROM daily_bots WHERE day >= {b.day(35)} GROUP BY bot) JOIN bots USING (bot) WHERE ai),
+cand AS (
+  SELECT 'new_bot' AS rule, bot AS key, 'info' AS severity, {b.AS_OF} AS t, {365 * D} AS cooldown, bot AS subject, CAST(NULL AS BIGINT) AS n
+    FROM requests WHERE cls = 'ai' AND bot IN (SELECT bot FROM bots) GROUP BY bot HAVING bot NOT IN (SELECT bot FROM requests WHERE cls IN ('ai', 'search', 'potential') AND ts < {b.AS_OF - 30 * D + 300})
+  UNION ALL SELECT kind, bot, CASE WHEN kind = 'activity_down' OR (kind = 'bot_stopped' AND category IN ('ai_search', 'ai_user')) THEN 'warning' ELSE 'info' END,
+    {b.AS_OF}, CASE kind WHEN 'bot_stopped' THEN {2 * W} ELSE {W} END, bot, recent FROM moves WHERE kind IS NOT NULL
+  UNION ALL SELECT 'hot_page', 'p' || page_id, 'info', {b.AS_OF}, {W}, CAST(page_id AS VARCHAR), hits FROM hot
+  UNION ALL SELECT 'never_crawled', 'weekly', 'warning', {b.AS_OF}, {W}, '', count(*) FROM findings WHERE code = 'never_crawled' AND status = 'open' AND page_id IN (SELECT page_id FROM live) HAVING count(*) > 0
+  UNION ALL SELECT 'page_dropped', md5(concat_ws(':', count(*), bit_xor(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 15) AS BIGINT)), sum(page_id))), 'warning', {b.AS_OF}, {W}, '', count(*) FROM dropped HAVING count(*) > 0
+  UNION ALL SELECT rule, key, severity, "at", cooldown, '', n FROM drops),
+ordered AS (SELECT *, rule || ':' || key AS dedupe, row_number() OVER (PARTITION BY rule, key ORDER BY t) AS rn FROM cand),
+walk AS (SELECT dedupe, t, rn, TRUE AS fired, t AS last FROM ordered WHERE rn = 1
+  UNION ALL SELECT o.dedupe, o.t, o.rn, w.last <= o.t - o.cooldown, CASE WHEN w.last <= o.t - o.cooldown THEN o.t ELSE w.last END
+  FROM walk w JOIN ordered o ON o.dedupe = w.dedupe AND o.rn = w.rn + 1)"""
+
+
+@query("alerts", "SELECT rule, dedupe, severity, subject, n, 'unread' AS status, t AS created_at FROM walk JOIN ordered USING (dedupe, t) WHERE fired", SNAPS + "," + ALERT_SQL, True)
 def all_alerts(spark, d):
     return a.raise_alerts(all_candidates(spark, d))
 
@@ -284,30 +310,38 @@ def stripped_rules(spark, d):
     return site.select("site", p.strip_rules(body).alias("body"))
 
 
-@query("training_policies", """SELECT site, CASE n % 3 WHEN 0 THEN 1 ELSE CASE n % 3 WHEN 1 THEN 21 ELSE 1 END END AS rules FROM (
+# The text of a policy file, as SQL.
+_MEDIA_SQL = " || ".join(f"'Disallow: *.{x}' || chr(10)" for x in ("jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "bmp", "tif", "tiff", "mp3", "wav", "ogg", "flac", "m4a", "mp4", "mov", "avi", "webm", "mkv"))
+
+
+@query("training_policies", f"""SELECT site, '# ai.txt — ' || site || chr(10) || '# Policy for using this site''s content to train AI models.' || chr(10) || chr(10) || 'User-Agent: *' || chr(10) ||
+  CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN {_MEDIA_SQL} ELSE 'Disallow: /' || chr(10) END || CASE n % 3 WHEN 2 THEN '' ELSE 'Allow: /' || chr(10) END AS text FROM (
   SELECT split_part(path, '/', 2) AS site, count(*) AS n FROM page_paths GROUP BY 1)""")
 def training_policies(spark, d):
     sites = b.page_paths(spark, d).groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("site")).agg(F.count("*").alias("n")).select(
         "site", F.col("site").alias("name"), F.when(F.col("n") % 3 == 0, "allow").when(F.col("n") % 3 == 1, "no_media").otherwise("no_training").alias("policy"))
-    return p.training_policy(sites).select("site", F.regexp_count("text", F.lit("(?m)^(Allow|Disallow):")).alias("rules"))
+    return p.training_policy(sites).select("site", "text")
 
 
 @query("access_view", f"""
 SELECT m.bot, name, provider, category, coalesce(hits, 0) AS hits, CASE WHEN m.bot = 'ccbot' THEN 'block' ELSE '' END AS choice, NOT site_allowed AS blocked_elsewhere,
-  CASE WHEN provider IN ('OpenAI', 'Anthropic', 'Google', 'Perplexity', 'Microsoft', 'Apple', 'Meta') THEN provider ELSE 'Others' END AS operator
+  CASE WHEN provider IN ('OpenAI', 'Anthropic', 'Google', 'Perplexity', 'Microsoft', 'Apple', 'Meta') THEN provider ELSE 'Others' END AS operator,
+  CASE category WHEN 'ai_training' THEN CASE WHEN m.bot = 'google-extended' OR provider IN (SELECT provider FROM bots WHERE category IN ('ai_search', 'ai_user', 'search')) THEN 'training_only' ELSE 'no_visible_effect' END
+    WHEN 'ai_search' THEN 'leaves_answers' WHEN 'ai_user' THEN 'links_fail' WHEN 'ai_agent' THEN 'links_fail' ELSE 'little_effect' END AS consequence
 FROM matrix m JOIN bots b USING (bot) LEFT JOIN (SELECT bot, CAST(sum(hits) AS BIGINT) AS hits FROM daily_bots WHERE day >= {b.since(30)} GROUP BY 1) h ON h.bot = m.bot WHERE ai""", ACCESS)
 def access_view(spark, d):
     mine = spark.createDataFrame([("ccbot", "block")], "bot string, choice string")
-    return p.access_view(b.daily_bots(spark, d), mine, robots_matrix(spark, d), R, C).drop("consequence", "purpose")
+    return p.access_view(b.daily_bots(spark, d), mine, robots_matrix(spark, d), R, C).drop("purpose")
 
 
 @query("file_fetches", f"""
 SELECT path AS file, CAST(coalesce(sum(hits), 0) AS BIGINT) AS hits, CAST(max(day) AS VARCHAR) AS last, string_agg(bot, ',' ORDER BY hits DESC, bot) AS bots FROM (
-  SELECT path, bot, CAST(sum(hits) AS BIGINT) AS hits, max(day) AS day FROM (SELECT path, url_hash FROM page_paths WHERE page_id <= 2) LEFT JOIN (SELECT url_hash, bot, hits, day FROM daily WHERE day >= {b.day(30)}) USING (url_hash) GROUP BY ALL)
+  SELECT path, bot, CAST(sum(hits) AS BIGINT) AS hits, max(day) AS day FROM (SELECT DISTINCT path, url_hash FROM page_paths) LEFT JOIN (SELECT url_hash, bot, hits, day FROM daily WHERE day >= {b.day(30)}) USING (url_hash) GROUP BY ALL)
 GROUP BY path""")
 def file_fetches(spark, d):
-    files = [r[0] for r in b.page_paths(spark, d).filter("page_id <= 2").select("path").limit(3).collect()]
-    return p.file_fetches(b.daily(spark, d), R, C, files).withColumns({"bots": F.array_join("bots", ","), "last": b.iso("last")})
+    """Every page counts as a published file."""
+    files = b.page_paths(spark, d).select(F.col("path").alias("file"))
+    return p.file_fetches(b.daily(spark, d), C, files).withColumns({"bots": F.array_join("bots", ","), "last": b.iso("last")})
 
 
 # exports -----------------------------------------------------------------

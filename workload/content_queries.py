@@ -225,7 +225,7 @@ SELECT doc_id, phrase, count(*) AS mentions, row_number() OVER (PARTITION BY doc
         SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS s FROM (SELECT doc_id, {_SENT} AS ss FROM documents)))))
 WHERE NOT (starts_with(ltrim(sentence), phrase) AND NOT contains(phrase, ' ')) AND length(phrase) >= 3
   AND lower(phrase) NOT IN ({STOP_SQL})
-GROUP BY doc_id, phrase HAVING count(*) >= 2 OR contains(phrase, ' ') QUALIFY rank <= 15""")
+GROUP BY doc_id, phrase HAVING count(*) >= 2 OR contains(phrase, ' ')""")
 def entities(spark, d):
     return c.entities(b.wide_table(spark, d, "documents").select("doc_id", "text"), text.STOP_WORDS, key="doc_id")
 

@@ -23,11 +23,12 @@ def query(name, sql=None, extra="", recursive=False):
 
 # log lines are the derived requests written out as text; every 50th is broken in some way
 
-def combined_lines(spark, d):
+def combined_lines(spark, d, browser=None):
     e = F.col("id")
     when = F.date_format(classify.utc_ntz(F.col("ts") + 7200), "dd/MMM/yyyy:HH:mm:ss")
     secs = F.when(e % 4 == 0, F.concat(F.lit(" "), F.format_string("%d.%03d", F.floor(F.col("ms") / 1000), F.col("ms") % 1000))).otherwise("")
-    ua = F.when(e % 9 == 0, F.concat("ua", F.lit(' \\"quoted\\"'))).otherwise(F.col("ua"))
+    agent = F.col("ua") if browser is None else F.when(e % 6 == 0, browser).otherwise(F.col("ua"))
+    ua = F.when(e % 9 == 0, F.concat(agent, F.lit(' \\"quoted\\"'))).otherwise(agent)
     referer = F.when(e % 5 == 0, F.lit("https://chatgpt.com/c/1")).otherwise(F.lit("-"))
     status = F.when(e % 50 == 7, F.lit("xx")).otherwise(F.col("status").cast("string"))
     line = F.concat(F.col("ip"), F.lit(" - - ["), when, F.lit(' +0200] "GET '), "path", F.lit('?q=1 HTTP/1.1" '), status,
@@ -65,9 +66,12 @@ def parse_json_log(spark, d):
     return logs.parse_lines(json_lines(spark, d))
 
 
-@query("log_prefilter", "SELECT status, count(*) AS n FROM parsed GROUP BY status", PARSED)
+@query("log_prefilter", "SELECT status, count(*) AS n, count(DISTINCT ua) AS agents FROM parsed WHERE id % 6 <> 0 OR id % 5 = 0 GROUP BY status", PARSED.replace("ua || CASE", "CASE WHEN id % 6 = 0 THEN 'browser' ELSE ua END || CASE"))
 def log_prefilter(spark, d):
-    return logs.prefilter(logs.parse_lines(combined_lines(spark, d), "combined"), R).groupBy("status").agg(F.count("*").alias("n"))
+    """A sixth of the lines come from a browser; of those only visits that an assistant sent are kept."""
+    browser = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/140.0.0.0 Safari/537.36"
+    parsed = logs.parse_lines(combined_lines(spark, d, browser), "combined")
+    return logs.prefilter(parsed, R).groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("ua").alias("agents"))
 
 
 def judged(spark, d):
@@ -402,8 +406,13 @@ walk AS (SELECT dedupe, t, rn, TRUE AS fired, t AS last FROM ordered WHERE rn =
   UNION ALL SELECT o.dedupe, o.t, o.rn, w.last <= o.t - 259200, CASE WHEN w.last <= o.t - 259200 THEN o.t ELSE w.last END
   FROM walk w JOIN ordered o ON o.dedupe = w.dedupe AND o.rn = w.rn + 1)""", True)
 def stream_cooled_alerts(spark, d):
-    """The files aren't ordered by time, so they are one batch of several tasks."""
-    rows = stream_of(spark, request_files(spark, d), 100).filter("cls = 'spoofed'").select(
+    """Four batches, a week each: a key's last time is kept as state from one to the next."""
+    src = b.scratch_dir(spark, "weeks")
+    spoofed = b.requests(spark, d)
+    for week in range(4):  # written one after the other, so that they are read in order
+        own = F.least(F.lit(3), F.floor((F.col("ts") - b.AS_OF + 30 * 86400) / (8 * 86400))) == week
+        spoofed.filter(own).coalesce(1).write.mode("append").parquet(src)
+    rows = stream_of(spark, src, 1).filter("cls = 'spoofed'").select(
         F.concat(F.lit("spoof:"), "bot").alias("dedupe"), F.col("ts").alias("at"), F.lit(3 * 86400).cast("bigint").alias("cooldown"))
     return to_table(spark, st.cooled_alerts(rows), "append", "cooled")
 

@@ -127,8 +127,7 @@ def retained_events(spark, d):
 
 
 @query("flooding_addresses", b.sql("""
-SELECT ip_hash, count(*) AS requests FROM requests WHERE vstate <> 'verified' GROUP BY ip_hash HAVING count(*) > 20"""))
+SELECT ip_hash, count(*) AS requests FROM requests WHERE vstate <> 'verified' AND ts > """ + str(b.AS_OF - 20 * 86400) + """ GROUP BY ip_hash HAVING count(*) > 15"""))
 def flooding_addresses(spark, d):
-    """The flood rule over the whole history with a threshold this data reaches."""
-    rows = b.requests(spark, d).filter("vstate <> 'verified' and ip_hash <> ''")
-    return rows.groupBy("ip_hash").agg(F.count("*").alias("requests")).filter("requests > 20")
+    """The flood rule over the last twenty days with a threshold this data reaches."""
+    return rollups.flooding(b.requests(spark, d), b.CONFIG, 20 * 86400, 15)

@@ -366,6 +366,26 @@ def crawler_pages_of_bot(spark, d):
     return _pivot(spark, d, page=None, bot="ccbot", search="/De/")
 
 
+@query("url_crawlers", "SELECT url_hash, p.bot, name, hits, last_seen AS last FROM page_bots p JOIN bots b ON b.bot = p.bot WHERE ai")
+def url_crawlers(spark, d):
+    return t.url_crawlers(b.page_bots(spark, d), R)
+
+
+VISITS = "SELECT url_hash, source, CAST(sum(hits) AS BIGINT) AS visits, max(name) AS name FROM referrals JOIN refnames USING (source) WHERE day >= {since} {own} GROUP BY url_hash, source"
+
+
+@query("url_visits", VISITS.format(since=b.since(30), own=""))
+def url_visits(spark, d):
+    return t.url_visits(b.referrals(spark, d), R, C)
+
+
+@query("page_visits", VISITS.format(since=b.since(90), own="AND url_hash = (SELECT max(url_hash) FROM referrals)"))
+def page_visits(spark, d):
+    """Visits by source of one page over 90 days: the page with the largest hash."""
+    sent = b.written(spark, b.referrals(spark, d), "referrals")
+    return t.url_visits(sent, R, C, 90, sent.agg(F.max("url_hash")).first()[0])
+
+
 @query("referral_sources", f"""
 SELECT source, CAST(sum(hits) AS BIGINT) AS visits, count(DISTINCT url_hash) AS pages, max(name) AS name
 FROM referrals JOIN refnames USING (source) WHERE day >= {b.since(30)} GROUP BY source""")

@@ -68,14 +68,73 @@ facts AS (SELECT page_id, url, body, text, len(regexp_extract_all(text, '{WORD}'
 
 
 @query("page_facts", """
-SELECT page_id, title, lang, words, lists, 0 AS h2, 0 AS h3, 0 AS images, first_para_words,
+SELECT page_id, title, lang, words, lists, first_para_words,
   CAST(CASE WHEN len(sentences) > 0 THEN round(words / len(sentences)) ELSE 0 END AS BIGINT) AS avg_sentence,
-  len(list_filter(sentences, lambda s: s LIKE '%?')) AS questions, md5(text) AS text_hash,
-  FALSE AS noindex, FALSE AS canonical_elsewhere FROM facts""", FACTS)
+  len(list_filter(sentences, lambda s: s LIKE '%?')) AS questions, md5(text) AS text_hash FROM facts""", FACTS)
 def page_facts(spark, d):
     return facts(spark, d).select(
-        "page_id", "title", "lang", "words", "lists", "h2", "h3", "images", "first_para_words", "avg_sentence",
-        F.size("questions").alias("questions"), F.md5("text").alias("text_hash"), "noindex", "canonical_elsewhere")
+        "page_id", "title", "lang", "words", "lists", "first_para_words", "avg_sentence",
+        F.size("questions").alias("questions"), F.md5("text").alias("text_hash"))
+
+
+# The driver's pages hold little but text, so tags that facts are made of are put around it by page number
+
+def rich_pages(spark, d):
+    """page_id, url, html: the driver's pages with metas, structured data, headings, images, links, lists and questions."""
+    p = F.col("page_id")
+    n = b.table(spark, d, "pages").agg(F.count("*")).scalar()
+    target = b.page_paths(spark, d).select(F.col("page_id").alias("to_page"), F.col("path").alias("to_path"))
+    rows = b.wide_table(spark, d, "pages").withColumn("to_page", (p * 3 + 1) % n).join(target, "to_page")
+    lit, num = F.lit, p.cast("string")
+    some = lambda k, text: F.repeat(lit(text), (p % k).cast("int"))
+    when = lambda cond, text: F.when(cond, text).otherwise("")
+    head = F.concat(
+        lit("<html lang='xx'><head><title>Tea &amp; "), num, lit("</title>"),
+        when(p % 2 == 0, F.concat(lit('<META content="All of &quot;'), num, lit('&quot;" NAME=Description>'))),
+        when(p % 5 == 0, "<meta name='robots' content='noindex, follow'>"), when(p % 7 == 0, '<meta name="googlebot" content="noai">'),
+        when(p % 3 == 0, F.concat(lit('<link href="'), "url", lit('" rel="Canonical">'))), when(p % 3 == 1, F.concat(lit("<link rel=canonical href=/moved/"), num, lit(">"))),
+        when(p % 4 == 0, '<script type="application/ld+json">{"@type":"Article","author":{"@type": "Person"}}</script>'),
+        when(p % 4 == 1, '<script type="application/ld+json">{"@type":["FAQPage","WebPage"]}</script>'),
+        lit("<!-- <meta name='robots' content='noindex'> <h1>No</h1> --></head><body><nav><h2>Menu</h2><img src=m.png><a href=/menu>m</a></nav>"))
+    body = F.concat(
+        lit("<main><h1>Head "), num, lit("</h1><p>Hi.</p><p>One two <b>three</b> four &amp; five six.</p>"), some(4, "<H2 class=x>Part <i>one</i></H2><div><p>Body.</p></div>"),
+        some(3, "<h3>What is tea?</h3>"), some(2, "<h4>Notes</h4>"), some(3, "<img src=a.png>"), some(2, "<img alt='ok' src=b.png><ul><li>a</li></ul><table><tr><td>t</td></tr></table>"),
+        lit('<img role="presentation" src=c.png><a href="'), "to_path", lit('#part">in</a><a href="mailto:a@b">m</a><a href="#top">t</a>'), some(3, '<a href="https://other.example/x">out</a>'),
+        when(p % 4 == 2, '<div itemscope itemtype="https://schema.org/Product">p</div>'), when(p % 6 == 0, "<details>Q</details>"), when(p % 6 == 1, '<div class="my-faq">Q</div>'),
+        lit("</main><footer><h2>Foot</h2><img src=f.png></footer></body></html>"))
+    return rows.select("page_id", "url", F.concat(head, body).alias("html"))
+
+
+RICH = """rich AS (SELECT p.page_id, p.path, t.path AS to_path FROM page_paths p CROSS JOIN page_total JOIN page_paths t ON t.page_id = (p.page_id * 3 + 1) % n)"""
+
+
+@query("page_tags", """
+SELECT page_id, 'Tea & ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'All of "' || page_id || '"' END AS description,
+  concat_ws('|', CASE WHEN page_id % 5 = 0 THEN 'robots: noindex, follow' END, CASE WHEN page_id % 7 = 0 THEN 'googlebot: noai' END) AS robots,
+  page_id % 5 = 0 AS noindex, page_id % 7 = 0 AS noai, page_id % 3 = 1 AS canonical_elsewhere, 'xx' AS lang, 'Head ' || page_id AS h1,
+  CASE page_id % 4 WHEN 0 THEN 'Article|Person' WHEN 1 THEN 'FAQPage|WebPage' WHEN 2 THEN 'Product' ELSE '' END AS schema,
+  page_id % 4 AS h2, page_id % 3 + page_id % 2 AS h3, repeat('Part one|', (page_id % 4)::INT) || repeat('What is tea?|', (page_id % 3)::INT) || repeat('Notes|', (page_id % 2)::INT) AS headings,
+  page_id % 3 AS question_headings, page_id % 3 + page_id % 2 + 1 AS images, page_id % 3 AS images_no_alt, page_id % 2 AS lists, page_id % 2 AS tables,
+  page_id % 3 AS external_links, page_id % 6 < 2 AS faq, 6 AS first_para_words FROM page_paths""")
+def page_tags(spark, d):
+    f = c.analyze_pages(rich_pages(spark, d), C)
+    return f.select(
+        "page_id", "title", "description", F.array_join("robots_meta", "|").alias("robots"), "noindex", "noai", "canonical_elsewhere", "lang", "h1",
+        F.array_join("schema", "|").alias("schema"), "h2", "h3", F.array_join(F.transform("headings", lambda x: F.concat(x, F.lit("|"))), "").alias("headings"),
+        F.size("question_headings").alias("question_headings"), "images", "images_no_alt", "lists", "tables", "external_links", "faq", "first_para_words")
+
+
+@query("stored_content", """
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 96 ELSE 79 END AS enough, CASE WHEN page_id % 2 = 0 THEN 1 ELSE page_id % 4 END AS h2,
+  CASE WHEN page_id % 2 = 0 THEN 'Stored' ELSE CASE WHEN page_id % 4 > 0 THEN 'Part one' WHEN page_id % 3 > 0 THEN 'What is tea?' ELSE 'Notes' END END AS first_heading,
+  page_id % 5 = 0 AS noindex FROM page_paths""")
+def stored_content(spark, d):
+    """Content from the store counts where it has 80 words; the head stays that of the served page."""
+    words = F.when(F.col("page_id") % 2 == 0, 95).otherwise(78)
+    local = F.concat(F.lit("<!-- wp --><h2>Stored</h2><script>no</script><p>"), F.repeat(F.lit("word "), words), F.lit("</p>"))
+    f = c.analyze_pages(rich_pages(spark, d).withColumn("local_html", local), C)
+    return f.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("words")).otherwise(79).alias("enough"), "h2",
+                    F.get("headings", F.lit(0)).alias("first_heading"), "noindex")
 
 
 INTENT = """
@@ -267,11 +326,10 @@ def link_counts(spark, d):
 
 
 @query("page_links", """
-SELECT page_id, path FROM (SELECT page_id, unnest(list_distinct(list_transform(
-  regexp_extract_all(body, '(?is)<a\\s[^>]*href="([^"#][^"]*)"', 1), lambda h: h))) AS path FROM facts)""", FACTS)
+SELECT DISTINCT r.page_id AS from_id, i.page_id AS to_id FROM rich r JOIN live i ON i.url_hash = md5(lower(r.to_path)) WHERE r.to_path <> r.path AND i.page_id <> r.page_id""", RICH)
 def page_links(spark, d):
-    """Links inside the main content."""
-    return facts(spark, d).select("page_id", F.explode("links").alias("path"))
+    """Links inside the main content, resolved to pages of the inventory."""
+    return c.resolve_links(c.analyze_pages(rich_pages(spark, d), C).select("page_id", "links"), b.inventory(spark, d))
 
 
 @query("link_suggestions", """
@@ -337,9 +395,9 @@ def nested_regions(spark, d):
 
 
 @query("pages_with_questions", """
-SELECT count(*) FILTER (FALSE) AS pages_with_questions, count(*) FILTER (NOT analyzed) AS not_analyzed FROM live""")
+SELECT count(*) FILTER (page_id % 3 > 0) AS pages_with_questions, count(*) FILTER (NOT analyzed) AS not_analyzed FROM live""")
 def pages_with_questions(spark, d):
-    f = facts(spark, d).select("page_id", (F.size("question_headings") > 0).alias("q"))
+    f = c.analyze_pages(rich_pages(spark, d), C).select("page_id", (F.size("question_headings") > 0).alias("q"))
     return b.inventory(spark, d).filter("not deleted").join(f, "page_id", "left").agg(
         F.count_if("q").alias("pages_with_questions"), F.count_if(~F.col("analyzed")).alias("not_analyzed"))
 

@@ -19,6 +19,14 @@ def test_odd_texts():
     assert next(CHUNKS.encode_all([None])).tolist() == []
 
 
+def test_many_texts_together_and_a_vocabulary_of_another_kind():
+    texts = [f"Word{i % 7}, ÉTÉ \n\t straße! x{i}\u2003y " * (i % 5) for i in range(200)] + [None, "", " ", "\n", "a<|endoftext|>b", "\x1c", "Ünï \u212a İ"]
+    assert [x.tolist() for x in CHUNKS.encode_all(texts)] == [WHOLE.encode(t or "", add_special_tokens=False).ids for t in texts]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, whole = ChunkTokenizer(path), Tokenizer.from_file(path)
+    assert other.merges is None and next(other.encode_all(["Hello  there"])).tolist() == whole.encode("Hello  there", add_special_tokens=False).ids
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text() | st.text(alphabet="aAéÉß.,'!-0 \ń \x1d<|>İΣ"))
 def test_same_ids_as_whole_texts(text):

@@ -17,7 +17,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256, 257, ..."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
@@ -37,7 +37,7 @@ class ByteTokenizer:
         usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         if told.get("normalizer") or model.get("type", "BPE") != "BPE" or any(pre.get(k) != v for k, v in usual.items()):
             return None
-        alphabet, vocab = _byte_of_char(), {t: i for t, i in model["vocab"].items() if t not in self.added}
+        alphabet, vocab = byte_of_char(), {t: i for t, i in model["vocab"].items() if t not in self.added}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         if any(len(set(m)) and vocab.get("".join(m)) != 256 + k for k, m in enumerate(merges)) or len(vocab) != 256 + len(merges):
             return None

@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            texts = worker_tokenizer(tokenizer).encode_all(batch.column(1).to_pylist())
+            texts = worker_tokenizer(tokenizer).encode_all(batch.column(1))
             for doc, found in zip(batch.column(0).to_pylist(), texts, strict=True):
                 ids = np.append(found, END).astype("<u4")
                 rows += [(doc, k, at, min(capacity, len(ids) - at), zlib.crc32(ids[at : at + capacity].tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]

@@ -44,7 +44,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["part", "file", "n_ids", "doc_ids", "lengths", "data"])
 
         for b in batches:
-            found = worker_tokenizer(vocabulary).encode_all(b.column(1).to_pylist())
+            found = worker_tokenizer(vocabulary).encode_all(b.column(1))
             for doc, ids in zip(b.column(0).to_pylist(), found, strict=True):
                 held.append(np.append(ids, np.uint32(END)))
                 docs_.append(doc)

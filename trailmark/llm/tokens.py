@@ -1,120 +1,150 @@
 """Token ids of whole texts with a public tokenizer, fast for texts that repeat their words.
 
-The vocabulary used here drops white space and never lets a token cross it, so the ids of a text are those of its
-white-space separated chunks in order. Each Python worker keeps the chunks it has met (a bounded cache) and asks
-the tokenizer only for new ones. `tests/llm/test_tokens.py` holds this against encoding whole texts.
+A vocabulary with word ends drops white space and never lets a token cross it, so the ids of a text are those of its
+white-space separated chunks in order. A run of texts is split and its chunks numbered by Arrow; each Python worker
+keeps the ids of the words it has met (a bounded cache), and gathers the ids of all texts of the run at once. Plain
+small words are merged by tiktoken from the same vocabulary, all else by the tokenizers library. A vocabulary of
+another kind is not split at all: its texts are encoded whole. `tests/llm/test_tokens.py` holds the ids against
+encoding whole texts.
 """
 
 from __future__ import annotations
 
 import functools
-import re
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from tokenizers import Tokenizer
 
-#: Chunks a worker keeps; texts that are looked up together; plain words that are encoded as one text.
-CACHE, TOGETHER, RUN = 500_000, 256, 512
-#: Characters at which Python splits and the tokenizer doesn't; texts that have them are encoded whole.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: A plain word in small letters with the marks that follow it: two units to the tokenizer.
-PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-
-
-class _Index(dict):
-    """Numbers its keys as they come; `new` lists those that came since it was emptied."""
+from trailmark.llm.bytebpe import byte_of_char
 
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
+#: Words a worker keeps; bytes of the texts that are looked up together.
+CACHE, TOGETHER = 1_000_000, 16 << 20
+#: White space as the tokenizers library understands it.
+SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: The part of it that is rare in texts; without it they are split at spaces and line feeds.
+ODD_SPACE = r"[\t\x0b-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A plain word in small letters with the marks that follow it: two units to the tokenizer.
+PLAIN = r"^(?P<word>[a-zß-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+#: What a vocabulary file says if its texts can be split (fixed values of the file format).
+NORMALIZERS, WORDS, END = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+
+
+def _merges(told: dict) -> tiktoken.Encoding | None:
+    """The vocabulary for tiktoken, the end of a word written as a byte that no text has; None where that isn't the same."""
+    model, pre = told["model"], (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    found = [n.get("type") for n in (told.get("normalizer") or {}).get("normalizers") or []]
+    if found != NORMALIZERS or pre[0].get("pattern") != {"Regex": WORDS} or model.get("end_of_word_suffix") != END:
+        return None
+    alphabet, added = byte_of_char(), {t["content"] for t in told.get("added_tokens") or []}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocab.get("".join(m)) != 512 + k for k, m in enumerate(pairs)):
+        return None
+    ranks = {bytes(alphabet[c] for c in t.removesuffix(END)) + (b"\xff" if t.endswith(END) else b""): i for t, i in vocab.items()}
+    # that byte merges with the letter before it first of all: those tokens come before all merges
+    return tiktoken.Encoding("file", pat_str=r"[^\s]+", mergeable_ranks=ranks, special_tokens={}) if len(ranks) == len(vocab) else None
 
 
 class ChunkTokenizer:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends_word = np.zeros(max(vocab.values(), default=0) + 3, bool)
-        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as f:
+            self.merges = _merges(json.load(f))
         self._clear()
 
     def _clear(self) -> None:
-        """A chunk is one or two units (numbers in `units`, -1: none); unit u has self.ids[self.ends[u]:self.ends[u + 1]]."""
-        self.chunks, self.units = _Index(), _Index()
-        self.parts = np.zeros((1 << 14, 2), np.int64)
-        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.known = self.known_units = self.used = 0
+        """Unit k has self.ids[self.ends[k]:self.ends[k + 1]]. Units: plain words and runs of marks, and all other chunks."""
+        self.plain: dict[str, int] = {}
+        self.other: dict[str, int] = {}
+        self.ids, self.ends, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
     def _encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _encode_plain(self, words: Sequence[str]) -> Iterator[list[int]]:
-        """As _encode, for words or runs of marks: many at a time, told apart by the tokens that end a word."""
-        runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
-        for run, ids in zip(runs, self._encode([" ".join(r) for r in runs]), strict=True):
-            last = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(last) != len(run):
-                yield from self._encode(run)
-            else:
-                cuts = [0, *last.tolist()]
-                yield from (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
-
-    def _learn(self) -> None:
-        new, self.chunks.new = self.chunks.new, []
-        number, match, parts, other = self.units.__getitem__, PLAIN.fullmatch, [], set()
-        for chunk in new:
-            if m := match(chunk):
-                word, marks = m.groups()
-                parts.append((number(word), number(marks) if marks else -1))
-            else:
-                other.add(chunk)
-                parts.append((number(chunk), -1))
-        units, self.units.new = self.units.new, []
-        plain = self._encode_plain([u for u in units if u not in other])
-        rest = iter(self._encode([u for u in units if u in other]))
-        ids = [next(rest) if u in other else next(plain) for u in units]
-        flat = np.fromiter((i for x in ids for i in x), np.uint32)
-        self.parts = _room(self.parts, self.known + len(new))
-        self.parts[self.known : self.known + len(new)] = parts
-        self.ids, self.ends = _room(self.ids, self.used + len(flat)), _room(self.ends, self.known_units + len(units) + 1)
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.ends[self.known_units + 1 : self.known_units + 1 + len(units)] = self.used + np.cumsum([len(x) for x in ids])
-        self.used, self.known, self.known_units = self.used + len(flat), self.known + len(new), self.known_units + len(units)
-
-    def encode_all(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+    def _pieces(self, units: list[str]) -> list[list[int]]:
+        piece = self.merges._core_bpe.encode_single_piece  # noqa: SLF001  (no public call takes bytes)
+        return [piece(u.encode() + b"\xff") if u else [] for u in units]
+
+    def _numbers(self, units: pa.Array, met: dict[str, int], encode: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
+        """The numbers of units, new ones learnt."""
+        coded = units.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [u for u in names if u not in met]:
+            flat, sizes = _flat(encode(new))
+            self.ids, self.ends = _append(self.ids, self.ends, self.known, flat, sizes)
+            met.update(zip(new, range(self.known, self.known + len(new)), strict=True))
+            self.known += len(new)
+        numbers = np.fromiter(map(met.__getitem__, names), np.int64, len(names))
+        return numbers[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one after the other, and the end of each, behind a first 0."""
+        if self.known > CACHE:
+            self._clear()
+        small = pc.if_else(pc.match_substring_regex(chunks, r"^[\x{0}-\x{ff}]*$"), pc.utf8_lower(chunks), chunks)  # in Latin-1 these are the tokenizer's own
+        parts = pc.extract_regex(small, PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        pairs = np.full((len(chunks), 2), -1, np.int64)
+        words, marks = (pc.struct_field(parts.filter(pa.array(plain)), k) for k in ("word", "marks"))
+        pairs[plain] = np.stack([self._numbers(words, self.plain, self._pieces), self._numbers(marks, self.plain, self._pieces)], 1)
+        pairs[~plain, 0] = self._numbers(chunks.filter(pa.array(~plain)), self.other, self._encode)
+        flat, sizes = _gather(self.ids, self.ends[: self.known + 1], pairs[pairs >= 0])
+        each = np.zeros(pairs.shape, np.int64)
+        each[pairs >= 0] = sizes
+        return flat, np.concatenate([[0], np.cumsum(each.sum(1))])
+
+    def encode_all(self, texts: Sequence[str | None] | pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text as uint32; none for null."""
-        for k in range(0, len(texts), TOGETHER):
-            some = [t or "" for t in texts[k : k + TOGETHER]]
-            odd = {i for i, t in enumerate(some) if ODD_SPACE.search(t)}
-            # in Latin-1 small letters are the tokenizer's own; "<|" may begin a special token, which has no capitals
-            small = [t.lower() if _latin(t) and "<|" not in t else t for t in some]
-            at = [np.fromiter(map(self.chunks.__getitem__, () if i in odd else t.split()), np.int64) for i, t in enumerate(small)]
-            if self.chunks.new:
-                self._learn()
-            for i, t in enumerate(some):
-                yield np.array(self._encode([t])[0], np.uint32) if i in odd else self._gather(at[i])
-            if self.known > CACHE:
-                self._clear()
-
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        units = self.parts[at].ravel()
-        units = units[units >= 0]
-        first = self.ends[units]
-        sizes = self.ends[units + 1] - first
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(first - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
+            return
+        column = column.fill_null("").cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) // TOGETHER
+        for run in np.split(np.arange(len(column)), np.flatnonzero(np.diff(ends)) + 1):
+            yield from self._run(column.slice(run[0], len(run)))
+
+    def _run(self, column: pa.Array) -> Iterator[np.ndarray]:
+        if self.merges is None:
+            yield from (np.array(self._encode([t])[0], np.uint32) for t in column.to_pylist())
+            return
+        # "<|" may begin a special token, which is found before a text is split
+        whole = pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
+        if pc.any(pc.match_substring_regex(column, ODD_SPACE)).as_py():
+            split = pc.split_pattern_regex(column, SPACE)
+        else:
+            split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        numbers = split.flatten().dictionary_encode()
+        ids, each = _gather(*self._chunks(numbers.dictionary), numbers.indices.to_numpy(zero_copy_only=False))
+        offsets = split.offsets.to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.cumsum(each)])[offsets - offsets[0]]
+        for i in range(len(column)):
+            yield np.array(self._encode([column[i].as_py()])[0], np.uint32) if whole[i] else ids[cuts[i] : cuts[i + 1]]
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+
+def _gather(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries `at`, one after the other, and the size of each. Entry k has ids[ends[k]:ends[k + 1]]."""
+    taken = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids[: ends[-1]])).take(pa.array(at))
+    return taken.flatten().to_numpy(zero_copy_only=False), np.diff(taken.offsets.to_numpy(zero_copy_only=False))
+
+
+def _append(ids: np.ndarray, ends: np.ndarray, n: int, more: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both arrays with further entries behind the first n."""
+    used = int(ends[n])
+    ids, ends = _room(ids, used + len(more)), _room(ends, n + len(sizes) + 1)
+    ids[used : used + len(more)] = more
+    ends[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
+    return ids, ends
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:

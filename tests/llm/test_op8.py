@@ -54,3 +54,10 @@ def test_scores_are_differences_of_log_densities():
         d = z - p.mean(axis=0)
         want.append(np.log(len(p) / len(z)) - np.linalg.slogdet(s)[1] / 2 - np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) / 2)
     assert np.allclose(m.log_odds(x), want[1] - want[0])
+
+
+def test_all_documents_stay_where_labels_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(30)] + [(None, None, None)], "doc_id long, text string, lang string")
+    for rows in ([], [(i, 1) for i in range(30)], [(i, i % 2) for i in range(8)], [(None, 1), (1, None)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int")
+        assert sorted(op8.keep_good(docs, labels).collect(), key=str) == sorted(docs.collect(), key=str)

@@ -150,14 +150,18 @@ def score(docs: DataFrame, model: Discriminant | float, *keys: str) -> DataFrame
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least `threshold`, with all their columns."""
+    """The rows of docs that score at least `threshold`, with all their columns.
+
+    Labels that are missing, or hold fewer than ten documents of a class, teach nothing: then all rows stay.
+    """
     model, at = learn(docs, labels), docs.columns.index("text")
+    if isinstance(model, float):
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in b.column(at).to_pylist()], float).reshape(-1, len(NAMES))
-            s = np.full(len(x), model) if isinstance(model, float) else model.score(x)
-            yield b.filter(pa.array(s >= threshold))
+            yield b.filter(pa.array(model.score(x) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -174,3 +174,21 @@ def test_link_candidates_grow_with_the_pages(spark):
         return content.link_candidates(own, terms.withColumnRenamed("page_id", "from_id"), closed, 3).count()
 
     assert pairs(1200) < 3 * pairs(600)
+
+
+def test_ranks_of_a_hot_group_span_tasks(spark):
+    from trailmark.operators.ranks import with_rank
+
+    rows = spark.range(0, 900, 1, 6).select("id", F.when(F.col("id") % 9 == 0, F.lit(None)).when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("site"), (F.col("id") * 7 % 50).alias("w"))
+    got = {r.id: r["rank"] for r in with_rank(rows, "site", [F.desc("w"), F.asc("id")]).collect()}
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.site, []).append((-r.w, r.id))
+    assert got == {i: k + 1 for g in groups.values() for k, (_, i) in enumerate(sorted(g))}
+
+
+def test_titles_of_any_length_name_topics(spark):
+    title = "The state-of-the-art coffee " + " ".join(f"w{i}" for i in range(3000)) + " grinder"
+    pages = spark.createDataFrame([(1, title, False), (2, "Other", False), (3, "Tea pot", True)], "page_id long, title string, deleted boolean")
+    terms = spark.createDataFrame([(p, t, 2) for p in (1, 2) for t in ("state-of-the-art coffee", "w2999 grinder", "art", "tea pot", "w1 w3")], "page_id long, term string, weight long")
+    assert {r.term for r in content.topics(terms, pages).collect()} == {"state-of-the-art coffee", "w2999 grinder", "art"}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trailmark.functions import paths, text as txt
 
@@ -111,12 +111,35 @@ def head_facts(html: Column) -> dict[str, Column]:
 CHROME = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg")
 
 
-def _first_element(src: Column, tag: str) -> Column:
-    """What the first element of this name holds, elements of the same name within it included."""
-    inside = F.regexp_extract(src, rf"(?is)<{tag}(?:\s[^>]*)?>(.*)", 1)
-    until_close = F.regexp_extract(inside, rf"(?is)^(.*?)(?:</{tag}\s*>|\z)", 1)
+_ROLE = r"""(?is)<([a-z0-9]+)\s[^>]*\brole\s*=\s*["']?main\b[^>]*>(.*)(?:</\1\s*>|\z)"""
+_BODY = r"(?is)<body(?:\s[^>]*)?>(.*)(?:</body\s*>|\z)"
+
+
+def _region_kind(src: Column) -> Column:
+    return (
+        F.when(src.rlike(r"(?i)<main[\s>]"), "main").when(src.rlike(r"(?i)<article[\s>]"), "article")
+        .when(src.rlike(_ROLE), "role").when(src.rlike(_BODY), "body").otherwise("")
+    )
+
+
+def _region_rest(src: Column, kind: Column) -> Column:
+    """The text behind the region's start tag."""
+    behind = lambda tag: F.regexp_extract(src, rf"(?is)<{tag}(?:\s[^>]*)?>(.*)", 1)
+    return (
+        F.when(kind == "main", behind("main")).when(kind == "article", behind("article")).when(kind == "role", F.regexp_extract(src, _ROLE, 2))
+        .when(kind == "body", F.regexp_replace(F.regexp_extract(src, _BODY, 1), r"(?is)</body\s*>.*$", "")).otherwise("")
+    )
+
+
+def _until_close(rest: Column, kind: Column) -> Column:
+    first = lambda tag: F.regexp_extract(rest, rf"(?is)^(.*?)(?:</{tag}\s*>|\z)", 1)
+    return F.when(kind == "main", first("main")).when(kind == "article", first("article")).otherwise(rest)
+
+
+def _nested(rest: Column, tag: str) -> Column:
+    """What an element holds that has elements of the same name within it."""
     either = rf"(?is)</?{tag}(?:\s[^>]*)?>"
-    parts, marks = F.split(inside, either), F.regexp_extract_all(inside, F.lit(either), 0)
+    parts, marks = F.split(rest, either), F.regexp_extract_all(rest, F.lit(either), 0)
 
     def step(acc: Column, mark: Column) -> Column:
         depth = acc["depth"] + F.when(mark.startswith("</"), -1).otherwise(1)
@@ -125,23 +148,19 @@ def _first_element(src: Column, tag: str) -> Column:
 
     # marks before the one that closes the element
     n = F.aggregate(marks, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
-    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.get(parts, i), F.when(i < n, F.get(marks, i)).otherwise("")))
-    return F.when(until_close.rlike(rf"(?i)<{tag}[\s>]"), F.array_join(pieces, "")).otherwise(until_close)
-
-
-def main_region(src: Column) -> Column:
-    """The main content of a comment-free page: first main, article, role=main, else body, without page chrome."""
-    pick = lambda p, i: F.regexp_extract(src, p, i)
-    role = r"""(?is)<([a-z0-9]+)\s[^>]*\brole\s*=\s*["']?main\b[^>]*>(.*)(?:</\1\s*>|\z)"""
-    body = r"(?is)<body(?:\s[^>]*)?>(.*)(?:</body\s*>|\z)"
-    region = (
-        F.when(src.rlike(r"(?i)<main[\s>]"), _first_element(src, "main"))
-        .when(src.rlike(r"(?i)<article[\s>]"), _first_element(src, "article"))
-        .when(src.rlike(role), pick(role, 2))
-        .when(src.rlike(body), F.regexp_replace(pick(body, 1), r"(?is)</body\s*>.*$", ""))
-        .otherwise("")
-    )
-    return drop_elements(region, *CHROME)
+    return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.get(parts, i), F.when(i < n, F.get(marks, i)).otherwise(""))), "")
+
+
+def with_main_region(pages: DataFrame, src: str, name: str) -> DataFrame:
+    """`pages` with the main content of a comment-free page: first main, article, role=main, else body, without page chrome.
+
+    Each step is a column that the next one reads, so no search over the page is made twice.
+    """
+    kind, rest, until = F.col("_kind"), F.col("_rest"), F.col("_until")
+    inner = lambda tag: (kind == tag) & until.rlike(rf"(?i)<{tag}[\s>]")
+    region = F.when(inner("main"), _nested(rest, "main")).when(inner("article"), _nested(rest, "article")).otherwise(until)
+    out = pages.withColumn("_kind", _region_kind(F.col(src))).withColumn("_rest", _region_rest(F.col(src), kind)).withColumn("_until", _until_close(rest, kind))
+    return out.withColumn(name, drop_elements(region, *CHROME)).drop("_kind", "_rest", "_until")
 
 
 def content(fragment: Column) -> Column:

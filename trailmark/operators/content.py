@@ -38,9 +38,9 @@ def analyze_pages(pages: DataFrame, config: Config) -> DataFrame:
     )
     enough = txt.word_count(h.strip_tags(F.col("local"))) >= MIN_LOCAL_WORDS
     # Each step reads the one before it as a column, so no step is evaluated twice.
-    body = base.withColumn("src", h.drop_comments(F.col("html"))).withColumn(
-        "body", F.when(enough, h.content(F.col("local"))).otherwise(h.main_region(F.col("src")))
-        if "local_html" in given else h.main_region(F.col("src")))
+    body = h.with_main_region(base.withColumn("src", h.drop_comments(F.col("html"))), "src", "body")
+    if "local_html" in given:
+        body = body.withColumn("body", F.when(enough, h.content(F.col("local"))).otherwise(F.col("body")))
     body = body.withColumn("text", h.plain_body(F.col("body")))
     body = body.withColumns(h.body_parts(F.col("body"), F.col("text")))
     facts = h.body_facts(F.col("body"), F.col("url"), F.col("home_host"))
@@ -155,10 +155,11 @@ def topics(terms: DataFrame, pages: DataFrame, k: int = 30) -> DataFrame:
     span = lambda i, n: F.array_join(F.transform(
         F.slice(F.arrays_zip(w.alias("w"), gaps.alias("g")), i + 1, n),
         lambda x, j: F.when(j == n - 1, x["w"]).otherwise(F.concat(x["w"], x["g"]))), "")
-    # a term is two words at most; what joins runs within a word makes more of them
+    # A term is two words at most, of 40 characters each; what joins runs within a word makes more of them, but 40 in
+    # all. So a title has that many spans per run, however long it is.
     spans = F.flatten(F.transform(
         F.sequence(F.lit(0), F.size(w) - 1),
-        lambda i: F.transform(F.sequence(F.lit(1), F.size(w) - i), lambda n: span(i, n))))
+        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(40), F.size(w) - i)), lambda n: span(i, n))))
     in_titles = pages.filter(~F.col("deleted")).filter(F.size(w) > 0).select(
         F.explode(F.array_distinct(spans)).alias("term"))
     return top.join(in_titles.distinct(), "term", "left_semi").orderBy(F.desc("weight"), "term").limit(k)

@@ -92,6 +92,7 @@ SELECT '2024-01-31' AS day, (SELECT CAST(sum(hits) AS BIGINT) FROM daily_bots WH
   count(*) AS pages, count(*) FILTER (last_ai >= {C.from_ts(30)}) AS pages_crawled_30d, count(*) FILTER (imp) AS important,
   count(*) FILTER (imp AND last_ai >= {C.from_ts(30)}) AS important_crawled_30d, round(100 * count(*) FILTER (imp AND last_ai >= {C.from_ts(30)}) / count(*) FILTER (imp), 1) AS coverage,
   (SELECT count(*) FROM findings WHERE status = 'open' AND severity = 'critical' AND page_id IN (SELECT page_id FROM live)) AS critical,
+  (SELECT CAST(greatest(0, round(sum((importance + 1) * score) / sum(importance + 1))) AS INT) FROM live WHERE score IS NOT NULL AND pinned >= 0) AS score,
   (SELECT count(*) FROM findings WHERE status = 'open' AND severity = 'warning' AND page_id IN (SELECT page_id FROM live)) AS warning,
   (SELECT count(*) FROM findings WHERE status = 'open' AND page_id IN (SELECT page_id FROM live)) AS findings,
   (SELECT CAST(sum(hits) AS BIGINT) FROM referrals WHERE day >= {b.since(7)}) AS referrals_7d
@@ -105,7 +106,7 @@ def snapshot(spark, d):
     site = q.site_score(scored, robots_matrix(spark, d), R, C)
     row = a.snapshot(traffic.coverage(pages, b.page_bots(spark, d), R, C), b.daily_bots(spark, d), b.referrals(spark, d),
                      q.finding_counts(found, pages, C), site, readiness.scores(ready_checks(spark, d)), R, C)
-    return row.withColumn("day", b.iso("day")).drop("score", "readiness")
+    return row.withColumn("day", b.iso("day")).drop("readiness")
 
 
 # alerts ------------------------------------------------------------------
@@ -265,6 +266,13 @@ def guide_candidates(spark, d):
     return listed(spark, d, None).select("rank", "page_id", "path", "ai_hits", "label", "description")
 
 
+@query("guide_of_types", "SELECT row_number() OVER (ORDER BY rank) AS rank, page_id FROM listed WHERE subtype IN ('page', 'product') OR object_type = 'home'", LISTED)
+def guide_of_types(spark, d):
+    """Two kinds of content only, and the home page whatever it is."""
+    chosen = C.with_(guide_types=("page", "product"))
+    return p.candidates(guide_pages(spark, d), b.daily_pages(spark, d), blocked(spark, d), R, chosen, None).select("rank", "page_id")
+
+
 @query("site_guide", r"""
 SELECT 'main' AS site, count(*) AS links, '# Example site' || chr(10) || chr(10) || '> All about crawlers' || chr(10) || chr(10) ||
   (SELECT string_agg('## ' || section || chr(10) || chr(10) || lines, chr(10) || chr(10) ORDER BY CASE section WHEN 'Main pages' THEN 0 WHEN 'Optional' THEN 2 ELSE 1 END, n DESC, first) FROM (
@@ -436,6 +444,29 @@ def redirect_candidates(spark, d):
     return audit.redirect_candidates(old_snapshot(spark, d), new_snapshot(spark, d), C)
 
 
+@query("moved_parents", f"""SELECT source_hash, source, page_id, reason, {b.AS_OF} AS created_at FROM (
+  SELECT *, md5(lower(source)) AS source_hash FROM (
+    SELECT n.page_id, o.path AS source, 'slug' AS reason, 0 AS prio FROM now_tree n JOIN old_tree o USING (page_id) WHERE o.path <> n.path
+    UNION ALL SELECT c.page_id, o.path || substr(c.path, length(n.path) + 1), 'parent', 1 FROM now_tree c JOIN now_tree n ON n.page_id = c.page_id % 7 JOIN old_tree o ON o.page_id = n.page_id
+      WHERE c.page_id >= 7 AND o.path <> n.path AND starts_with(c.path, n.path || '/')))
+WHERE source_hash NOT IN (SELECT md5(lower(path)) FROM now_tree) QUALIFY row_number() OVER (PARTITION BY source_hash ORDER BY prio, page_id) = 1""", """
+now_tree AS (SELECT page_id, CASE WHEN page_id < 7 THEN CASE WHEN page_id % 2 = 1 THEN '/t' ELSE '/s' END || page_id
+  WHEN page_id % 11 = 0 THEN '/s' || (page_id % 7) || '/c' || (page_id - 7) ELSE CASE WHEN (page_id % 7) % 2 = 1 THEN '/t' ELSE '/s' END || (page_id % 7) || '/c' || page_id END AS path FROM page_paths),
+old_tree AS (SELECT page_id, '/s' || CASE WHEN page_id < 7 THEN CAST(page_id AS VARCHAR) ELSE (page_id % 7) || '/c' || page_id END AS path FROM page_paths WHERE page_id < 7 OR page_id % 5 <> 2)""")
+def moved_parents(spark, d):
+    """Seven sections, of which three moved with all that is below them; some pages are new, some took an old path."""
+    pid = F.col("page_id")
+    top = (pid % 7).cast("string")
+    letter = lambda n: F.when(n % 2 == 1, "/t").otherwise("/s")
+    rows = b.table(spark, d, "pages").select("page_id")
+    path = F.when(pid < 7, F.concat(letter(pid), pid.cast("string"))).when(
+        pid % 11 == 0, F.concat(F.lit("/s"), top, F.lit("/c"), (pid - 7).cast("string"))).otherwise(F.concat(letter(pid % 7), top, F.lit("/c"), pid.cast("string")))
+    new = rows.select("page_id", path.alias("path"), F.when(pid >= 7, F.array(pid % 7)).otherwise(F.array().cast("array<bigint>")).alias("parents"))
+    was = F.concat(F.lit("/s"), F.when(pid < 7, pid.cast("string")).otherwise(F.concat(top, F.lit("/c"), pid.cast("string"))))
+    old = rows.filter("page_id < 7 or page_id % 5 <> 2").select("page_id", was.alias("path"))
+    return audit.redirect_candidates(old, new, C)
+
+
 @query("resolved_redirects", """
 SELECT source_hash, source, page_id, reason, coalesce(hits, 0) AS hits, coalesce(bot_hits, 0) AS bot_hits, last_hit FROM redirects
 LEFT JOIN (SELECT url_hash, count(*) AS hits, count(*) FILTER (bot <> '' AND cls <> 'spoofed') AS bot_hits, max(ts) AS last_hit FROM requests WHERE status = 404 GROUP BY 1) ON url_hash = source_hash""", REDIRECTS)

@@ -391,7 +391,7 @@ def nested_regions(spark, d):
     more = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("C"), open_, open_, t, close, close))
     page = F.concat(F.lit("<body>"), open_, F.lit("A"), inner, F.lit("B"), more, close, F.lit("<p>outside</p>"), inner, F.lit("</body>"))
     rows = b.table(spark, d, "pages").select("page_id", page.alias("html"))
-    return rows.select("page_id", html.strip_tags(html.main_region(F.col("html"))).alias("words"))
+    return html.with_main_region(rows, "html", "region").select("page_id", html.strip_tags(F.col("region")).alias("words"))
 
 
 @query("pages_with_questions", """
@@ -418,7 +418,8 @@ def _markdown_sql():
 
 @query("light_markdown", _markdown_sql, FACTS)
 def light_markdown(spark, d):
-    return b.table(spark, d, "pages").select("page_id", html.light_markdown(html.main_region(html.drop_comments(F.col("html")))).alias("text"))
+    rows = b.table(spark, d, "pages").select("page_id", html.drop_comments(F.col("html")).alias("src"))
+    return html.with_main_region(rows, "src", "region").select("page_id", html.light_markdown(F.col("region")).alias("text"))
 
 
 # stored analyses derived from the pages' own terms ------------------------

@@ -243,6 +243,37 @@ def verification_backlog(spark, d):
     return verify.backlog(rows.filter("vstate = 'pending'"), ranges(spark, d), rows, 100, C)
 
 
+@query("range_files", """SELECT bot, CASE WHEN k % 3 = 0 THEN ip ELSE ip || CASE k % 3 WHEN 1 THEN '/32' ELSE '/24' END END AS cidr, 77 AS fetched_at FROM (
+  SELECT DISTINCT bot, ip, CAST(regexp_extract(ip, '([0-9]+)$', 1) AS INT) AS k FROM requests WHERE bot <> '')""")
+def range_files(spark, d):
+    """Published files as crawlers publish them, one per crawler; what is no address or range is left out."""
+    k = F.substring_index("ip", ".", -1).cast("int")
+    text = F.when(k % 3 == 0, F.concat(F.lit('"'), "ip", F.lit('"'))).otherwise(F.concat(F.lit('{"ipv4Prefix": "'), "ip", F.when(k % 3 == 1, "/32").otherwise("/24"), F.lit('"}')))
+    files = b.requests(spark, d).filter("bot <> ''").select("bot", "ip").distinct().groupBy("bot").agg(
+        F.concat(F.lit('{"creationTime": "2024-01-01", "bad": ["1.2.3.4/99", "abc"], "prefixes": ['), F.array_join(F.collect_list(text), ", "), F.lit("]}")).alias("value"))
+    path = b.scratch_dir(spark, "range-files")
+    files.write.partitionBy("bot").text(path)
+    return rng.read_range_files(spark, path, 77).select(F.regexp_extract("file", "bot=([^/]+)", 1).alias("bot"), "cidr", "fetched_at")
+
+
+@query("address_hashes", f"""SELECT DISTINCT ip, substr(sha256(unhex('{bytes(x ^ 0x5C for x in b"a key".ljust(64, bytes(1))).hex()}') ||
+  unhex(sha256(unhex('{bytes(x ^ 0x36 for x in b"a key".ljust(64, bytes(1))).hex()}') || encode(ip)))), 1, 16) AS ip_hash FROM requests""")
+def address_hashes(spark, d):
+    return b.requests(spark, d).select("ip", net.ip_hash(F.col("ip"), "a key").alias("ip_hash")).distinct()
+
+
+@query("import_stream", "SELECT id, 'f' || (id % 3) AS file_key, id % 10 AS batch FROM requests")
+def import_stream(spark, d):
+    """Log batches as a stream in which every batch comes twice: each is stored once."""
+    src, out, done = (b.scratch_dir(spark, x) for x in ("imports", "imported", "recorded"))
+    rows = b.requests(spark, d).select("id", F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("file_key"), (F.col("id") % 10).alias("batch"))
+    for _ in range(2):
+        rows.repartition(3, "file_key", "batch").write.mode("append").parquet(src)
+    sink = st.import_batches(done, out)
+    run(stream_of(spark, src, 3).writeStream.foreachBatch(sink).option("checkpointLocation", b.scratch_dir(spark, "checkpoint")).trigger(availableNow=True).start())
+    return spark.read.parquet(out).select("id", "file_key", "batch")
+
+
 @query("range_status", f"SELECT bot || '.json' AS file, 7 AS prefixes, CASE WHEN bot = 'googlebot' THEN {b.AS_OF - 30 * 86400} ELSE {b.AS_OF - 86400} END AS fetched_at, bot <> 'googlebot' AS fresh, bot = 'googlebot' AS stale FROM (SELECT DISTINCT bot FROM requests WHERE bot <> '')")
 def range_status(spark, d):
     return rng.status(ranges(spark, d), C)
@@ -289,6 +320,29 @@ def normalized_urls(spark, d):
     return b.page_paths(spark, d)
 
 
+@query("cleaned_paths", r"""SELECT page_id, page_id % 4 NOT IN (1, 2) AS kept,
+  CASE WHEN page_id % 3 = 0 THEN path || ' tab end' ELSE path || ' é' END AS one_line, rpad(path, 6, '_') AS short, contains(lower(path), '/de/1') AS found FROM page_paths""")
+def cleaned_paths(spark, d):
+    """Excluded paths, text made one line, text cut by bytes in a character, and literal search."""
+    pid = F.col("page_id")
+    uri = F.concat(F.when(pid % 4 == 1, "/private").when(pid % 4 == 2, "/cart/").otherwise(""), "path")
+    odd = F.concat("path", F.when(pid % 3 == 0, "\t\x01tab\r\nend ").otherwise(" é\x7f"))
+    cut = F.concat(F.rpad("path", 6, "_"), F.lit("é and more"))
+    return b.page_paths(spark, d).select(
+        "page_id", (~paths.excluded(uri, ["/private", "", "/cart/"])).alias("kept"), paths.clean(odd).alias("one_line"),
+        paths.clean(cut, 7).alias("short"), paths.contains_text(F.col("path"), "/De/1").alias("found"))
+
+
+@query("spreadsheet_cells", """SELECT id, CASE WHEN id % 6 < 5 THEN chr(39) ELSE '' END || substr('=+-@' || chr(9) || 'x', (id % 6)::INT + 1, 1) || path AS cell,
+  CASE WHEN id % 2 = 0 THEN 'bot-' || (id % 6) || '.example.com' ELSE '' END AS host FROM requests""")
+def spreadsheet_cells(spark, d):
+    """Cells that a spreadsheet would run, and the hosts that signature headers name."""
+    k = (F.col("id") % 6).cast("int")
+    start = F.substr(F.lit("=+-@\tx"), k + 1, F.lit(1))
+    header = F.when(F.col("id") % 2 == 0, F.concat(F.lit('"HTTPS://Bot-'), k.cast("string"), F.lit('.example.com/.well-known/x"'))).otherwise("none")
+    return b.requests(spark, d).select("id", paths.csv_cell(F.concat(start, "path")).alias("cell"), agents.signature_host(header).alias("host"))
+
+
 @query("path_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE page_id % 6 WHEN 0 THEN 'sitemap' WHEN 1 THEN 'feed' WHEN 2 THEN 'api' WHEN 3 THEN 'asset' WHEN 4 THEN 'robots' ELSE '' END AS kind FROM pages) GROUP BY kind")
 def path_kinds(spark, d):
     m = F.col("page_id") % 6

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trailmark.operators import content, quality as q, robots
+from trailmark.operators import content, quality as q, robots, rollups
 from trailmark.plans import readiness, traffic
 from workload import bridge as b
 from workload.content_queries import EDGES, FACTS, INTENT, INTENT_CASE, facts, links
@@ -51,8 +51,8 @@ def policy(spark, only=None):
     return robots.index(robots.effective_body(sites(spark), robots.generated_body(C)), robots.robots_bots(R, only))
 
 
-def site_pages(spark, d):
-    return b.inventory(spark, d).withColumn("site", F.lit("main"))
+def site_pages(spark, d, inventory=None):
+    return (b.inventory(spark, d) if inventory is None else inventory).withColumn("site", F.lit("main"))
 
 
 _VERDICT = """CASE agent
@@ -140,8 +140,8 @@ def robots_sections(spark, d):
     return robots.access_matrix(section_index(spark, d), section_pages(spark, d), C)
 
 
-def blocked(spark, d):
-    return robots.blocked_pages(policy(spark, C.priority_bots), site_pages(spark, d).filter("not deleted"))
+def blocked(spark, d, inventory=None):
+    return robots.blocked_pages(policy(spark, C.priority_bots), site_pages(spark, d, inventory).filter("not deleted"))
 
 
 PRIORITY = "(" + ", ".join(f"'{p}'" for p in C.priority_bots) + ")"
@@ -179,9 +179,9 @@ def access_changes(spark, d):
 
 # importance, state -----------------------------------------------------------
 
-def important_pages(spark, d):
+def important_pages(spark, d, inventory=None):
     pid = F.col("page_id")
-    rows = b.inventory(spark, d).withColumns({
+    rows = (b.inventory(spark, d) if inventory is None else inventory).withColumns({
         "in_menu": pid % 8 == 0, "cornerstone": pid % 19 == 0, "sales": F.when(pid % 10 == 6, pid * 3), "is_hub": pid % 43 == 0})
     sent = b.referrals(spark, d).filter(F.col("day") >= F.lit(C.back(30))).groupBy("url_hash").agg(F.sum("hits").alias("referrals"))
     return q.importance(rows.join(sent, "url_hash", "left"), C)
@@ -226,9 +226,11 @@ def recent_crawl_errors(spark, d):
 
 
 def profile(spark, d):
-    seen = b.bots_seen(spark, d)
-    return q.page_profile(facts(spark, d), important_pages(spark, d), q.crawl_state(b.page_bots(spark, d), R),
-                          q.recent_crawls(b.daily(spark, d), R, C), blocked(spark, d), C, q.is_learning(seen, C))
+    """From stored facts, inventory and folded requests: the events and the HTML are read once."""
+    cube, inventory = b.written(spark, b.cube(spark, d), "cube"), b.written(spark, b.inventory(spark, d), "inventory")
+    stored = b.written(spark, facts(spark, d), "facts")
+    return q.page_profile(stored, important_pages(spark, d, inventory), q.crawl_state(rollups.page_bots(cube), R),
+                          q.recent_crawls(rollups.daily(cube), R, C), blocked(spark, d, inventory), C, q.is_learning(rollups.bots_seen(cube), C))
 
 
 PROFILE = FACTS + "," + INTENT + "," + ACCESS + "," + IMPORTANT + "," + STATE + r""",

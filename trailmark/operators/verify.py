@@ -298,8 +298,8 @@ def backlog(queue: DataFrame, ranges: DataFrame, events: DataFrame, watermark: i
 
 
 def latest_verdicts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Verdict cache after a run: the newest row per (ip_hash, bot)."""
-    order = Window.partitionBy("ip_hash", "bot").orderBy(F.desc("checked_at"))
+    """Verdict cache after a run: the newest row per (ip_hash, bot), of those of the same second a failure."""
+    order = Window.partitionBy("ip_hash", "bot").orderBy(F.desc("checked_at"), F.desc(F.col("verdict") == "failed"))
     return (
         old.unionByName(new).filter(F.col("verdict").isin("verified", "failed"))
         .withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")

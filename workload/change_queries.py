@@ -224,6 +224,23 @@ def unknown_agents(spark, d):
     return traffic.unknown_agents(agent_rows(spark, d), 25).select("ua_hash", "hits", "token")
 
 
+@query("agents_of_batches", "SELECT ua_hash, ua, cls, state, hits, first_seen, last_seen FROM agent_rows", AGENTS)
+def agents_of_batches(spark, d):
+    """Agents of two batches, merged."""
+    rows = b.requests(spark, d).withColumn("ua", F.when(F.col("cls") == "unknown", F.concat("ua", F.lit(" job-"), (F.col("id") % 40).cast("string"))).otherwise(F.col("ua")))
+    part = lambda k: rollups.agents(rows.filter(F.col("id") % 2 == k), C).select("ua_hash", "ua", "cls", "state", "hits", "first_seen", "last_seen")
+    return rollups.merge_agents(part(0).unionByName(part(1)))
+
+
+@query("written_csv", "SELECT id, chr(39) || '=' || path || ', \"q\"' AS cell FROM requests")
+def written_csv(spark, d):
+    """An export as a spreadsheet would read it."""
+    rows = b.requests(spark, d).select("id", F.concat(F.lit("="), "path", F.lit(', "q"')).alias("cell"))
+    path = b.scratch_dir(spark, "csv")
+    p.write_csv(p.csv_ready(rows), path)
+    return spark.read.option("header", True).csv(path).select(F.col("id").cast("bigint").alias("id"), "cell")
+
+
 @query("agents_to_share", "SELECT ua_hash, hits FROM agent_rows WHERE shared_at < last_seen ORDER BY hits DESC, ua_hash LIMIT 200", AGENTS)
 def agents_to_share(spark, d):
     return a.agents_to_share(agent_rows(spark, d)).select("ua_hash", "hits")

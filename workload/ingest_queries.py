@@ -310,6 +310,31 @@ def client_addresses(spark, d):
     return b.requests(spark, d).select("id", net.client_ip(remote, header, F.lit(""), cfg).alias("c")).select("id", "c.*")
 
 
+@query("verdict_cache", f"SELECT bot, ip_hash, arg_max(verdict, checked_at) AS verdict, max(checked_at) AS checked_at FROM checks GROUP BY bot, ip_hash HAVING max(checked_at) >= {b.AS_OF - 14 * 86400}",
+       "met AS (SELECT * FROM requests WHERE bot IN ('gptbot', 'ccbot')), " + CHECKED)
+def verdict_cache(spark, d):
+    """The cache after two runs; unanswered checks are no verdicts."""
+    rows = b.written(spark, checks(b.requests(spark, d).filter("bot in ('gptbot', 'ccbot')")), "checks")
+    later = F.col("checked_at") >= b.AS_OF - 15 * 86400
+    retries = rows.filter(later).withColumns({"verdict": F.lit("retry"), "checked_at": F.col("checked_at") + 30})
+    return verify.prune_verdicts(verify.latest_verdicts(rows.filter(~later), rows.filter(later).unionByName(retries)), C).select("bot", "ip_hash", "verdict", "checked_at")
+
+
+@query("expired_checks", f"SELECT id, CASE WHEN ts < {b.AS_OF - 2 * 86400} OR (id % 4 = 0 AND id % 5 >= 3) THEN 'none' WHEN id % 4 = 0 THEN 'retry' ELSE 'verified' END AS verdict FROM requests")
+def expired_checks(spark, d):
+    e = F.col("id")
+    queue = b.requests(spark, d).select("id", F.col("ts").alias("created_at"), (e % 5).alias("attempts"), F.when(e % 4 == 0, "retry").otherwise("verified").alias("verdict"))
+    return verify.expire(queue, C).select("id", "verdict")
+
+
+@query("proxied_requests", "SELECT id, id % 3 <> 0 AND (id % 4 = 0 OR id % 5 = 0) AS suspected FROM requests")
+def proxied_requests(spark, d):
+    """Forwarding headers on requests whose own address is in use."""
+    e = F.col("id")
+    via, cdn = F.when(e % 4 == 0, "1.2.3.4").otherwise(""), F.when(e % 5 == 0, "5.6.7.8")
+    return b.requests(spark, d).select("id", net.proxy_suspected(e % 3 == 0, via, cdn).alias("suspected"))
+
+
 @query("agent_tokens", "SELECT id, CASE WHEN bot = '' THEN 'python-requests' ELSE '' END AS token FROM requests")
 def agent_tokens(spark, d):
     return b.requests(spark, d).select("id", agents.agent_token(F.col("ua")).alias("token"))

@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from trailmark.llm.bytebpe import byte_of_char
 
 #: Words a worker keeps; bytes of the texts that are looked up together.
-CACHE, TOGETHER = 1_000_000, 16 << 20
+CACHE, TOGETHER = 300_000, 4 << 20
 #: White space as the tokenizers library understands it.
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 #: The part of it that is rare in texts; without it they are split at spaces and line feeds.

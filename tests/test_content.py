@@ -192,3 +192,12 @@ def test_whole_titles_name_topics(spark):
     pages = spark.createDataFrame([(1, title, False), (2, "Other", False), (3, "Tea pot", True)], "page_id long, title string, deleted boolean")
     terms = spark.createDataFrame([(p, t, 2) for p in (1, 2) for t in ("state-of-the-art coffee", "w59 grinder", "art", "tea pot", "w1 w3")], "page_id long, term string, weight long")
     assert {r.term for r in content.topics(terms, pages).collect()} == {"state-of-the-art coffee", "w59 grinder", "art"}
+
+
+def test_frequent_terms_meet_in_blocks(spark, monkeypatch):
+    terms, pages, links = planted_terms(spark, 240, 4)
+    ranked = content.key_terms(terms, content.document_frequency(terms), F.lit(240))
+    found = lambda: sorted(tuple(r) for r in content.suggest_links(terms, ranked, links, pages, F.lit(240), CFG, light=3).select("target_id", "rank", "from_id", "weight").collect())
+    whole = found()
+    monkeypatch.setattr(content, "BLOCK", 60)  # several blocks of pages and groups of targets
+    assert found() == whole and len(whole) > 100

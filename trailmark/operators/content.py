@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from trailmark.config import Config, DAY
@@ -91,8 +93,9 @@ def merge_inventory(old: DataFrame, new: DataFrame) -> DataFrame:
 # terms -------------------------------------------------------------------
 
 def _tokens(text: Column, stop: list[str]) -> Column:
-    """Trimmed words; words that name nothing are null so they break phrases."""
-    trimmed = F.transform(txt.words(text), lambda w: F.regexp_replace(w, r"^[-'’]+|[-'’]+$", ""))
+    """Words without the marks at their end; words that name nothing are null so they break phrases."""
+    # A word that ends in a letter or number.
+    trimmed = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}](?:[\p{L}\p{N}'’-]*[\p{L}\p{N}])?"), 0)
     return F.transform(trimmed, lambda w: F.when(txt.usable(w, stop), w))
 
 
@@ -103,18 +106,34 @@ def _mentions(tokens: Column) -> Column:
     return F.array_compact(F.concat(tokens, pairs))
 
 
-def term_counts(documents: DataFrame, stop: list[str], key: str = "page_id") -> DataFrame:
-    """(key, text, emphasis) -> the document's terms: body ×1, emphasis ×3.
+def term_lists(documents: DataFrame, stop: list[str], key: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, text, emphasis), one row per document -> its terms as an array of (term, weight), and the total weight: body ×1, emphasis ×3.
 
-    Words and pairs are made inside the row as plain strings and counted map-side, so what is
-    shuffled is each document's distinct terms, not its words.
+    Counted inside the row: the sorted mentions of a document, and how far it is from one term to the next. Nothing
+    is shuffled. Columns in `keep` stay.
     """
+    own = [key, *keep]
     body = _tokens(F.coalesce("text", F.lit("")), stop)
     strong = _tokens(F.coalesce("emphasis", F.lit("")), stop)
-    rows = documents.select(key, body.alias("b"), strong.alias("e")).select(key, _mentions(F.col("b")).alias("b"), _mentions(F.col("e")).alias("e"))
-    each = rows.select(key, F.explode(F.concat("b", "e", "e", "e")).alias("term"))
-    counts = each.groupBy(key, "term").agg(F.count("*").alias("weight"))
-    return counts.filter(~F.col("term").contains(" ") | (F.col("weight") >= 2))
+    rows = documents.select(*own, body.alias("b"), strong.alias("e")).select(*own, _mentions(F.col("b")).alias("b"), _mentions(F.col("e")).alias("e"))
+    rows = rows.select(*own, F.sort_array(F.concat("b", "e", "e", "e")).alias("m"))
+    first = F.transform("m", lambda x, i: F.when((i == 0) | (x != F.get(F.col("m"), i - 1)), i))
+    rows = rows.select(*own, "m", F.array_compact(first).alias("at"))
+    ends = F.concat(F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), F.array(F.size("m")))
+    # without mentions there is an end but no start
+    runs = F.zip_with("at", F.slice(ends, 1, F.size("at")), lambda a, z: F.struct(F.get(F.col("m"), a).alias("term"), (z - a).cast("long").alias("weight")))
+    counted = rows.select(*own, F.filter(runs, lambda t: ~t["term"].contains(" ") | (t["weight"] >= 2)).alias("terms"))
+    return counted.withColumn("total", F.aggregate("terms", F.lit(0).cast("long"), lambda a, t: a + t["weight"]))
+
+
+def term_rows(lists: DataFrame, key: str = "page_id") -> DataFrame:
+    """One row per document and term; `total` is the weight of all terms of the document."""
+    return lists.select(key, "total", F.explode("terms").alias("t")).select(key, "t.term", "t.weight", "total")
+
+
+def term_counts(documents: DataFrame, stop: list[str], key: str = "page_id") -> DataFrame:
+    """key, term, weight of documents (see `term_lists`)."""
+    return term_lists(documents, stop, key).select(key, F.explode("terms").alias("t")).select(key, "t.term", "t.weight")
 
 
 def document_frequency(terms: DataFrame, key: str = "page_id") -> DataFrame:
@@ -129,8 +148,8 @@ def term_changes(old: DataFrame, new: DataFrame, key: str = "page_id") -> DataFr
 
 
 def key_terms(terms: DataFrame, df: DataFrame, n_documents: Column, key: str = "page_id", limit: int = 12) -> DataFrame:
-    """Terms ranked by TF-IDF; phrases weigh 1.3."""
-    total = F.sum("weight").over(Window.partitionBy(key))  # the distinct terms of one document
+    """Terms ranked by TF-IDF; phrases weigh 1.3. The weight of all terms of a document comes with them (`total`) or is summed here."""
+    total = F.col("total") if "total" in terms.columns else F.sum("weight").over(Window.partitionBy(key))  # the distinct terms of one document
     idf = F.log((n_documents + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     score = F.col("weight") / F.greatest(F.col("total"), F.lit(1)) * idf * F.when(F.col("term").contains(" "), 1.3).otherwise(1.0)
     scored = terms.withColumn("total", total).join(df, "term", "left").withColumn("score", score)
@@ -239,38 +258,71 @@ def _light_candidates(own: DataFrame, postings: DataFrame, closed: DataFrame, pe
     return open_.filter(F.col("bar").isNull() | (F.col("n") + F.col("h") >= F.col("bar"))).select("target_id", "from_id", "bar")
 
 
+#: Postings and asked terms that meet in one task.
+BLOCK = 4_000_000
+#: Above any sum of weights; six of it and the weights are whole numbers of 53 bits.
+SHARED = float(1 << 40)
+
+
+def _best_of_block(shared: float = SHARED):
+    def best(asked: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
+        """target_id, from_id, score: of one block's pages the `keep` best of each target, those first that share the most terms."""
+        asked = asked.sort_values("target_id", kind="stable")
+        postings = postings.sort_values("t", kind="stable")
+        pages, place = np.unique(postings["from_id"].to_numpy(), return_inverse=True)
+        terms, first = np.unique(postings["t"].to_numpy(), return_index=True)
+        last = np.append(first[1:], len(postings))
+        worth = shared + postings["weight"].to_numpy()
+        at = np.searchsorted(terms, asked["t"].to_numpy())
+        known = (at < len(terms)) & (terms[np.minimum(at, max(len(terms) - 1, 0))] == asked["t"].to_numpy()) if len(terms) else np.zeros(len(asked), bool)
+        asked, at = asked[known], at[known]
+        targets, begins = np.unique(asked["target_id"].to_numpy(), return_index=True)
+        keep, need = asked["keep"].to_numpy(), asked["need"].to_numpy()
+        out = []
+        for target, lo, hi in zip(targets, begins, np.append(begins[1:], len(asked)), strict=True):
+            if hi - lo < need[lo]:
+                continue
+            spans = [slice(first[k], last[k]) for k in at[lo:hi]]
+            score = np.bincount(np.concatenate([place[s] for s in spans]), np.concatenate([worth[s] for s in spans]))
+            least, k = need[lo] * shared, keep[lo]
+            if len(score) > k:
+                least = max(least, np.partition(score, len(score) - k)[len(score) - k])
+            found = np.flatnonzero(score >= least)
+            found = found[np.argsort(-score[found], kind="stable")][:k]  # pages are in order of their ids
+            out.append((np.full(len(found), target), pages[found], score[found]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pd.DataFrame({"target_id": cols[0], "from_id": cols[1], "score": cols[2]}).astype({"target_id": "int64", "from_id": "int64", "score": "float64"})
+
+    return best
+
+
 def _heavy_candidates(own: DataFrame, postings: DataFrame, closed: DataFrame, bars: DataFrame, per_target: int) -> DataFrame:
     """target_id, from_id: pages that share no light term but may be among the best by heavy ones.
 
-    A page that shares just the set S of a target's heavy terms scores by S alone, whichever target asks. So each set
-    of heavy terms is answered once, by its heaviest pages: as many as the target lacks, and as many more as it may
-    have to pass over (itself and pages that link to it). Targets whose bar is above their number of heavy terms
-    ask for nothing.
+    A page that shares just heavy terms scores by them alone, so it is among a target's best only if it is among the
+    `per_target` best by heavy terms, after those that don't count. Pages are dealt out in blocks and targets in
+    groups, both of bounded size; each task sums a target's posting lists within its block and gives back the best
+    few. So no pair but those is written or shuffled. Targets whose bar is above their number of heavy terms ask for
+    nothing.
     """
-    asks = own.filter("heavy").groupBy("target_id").agg(F.sort_array(F.collect_set(F.struct("df", "term"))).alias("terms"))
-    asks = asks.join(bars, "target_id", "left").filter(F.col("bar").isNull() | (F.col("bar") <= F.size("terms")))
-    # a target has six terms at most, so 63 sets at most; the rarest term of a set comes first in it
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 6) - 1)
-    subsets = F.transform(
-        F.filter(masks, lambda m: m < F.pow(F.lit(2), F.size("terms"))),
-        lambda m: F.transform(F.filter("terms", lambda t, i: F.getbit(m.cast("long"), i) == 1), lambda t: t["term"]))
-    asked = kept(asks.select("target_id", F.explode(subsets).alias("terms")).withColumn("set_id", F.sha2(F.array_join("terms", "\n"), 256)))
-    passed_over = closed.groupBy("target_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    keep = per_target + passed_over
-    sets = asked.select("set_id", "terms").dropDuplicates(["set_id"])
-    first = sets.withColumn("term", F.col("terms")[0]).join(postings, "term").select("set_id", "from_id", "terms", "weight")
-    single = first.filter(F.size("terms") == 1).select("set_id", "from_id", "weight")
-    others = first.filter(F.size("terms") > 1).select("set_id", "from_id", F.col("weight").alias("w"), (F.size("terms") - 1).alias("need"), F.explode(F.slice("terms", 2, 5)).alias("term"))
-    several = (
-        others.join(postings, ["from_id", "term"]).groupBy("set_id", "from_id", "w", "need")
-        .agg(F.count("*").alias("n"), F.sum("weight").alias("more")).filter("n = need")
-        .select("set_id", "from_id", (F.col("w") + F.col("more")).alias("weight"))
-    )
-    order = Window.partitionBy("set_id").orderBy(F.desc("weight"), "from_id")
-    # the rank limit is applied in every task before the shuffle, so a term on a third of all pages moves few rows
-    best = single.unionByName(several).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= keep)
-    return asked.select("target_id", "set_id").join(best.select("set_id", "from_id"), "set_id").select("target_id", "from_id").distinct().join(
-        closed, ["target_id", "from_id"], "left_anti")
+    heavy = own.filter("heavy").select("target_id", "term")
+    numbers = kept(heavy.select("term").distinct().withColumn("t", F.monotonically_increasing_id()))
+    skipped = closed.groupBy("target_id").agg(F.count("*").alias("skipped"))
+    many = heavy.groupBy("target_id").agg(F.count("*").alias("terms")).join(bars, "target_id", "left").filter(F.col("bar").isNull() | (F.col("bar") <= F.col("terms")))
+    limits = many.join(skipped, "target_id", "left").select(
+        "target_id", (F.coalesce("skipped", F.lit(0)) + per_target).alias("keep"), F.coalesce("bar", F.lit(1)).alias("need"))
+    asked = kept(heavy.join(limits, "target_id").join(numbers, "term").select("target_id", "t", "keep", "need"))
+    listed = kept(postings.join(numbers, "term").select("from_id", "t", "weight"))
+    blocks, groups = 1 + listed.count() // BLOCK, 1 + asked.count() // BLOCK
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("group", part("target_id", groups)).withColumn("block", every(blocks))
+    right = listed.withColumn("block", part("from_id", blocks)).withColumn("group", every(groups))
+    best = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInPandas(
+        _best_of_block(), "target_id long, from_id long, score double")
+    order = Window.partitionBy("target_id").orderBy(F.desc("score"), "from_id")
+    ranked = best.withColumn("_r", F.row_number().over(order)).join(limits.select("target_id", "keep"), "target_id").filter("_r <= keep")
+    return ranked.select("target_id", "from_id").join(closed, ["target_id", "from_id"], "left_anti")
 
 
 def link_candidates(own: DataFrame, postings: DataFrame, closed: DataFrame, per_target: int) -> DataFrame:

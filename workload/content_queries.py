@@ -203,6 +203,11 @@ def page_terms(spark, d):
     return c.term_counts(page_texts(spark, d), text.STOP_WORDS)
 
 
+def stored_terms(spark, d):
+    """Terms of all pages with the total of each page, made once: document frequencies and scores both read them."""
+    return c.term_rows(b.written(spark, c.term_lists(page_texts(spark, d), text.STOP_WORDS), "terms"))
+
+
 def page_total(spark, d):
     return b.table(spark, d, "pages").agg(F.count("*")).scalar()
 
@@ -234,7 +239,7 @@ ranked AS (SELECT page_id, term, weight AS count, df AS pages, round(raw, 4) AS
 
 @query("key_terms", "SELECT * FROM ranked", lambda: FACTS + "," + _terms_sql(PAGE_TEXTS) + "," + RANKED)
 def key_terms(spark, d):
-    terms = page_terms(spark, d)
+    terms = stored_terms(spark, d)
     return c.key_terms(terms, c.document_frequency(terms), page_total(spark, d))
 
 
@@ -344,7 +349,7 @@ targets AS (SELECT page_id AS target_id FROM live WHERE analyzed AND (importance
 own AS (SELECT target_id, term, score AS target_score FROM ranked r JOIN targets ON target_id = r.page_id, page_total
   WHERE pages >= 2 AND pages <= greatest(3.0, n * 0.3) QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY rank) <= 6)""")
 def link_suggestions(spark, d):
-    terms, n = page_terms(spark, d), page_total(spark, d)
+    terms, n = stored_terms(spark, d), page_total(spark, d)
     ranked = c.key_terms(terms, c.document_frequency(terms), n)
     # at a few hundred pages no term is frequent: a lower limit sends some through the index of frequent terms
     return c.suggest_links(terms, ranked, links(spark, d), b.inventory(spark, d), n, C, light=20)

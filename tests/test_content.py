@@ -201,3 +201,13 @@ def test_frequent_terms_meet_in_blocks(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(content, "BLOCK", 60)  # several blocks of pages and groups of targets
     assert found() == whole and len(whole) > 100
+
+
+def test_every_page_meets_every_crawler(spark):
+    bots = robots.robots_bots(R)
+    sites = spark.createDataFrame([("a", ROBOTS_A), ("b", ROBOTS_B)], "site string, body string")
+    pages = spark.createDataFrame([("a", 1, "/private/x"), ("a", 2, "/open"), ("b", 3, "/shop/cart"), ("b", 4, "/")], "site string, page_id long, path string")
+    cols = ["page_id", "bot", "allowed", "rule"]
+    got = sorted(tuple(r) for r in robots.page_access(robots.index(sites, bots), pages).select(*cols).collect())
+    assert got == sorted(tuple(r) for r in robots.check(robots.policies(sites, bots), pages).select(*cols).collect())
+    assert len(got) == 4 * len(bots) and (4, "gptbot", True, "") in got

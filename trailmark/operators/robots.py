@@ -137,6 +137,21 @@ def page_verdicts(policy: Index, pages: DataFrame) -> DataFrame:
     return best.select("site", "page_id", "agent", allowed(F.col("best")).alias("allowed"), rule_text(F.col("best")).alias("rule"))
 
 
+def page_access(policy: Index, pages: DataFrame) -> DataFrame:
+    """site, page_id, bot, token, agent, allowed, rule: one verdict for every page (site, page_id, path) and crawler.
+
+    A page's verdicts, at most one for each group of its site, are gathered before the crawlers are added, so that
+    pages and verdicts are shuffled but not their product.
+    """
+    found = page_verdicts(policy, pages).groupBy("site", "page_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("agent", F.struct("allowed", "rule")))).alias("found"))
+    crawlers = policy.groups.groupBy("site").agg(F.collect_list(F.struct("bot", "token", "agent")).alias("crawlers"))  # registry-sized
+    each = pages.select("site", "page_id").join(found, ["site", "page_id"], "left").join(crawlers, "site").select(
+        "site", "page_id", "found", F.explode("crawlers").alias("c"))
+    verdict = F.try_element_at("found", F.col("c.agent"))
+    return each.select("site", "page_id", "c.*", F.coalesce(verdict["allowed"], F.lit(True)).alias("allowed"), F.coalesce(verdict["rule"], F.lit("")).alias("rule"))
+
+
 def policies(sites: DataFrame, bots: list[tuple[str, str]]) -> DataFrame:
     """site, bot, token, agent, rules: each crawler's rules in one array, to check single paths."""
     agents, named = _named_rules(sites)

@@ -76,11 +76,11 @@ def robots_matrix(spark, d):
     return robots.access_matrix(policy(spark), site_pages(spark, d), C, max_pages=None)
 
 
-@query("robots_check", "SELECT page_id, bot, allowed, rule FROM access WHERE rule <> ''", ACCESS)
+@query("robots_check", "SELECT page_id, bot, allowed, rule FROM access", ACCESS)
 def robots_check(spark, d):
-    """Every page and crawler for which a rule speaks."""
-    rows, p = site_pages(spark, d).filter("not deleted").select("site", "page_id", "path"), policy(spark)
-    return robots.page_verdicts(p, rows).join(p.groups, ["site", "agent"]).select("page_id", "bot", "allowed", "rule")
+    """Every page and every crawler, with the rule that decides if there is one."""
+    rows = site_pages(spark, d).filter("not deleted").select("site", "page_id", "path")
+    return robots.page_access(policy(spark), rows).select("page_id", "bot", "allowed", "rule")
 
 
 # many sites: one for each language section and fifth of the pages, whose robots.txt names their own pages. One fifth

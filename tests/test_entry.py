@@ -28,3 +28,8 @@ def test_small_queries_match_their_sql(spark):
         assert sorted(cols) == sorted(df.columns), name
         want = sorted((tuple(r[cols.index(c)] for c in df.columns) for r in cur.fetchall()), key=repr)
         assert sorted((tuple(r) for r in df.collect()), key=repr) == want, name
+
+
+def test_page_facts_has_all_facts(spark):
+    facts = entry.queries()["page_facts"](spark, SMALL)
+    assert {"h2", "h3", "images", "noindex", "canonical_elsewhere"} <= set(facts.columns)

@@ -68,13 +68,17 @@ facts AS (SELECT page_id, url, body, text, len(regexp_extract_all(text, '{WORD}'
 
 
 @query("page_facts", """
-SELECT page_id, title, lang, words, lists, first_para_words,
+SELECT page_id, title, lang, words, lists, len(regexp_extract_all(body, '(?i)<h2[\\s/>]')) AS h2, len(regexp_extract_all(body, '(?i)<h3[\\s/>]')) AS h3,
+  len(regexp_extract_all(body, '(?i)<img[\\s/>]')) AS images, first_para_words,
   CAST(CASE WHEN len(sentences) > 0 THEN round(words / len(sentences)) ELSE 0 END AS BIGINT) AS avg_sentence,
-  len(list_filter(sentences, lambda s: s LIKE '%?')) AS questions, md5(text) AS text_hash FROM facts""", FACTS)
+  len(list_filter(sentences, lambda s: s LIKE '%?')) AS questions, md5(text) AS text_hash,
+  regexp_matches(html, '(?i)<meta[^>]*\\bname="?(robots|googlebot)\\b[^>]*\\bno(index|ne)\\b') AS noindex,
+  canonical <> '' AND """ + b.PATH_SQL.format(u="canonical") + " <> " + b.PATH_SQL.format(u="url") + """ AS canonical_elsewhere
+FROM (SELECT *, regexp_extract(html, '(?i)<link[^>]*rel="?canonical"?[^>]*href="?([^"\\s>]+)', 1) AS canonical FROM facts JOIN pages USING (page_id, url))""", FACTS)
 def page_facts(spark, d):
     return facts(spark, d).select(
-        "page_id", "title", "lang", "words", "lists", "first_para_words", "avg_sentence",
-        F.size("questions").alias("questions"), F.md5("text").alias("text_hash"))
+        "page_id", "title", "lang", "words", "lists", "h2", "h3", "images", "first_para_words", "avg_sentence",
+        F.size("questions").alias("questions"), F.md5("text").alias("text_hash"), "noindex", "canonical_elsewhere")
 
 
 # The driver's pages hold little but text, so tags that facts are made of are put around it by page number

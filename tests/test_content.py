@@ -211,3 +211,13 @@ def test_every_page_meets_every_crawler(spark):
     got = sorted(tuple(r) for r in robots.page_access(robots.index(sites, bots), pages).select(*cols).collect())
     assert got == sorted(tuple(r) for r in robots.check(robots.policies(sites, bots), pages).select(*cols).collect())
     assert len(got) == 4 * len(bots) and (4, "gptbot", True, "") in got
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "Cold brew, cold brew -- coffee’s", None), (2, None, ""), (3, "", "Tea")], "page_id bigint, text string, emphasis string")
+    lists = content.term_lists(rows, text.STOP_WORDS, keep=("emphasis",))
+    assert {r.page_id: (r.total, len(r.terms)) for r in lists.collect()} == {1: (7, 4), 2: (0, 0), 3: (3, 1)}
+    counts = content.term_counts(rows, text.STOP_WORDS)
+    assert sorted(tuple(r) for r in counts.collect()) == [(1, "brew", 2), (1, "coffee’s", 1), (1, "cold", 2), (1, "cold brew", 2), (3, "tea", 3)]
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

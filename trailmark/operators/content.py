@@ -128,12 +128,13 @@ def term_lists(documents: DataFrame, stop: list[str], key: str = "page_id", keep
 
 def term_rows(lists: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per document and term; `total` is the weight of all terms of the document."""
-    return lists.select(key, "total", F.explode("terms").alias("t")).select(key, "t.term", "t.weight", "total")
+    # a plain explode adds a filter on the list, which would be counted once more for it, in one nested expression
+    return lists.select(key, "total", F.explode_outer("terms").alias("t")).filter("t is not null").select(key, "t.term", "t.weight", "total")
 
 
 def term_counts(documents: DataFrame, stop: list[str], key: str = "page_id") -> DataFrame:
     """key, term, weight of documents (see `term_lists`)."""
-    return term_lists(documents, stop, key).select(key, F.explode("terms").alias("t")).select(key, "t.term", "t.weight")
+    return term_rows(term_lists(documents, stop, key), key).drop("total")
 
 
 def document_frequency(terms: DataFrame, key: str = "page_id") -> DataFrame:

@@ -19,6 +19,10 @@ PAGES = "page_id long, terms array<string>, seq long, batch string"
 CHANGES = "term string, delta long, batch string"
 
 
+def _none():
+    return F.array().cast("array<string>")
+
+
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
@@ -33,9 +37,12 @@ def merge_terms(spark: SparkSession, root: str, pages: DataFrame, name: str) ->
     pages = kept(pages)
     others = _stored(spark, f"{root}/pages", PAGES).filter(F.col("batch") != name)
     seq = (others.agg(F.max("seq")).first()[0] or 0) + 1
-    before = others.join(pages.select("page_id"), "page_id", "left_semi").groupBy("page_id").agg(F.max_by("terms", "seq").alias("terms"))
-    each = lambda rows: rows.select("page_id", F.explode("terms").alias("term"))
-    changes = content.term_changes(each(before), each(pages)).filter("delta <> 0")
+    before = others.join(pages.select("page_id"), "page_id", "left_semi").groupBy("page_id").agg(F.max_by("terms", "seq").alias("had"))
+    # a page's lists are compared in its row, so only terms that it gains or loses are shuffled
+    both = pages.join(before, "page_id", "left").withColumn("had", F.coalesce("had", _none()))
+    change = lambda more, less, d: F.transform(F.array_except(more, less), lambda t: F.struct(t.alias("term"), F.lit(d).alias("d")))
+    moved = both.select(F.explode(F.concat(change("terms", "had", 1), change("had", "terms", -1))).alias("c"))
+    changes = moved.groupBy("c.term").agg(F.sum("c.d").alias("delta")).filter("delta <> 0")
     changes.write.mode("overwrite").parquet(f"{root}/changes/batch={name}")
     pages.withColumn("seq", F.lit(seq).cast("long")).write.mode("overwrite").parquet(f"{root}/pages/batch={name}")
 
@@ -45,10 +52,8 @@ def keep_frequencies(root: str, stop: list[str]) -> Callable[[DataFrame, int], N
 
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("page_id").agg(F.max_by(F.struct("text", "emphasis", "deleted"), "at").alias("r")).select("page_id", "r.*")
-        newest = kept(newest)
-        terms = content.term_counts(newest.filter("not deleted"), stop).groupBy("page_id").agg(F.collect_set("term").alias("terms"))
-        none = F.array().cast("array<string>")
-        pages = newest.select("page_id").join(terms, "page_id", "left").select("page_id", F.coalesce("terms", none).alias("terms"))
+        lists = content.term_lists(newest, stop, keep=("deleted",))
+        pages = lists.select("page_id", F.when(F.col("deleted"), _none()).otherwise(F.transform("terms", lambda t: t["term"])).alias("terms"))
         merge_terms(batch.sparkSession, root, pages, f"live-{batch_id}")
 
     return write

@@ -382,11 +382,14 @@ SELECT page_id, own AS subject, CASE WHEN t = '' OR page_id % 11 = 0 THEN '' ELS
 FROM best""", lambda: FACTS + "," + INTENT + "," + _terms_sql(PAGE_TEXTS) + "," + RANKED + "," + _PATTERNS)
 def query_patterns(spark, d):
     """Pages whose number is a multiple of eleven are no posts."""
-    terms = page_terms(spark, d)
+    # the pages are analysed once; what terms, frequencies and templates need of them is stored
+    texts = facts(spark, d).select("page_id", "title", F.col("intent.intent").alias("intent"), "text", F.concat_ws(" ", "title", F.array_join("headings", " ")).alias("emphasis"))
+    stored = b.written(spark, c.term_lists(texts, text.STOP_WORDS, keep=("title", "intent")), "terms")
+    terms = c.term_rows(stored)
     top = c.key_terms(terms, c.document_frequency(terms), page_total(spark, d), limit=1).select("page_id", "term")
     kind = F.when(F.col("page_id") % 11 == 0, "home").otherwise("post")
-    made = text.query_patterns(F.col("title"), F.col("term"), F.col("intent.intent"), kind)
-    return facts(spark, d).join(top, "page_id", "left").select("page_id", text.subject(F.col("title")).alias("subject"), F.array_join(made, " | ").alias("patterns"))
+    made = text.query_patterns(F.col("title"), F.col("term"), F.col("intent"), kind)
+    return stored.join(top, "page_id", "left").select("page_id", text.subject(F.col("title")).alias("subject"), F.array_join(made, " | ").alias("patterns"))
 
 
 @query("nested_regions", """

@@ -241,3 +241,8 @@ def test_compacted_frequencies_are_the_same(spark, tmp_path):
     tf.merge_terms(spark, base, pages((2, []), (3, ["x", "z"])), "live-0")
     assert sorted(tuple(r) for r in tf.frequencies(spark, root).collect()) == [("x", 1), ("y", 1), ("z", 1)]
     assert sorted(tuple(r) for r in tf.frequencies(spark, base).collect()) == [("x", 1), ("y", 1), ("z", 1)]
+
+
+def test_throttled_requests_meet_the_windows_of_their_hour(spark):
+    rows = spark.readStream.format("rate").load().selectExpr("value as id", "'a' as ip_hash", "value as ts", "'none' as vstate")
+    assert "flood_hour" in st.throttled(rows)._jdf.queryExecution().analyzed().toString()

@@ -191,16 +191,21 @@ def throttled(events: DataFrame, limit: int = 600, width: str = "10 minutes", sl
               delay: str = "10 minutes", salts: int = 8) -> DataFrame:
     """The requests (id, ip_hash, ts) of an address within the hour after a window in which it flooded; each once.
 
-    Two stateful steps in one stream: the windows, then an interval join back to the requests. One address may send a
-    third of all requests, so they are spread over `salts` keys and its few windows are copied to each.
+    Two stateful steps in one stream: the windows, then an interval join back to the requests. A window is entered
+    under the two clock hours it reaches, so a request meets the windows of its own hour and not all of its address.
+    One address may send a third of all requests, so they are spread over `salts` keys and its few windows are copied
+    to each.
     """
+    hour = lambda c: F.floor(F.unix_seconds(c) / 3600)
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     windows = _floods(events, limit, width, slide, delay).select(
         F.col("ip_hash").alias("flood_hash"), F.window_time("window").alias("flooded"), salt.alias("flood_salt"))
+    began = hour(F.col("flooded"))
+    windows = windows.select("*", F.explode(F.array(began, began + 1)).alias("flood_hour"))
     asked = event_time(events).withWatermark("event_time", delay).filter("ip_hash <> ''").select(
-        "id", "ip_hash", "ts", "event_time", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+        "id", "ip_hash", "ts", "event_time", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), hour(F.col("event_time")).alias("hour"))
     # the window's time is its last microsecond
-    after = F.expr("ip_hash = flood_hash and salt = flood_salt and event_time > flooded and event_time <= flooded + interval 1 hour")
+    after = F.expr("ip_hash = flood_hash and salt = flood_salt and hour = flood_hour and event_time > flooded and event_time <= flooded + interval 1 hour")
     return asked.join(windows, after).select("id", "ip_hash", "ts", "event_time").dropDuplicatesWithinWatermark(["id"]).drop("event_time")
 
 

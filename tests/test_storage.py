@@ -246,3 +246,27 @@ def test_compacted_frequencies_are_the_same(spark, tmp_path):
 def test_throttled_requests_meet_the_windows_of_their_hour(spark):
     rows = spark.readStream.format("rate").load().selectExpr("value as id", "'a' as ip_hash", "value as ts", "'none' as vstate")
     assert "flood_hour" in st.throttled(rows)._jdf.queryExecution().analyzed().toString()
+
+
+def test_batches_of_one_run_are_cut_once_when_sessions_are_read(spark, tmp_path, monkeypatch):
+    root, base = str(tmp_path / "a"), str(tmp_path / "b")
+    schema = "bot string, ts long, url_hash string, ip_hash string, hits long, errors long"
+    rows = [("a", NOW + 600 * k, f"p{k % 7}", "x", 1, k % 2) for k in range(400) if k % 100 < 90] + [("b", NOW, "p", "x", 2, 0)]
+    cuts, cut = [], sessions.sessions_of_runs
+    monkeypatch.setattr(sessions, "sessions_of_runs", lambda *a: cuts.append(1) or cut(*a))
+    for k in range(4):
+        st.merge_sessions(spark, root, spark.createDataFrame(rows[k::4], schema), f"live-{k}")
+    assert not cuts
+    want = cut(spark.createDataFrame(rows, schema))
+    st.compact_sessions(spark, root, base)
+    assert len(cuts) == 1 and sorted(cut_.started for cut_ in st.read_sessions(spark, base).collect()) == sorted(r.started for r in want.collect())
+    late = [("a", NOW + 600 * 95 + 5, "q", "y", 1, 0), ("a", NOW + 600 * 92, "q", "y", 1, 0), ("a", NOW + 600 * 97 + 1200, "q", "y", 1, 0)]
+    st.merge_sessions(spark, base, spark.createDataFrame(late, schema), "live-4")
+    want = sessions.sessions_from_grain(spark.createDataFrame(rows + late, schema))
+    assert sorted(st.read_sessions(spark, base).select(*want.columns).collect()) == sorted(want.collect())
+
+
+def test_a_stream_keeps_the_tables_it_is_asked_for(spark, tmp_path):
+    root = str(tmp_path)
+    st.fold_batch(root, tables=["sessions"])(golden(spark), 0)
+    assert [p.name for p in tmp_path.iterdir()] == ["session_grain"] and st.read_sessions(spark, root).count() == 2

@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trailmark.operators.rollups import GENUINE
+from trailmark.storage import kept
 
 GAP = 1800
 CAP = 6 * 3600
+BROADCAST_SLOTS = 250_000
 
 
 def _runs(seconds: DataFrame, gap: int) -> DataFrame:
@@ -56,7 +58,7 @@ def _cap_runs(cap: int):
         key, start = None, 0
         for batch in batches:
             bots, runs, ts = batch["bot"].to_numpy(), batch["run"].to_numpy(), batch["ts"].to_numpy()
-            out = np.empty(len(ts), dtype=np.int64)
+            out = []
             edges = np.flatnonzero((bots[1:] != bots[:-1]) | (runs[1:] != runs[:-1])) + 1
             for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(ts)]):
                 if (bots[lo], runs[lo]) != key:
@@ -64,22 +66,26 @@ def _cap_runs(cap: int):
                 at = lo
                 while at < hi:  # one step per session, not per second
                     end = at + np.searchsorted(ts[at:hi], start + cap, side="right")
-                    out[at:end] = start
+                    if end > at:
+                        out.append((*key, start, ts[end - 1]))
                     at = end
                     if at < hi:
                         start = ts[at]
-            yield pd.DataFrame({"bot": bots, "run": runs, "ts": ts, "started": out})
+            yield pd.DataFrame(out, columns=["bot", "run", "started", "ended"])
 
     return walk
 
 
-def session_starts(seconds: DataFrame, gap: int = GAP, cap: int = CAP) -> DataFrame:
-    """(bot, ts) distinct seconds -> (bot, run, ts, started)."""
+def session_spans(seconds: DataFrame, gap: int = GAP, cap: int = CAP) -> DataFrame:
+    """(bot, ts) distinct seconds -> (bot, started, ended, run, run_end), one row per session."""
     # A run has a row per second at most, whatever the traffic, and passes one task in batches.
-    return (
+    parts = (
         _runs(seconds, gap).repartition("bot", "run").sortWithinPartitions("bot", "run", "ts")
-        .mapInPandas(_cap_runs(cap), "bot string, run bigint, ts bigint, started bigint")
+        .mapInPandas(_cap_runs(cap), "bot string, run bigint, started bigint, ended bigint")
     )
+    # a session that goes on in the next batch of rows has a row from each
+    spans = parts.groupBy("bot", "started").agg(F.max("ended").alias("ended"), F.min("run").alias("run"))
+    return spans.withColumn("run_end", F.max("ended").over(Window.partitionBy("bot", "run")))
 
 
 def grain(events: DataFrame) -> DataFrame:
@@ -98,15 +104,22 @@ def sessions_from_grain(rows: DataFrame, gap: int = GAP, cap: int = CAP) -> Data
 
 
 def sessions_of_runs(rows: DataFrame, gap: int = GAP, cap: int = CAP) -> DataFrame:
-    """Sessions with the run they are cut from: its first and last second."""
-    starts = session_starts(rows.select("bot", "ts").distinct(), gap, cap)
-    placed = rows.join(starts, ["bot", "ts"])
-    out = placed.groupBy("bot", "started").agg(
-        F.max("ts").alias("ended"), F.sum("hits").alias("hits"),
+    """Sessions with the run they are cut from: its first and last second.
+
+    Sessions of a crawler do not overlap, so a request finds its own by the hour: sessions are few, are entered under the
+    clock hours they reach, and are broadcast up to 250,000 entries; beyond, requests are shuffled by crawler and hour.
+    """
+    hour = lambda c: F.floor(c / 3600)
+    spans = kept(session_spans(rows.select("bot", "ts").distinct(), gap, cap))
+    slots = spans.withColumn("hour", F.explode(F.sequence(hour(F.col("started")), hour(F.col("ended")))))
+    if slots.count() <= BROADCAST_SLOTS:
+        slots = F.broadcast(slots)
+    placed = rows.withColumn("hour", hour(F.col("ts"))).join(slots, ["bot", "hour"]).filter(F.col("ts").between(F.col("started"), F.col("ended")))
+    return placed.groupBy("bot", "started").agg(
+        F.max("ended").alias("ended"), F.sum("hits").alias("hits"),
         F.countDistinct("url_hash").alias("pages"), F.countDistinct("ip_hash").alias("ips"),
-        F.sum("errors").alias("errors"), F.min("run").alias("run"),
+        F.sum("errors").alias("errors"), F.min("run").alias("run"), F.max("run_end").alias("run_end"),
     )
-    return out.withColumn("run_end", F.max("ended").over(Window.partitionBy("bot", "run")))
 
 
 def touched_runs(seconds: DataFrame, runs: DataFrame, gap: int = GAP) -> DataFrame:

@@ -3,13 +3,14 @@
 Exactly once by construction: every micro-batch writes its partial rollups
 under its own batch number and replaces that folder when it is retried, so a
 lost executor or a restarted driver cannot count a batch twice. Readers merge
-the partial rollups; `compact` folds finished batches into one.
+the partial rollups; `compact` folds finished batches into one. Sessions are cut when they are read, from the rows that
+batches have added since the last compaction and the runs these touch.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -56,26 +57,34 @@ def _partials(batch: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def fold_batch(root: str, kind: str = "live") -> Callable[[DataFrame, int], None]:
+TABLES = (*MERGE, "sessions")
+
+
+def fold_batch(root: str, kind: str = "live", tables: Sequence[str] = TABLES) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` sink that writes the partial rollups of a batch under its kind and number.
 
-    Numbers of the stream, of late imports (`late`) and of compacted history (`base`) never meet.
+    Numbers of the stream, of late imports (`late`) and of compacted history (`base`) never meet. `tables` are those
+    the job keeps: all, if not said otherwise.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if "sessions" in tables:
+            merge_sessions(batch.sparkSession, root, sessions.grain(batch), f"{kind}-{batch_id}")
+        wanted = [name for name in MERGE if name in tables]
+        if not wanted:
+            return
         parts = _partials(batch)
         cube = parts.pop("cube")
         try:
-            for name, df in parts.items():
-                df.write.mode("overwrite").parquet(f"{root}/{name}/batch={kind}-{batch_id}")
-            merge_sessions(batch.sparkSession, root, sessions.grain(batch), f"{kind}-{batch_id}")
+            for name in wanted:
+                parts[name].write.mode("overwrite").parquet(f"{root}/{name}/batch={kind}-{batch_id}")
         finally:
             cube.unpersist()
 
     return write
 
 
-SESSIONS = "bot string, started long, ended long, hits long, pages long, ips long, errors long, run long, run_end long, seq long, gone boolean, batch string"
+SESSIONS = "bot string, started long, ended long, hits long, pages long, ips long, errors long, run long, run_end long, batch string"
 GRAIN = "bot string, ts long, url_hash string, ip_hash string, hits long, errors long, batch string, day long"
 
 
@@ -86,47 +95,46 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("r")).select("r.*")
 
 
-def _current(stored: DataFrame) -> DataFrame:
-    """Sessions that no later batch has replaced: `gone` rows name the runs that a batch has cut anew."""
-    gone = stored.filter("gone").groupBy("bot", "run").agg(F.max("seq").alias("_gone"))
-    return stored.filter("not gone").join(gone, ["bot", "run"], "left").filter("_gone is null or _gone <= seq").drop("_gone")
+def merge_sessions(spark: SparkSession, root: str, new: DataFrame, name: str) -> None:
+    """Add the grain of a batch to what sessions are cut from; a retried batch replaces its own rows.
 
+    A batch is written once and reads nothing back: however many batches reach into a run, it is cut when sessions are
+    read or compacted, once for all of them.
+    """
+    day = F.floor(F.col("ts") / 86400).cast("long")
+    new.withColumn("day", day).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{root}/session_grain/batch={name}")
 
-def merge_sessions(spark: SparkSession, root: str, new: DataFrame, name: str) -> None:
-    """Merge the grain of a batch into the stored sessions.
+
+def _sessions_now(spark: SparkSession, root: str) -> DataFrame:
+    """Sessions and their runs: those of the last compaction, and anew those of the runs that batches have touched since.
 
     A session depends on nothing outside its run, and a run only changes where a new second lies within the gap of
-    it. So the runs that the batch touches (late rows may join two into one) are read again from the days they
-    cover, cut anew together with the new rows, and written under the batch's name with a note of the runs they
-    replace. A retried batch sees the table without its own rows and writes the same ones. One writer at a time.
+    it. So the touched runs (late rows may join two into one) are read again from the days they cover and cut
+    together with the new rows; all other runs are as compacted.
     """
-    day = F.floor(F.col("ts") / 86400).cast("long")
-    new = kept(new)
-    grain_path, path = f"{root}/session_grain", f"{root}/sessions"
-    lo, hi = new.agg(F.min("ts"), F.max("ts")).first()
+    grain = _stored(spark, f"{root}/session_grain", GRAIN)
+    compacted = F.col("batch").startswith("base-")
+    base = _stored(spark, f"{root}/sessions", SESSIONS).filter(compacted).drop("batch")
+    rows = grain.filter(~compacted).drop("batch")
+    if base.isEmpty():
+        return sessions.sessions_of_runs(rows)
+    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
     if lo is None:
-        return
+        return base
     gap = sessions.GAP
-    others = _stored(spark, path, SESSIONS).filter(F.col("batch") != name)
-    seq = (others.agg(F.max("seq")).first()[0] or 0) + 1
-    # only runs near the batch are read
-    near = _current(others.filter((F.col("run") <= hi + gap) & (F.col("run_end") >= lo - gap))).select("bot", "run", "run_end").distinct()
-    touched = kept(sessions.touched_runs(new, near))
+    # only runs near the new rows are read
+    near = base.filter((F.col("run") <= hi + gap) & (F.col("run_end") >= lo - gap)).select("bot", "run", "run_end").distinct()
+    touched = kept(sessions.touched_runs(rows, near))
     first, last = touched.agg(F.min("run"), F.max("run_end")).first()
-    rows = new.withColumn("day", day)
     if first is not None:
-        stored = _stored(spark, grain_path, GRAIN).filter((F.col("batch") != name) & F.col("day").between(first // 86400, last // 86400))
         days = touched.withColumn("day", F.explode(F.sequence(F.floor(F.col("run") / 86400), F.floor(F.col("run_end") / 86400))))
-        again = stored.join(days, ["bot", "day"]).filter(F.col("ts").between(F.col("run"), F.col("run_end"))).select(*rows.columns)
+        again = grain.filter(compacted & F.col("day").between(first // 86400, last // 86400)).join(days, ["bot", "day"]).filter(
+            F.col("ts").between(F.col("run"), F.col("run_end"))).select(*rows.columns)
         rows = rows.unionByName(again)
-    rows = rows.groupBy("bot", "ts", "url_hash", "ip_hash").agg(F.sum("hits").alias("hits"), F.sum("errors").alias("errors"))
-    cut = sessions.sessions_of_runs(rows).withColumn("gone", F.lit(False))
-    replaced = touched.withColumn("gone", F.lit(True))
-    cut.unionByName(replaced, allowMissingColumns=True).withColumn("seq", F.lit(seq).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={name}")
-    new.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{grain_path}/batch={name}")
+    return base.join(touched, ["bot", "run"], "left_anti").unionByName(sessions.sessions_of_runs(rows))
 
 
 def read_rollup(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -136,24 +144,28 @@ def read_rollup(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, root: str) -> DataFrame:
-    """Sessions over everything received, whatever order it arrived in, as the batches have merged them."""
-    return _current(_stored(spark, f"{root}/sessions", SESSIONS)).drop("run", "run_end", "seq", "gone", "batch")
+    """Sessions over everything received, whatever order it arrived in."""
+    return _sessions_now(spark, root).drop("run", "run_end")
 
 
 def compact(spark: SparkSession, source: str, target: str) -> None:
     """Merge every batch into one, in a new folder; the old folder stays valid until readers move over."""
     for name, merge in MERGE.items():
         merge(spark.read.parquet(f"{source}/{name}").drop("batch")).write.mode("overwrite").parquet(f"{target}/{name}/batch=base-0")
+    compact_sessions(spark, source, target)
+
+
+def compact_sessions(spark: SparkSession, source: str, target: str) -> None:
+    """The grain of every batch as one, and the sessions cut from it."""
     grain = _stored(spark, f"{source}/session_grain", GRAIN).groupBy("bot", "ts", "url_hash", "ip_hash", "day").agg(
         F.sum("hits").alias("hits"), F.sum("errors").alias("errors"))
-    grain.write.mode("overwrite").partitionBy("day").parquet(f"{target}/session_grain/batch=base-0")
-    current = _current(_stored(spark, f"{source}/sessions", SESSIONS))
-    current.drop("batch").withColumn("seq", F.lit(0).cast("long")).write.mode("overwrite").parquet(f"{target}/sessions/batch=base-0")
+    grain.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{target}/session_grain/batch=base-0")
+    _sessions_now(spark, source).write.mode("overwrite").parquet(f"{target}/sessions/batch=base-0")
 
 
-def start_rollups(events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def start_rollups(events: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, tables: Sequence[str] = TABLES) -> StreamingQuery:
     return (
-        events.writeStream.foreachBatch(fold_batch(root)).option("checkpointLocation", checkpoint)
+        events.writeStream.foreachBatch(fold_batch(root, tables=tables)).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "5 minutes"})).start()
     )
 

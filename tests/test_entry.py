@@ -41,3 +41,12 @@ def test_no_task_writes_a_week_of_requests(spark, monkeypatch):
 
     monkeypatch.setattr(type(spark.range(1)), "coalesce", refuse)
     assert entry.queries()["stream_cooled_alerts"](spark, SMALL).count() > 0
+
+
+def test_coverage_findings_work_out_no_fact_they_do_not_read(spark, monkeypatch):
+    from workload import bridge
+
+    stored, written = {}, bridge.written
+    monkeypatch.setattr(bridge, "written", lambda s, df, name: stored.update({name: df.columns}) or written(s, df, name))
+    assert entry.queries()["coverage_findings"](spark, SMALL).count() > 0
+    assert stored["facts"] == ["page_id", "noindex"] and "title" not in stored["inventory"] and "seen" not in stored["cube"]

@@ -102,10 +102,10 @@ def importance(pages: DataFrame, config: Config) -> DataFrame:
 
 # crawl state -------------------------------------------------------------
 
-def crawl_state(page_bots: DataFrame, registry: Registry) -> DataFrame:
-    """What AI crawlers did on each page."""
+def crawl_state(crawls: DataFrame, registry: Registry) -> DataFrame:
+    """What AI crawlers did on each page, from `page_bots` or from the genuine rows of a fold."""
     cat = registry.category(F.col("bot"))
-    ai = page_bots.filter(F.col("bot").isin(*registry.ids("ai")))
+    ai = crawls.filter(F.col("bot").isin(*registry.ids("ai")))
     return ai.groupBy("url_hash").agg(
         F.lit(True).alias("ai_any"),
         F.bool_or(cat.isin("ai_search", "ai_user", "ai_agent")).alias("ai_search"),
@@ -146,7 +146,10 @@ def _finding(cond: Column, code: str, severity: Column | None = None, bot: Colum
 
 def page_profile(facts: DataFrame, pages: DataFrame, state: DataFrame, recent: DataFrame, blocked: DataFrame,
                  config: Config, learning: Column) -> DataFrame:
-    """Everything the findings and the score of a page are decided from, one row per page."""
+    """Everything the findings and the score of a page are decided from, one row per page.
+
+    facts: those the caller's findings read; `has_facts` is there if `words` is.
+    """
     own = ["page_id", "url_hash", "object_type", "subtype", "pinned", "inlinks", "modified", "importance", "imp_reasons"]
     taken = set(own) | {"path", "url", "text"}
     narrow = facts.select("page_id", *[c for c in facts.columns if c not in taken])
@@ -155,8 +158,7 @@ def page_profile(facts: DataFrame, pages: DataFrame, state: DataFrame, recent: D
         .join(narrow, "page_id", "left").join(state, "url_hash", "left").join(recent, "url_hash", "left")
         .join(blocked, "page_id", "left")
     )
-    return joined.withColumns({
-        "has_facts": F.col("words").isNotNull(),
+    return joined.withColumns(({"has_facts": F.col("words").isNotNull()} if "words" in narrow.columns else {}) | {
         "important": F.col("importance") >= config.importance_min,
         "is_home": (F.col("object_type") == "home") | F.array_contains("imp_reasons", "home"),
         "learning": learning,

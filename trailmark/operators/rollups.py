@@ -51,13 +51,13 @@ def fold(events: DataFrame) -> DataFrame:
     )
 
 
-def _genuine(cube: DataFrame) -> DataFrame:
+def genuine(cube: DataFrame) -> DataFrame:
     return cube.filter(F.col("cls").isin(*GENUINE))
 
 
 def daily(cube: DataFrame) -> DataFrame:
     """Day × bot × page of genuine crawls."""
-    return _genuine(cube).groupBy("day", "bot", "url_hash").agg(
+    return genuine(cube).groupBy("day", "bot", "url_hash").agg(
         F.max("path").alias("path"),
         F.max("object_id").alias("object_id"),
         F.sum("hits").alias("hits"),
@@ -115,7 +115,7 @@ def counters(events: DataFrame) -> DataFrame:
 
 def page_bots(cube: DataFrame) -> DataFrame:
     """First and last crawl per page × bot."""
-    return _genuine(cube).groupBy("url_hash", "bot").agg(
+    return genuine(cube).groupBy("url_hash", "bot").agg(
         F.max("path").alias("path"),
         F.max("object_id").alias("object_id"),
         F.min("first_seen").alias("first_seen"),

@@ -270,3 +270,28 @@ def test_a_stream_keeps_the_tables_it_is_asked_for(spark, tmp_path):
     root = str(tmp_path)
     st.fold_batch(root, tables=["sessions"])(golden(spark), 0)
     assert [p.name for p in tmp_path.iterdir()] == ["session_grain"] and st.read_sessions(spark, root).count() == 2
+
+
+def test_a_held_key_calls_its_state_three_times_a_batch(spark):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    calls, lists, timers = [], {}, set()
+
+    def state(name, schema):
+        rows = lists.setdefault(name, [])
+        return SimpleNamespace(appendList=lambda new: (calls.append(name), rows.extend(new)), get=lambda: iter(list(rows)), clear=rows.clear)
+
+    held = st.HoldBack()
+    held.init(SimpleNamespace(getListState=state, registerTimer=lambda ms: (calls.append("timer"), timers.add(ms)), listTimers=lambda: iter(timers)))
+    key, clock = ("b", "h", 100, 0), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    at = 100 * DAY
+    frame = pd.DataFrame([(at, None, "e1"), (at + 9, None, "e2"), (at + 5, "verified", None), (at + 5, "failed", None), (at + 5, "verified", None),
+                          (at + 2 * DAY + 5, "verified", None), (at - 8 * DAY, "failed", None)], columns=["at", "verdict", "event"])
+    for _ in range(2):
+        assert not list(held.handleInputRows(key, iter([frame]), clock))
+    assert len(calls) == 6 and timers == {(101 * DAY + st.HOLD) * 1000}
+    out = [tuple(r) for f in held.handleExpiredTimer(key, clock, None) for r in f.itertuples(index=False)]
+    assert sorted(out) == [("e1", "failed")] * 2 + [("e2", "verified")] * 2
+    assert not list(held.handleExpiredTimer(key, clock, None))

@@ -235,39 +235,47 @@ HOLD, TRUST = 2 * 86400, 7 * 86400
 class HoldBack(StatefulProcessor):
     """Pending events of one crawler, address and day, until no verdict for them can come any more.
 
-    State: the events as a list, and the verdicts seen, by time. One timer per key, when the day's last event has been
-    held for two days; then every event leaves with the newest verdict from a week before to two days after it.
+    State: the events and the verdicts, as lists. Every call of the state is a message to the JVM and most keys get only a
+    few rows, so a batch of a key makes one for its events, one for its verdicts and one for its timer; verdicts are put
+    in order when the key is released. The timer is set to when the day's last event has been held for two days (setting
+    it again changes nothing); then every event leaves with the newest verdict from a week before to two days after it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.events = handle.getListState("events", "at long, event string")
-        self.verdicts = handle.getMapState("verdicts", "decided_at long", "verdict string")
+        self.verdicts = handle.getListState("told", "decided_at long, verdict string")
 
     def handleInputRows(self, key, rows, timerValues):
         for frame in rows:
-            pending = frame[frame["verdict"].isna()]
-            if len(pending):
-                self.events.appendList([(int(at), event) for at, event in zip(pending["at"], pending["event"], strict=True)])
-            for at, verdict in frame.loc[frame["verdict"].notna(), ["at", "verdict"]].itertuples(index=False):
-                old = self.verdicts.getValue((int(at),))
-                if old is None or verdict == "failed":  # of those decided in the same second a failure counts
-                    self.verdicts.updateValue((int(at),), (verdict,))
-        if not list(self.handle.listTimers()):
-            # a key whose time has passed already is released with the next batch
-            self.handle.registerTimer(max((int(key[2]) + 1) * 86400 + HOLD, timerValues.getCurrentWatermarkInMs() // 1000 + 1) * 1000)
+            pending, told = [], set()
+            for at, verdict, event in zip(frame["at"].tolist(), frame["verdict"].tolist(), frame["event"].tolist(), strict=True):
+                if isinstance(event, str):
+                    pending.append((at, event))
+                else:
+                    told.add((at, verdict))
+            if pending:
+                self.events.appendList(pending)
+            if told:
+                self.verdicts.appendList(list(told))
+        # a key whose time has passed already is released with the next batch
+        self.handle.registerTimer(max((int(key[2]) + 1) * 86400 + HOLD, timerValues.getCurrentWatermarkInMs() // 1000 + 1) * 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        decided = sorted((at, verdict) for (at,), (verdict,) in self.verdicts.iterator())
-        times = [at for at, _ in decided]
+        decided = {}
+        for at, verdict in self.verdicts.get():
+            if decided.get(at) != "failed":  # of those decided in the same second a failure counts
+                decided[at] = verdict
+        times = sorted(decided)
         out = []
         for at, event in self.events.get():
             k = bisect.bisect_right(times, at + HOLD) - 1
-            out.append((event, decided[k][1] if k >= 0 and times[k] >= at - TRUST else "none"))
+            out.append((event, decided[times[k]] if k >= 0 and times[k] >= at - TRUST else "none"))
         self.events.clear()
         self.verdicts.clear()
-        yield pd.DataFrame(out, columns=["event", "verdict"])
+        if out:  # most keys have verdicts only
+            yield pd.DataFrame(out, columns=["event", "verdict"])
 
     def close(self) -> None:
         pass

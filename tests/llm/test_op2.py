@@ -51,6 +51,33 @@ def test_against_every_window(spark, monkeypatch, block):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_against_every_window_with_frequent_strings(spark, monkeypatch):
+    for name, value in (("BLOCK", 2000), ("BUCKET", 2000), ("FREQUENT", 30)):
+        monkeypatch.setattr(op2, name, value)
+    docs = spark.createDataFrame(made(), "doc_id long, text string").repartition(7)
+    assert op2.frequent(docs, sum(len((t or "").encode()) for _, t in made())).max() > 3
+    got = op2.remove_repeats(docs).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got), key=str) == brute(made())
+
+
+def test_no_bucket_grows_with_a_frequent_string(spark, monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("in the house of " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(4000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    monkeypatch.setattr(op2, "FREQUENT", 100)
+    docs = spark.createDataFrame([(i, text[a : a + 4000]) for i, a in enumerate(range(0, len(text), 4000))], "doc_id long, text string").repartition(9)
+
+    def largest(rank):
+        first, after, least = suffixes.runs(data, np.array([len(data)]), rank)
+        size, least = after + suffixes.WIDTH - 1 - first, np.unique(least, return_inverse=True)[1]
+        return np.bincount(least, size).max() / size.sum()
+
+    rank = op2.frequent(docs, len(data))
+    assert rank.max() > 5
+    assert largest(np.zeros_like(rank)) > 0.1  # as it was
+    assert largest(rank) < 0.01
+
+
 def test_empty(spark):
     docs = spark.createDataFrame(made(), "doc_id long, text string")
     assert op2.remove_repeats(docs.limit(0)).count() == 0

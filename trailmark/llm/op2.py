@@ -2,14 +2,17 @@
 
 Documents are dealt to blocks of about BLOCK bytes. A block's texts are cut into runs of windows (see `suffixes`);
 each distinct run goes, with the least doc_id that has it in the block, to the bucket of its smallest hash: a run
-that every document has costs one copy per block. A bucket sorts its suffixes and finds each window's least doc_id
-over all blocks; only stretches with a smaller one than the block's own go back. The block, cut in the same way
-again, marks and removes what earlier documents have. Texts are shuffled once, runs compressed.
+that every document has costs one copy per block. Strings of eight bytes are counted beforehand, in a fixed number of
+slots, so that no run is filed under a frequent one that has a rarer one; the driver gets the frequent slots only.
+A bucket sorts its suffixes and finds each window's least doc_id over all blocks; only stretches with a smaller one
+than the block's own go back. The block, cut in the same way again, marks and removes what earlier documents have.
+Texts are shuffled once, runs compressed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,25 +21,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.shared import documents
-from trailmark.llm.suffixes import WIDTH, equal_windows, runs
+from trailmark.llm.suffixes import SLOT_BITS, WIDTH, count_slots, equal_windows, runs, slot_ranks
 
 #: Bytes of text in a block, and of runs in a bucket, about; buckets that travel, and are decompressed, together.
 BLOCK, BUCKET, TOGETHER = 8 << 20, 2 << 20, 24
 #: A text's bytes travel about so many times in runs.
 SPREAD = 3.3
+#: Eight-byte strings that occur so often are frequent; a run has up to 92 bytes for each place of the string it is filed under.
+FREQUENT = 10_000
+#: Bytes of text that one task counts, about, where there are more than tasks at a time.
+COUNTED = 256 << 20
 
 
 class _Block:
     """The texts of a block that have an id, as one array, with their distinct runs."""
 
-    def __init__(self, table: pa.Table, buckets: int) -> None:
+    def __init__(self, table: pa.Table, buckets: int, rank: np.ndarray) -> None:
         rows = sorted(((d, i) for i, d in enumerate(table["doc_id"].to_pylist()) if d is not None))
         texts = table["text"]
         self.rows = [i for _, i in rows]
         held = [(texts[i].as_py() or "").encode() for i in self.rows]
         self.data = np.frombuffer(b"".join(held), np.uint8)
         self.ends = np.cumsum([len(t) for t in held]).astype(np.int64)
-        self.first, self.after, least = runs(self.data, self.ends)
+        self.first, self.after, least = runs(self.data, self.ends, rank)
         doc = np.searchsorted(self.ends, self.first, side="right")
         self.doc_id = np.array([d for d, _ in rows], np.int64)[doc] if len(rows) else np.zeros(0, np.int64)
         # documents are in ascending order, so a run's first place has the least id
@@ -53,13 +60,13 @@ def _pack(*arrays: np.ndarray, data: bytes = b"") -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays) + data)
 
 
-def _unpack(blob: bytes, *types: str) -> tuple[list[np.ndarray], bytes]:
+def _unpack(blob: bytes, *types: str) -> tuple[list[np.ndarray], memoryview]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     sizes, at, out = np.frombuffer(raw, "<u4", len(types)), 4 * len(types), []
     for n, t in zip(sizes.tolist(), types, strict=True):
         out.append(np.frombuffer(raw, t, n, at))
         at += n * np.dtype(t).itemsize
-    return out, raw[at:]
+    return out, memoryview(raw)[at:]
 
 
 def _marks(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -102,6 +109,32 @@ def _earlier(data: bytes, sizes: np.ndarray, least: np.ndarray) -> tuple[np.ndar
     return run, inside[head[stretch]], length[stretch], found[head[stretch]]
 
 
+def frequent(docs: DataFrame, total: int) -> np.ndarray:
+    """The rank of each slot of eight-byte strings in docs, whose texts have `total` bytes.
+
+    A task counts many texts and names the slots that have half of the limit's share of its bytes. So what is not named
+    of a slot is under half of the limit, and every slot above the limit is found.
+    """
+    limit = max(FREQUENT, 4 * total >> SLOT_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, own = np.zeros(1 << SLOT_BITS, np.int64), 0
+        for batch in batches:
+            text = batch.column(0).cast(pa.large_binary())
+            _, ends, data = text.buffers()
+            at = np.frombuffer(ends, np.int64, len(text) + 1, 8 * text.offset) if len(text) else [0, 0]
+            if at[-1] > at[0]:  # strings across the end of a text count too, which only ranks them
+                count_slots(np.frombuffer(data, np.uint8)[at[0] : at[-1]], counts)
+                own += int(at[-1] - at[0])
+        slots = np.flatnonzero(counts > limit / 2 * own / max(total, 1))
+        yield pa.record_batch({"slot": pa.array(slots, pa.int32()), "n": pa.array(counts[slots], pa.int64())})
+
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, total // COUNTED)
+    named = docs.select("text").coalesce(tasks).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = named.filter(F.col("n") >= limit / 2).toArrow()
+    return slot_ranks(found["slot"].to_numpy(), found["n"].to_numpy(), limit / 2)
+
+
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, kept_sha256, spans (start, end of each removed stretch, in bytes) for each row of docs; with `texts`, kept too.
 
@@ -113,10 +146,11 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, groups = max(1, -(-total // BLOCK)), max(1, int(total * SPREAD) // (BUCKET * TOGETHER))
     buckets = groups * TOGETHER
+    rank = docs.sparkSession.sparkContext.broadcast(frequent(held.filter("doc_id is not null"), total))
     dealt = held.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
     def cut(table: pa.Table) -> pa.Table:
-        b = _Block(table, buckets)
+        b = _Block(table, buckets, rank.value)
         order = np.argsort(b.bucket, kind="stable")
         cuts = np.searchsorted(b.bucket[order], np.arange(0, buckets + 1, TOGETHER))
         rows = []
@@ -149,7 +183,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "stretches": pa.array([r[1] for r in rows], pa.binary())})
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        b = _Block(table, buckets)
+        b = _Block(table, buckets, rank.value)
         own = b.least_doc[b.run] < b.doc_id if len(b.run) else np.zeros(0, bool)
         starts, ends = [b.first[own]], [b.after[own]]
         order = np.argsort(b.run, kind="stable")

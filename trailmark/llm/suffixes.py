@@ -1,7 +1,9 @@
 """Blocks of text cut into runs of windows, and one bucket of suffixes sorted at a time.
 
 A window is a string of WIDTH bytes. All windows whose smallest eight-byte hash is the same belong to one bucket;
-neighbours that share it travel together as one run of text, about three bytes for each window. A bucket is sorted
+neighbours that share it travel together as one run of text, about three bytes for each window. Strings that are
+frequent in the whole input come after all others, the most frequent last, whatever their hash: a window is filed under
+one of them only if it has no other, so a bucket does not grow with the commonest words. A bucket is sorted
 by the first four words of its suffixes, word by word and only where they tie. What ties on all of them is resolved
 by a difference cover: positions whose remainder modulo PERIOD lies in COVER are ranked beforehand. For any two
 suffixes some shift below PERIOD leads both to ranked positions, and the common prefix of those two, known from
@@ -10,11 +12,17 @@ the ranks, says whether the windows agree to their ends. Memory is bounded by on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 WIDTH, GRAM = 50, 8
 #: A perfect difference set: every remainder is a difference of two of its members in one way.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: Eight-byte strings are counted, and ranked, by the first bits of their hash.
+SLOT_BITS, RANKS = 22, 16
+#: Positions hashed at a time.
+_STEP = 1 << 20
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
 
@@ -30,16 +38,44 @@ def words(data: np.ndarray) -> np.ndarray:
     return v
 
 
-def _mixed(v: np.ndarray) -> np.ndarray:
-    """A hash of 32 bits; where two eight-byte strings share one, their windows share a bucket, no more."""
-    return (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
+def _mixed(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Step by step, a place in data and hashes of 32 bits from there on; where two eight-byte strings share one, their windows share a bucket, no more."""
+    for at in range(0, len(data), _STEP):
+        v = words(data[at : at + _STEP + GRAM - 1])[:_STEP]
+        v *= np.uint64(0x9E3779B97F4A7C15)
+        v >>= np.uint64(32)
+        yield at, v.astype(np.uint32)
+
+
+def count_slots(data: np.ndarray, counts: np.ndarray) -> None:
+    """Adds to `counts`, by slot, how often the eight-byte strings of data occur."""
+    for _, h in _mixed(data):
+        np.add.at(counts, h >> np.uint32(32 - SLOT_BITS), 1)
+
+
+def slot_ranks(slots: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+    """The rank of every slot: 0, or for those given one more for each doubling of the count from `least` on."""
+    rank = np.zeros(1 << SLOT_BITS, np.uint8)
+    rank[slots] = np.minimum(RANKS - 1, 1 + np.log2(np.maximum(counts / least, 1)).astype(np.int64))
+    return rank
 
 
-def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, window after the last, and smallest hash of each run, in order; texts end at `ends` in `data`."""
+def _keys(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of the eight bytes from each position on: rank, then hash."""
+    keys = np.empty(len(data), np.uint32)
+    for at, h in _mixed(data):
+        keys[at : at + len(h)] = h >> np.uint32(4) | rank[h >> np.uint32(32 - SLOT_BITS)].astype(np.uint32) << np.uint32(28)
+    return keys
+
+
+def runs(data: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, window after the last, and smallest key of each run, in order; texts end at `ends` in `data`.
+
+    rank: of each slot of hashes (see `slot_ranks`), the same for all texts that are compared.
+    """
     if len(data) < WIDTH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    least = _mixed(words(data))[: len(data) - GRAM + 1]
+    least = _keys(data, rank)[: len(data) - GRAM + 1]
     for k in (1, 2, 4, 8, 16):
         least = np.minimum(least[:-k], least[k:])
     rest = WIDTH - GRAM + 1 - 32

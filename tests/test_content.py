@@ -203,6 +203,28 @@ def test_frequent_terms_meet_in_blocks(spark, monkeypatch):
     assert found() == whole and len(whole) > 100
 
 
+def test_a_block_of_links_fits_in_a_task():
+    """A full task's arrays, from one of a fiftieth of its postings and asked terms."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(1), content.BLOCK // 50
+    pages, targets = n // 100, n // 6
+    ends = lambda rows, each: pa.array(np.arange(rows + 1) * each, pa.int32())
+    item = pa.StructArray.from_arrays([rng.integers(0, 5000, pages * 100), np.ones(pages * 100, np.int64)], ["t", "weight"])
+    postings = pa.table({"from_id": rng.permutation(pages), "terms": pa.ListArray.from_arrays(ends(pages, 100), item)})
+    asked = pa.table({"target_id": np.arange(targets), "keep": np.full(targets, 5), "need": np.ones(targets, np.int64), "terms": pa.ListArray.from_arrays(ends(targets, 6), pa.array(rng.integers(0, 5000, targets * 6)))})
+    tracemalloc.start()
+    try:
+        found = content._best_of_block()(asked, postings)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.num_rows > 4 * targets and most * 50 < 400e6
+
+
 def test_every_page_meets_every_crawler(spark):
     bots = robots.robots_bots(R)
     sites = spark.createDataFrame([("a", ROBOTS_A), ("b", ROBOTS_B)], "site string, body string")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from trailmark.config import Config, DAY
@@ -259,40 +259,65 @@ def _light_candidates(own: DataFrame, postings: DataFrame, closed: DataFrame, pe
     return open_.filter(F.col("bar").isNull() | (F.col("n") + F.col("h") >= F.col("bar"))).select("target_id", "from_id", "bar")
 
 
-#: Postings and asked terms that meet in one task.
-BLOCK = 4_000_000
+#: Postings that meet in one task, and asked terms.
+BLOCK = 2_000_000
 #: Above any sum of weights; six of it and the weights are whole numbers of 53 bits.
 SHARED = float(1 << 40)
+#: Targets whose best pages are put into one array at a time.
+_TARGETS = 4096
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Ends of the lists, and their items one after another."""
+    whole = lists.combine_chunks()
+    return np.cumsum(whole.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64), whole.flatten()
 
 
 def _best_of_block(shared: float = SHARED):
-    def best(asked: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
+    def best(asked: pa.Table, postings: pa.Table) -> pa.Table:
         """target_id, from_id, score: of one block's pages the `keep` best of each target, those first that share the most terms."""
-        asked = asked.sort_values("target_id", kind="stable")
-        postings = postings.sort_values("t", kind="stable")
-        pages, place = np.unique(postings["from_id"].to_numpy(), return_inverse=True)
-        terms, first = np.unique(postings["t"].to_numpy(), return_index=True)
-        last = np.append(first[1:], len(postings))
-        worth = shared + postings["weight"].to_numpy()
-        at = np.searchsorted(terms, asked["t"].to_numpy())
-        known = (at < len(terms)) & (terms[np.minimum(at, max(len(terms) - 1, 0))] == asked["t"].to_numpy()) if len(terms) else np.zeros(len(asked), bool)
-        asked, at = asked[known], at[known]
-        targets, begins = np.unique(asked["target_id"].to_numpy(), return_index=True)
-        keep, need = asked["keep"].to_numpy(), asked["need"].to_numpy()
-        out = []
-        for target, lo, hi in zip(targets, begins, np.append(begins[1:], len(asked)), strict=True):
-            if hi - lo < need[lo]:
-                continue
-            spans = [slice(first[k], last[k]) for k in at[lo:hi]]
-            score = np.bincount(np.concatenate([place[s] for s in spans]), np.concatenate([worth[s] for s in spans]))
-            least, k = need[lo] * shared, keep[lo]
-            if len(score) > k:
-                least = max(least, np.partition(score, len(score) - k)[len(score) - k])
-            found = np.flatnonzero(score >= least)
-            found = found[np.argsort(-score[found], kind="stable")][:k]  # pages are in order of their ids
-            out.append((np.full(len(found), target), pages[found], score[found]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pd.DataFrame({"target_id": cols[0], "from_id": cols[1], "score": cols[2]}).astype({"target_id": "int64", "from_id": "int64", "score": "float64"})
+        # posting lists: places of pages in order of their ids, and what a shared term is worth there
+        pages = postings["from_id"].to_numpy()
+        by_id = np.argsort(pages)
+        ends, items = _flat(postings["terms"])
+        t = items.field("t").to_numpy()
+        by = np.argsort(t, kind="stable")
+        place = np.repeat(np.argsort(by_id), np.diff(ends, prepend=0))[by]
+        worth = items.field("weight").to_numpy()[by] + shared
+        t, pages = t[by], pages[by_id]
+        del by
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1])[: len(t)])
+        terms, last = t[first], np.append(first[1:], len(t))
+        # the terms of each target that are in the block
+        ends, items = _flat(asked["terms"])
+        want = items.to_numpy()
+        at = np.searchsorted(terms, want)
+        known = terms[np.minimum(at, len(terms) - 1)] == want if len(terms) else np.zeros(len(want), bool)
+        at, ends = at[known], np.append(0, np.cumsum(known))[ends]
+        first, last = first[at], last[at]
+        targets, keep, need = (asked[c].to_numpy() for c in ("target_id", "keep", "need"))
+        starts = np.append(0, ends[:-1])
+        able = np.flatnonzero((ends > starts) & (ends - starts >= need))
+        out = [pa.table({"target_id": pa.array([], pa.int64()), "from_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        for some in np.split(able, range(_TARGETS, len(able), _TARGETS)):
+            places, scores = [], []
+            for k in some:
+                spans = [slice(a, z) for a, z in zip(first[starts[k] : ends[k]], last[starts[k] : ends[k]], strict=True)]
+                score = np.bincount(np.concatenate([place[s] for s in spans]), np.concatenate([worth[s] for s in spans]))
+                found = np.zeros(0, np.int64)
+                for n in range(int(score.max() // shared), need[k] - 1, -1):  # those that share the most terms first
+                    found = np.flatnonzero(score >= n * shared)
+                    if len(found) >= keep[k]:
+                        break
+                if len(found) > keep[k]:
+                    found = found[score[found] >= np.partition(score[found], len(found) - keep[k])[len(found) - keep[k]]]
+                found = found[np.argsort(-score[found], kind="stable")][: keep[k]]  # pages are in order of their ids
+                places.append(found)
+                scores.append(score[found])
+            if places:
+                target = np.repeat(targets[some], [len(x) for x in places])
+                out.append(pa.table({"target_id": target, "from_id": pages[np.concatenate(places)], "score": np.concatenate(scores)}))
+        return pa.concat_tables(out)
 
     return best
 
@@ -304,7 +329,7 @@ def _heavy_candidates(own: DataFrame, postings: DataFrame, closed: DataFrame, ba
     `per_target` best by heavy terms, after those that don't count. Pages are dealt out in blocks and targets in
     groups, both of bounded size; each task sums a target's posting lists within its block and gives back the best
     few. So no pair but those is written or shuffled. Targets whose bar is above their number of heavy terms ask for
-    nothing.
+    nothing. Targets and pages travel in one row each, with a list of their terms, and stay flat arrays in a task.
     """
     heavy = own.filter("heavy").select("target_id", "term")
     numbers = kept(heavy.select("term").distinct().withColumn("t", F.monotonically_increasing_id()))
@@ -312,14 +337,16 @@ def _heavy_candidates(own: DataFrame, postings: DataFrame, closed: DataFrame, ba
     many = heavy.groupBy("target_id").agg(F.count("*").alias("terms")).join(bars, "target_id", "left").filter(F.col("bar").isNull() | (F.col("bar") <= F.col("terms")))
     limits = many.join(skipped, "target_id", "left").select(
         "target_id", (F.coalesce("skipped", F.lit(0)) + per_target).alias("keep"), F.coalesce("bar", F.lit(1)).alias("need"))
-    asked = kept(heavy.join(limits, "target_id").join(numbers, "term").select("target_id", "t", "keep", "need"))
-    listed = kept(postings.join(numbers, "term").select("from_id", "t", "weight"))
-    blocks, groups = 1 + listed.count() // BLOCK, 1 + asked.count() // BLOCK
+    asked = kept(heavy.join(limits, "target_id").join(numbers, "term").groupBy("target_id", "keep", "need").agg(F.collect_list("t").alias("terms")))
+    item = F.struct("t", F.col("weight").cast("long").alias("weight"))
+    listed = kept(postings.join(numbers, "term").groupBy("from_id").agg(F.collect_list(item).alias("terms")))
+    tasks = lambda rows: 1 + (rows.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK
+    blocks, groups = tasks(listed), tasks(asked)
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("group", part("target_id", groups)).withColumn("block", every(blocks))
     right = listed.withColumn("block", part("from_id", blocks)).withColumn("group", every(groups))
-    best = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInPandas(
+    best = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(
         _best_of_block(), "target_id long, from_id long, score double")
     order = Window.partitionBy("target_id").orderBy(F.desc("score"), "from_id")
     ranked = best.withColumn("_r", F.row_number().over(order)).join(limits.select("target_id", "keep"), "target_id").filter("_r <= keep")
